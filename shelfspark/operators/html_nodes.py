@@ -1,7 +1,8 @@
 """Per-page helper: one tokenizer pass that records the nodes matched by compiled selectors.
 
 It keeps a stack of open elements only, not a document tree. Deliberate limits: formatting
-elements are not reopened after a mis-nested close, and out-of-place table content is not moved.
+elements are not reopened after a mis-nested close, out-of-place table content is not moved, and a
+tag with a bare '<' among its attributes is text. No pattern can scan a page more than a few times.
 """
 
 import re
@@ -9,9 +10,9 @@ from html import unescape
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
-    r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)>"
-    r"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*+>"
-    r"|<[!?/][^>]*+>",
+    r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)>"
+    r"|</(?P<end>[a-zA-Z][^\s/>]*)[^<>]*+>"
+    r"|<[!?/][^<>]*+>",
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/\"'>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
@@ -45,6 +46,7 @@ _IMPLIED_CLOSE = {
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
 _TABLE_ONLY = frozenset(["table"])
+_MAX_DEPTH = 512
 _P = frozenset(["p"])
 _P_SCOPE = _SCOPE | {"button"}
 
@@ -56,8 +58,11 @@ class SelectorIndex:
     hold for an ancestor, `sets` the bit it gives to descendants, `hit` the (field, alternative) it completes.
     """
 
+    CACHED_TAGS, CACHED_LENGTH = 20_000, 300
+
     def __init__(self, alternatives):
         self.by_tag, self.by_class, self.by_id, self.by_attr = {}, {}, {}, {}
+        self.known = {}
         bit = 1
         for field, alt, compounds in alternatives:
             needs = 0
@@ -74,28 +79,28 @@ class SelectorIndex:
                     self.by_tag.setdefault(c.tag or "*", []).append(step)
                 needs, bit = bit, bit << 1
 
-    def match(self, tag, attrs, held):
-        """(bits for descendants, completed (field, alternative) pairs in selector order)."""
-        steps = self.by_tag.get(tag, ()) if self.by_tag else ()
-        steps = [*steps, *self.by_tag.get("*", ())]
-        classes = ()
-        if attrs:
-            if "class" in attrs and attrs["class"]:
-                classes = attrs["class"].split()
-                for name in dict.fromkeys(classes):
-                    steps += self.by_class.get(name, ())
-            if "id" in attrs:
-                steps += self.by_id.get(attrs["id"], ())
-            for name in attrs:
-                steps += self.by_attr.get(name, ())
-        bits, hits = 0, []
-        for needs, sets, hit, c in steps:
-            if (not needs or held & needs) and _passes(c, tag, attrs, classes):
-                bits |= sets
-                if hit:
-                    hits.append(hit)
-        hits.sort()
-        return bits, hits
+    def start_tag(self, text, name, source):
+        """Everything about a start tag that does not depend on its ancestors; pages repeat tags, so keep it.
+
+        (name, attributes, steps whose compound passes, void, closes p, implied close, table part, raw text end)
+        """
+        name = name.lower()
+        attrs = _attributes(source) if source and source != "/" else {}
+        classes = (attrs.get("class") or "").split()
+        steps = [*self.by_tag.get(name, ()), *self.by_tag.get("*", ()), *self.by_id.get(attrs.get("id"), ())]
+        for css_class in dict.fromkeys(classes):
+            steps += self.by_class.get(css_class, ())
+        for attr in attrs:
+            steps += self.by_attr.get(attr, ())
+        passed = [(needs, sets, hit) for needs, sets, hit, c in steps if _passes(c, name, attrs, classes)]
+        passed.sort(key=lambda step: step[2] or (-1, -1))
+        tag = (name, attrs, passed, name in _VOID, name in _CLOSES_P, _IMPLIED_CLOSE.get(name),
+               name in _TABLE_PARTS, _RAW_TEXT.get(name))
+        if len(self.known) >= self.CACHED_TAGS:
+            self.known.clear()
+        if len(text) <= self.CACHED_LENGTH:
+            self.known[text] = tag
+        return tag
 
 
 def _passes(c, tag, attrs, classes):
@@ -134,36 +139,41 @@ def match_page(html, index, fields):
     `fields` holds (number of alternatives, wants text, attribute names, wants cells, first only, as group).
     """
     hits = [[[] for _ in range(f[0])] for f in fields]
-    stack = []          # (tag, bits held below, [(record, first fragment)], [row records that wait for this cell])
+    stack = []          # (tag, bits held below, [(record, cell number or -1, first fragment)])
     fragments = []      # stripped text runs, kept only while some open node wants text
     pending = []        # pieces of the current text run
     open_texts = 0      # open nodes whose text is wanted
     open_rows = []      # open spec rows that still collect cells
+    open_p = tables = 0
 
     def end_run():
-        if pending:
-            run = "".join(pending)
-            pending.clear()
-            run = (unescape(run) if "&" in run else run).strip()
-            if run:
-                fragments.append(run)
+        run = "".join(pending)
+        pending.clear()
+        run = (unescape(run) if "&" in run else run).strip()
+        if run:
+            fragments.append(run)
 
     def close_to(depth):
-        nonlocal open_texts
-        end_run()
+        nonlocal open_texts, open_p, tables
+        if pending:
+            end_run()
         while len(stack) > depth:
-            _, _, records, cells = stack.pop()
-            for record, start in records:
-                open_texts -= 1
-                if record[1] is None:
-                    record[1] = "".join(fragments[start:])
-                else:
-                    open_rows.pop()
-            for record, place, start in cells:
-                open_texts -= 1
-                record[3][place] = "".join(fragments[start:])
-        if not open_texts:
-            fragments.clear()
+            name, _, wanted = stack.pop()
+            if name == "p":
+                open_p -= 1
+            elif name == "table":
+                tables -= 1
+            if wanted:
+                open_texts -= len(wanted)
+                for record, cell, start in wanted:
+                    if cell >= 0:
+                        record[3][cell] = "".join(fragments[start:])
+                    elif record[1] is None:
+                        record[1] = "".join(fragments[start:])
+                    else:
+                        open_rows.pop()
+                if not open_texts:
+                    fragments.clear()
 
     def find_open(names, barrier):
         for depth in range(len(stack) - 1, -1, -1):
@@ -175,80 +185,99 @@ def match_page(html, index, fields):
         return -1
 
     pos, size = 0, len(html)
-    scan = _TOKEN.search
+    scan, known = _TOKEN.search, index.known
     while pos < size:
         m = scan(html, pos)
         if m is None:
             if open_texts:
                 pending.append(html[pos:])
             break
-        if open_texts and m.start() > pos:
-            pending.append(html[pos:m.start()])
-        pos = m.end()
+        start, stop = m.span()
+        if open_texts and start > pos:
+            pending.append(html[pos:start])
+        pos = stop
 
-        name = m["end"]
-        if name:
-            name = name.lower()
+        kind = m.lastindex
+        if kind == 3:
+            name = m[3].lower()
+            if stack and stack[-1][0] == name:
+                close_to(len(stack) - 1)
+                continue
             if name in _SPECIAL:
                 barrier = _TABLE_ONLY if name in _TABLE_PARTS else () if name == "table" else _SCOPE
-                depth = find_open((name,), barrier)
             else:
-                depth = find_open((name,), _SPECIAL)
+                barrier = _SPECIAL
+            depth = find_open((name,), barrier)
             if depth >= 0:
                 close_to(depth)
             continue
-
-        name = m["start"]
-        if not name:
-            end_run()
+        if kind is None:
+            if pending:
+                end_run()
             continue
-        name = name.lower()
-        if name in _TABLE_PARTS and not any(e[0] == "table" for e in stack):
+
+        text = m[0]
+        tag = known.get(text) or index.start_tag(text, m[1], m[2])
+        name, attrs, steps, void, closes_p, implied, table_part, raw_end = tag
+        if table_part and not tables:
             continue
-        end_run()
-        if name in _CLOSES_P:
+        if pending:
+            end_run()
+        if open_p and closes_p:
             depth = find_open(_P, _P_SCOPE)
             if depth >= 0:
                 close_to(depth)
-        implied = _IMPLIED_CLOSE.get(name)
         if implied:
             depth = find_open(*implied)
             if depth >= 0:
                 close_to(depth)
 
-        source = m["attrs"]
-        attrs = _attributes(source) if source and source != "/" else {}
-        held = stack[-1][1] if stack else 0
-        bits, matched = index.match(name, attrs, held)
+        if len(stack) >= _MAX_DEPTH:
+            close_to(_MAX_DEPTH - 1)
 
-        records, cells, grouped = [], [], set()
-        for field, alt in matched:
-            _, wants_text, attr_names, wants_cells, first_only, as_group = fields[field]
-            if as_group:
-                if field in grouped:
+        held = bits = stack[-1][1] if stack else 0
+        wanted = []
+        if steps:
+            last_group = -1
+            for needs, sets, hit in steps:
+                if needs and not held & needs:
                     continue
-                grouped.add(field)
-            if first_only and hits[field][alt]:
-                continue
-            record = [alt, None if wants_text else "", [attrs.get(a) for a in attr_names], []]
-            hits[field][alt].append(record)
-            if wants_text or wants_cells:
-                records.append((record, len(fragments)))
+                bits |= sets
+                if not hit:
+                    continue
+                field, alt = hit
+                _, wants_text, attr_names, wants_cells, first_only, as_group = fields[field]
+                if as_group:
+                    if field == last_group:
+                        continue
+                    last_group = field
+                if first_only and hits[field][alt]:
+                    continue
+                record = [alt, None if wants_text else "", [attrs.get(a) for a in attr_names], []]
+                hits[field][alt].append(record)
+                if wants_text or wants_cells:
+                    wanted.append((record, -1, len(fragments)))
         if open_rows and (name == "td" or name == "th"):
             for record in open_rows:
                 if len(record[3]) < 2:
                     record[3].append("")
-                    cells.append((record, len(record[3]) - 1, len(fragments)))
-        for record, _ in records:
-            if record[1] is not None:
-                open_rows.append(record)
-        open_texts += len(records) + len(cells)
+                    wanted.append((record, len(record[3]) - 1, len(fragments)))
 
-        stack.append((name, held | bits, records, cells))
-        if name in _VOID:
-            close_to(len(stack) - 1)
-        elif name in _RAW_TEXT:
-            end = _RAW_TEXT[name].search(html, pos)
+        if void:
+            for record, cell, _ in wanted:
+                if cell < 0:
+                    record[1] = ""
+            continue
+        if wanted:
+            open_texts += len(wanted)
+            open_rows += [record for record, cell, _ in wanted if cell < 0 and record[1] is not None]
+        if name == "p":
+            open_p += 1
+        elif name == "table":
+            tables += 1
+        stack.append((name, bits, wanted))
+        if raw_end:
+            end = raw_end.search(html, pos)
             stop = end.start() if end else size
             if open_texts and stop > pos:
                 raw = html[pos:stop]

@@ -43,23 +43,24 @@ def walk_pagination(categories: DataFrame, edges: DataFrame, cap: int | None = N
     page is joined to it. So a chain of n pages takes log2(n) rounds of even joins on url, whatever n is.
     A page met again keeps its first number, and a round that adds nothing ends the walk.
     """
-    steps = edges.select("url", "n_links")
-    jumps = edges.filter("next_url is not null and next_url <> url").select("url", F.col("next_url").alias("target"))
+    # Only pages that something points to can be visited: this leaves the listing pages.
+    pointed_at = categories.select("url").unionAll(edges.filter("next_url is not null").select("next_url")).distinct()
+    steps = materialize(
+        edges.select("url", "n_links", "next_url").join(pointed_at, "url", "left_semi"), "listings")
+    sizes = steps.select("url", "n_links")
+    jumps = steps.filter("next_url is not null and next_url <> url").select("url", F.col("next_url").alias("target"))
     reached = materialize(
-        categories.select("cat_idx", "name", "url").join(steps, "url")
+        categories.select("cat_idx", "name", "url").join(sizes, "url")
         .select("cat_idx", "name", F.lit(0).cast("bigint").alias("page_num"), "url", "n_links"),
         "walk",
     )
-    known, reach = reached.count(), 1
-    while True:
-        open_categories = reached
-        if cap is not None:
-            done = reached.groupBy("cat_idx").agg(F.sum("n_links").alias("_sum")).filter(F.col("_sum") > cap)
-            open_categories = reached.join(done.select("cat_idx"), "cat_idx", "left_anti")
+    known, n_open = _progress(reached, cap)
+    reach = 1
+    while n_open:
         ahead = (
-            open_categories.drop("n_links").join(jumps, "url")
+            _open_categories(reached, cap).drop("n_links").join(jumps, "url")
             .select("cat_idx", "name", (F.col("page_num") + reach).alias("page_num"), F.col("target").alias("url"))
-            .join(steps, "url")
+            .join(sizes, "url")
         )
         reached = materialize(
             reached.unionByName(ahead)
@@ -67,8 +68,8 @@ def walk_pagination(categories: DataFrame, edges: DataFrame, cap: int | None = N
             .agg(F.min("page_num").alias("page_num"), F.first("name").alias("name"), F.first("n_links").alias("n_links")),
             "walk",
         )
-        total = reached.count()
-        if total == known:
+        total, n_open = _progress(reached, cap)
+        if total == known or not n_open:
             break
         known, reach = total, reach * 2
         second = jumps.select(F.col("url").alias("target"), F.col("target").alias("_next"))
@@ -82,6 +83,24 @@ def walk_pagination(categories: DataFrame, edges: DataFrame, cap: int | None = N
         F.col("prior_links") <= cap)
 
 
+def _totals(reached: DataFrame) -> DataFrame:
+    return reached.groupBy("cat_idx").agg(F.count(F.lit(1)).alias("_pages"), F.sum("n_links").alias("_links"))
+
+
+def _open_categories(reached: DataFrame, cap: int | None) -> DataFrame:
+    """Pages of the categories whose links do not exceed the cap yet."""
+    if cap is None:
+        return reached
+    return reached.join(_totals(reached).filter(F.col("_links") > cap).select("cat_idx"), "cat_idx", "left_anti")
+
+
+def _progress(reached: DataFrame, cap: int | None) -> tuple[int, int]:
+    """(pages reached, categories still open)."""
+    still_open = F.lit(True) if cap is None else F.col("_links") <= cap
+    row = _totals(reached).agg(F.sum("_pages").alias("pages"), F.count_if(still_open).alias("open")).first()
+    return row.pages or 0, row.open
+
+
 def empty_listings(walked: DataFrame) -> DataFrame:
     """Visited listing pages without any product link: the selectors may have drifted."""
     return walked.filter("n_links = 0").select("cat_idx", "page_num", "url")

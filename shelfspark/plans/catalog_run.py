@@ -49,7 +49,7 @@ def run_catalog(
     prior: DataFrame | None = None,
 ) -> CatalogRun:
     """`matched` from `match_site`. Without responses (or with max_calls=0) only selectors speak."""
-    edges = navigate.product_links(matched)
+    edges = materialize(navigate.product_links(matched), "edges")
     walked = navigate.walk_pagination(categories, edges, cap)
     urls = materialize(navigate.unseen(navigate.frontier(walked, edges, cap), seen), "frontier")
     detail = matched.drop(*_LISTING_HITS)

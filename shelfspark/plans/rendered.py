@@ -6,7 +6,7 @@ The expected products follow from the same rules without any HTML (see `oracles`
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CATEGORIES
@@ -139,10 +139,9 @@ def detail_html() -> Column:
 
 def detail_pages(part: DataFrame, shop: Shop) -> DataFrame:
     """One page per part: seq, url, category_path, html."""
-    block = Window.partitionBy("p_type", "page_num").orderBy("p_partkey")   # at most KEYS_PER_PAGE rows
     return (
         with_rules(part, shop)
-        .withColumn("pos", (F.row_number().over(block) - 1).cast("int"))
+        .withColumn("pos", (F.col("p_partkey") % KEYS_PER_PAGE).cast("int"))
         .select(F.struct("cat_idx", "page_num", "pos").alias("seq"), "url", F.array("p_type").alias("category_path"),
                 detail_html().alias("html"))
     )
