@@ -6,6 +6,15 @@ from pyspark.sql import functions as F
 from ..constants import METHODS
 
 
+def compute_once(df: DataFrame, columns: list[Column], keep=()) -> DataFrame:
+    """`keep` plus `columns`, each column evaluated once per row.
+
+    A plain select lets later filters and projections copy these expressions into themselves, several
+    times over; rows that come out of a generator are not taken apart again.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))
+
+
 def _has_text(col: Column) -> Column:
     return F.coalesce(col != "", F.lit(False))
 

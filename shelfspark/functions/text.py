@@ -14,6 +14,11 @@ _FLOAT = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS
 _INFINITE = r"(?i)^[+-]?inf(?:inity)?$"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with `value` computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(col: Column) -> Column:
     """Remove leading and trailing whitespace, Unicode included."""
     return F.regexp_replace(F.regexp_replace(col, rf"^{SPACE}+", ""), rf"{SPACE}+$", "")
@@ -27,12 +32,16 @@ def strip_blank(col: Column) -> Column:
 def parse_price(col: Column) -> Column:
     """First number of a price text such as '$1,299.00 - $1,499' or '12.99 USD'; null if there is none."""
     bare = strip(F.regexp_replace(strip(col), r"\$|,|USD", ""))
-    token = F.split(bare, SPACE)[0]
-    return (
-        F.when(token.rlike(_FLOAT), F.regexp_replace(token, "_", "").try_cast("double"))
-        .when(token.rlike(_INFINITE), F.when(token.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
-        .when(token.rlike(r"(?i)^[+-]?nan$"), F.lit(float("nan")))
-    )
+    infinity = F.lit(float("inf"))
+
+    def number(token):
+        return (
+            F.when(token.rlike(_FLOAT), F.regexp_replace(token, "_", "").try_cast("double"))
+            .when(token.rlike(_INFINITE), F.when(token.startswith("-"), -infinity).otherwise(infinity))
+            .when(token.rlike(r"(?i)^[+-]?nan$"), F.lit(float("nan")))
+        )
+
+    return let(F.split(bare, SPACE)[0], number)
 
 
 def clean_description(col: Column) -> Column:

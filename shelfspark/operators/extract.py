@@ -3,15 +3,15 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DETAIL_SELECTORS, MAX_IMAGES
-from ..functions.products import missing_critical, valid_price
+from ..constants import CRITICAL_FIELDS, DETAIL_SELECTORS, MAX_IMAGES
+from ..functions.products import compute_once, missing_critical, valid_price
 from ..functions.text import clean_description, parse_price, strip
 from ..functions.urls import resolve_all, split_url
 from .match import detail_fields, match_selectors
 
 RAW_FIELDS = (
     "name", "brand", "sku", "price_text", "description", "pack_size",
-    "availability", "image_urls", "specifications", "breadcrumbs",
+    "availability", "image_urls", "specifications", "category_path",
 )
 
 
@@ -73,11 +73,13 @@ def raw_fields(matched: DataFrame) -> DataFrame:
 
     `category_path` is kept where given and not empty; otherwise it is the breadcrumb path.
     """
-    carried = [c for c in matched.columns if c not in {f.name for f in detail_fields()} and c != "category_path"]
-    hits = matched.withColumn("_base", split_url(F.col("url")))
-    out = hits.select(
-        *carried,
-        *([F.col("category_path").alias("_given_path")] if "category_path" in matched.columns else []),
+    hit_columns = {f.name for f in detail_fields()}
+    carried = [c for c in matched.columns if c not in hit_columns and c != "category_path"]
+    path = breadcrumbs(F.col("breadcrumbs"))
+    if "category_path" in matched.columns:
+        path = F.when(F.size("category_path") > 0, F.col("category_path")).otherwise(path)
+    based = matched.withColumn("_base", split_url(F.col("url")))
+    return compute_once(based, [
         first_text(F.col("name")).alias("name"),
         first_text(F.col("brand")).alias("brand"),
         sku(F.col("sku")).alias("sku"),
@@ -87,12 +89,8 @@ def raw_fields(matched: DataFrame) -> DataFrame:
         availability(F.col("availability")).alias("availability"),
         image_urls(F.col("images"), F.col("_base"), F.col("url")).alias("image_urls"),
         spec_map(F.col("specifications_rows")).alias("specifications"),
-        breadcrumbs(F.col("breadcrumbs")).alias("breadcrumbs"),
-    )
-    path = F.col("breadcrumbs")
-    if "_given_path" in out.columns:
-        path = F.when(F.size("_given_path") > 0, F.col("_given_path")).otherwise(path)
-    return out.withColumn("category_path", path).drop("_given_path")
+        path.alias("category_path"),
+    ], carried)
 
 
 def extractable(raw: DataFrame) -> DataFrame:
@@ -106,11 +104,12 @@ def unextractable(raw: DataFrame) -> DataFrame:
 
 
 def with_gaps(raw: DataFrame) -> DataFrame:
-    """Add `missing`: the critical fields to ask for. An invalid price makes all four count as missing."""
-    price = parse_price(F.col("price_text"))
+    """Add `price` and `missing`: the critical fields to ask for. An invalid price makes all four count as missing."""
+    price = F.col("price")
     gaps = missing_critical(F.col("sku"), F.col("brand"), F.col("description"), price)
-    every = missing_critical(*[F.lit(None).cast("string")] * 3, F.lit(None).cast("double"))
-    return raw.withColumn("missing", F.when(valid_price(price), gaps).otherwise(every))
+    every = F.array(*[F.lit(f) for f in CRITICAL_FIELDS])
+    priced = compute_once(raw, [parse_price(F.col("price_text")).alias("price")], ["*"])
+    return priced.withColumn("missing", F.when(valid_price(price), gaps).otherwise(every))
 
 
 def extract_raw(pages: DataFrame, selectors: dict = DETAIL_SELECTORS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CRITICAL_FIELDS, CURRENCY, ENRICHMENT_ATTRIBUTES
-from ..functions.products import confidence, schema_gate
+from ..functions.products import compute_once, confidence, schema_gate
 from ..functions.text import parse_price, strip, strip_blank, truncate_text
 from ..schemas import PRODUCTS
 
@@ -130,7 +130,7 @@ def merge_fallback(raw: DataFrame, responses: DataFrame | None = None) -> tuple[
             F.try_variant_get(F.col("answer"), f"$.{field}", "double").alias("number"),
         ).alias(f"_{field}")
 
-    offers = joined.select("*", *[offered(f) for f in CRITICAL_FIELDS]).drop("answer")
+    offers = compute_once(joined, [offered(f) for f in CRITICAL_FIELDS], [c for c in joined.columns if c != "answer"])
     fills = lambda field: F.col(f"_{field}.fills")
     kind = lambda field: F.col(f"_{field}.type")
     text = lambda field: F.col(f"_{field}.text")
@@ -145,7 +145,7 @@ def merge_fallback(raw: DataFrame, responses: DataFrame | None = None) -> tuple[
     price = (
         F.when(fills("price") & (kind("price") == "STRING"), parse_price(text("price")))
         .when(fills("price"), F.coalesce(F.col("_price.number"), F.when(text("price") == "true", 1.0)))
-        .otherwise(parse_price(F.col("price_text")))
+        .otherwise(F.col("price"))
     )
     filled = F.array_compact(F.array(*[F.when(fills(f), f) for f in CRITICAL_FIELDS]))
     # Fields the selectors gave, url and category path aside; price text counts even if it is no number.
@@ -158,15 +158,17 @@ def merge_fallback(raw: DataFrame, responses: DataFrame | None = None) -> tuple[
     n_given = sum((F.coalesce(g, F.lit(False)).cast("int") for g in given), F.lit(0))
     method = F.when(F.size("fields_via_llm") == 0, "selector").when(n_given <= 1, "llm_fallback").otherwise("hybrid")
 
+    seq = [F.col("seq")] if "seq" in raw.columns else []
+    noted = compute_once(offers, [
+        filled.alias("fields_via_llm"), price.alias("_price_now"), strip_blank(merged("description")).alias("_description_now"),
+    ], ["*"])
     built = (
-        offers.withColumn("fields_via_llm", filled)
-        .withColumn("extraction_method", method)
+        noted.withColumn("extraction_method", method)
         .select(
-            *[c for c in raw.columns if c in ("seq", "run_id")],
-            "name", "url", F.coalesce("category_path", F.array().cast("array<string>")).alias("category_path"),
-            merged("brand").alias("brand"), merged("sku").alias("sku"), price.alias("price"),
+            *seq, "name", "url", F.coalesce("category_path", F.array().cast("array<string>")).alias("category_path"),
+            merged("brand").alias("brand"), merged("sku").alias("sku"), F.col("_price_now").alias("price"),
             F.lit(CURRENCY).alias("currency"), "pack_size", "availability",
-            strip_blank(merged("description")).alias("description"), "specifications", "image_urls",
+            F.col("_description_now").alias("description"), "specifications", "image_urls",
             F.array().cast("array<string>").alias("alternative_skus"), "extraction_method",
             confidence(F.col("extraction_method")).alias("extraction_confidence"), "fields_via_llm",
             F.coalesce(wrong_type, F.lit(False)).alias("_wrong_type"),
