@@ -1,14 +1,14 @@
-"""URL functions on Columns: reference resolution and the product-URL predicate."""
+"""URL functions: reference resolution and the product-URL predicate.
 
-from functools import reduce
+Arguments are SQL expressions (mostly column names), results are Columns; the `*_sql` forms return SQL
+text for use inside higher-order functions.
+"""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import URL_ALLOW_CONTAINS, URL_ALLOW_SUFFIX, URL_DENY
 
-_SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
-_AFTER_SCHEME = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?"
 # Schemes whose references resolve against a base (fixed values of the URL standard library).
 _HIERARCHICAL = (
     "", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms",
@@ -16,78 +16,74 @@ _HIERARCHICAL = (
 )
 
 
-def split_url(url: Column) -> Column:
+def quoted(text: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def split_url_sql(url: str) -> str:
     """struct(scheme, netloc, path, query, fragment); missing parts are empty, netloc keeps its '//'."""
-    return F.struct(
-        F.lower(F.regexp_extract(url, _SCHEME, 1)).alias("scheme"),
-        F.regexp_extract(url, _AFTER_SCHEME + r"(//[^/?#]*)", 1).alias("netloc"),
-        F.regexp_extract(url, _AFTER_SCHEME + r"(?://[^/?#]*)?([^?#]*)", 1).alias("path"),
-        F.regexp_extract(url, r"^[^?#]*(\?[^#]+)", 1).alias("query"),
-        F.regexp_extract(url, r"(?s)^[^#]*(#.+)", 1).alias("fragment"),
-    )
-
-
-def _remove_dots(path: Column) -> Column:
-    segments = F.split(path, "/")
-    kept = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    ends_in_dots = F.element_at(segments, -1).isin(".", "..")
-    kept = F.when(ends_in_dots, F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), F.array_join(kept, "/")).otherwise(path)
-
-
-def resolve_all(base: Column, base_url: Column, refs: Column) -> Column:
+    scheme = r"[A-Za-z][A-Za-z0-9+.\-]*:"
+    return f"""named_struct(
+        'scheme', lower(regexp_extract({url}, r'^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)),
+        'netloc', regexp_extract({url}, r'^(?:{scheme})?(//[^/?#]*)', 1),
+        'path', regexp_extract({url}, r'^(?:{scheme})?(?://[^/?#]*)?([^?#]*)', 1),
+        'query', regexp_extract({url}, r'^[^?#]*(\\?[^#]+)', 1),
+        'fragment', regexp_extract({url}, r'(?s)^[^#]*(#.+)', 1))"""
+
+
+def split_url(url: str) -> Column:
+    return F.expr(split_url_sql(url))
+
+
+def _remove_dots_sql(path: str) -> str:
+    kept = f"""aggregate(split({path}, '/'), cast(array() as array<string>), (kept, s) -> case
+        when s = '..' then slice(kept, 1, greatest(size(kept) - 1, 0)) when s = '.' then kept else concat(kept, array(s)) end)"""
+    return f"""case when rlike({path}, r'(^|/)\\.{{1,2}}(/|$)') then concat(array_join({kept}, '/'),
+        case when rlike({path}, r'(^|/)\\.{{1,2}}$') and size({kept}) > 0 then '/' else '' end) else {path} end"""
+
+
+def resolve_all_sql(base: str, base_url: str, refs: str) -> str:
     """Absolute form of every reference in an array.
 
-    `base` is `split_url(base_url)`; compute it once per page. The three transforms keep each
+    `base` is `split_url(base_url)`; compute it once per page. The nested transforms keep each
     intermediate value in a lambda variable, so no regular expression runs twice per reference.
     """
-    clean = lambda ref: F.regexp_replace(F.regexp_replace(ref, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    folder = F.regexp_replace(base["path"], r"[^/]*$", "")
-
-    def joined(r):
-        path = r["parts"]["path"]
-        return F.struct(
-            r["ref"].alias("ref"),
-            r["parts"].alias("parts"),
-            # Inner empty segments vanish when a relative path is joined, but not in a rooted one.
-            F.when(path.startswith("/"), path)
-            .otherwise(F.regexp_replace(F.concat(folder, path), r"/{2,}", "/"))
-            .alias("path"),
-        )
-
-    split = F.transform(refs, lambda ref: F.struct(ref.alias("ref"), split_url(clean(ref)).alias("parts")))
-    return F.transform(F.transform(split, joined), lambda r: _assemble(base, base_url, r))
-
-
-def _assemble(base: Column, base_url: Column, r: Column) -> Column:
-    ref, parts = r["ref"], r["parts"]
-    foreign = ((parts["scheme"] != "") & (parts["scheme"] != base["scheme"])) | ~base["scheme"].isin(*_HIERARCHICAL)
-    scheme = F.when(base["scheme"] == "", "").otherwise(F.concat(base["scheme"], F.lit(":")))
-    query = F.when(parts["query"] != "", parts["query"]).otherwise(base["query"])
-    path = _remove_dots(r["path"])
-    path = F.when(base["netloc"] != "", F.regexp_replace(path, r"^(?!/)", "/")).otherwise(F.regexp_replace(path, r"^$", "/"))
-    return (
-        F.when(base_url == "", ref)
-        .when(ref == "", base_url)
-        .when(foreign, ref)
-        .when(F.length(parts["netloc"]) > 2, F.concat(scheme, parts["netloc"], parts["path"], parts["query"], parts["fragment"]))
-        .when(parts["path"] == "", F.concat(scheme, base["netloc"], base["path"], query, parts["fragment"]))
-        .otherwise(F.concat(scheme, base["netloc"], path, parts["query"], parts["fragment"]))
-    )
-
-
-def resolve_url(base: Column, ref: Column) -> Column:
-    """Absolute form of `ref` as found on the page `base`; null stays null."""
-    return F.when(ref.isNotNull(), resolve_all(split_url(base), base, F.array(ref))[0])
-
-
-def is_product_url(url: Column, deny=URL_DENY, allow_contains=URL_ALLOW_CONTAINS, allow_suffix=URL_ALLOW_SUFFIX) -> Column:
+    clean = r"regexp_replace(regexp_replace(ref, r'^[\x00-\x20]+', ''), r'[\t\r\n]', '')"
+    split = f"transform({refs}, ref -> named_struct('ref', ref, 'u', {split_url_sql(clean)}))"
+    # Inner empty segments vanish when a relative path is joined, but not in a rooted one.
+    joined = f"""transform({split}, r -> named_struct('ref', r.ref, 'u', r.u, 'path',
+        case when startswith(r.u.path, '/') then r.u.path
+             else regexp_replace(concat(regexp_replace({base}.path, r'[^/]*$', ''), r.u.path), r'/{{2,}}', '/') end))"""
+    schemes = ", ".join(f"'{s}'" for s in _HIERARCHICAL)
+    rooted = f"""case when {base}.netloc <> '' then regexp_replace({_remove_dots_sql('r.path')}, r'^(?!/)', '/')
+        else regexp_replace({_remove_dots_sql('r.path')}, r'^$', '/') end"""
+    scheme = f"case when {base}.scheme = '' then '' else concat({base}.scheme, ':') end"
+    return f"""transform({joined}, r -> case
+        when {base_url} = '' then r.ref
+        when r.ref = '' then {base_url}
+        when (r.u.scheme <> '' and r.u.scheme <> {base}.scheme) or {base}.scheme not in ({schemes}) then r.ref
+        when length(r.u.netloc) > 2 then concat({scheme}, r.u.netloc, r.u.path, r.u.query, r.u.fragment)
+        when r.u.path = '' then concat({scheme}, {base}.netloc, {base}.path,
+            case when r.u.query <> '' then r.u.query else {base}.query end, r.u.fragment)
+        else concat({scheme}, {base}.netloc, {rooted}, r.u.query, r.u.fragment) end)"""
+
+
+def resolve_url_sql(base_url: str, ref: str) -> str:
+    bound = f"array({split_url_sql(base_url)})"
+    return f"case when {ref} is not null then transform({bound}, b -> {resolve_all_sql('b', base_url, f'array({ref})')}[0])[0] end"
+
+
+def resolve_url(base_url: str, ref: str) -> Column:
+    """Absolute form of `ref` as found on the page `base_url`; null stays null."""
+    return F.expr(resolve_url_sql(base_url, ref))
+
+
+def is_product_url_sql(url: str, deny=URL_DENY, allow_contains=URL_ALLOW_CONTAINS, allow_suffix=URL_ALLOW_SUFFIX) -> str:
+    denied = " or ".join(f"contains({url}, {quoted(part)})" for part in deny) or "false"
+    return f"(not ({denied}) and (contains({url}, {quoted(allow_contains)}) or endswith({url}, {quoted(allow_suffix)})))"
+
+
+def is_product_url(url: str, **patterns) -> Column:
     """Plain substring rules: any denied part rejects; then the allowed part or suffix accepts."""
-    allowed = url.contains(allow_contains) | url.endswith(allow_suffix)
-    return reduce(lambda cond, part: cond & ~url.contains(part), deny, F.lit(True)) & allowed
+    return F.expr(is_product_url_sql(url, **patterns))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..constants import CRITICAL_FIELDS, DETAIL_SELECTORS, MAX_IMAGES
 from ..functions.products import compute_once, missing_critical, valid_price
 from ..functions.text import clean_description, parse_price, strip
-from ..functions.urls import resolve_all, split_url
+from ..functions.urls import resolve_all_sql, split_url
 from .match import detail_fields, match_selectors
 
 RAW_FIELDS = (
@@ -15,57 +15,50 @@ RAW_FIELDS = (
 )
 
 
-def first_text(hits: Column) -> Column:
+def first_text(hits: str) -> Column:
     """First non-empty text over the first nodes of the alternatives, left to right."""
-    return F.get(F.filter(hits, lambda h: h["text"] != ""), F.lit(0))["text"]
+    return F.expr(f"get(filter({hits}, h -> h.text <> ''), 0).text")
 
 
-def first_attr(hits: Column, attr: str) -> Column:
+def first_attr(hits: str, attr: str) -> Column:
     """First non-empty attribute in the same order, stripped after the choice."""
-    return strip(F.get(F.filter(hits, lambda h: h[attr] != ""), F.lit(0))[attr])
+    return strip(F.expr(f"get(filter({hits}, h -> h.{attr} <> ''), 0).{attr}"))
 
 
-def sku(hits: Column) -> Column:
+def sku(hits: str) -> Column:
     return F.coalesce(F.nullif(first_attr(hits, "data_sku"), F.lit("")), first_text(hits))
 
 
-def availability(hits: Column) -> Column:
+def availability(hits: str) -> Column:
     """First node that carries a stock signal in its href, else in its class; text is not trusted."""
+    return F.expr(f"""get(array_compact(transform({hits}, h -> case
+        when contains(h.href, 'InStock') then 'in_stock'
+        when contains(h.href, 'OutOfStock') then 'out_of_stock'
+        when contains(h.href, 'BackOrder') or contains(h.href, 'Backorder') then 'backorder'
+        when contains(h.class, 'stock available') or rlike(h.class, r'(^|\\s)available(\\s|$)') then 'in_stock'
+        when contains(h.class, 'stock unavailable') then 'out_of_stock' end)), 0)""")
 
-    def signal(h):
-        href, css = F.coalesce(h["href"], F.lit("")), F.coalesce(h["class"], F.lit(""))
-        return (
-            F.when(href.contains("InStock"), "in_stock")
-            .when(href.contains("OutOfStock"), "out_of_stock")
-            .when(href.contains("BackOrder") | href.contains("Backorder"), "backorder")
-            .when(css.contains("stock available") | css.rlike(r"(^|\s)available(\s|$)"), "in_stock")
-            .when(css.contains("stock unavailable"), "out_of_stock")
-        )
 
-    return F.get(F.array_compact(F.transform(hits, signal)), F.lit(0))
-
-
-def image_urls(hits: Column, base: Column, base_url: Column, limit: int = MAX_IMAGES) -> Column:
+def image_urls(hits: str, base: str, base_url: str, limit: int = MAX_IMAGES) -> Column:
     """Resolved http(s) image URLs, repeats dropped, at most `limit` per product."""
-    given = lambda h, attr: F.nullif(h[attr], F.lit(""))
-    refs = F.transform(hits, lambda h: F.coalesce(given(h, "src"), given(h, "data_src"), given(h, "data_lazy_src")))
-    found = resolve_all(base, base_url, F.array_compact(refs))
-    return F.slice(F.array_distinct(F.filter(found, lambda u: u.startswith("http"))), 1, limit)
+    refs = f"""array_compact(transform({hits}, h ->
+        coalesce(nullif(h.src, ''), nullif(h.data_src, ''), nullif(h.data_lazy_src, ''))))"""
+    resolved = resolve_all_sql(base, base_url, refs)
+    return F.expr(f"slice(array_distinct(filter({resolved}, u -> startswith(u, 'http'))), 1, {limit})")
 
 
-def spec_map(hits: Column) -> Column:
+def spec_map(hits: str) -> Column:
     """First two cells of each row as key and value; a later value of the same key wins, first position kept."""
-    rows = F.filter(hits, lambda h: (F.size(h["cells"]) >= 2) & (h["cells"][0] != "") & (h["cells"][1] != ""))
-    keys = F.array_distinct(F.transform(rows, lambda h: h["cells"][0]))
-    last = lambda key: F.element_at(F.filter(rows, lambda h: h["cells"][0] == key), -1)["cells"][1]
-    return F.map_from_arrays(keys, F.transform(keys, last))
+    rows = f"filter({hits}, h -> size(h.cells) >= 2 and h.cells[0] <> '' and h.cells[1] <> '')"
+    return F.expr(f"""transform(array({rows}), rows -> map_from_entries(transform(
+        array_distinct(transform(rows, h -> h.cells[0])),
+        k -> struct(k, element_at(filter(rows, h -> h.cells[0] = k), -1).cells[1]))))[0]""")
 
 
-def breadcrumbs(hits: Column) -> Column:
+def breadcrumbs(hits: str) -> Column:
     """Texts of the first alternative that keeps any; empty and 'home' entries do not count."""
-    kept = F.filter(hits, lambda h: (h["text"] != "") & (F.lower(h["text"]) != "home"))
-    first_alt = F.get(kept, F.lit(0))["alt"]
-    return F.transform(F.filter(kept, lambda h: h["alt"] == first_alt), lambda h: h["text"])
+    return F.expr(f"""transform(array(filter({hits}, h -> h.text <> '' and lower(h.text) <> 'home')), kept ->
+        transform(filter(kept, h -> h.alt = get(kept, 0).alt), h -> h.text))[0]""")
 
 
 def raw_fields(matched: DataFrame) -> DataFrame:
@@ -75,20 +68,20 @@ def raw_fields(matched: DataFrame) -> DataFrame:
     """
     hit_columns = {f.name for f in detail_fields()}
     carried = [c for c in matched.columns if c not in hit_columns and c != "category_path"]
-    path = breadcrumbs(F.col("breadcrumbs"))
+    path = breadcrumbs("breadcrumbs")
     if "category_path" in matched.columns:
         path = F.when(F.size("category_path") > 0, F.col("category_path")).otherwise(path)
-    based = matched.withColumn("_base", split_url(F.col("url")))
+    based = matched.withColumn("_base", split_url("url"))
     return compute_once(based, [
-        first_text(F.col("name")).alias("name"),
-        first_text(F.col("brand")).alias("brand"),
-        sku(F.col("sku")).alias("sku"),
-        first_text(F.col("price")).alias("price_text"),
-        clean_description(first_text(F.col("description"))).alias("description"),
-        first_text(F.col("pack_size")).alias("pack_size"),
-        availability(F.col("availability")).alias("availability"),
-        image_urls(F.col("images"), F.col("_base"), F.col("url")).alias("image_urls"),
-        spec_map(F.col("specifications_rows")).alias("specifications"),
+        first_text("name").alias("name"),
+        first_text("brand").alias("brand"),
+        sku("sku").alias("sku"),
+        first_text("price").alias("price_text"),
+        clean_description(first_text("description")).alias("description"),
+        first_text("pack_size").alias("pack_size"),
+        availability("availability").alias("availability"),
+        image_urls("images", "_base", "url").alias("image_urls"),
+        spec_map("specifications_rows").alias("specifications"),
         path.alias("category_path"),
     ], carried)
 

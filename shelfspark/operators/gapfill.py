@@ -90,21 +90,24 @@ def sanitise_attributes(answer: Column, attributes=ENRICHMENT_ATTRIBUTES) -> Col
     return F.map_filter(trimmed, lambda k, v: k.isin(*attributes) & F.coalesce(v != "", F.lit(False)))
 
 
-def _member(field: str) -> tuple[Column, Column, Column]:
-    """(JSON type, text, truth value) of one member of the answer."""
-    value = F.try_variant_get(F.col("answer"), f"$.{field}", "variant")
-    kind = F.schema_of_variant(value)
-    text = F.try_variant_get(F.col("answer"), f"$.{field}", "string")
-    number = F.try_variant_get(F.col("answer"), f"$.{field}", "double")
-    truth = (
-        F.when(kind == "STRING", text != "")
-        .when(kind == "BOOLEAN", text == "true")
-        .when(kind.startswith("ARRAY"), text != "[]")
-        .when(kind.startswith("OBJECT"), text != "{}")
-        .when(kind == "VOID", False)
-        .otherwise(number != 0)
-    )
-    return kind, text, F.coalesce(truth, F.lit(False))
+def _offer(field: str) -> Column:
+    """What the answer says about one field: its JSON type, text, number, and whether it fills a gap.
+
+    A value fills when its field is missing and the value is truthy: "", 0, false, null, [] and {} are not.
+    """
+    member = f"try_variant_get(answer, '$.{field}', 'variant')"
+    return F.expr(f"""transform(array(named_struct(
+            'type', schema_of_variant({member}),
+            'text', try_variant_get(answer, '$.{field}', 'string'),
+            'number', try_variant_get(answer, '$.{field}', 'double'))), v -> named_struct(
+        'type', v.type, 'text', v.text, 'number', coalesce(v.number, case when v.text = 'true' then 1.0D end),
+        'fills', array_contains(missing, '{field}') and coalesce(case
+            when v.type = 'STRING' then v.text <> ''
+            when v.type = 'BOOLEAN' then v.text = 'true'
+            when v.type like 'ARRAY%' then v.text <> '[]'
+            when v.type like 'OBJECT%' then v.text <> '{{}}'
+            when v.type = 'VOID' then false
+            else v.number <> 0 end, false)))[0]""").alias(f"_{field}")
 
 
 def merge_fallback(raw: DataFrame, responses: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -122,57 +125,37 @@ def merge_fallback(raw: DataFrame, responses: DataFrame | None = None) -> tuple[
             .drop("request_key")
         )
 
-    def offered(field):
-        kind, text, truth = _member(field)
-        fills = F.array_contains("missing", field) & truth
-        return F.struct(
-            F.coalesce(fills, F.lit(False)).alias("fills"), kind.alias("type"), text.alias("text"),
-            F.try_variant_get(F.col("answer"), f"$.{field}", "double").alias("number"),
-        ).alias(f"_{field}")
-
-    offers = compute_once(joined, [offered(f) for f in CRITICAL_FIELDS], [c for c in joined.columns if c != "answer"])
-    fills = lambda field: F.col(f"_{field}.fills")
-    kind = lambda field: F.col(f"_{field}.type")
-    text = lambda field: F.col(f"_{field}.text")
-
-    def merged(field):
-        return F.when(fills(field), text(field)).otherwise(F.col(field))
-
-    wrong_type = F.lit(False)
-    for field in ("sku", "brand", "description"):
-        wrong_type = wrong_type | (fills(field) & (kind(field) != "STRING"))
-    wrong_type = wrong_type | (fills("price") & kind("price").rlike("^(ARRAY|OBJECT)"))
-    price = (
-        F.when(fills("price") & (kind("price") == "STRING"), parse_price(text("price")))
-        .when(fills("price"), F.coalesce(F.col("_price.number"), F.when(text("price") == "true", 1.0)))
-        .otherwise(F.col("price"))
-    )
-    filled = F.array_compact(F.array(*[F.when(fills(f), f) for f in CRITICAL_FIELDS]))
+    offers = compute_once(joined, [_offer(f) for f in CRITICAL_FIELDS], [c for c in joined.columns if c != "answer"])
     # Fields the selectors gave, url and category path aside; price text counts even if it is no number.
     given = [
-        F.col("name") != "", F.col("pack_size") != "", F.col("availability").isNotNull(),
-        F.size("image_urls") > 0, F.size("specifications") > 0,
-        (F.col("sku") != "") & ~fills("sku"), (F.col("brand") != "") & ~fills("brand"),
-        (F.col("description") != "") & ~fills("description"), (F.col("price_text") != "") & ~fills("price"),
+        "name <> ''", "pack_size <> ''", "availability <> ''", "size(image_urls) > 0", "size(specifications) > 0",
+        "sku <> '' and not _sku.fills", "brand <> '' and not _brand.fills",
+        "description <> '' and not _description.fills", "price_text <> '' and not _price.fills",
     ]
-    n_given = sum((F.coalesce(g, F.lit(False)).cast("int") for g in given), F.lit(0))
-    method = F.when(F.size("fields_via_llm") == 0, "selector").when(n_given <= 1, "llm_fallback").otherwise("hybrid")
-
-    seq = [F.col("seq")] if "seq" in raw.columns else []
+    n_given = " + ".join(f"int(coalesce({g}, false))" for g in given)
+    filled = ", ".join(f"case when _{f}.fills then '{f}' end" for f in CRITICAL_FIELDS)
+    wrong_type = " or ".join(f"(_{f}.fills and _{f}.type <> 'STRING')" for f in ("sku", "brand", "description"))
+    price = (
+        F.when(F.expr("_price.fills and _price.type = 'STRING'"), parse_price(F.col("_price.text")))
+        .otherwise(F.expr("case when _price.fills then _price.number else price end"))
+    )
+    now = lambda field: F.expr(f"case when _{field}.fills then _{field}.text else {field} end")
     noted = compute_once(offers, [
-        filled.alias("fields_via_llm"), price.alias("_price_now"), strip_blank(merged("description")).alias("_description_now"),
+        F.expr(f"array_compact(array({filled}))").alias("fields_via_llm"),
+        F.expr(f"{n_given}").alias("_n_given"),
+        F.expr(f"{wrong_type} or (_price.fills and rlike(_price.type, '^(ARRAY|OBJECT)'))").alias("_wrong_type"),
+        now("sku").alias("_sku_now"), now("brand").alias("_brand_now"),
+        strip_blank(now("description")).alias("_description_now"), price.alias("_price_now"),
     ], ["*"])
-    built = (
-        noted.withColumn("extraction_method", method)
-        .select(
-            *seq, "name", "url", F.coalesce("category_path", F.array().cast("array<string>")).alias("category_path"),
-            merged("brand").alias("brand"), merged("sku").alias("sku"), F.col("_price_now").alias("price"),
-            F.lit(CURRENCY).alias("currency"), "pack_size", "availability",
-            F.col("_description_now").alias("description"), "specifications", "image_urls",
-            F.array().cast("array<string>").alias("alternative_skus"), "extraction_method",
-            confidence(F.col("extraction_method")).alias("extraction_confidence"), "fields_via_llm",
-            F.coalesce(wrong_type, F.lit(False)).alias("_wrong_type"),
-        )
+    method = "case when size(fields_via_llm) = 0 then 'selector' when _n_given <= 1 then 'llm_fallback' else 'hybrid' end"
+    built = noted.withColumn("extraction_method", F.expr(method)).select(
+        *(["seq"] if "seq" in raw.columns else []),
+        "name", "url", F.expr("coalesce(category_path, cast(array() as array<string>))").alias("category_path"),
+        F.col("_brand_now").alias("brand"), F.col("_sku_now").alias("sku"), F.col("_price_now").alias("price"),
+        F.lit(CURRENCY).alias("currency"), "pack_size", "availability", F.col("_description_now").alias("description"),
+        "specifications", "image_urls", F.expr("cast(array() as array<string>)").alias("alternative_skus"),
+        "extraction_method", confidence(F.col("extraction_method")).alias("extraction_confidence"), "fields_via_llm",
+        F.expr("coalesce(_wrong_type, false)").alias("_wrong_type"),
     )
     good, rejects = schema_gate(built.filter("not _wrong_type").drop("_wrong_type"))
     mistyped = built.filter("_wrong_type").drop("_wrong_type").withColumn("gate_reason", F.lit("filled value has the wrong type"))

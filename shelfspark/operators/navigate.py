@@ -4,32 +4,29 @@ All inputs come from one selector pass over the pages (see `match.listing_fields
 parses HTML. `seq` = (cat_idx, page_num, pos) carries the arrival order through every later step.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import URL_DENY
-from ..functions.urls import is_product_url, resolve_all, resolve_url, split_url
+from ..functions.products import compute_once
+from ..functions.urls import is_product_url_sql, resolve_all_sql, split_url
 from ..plans.scratch import materialize
 
 
 def product_links(matched: DataFrame, deny=URL_DENY) -> DataFrame:
     """Listing edges, one row per page: url, links (first occurrence per page), n_links, next_url."""
-    given = lambda h, attr: F.nullif(h[attr], F.lit(""))
-    refs = F.array_compact(F.transform("product_link", lambda h: F.coalesce(given(h, "href"), given(h, "content"))))
-    resolved = resolve_all(F.col("_base"), F.col("url"), refs)
-    kept = F.array_distinct(F.filter(resolved, lambda u: is_product_url(u, deny)))
+    refs = "array_compact(transform(product_link, h -> coalesce(nullif(h.href, ''), nullif(h.content, ''))))"
+    kept = f"array_distinct(filter({resolve_all_sql('_base', 'url', refs)}, u -> {is_product_url_sql('u', deny)}))"
     return (
-        matched.withColumn("_base", split_url(F.col("url")))
-        .withColumn("links", kept)
-        .withColumn("n_links", F.size("links"))
-        .withColumn("next_url", next_page(F.col("next_page"), F.col("url")))
-        .select("url", "links", "n_links", "next_url")
+        compute_once(matched.withColumn("_base", split_url("url")), [F.expr(kept).alias("links"), next_page().alias("next_url")], ["url"])
+        .select("url", "links", F.size("links").alias("n_links"), "next_url")
     )
 
 
-def next_page(hits, url):
+def next_page(hits: str = "next_page", base: str = "_base", url: str = "url") -> Column:
     """First alternative whose first node has a link; resolved."""
-    return resolve_url(url, F.get(F.filter(hits, lambda h: h["href"] != ""), F.lit(0))["href"])
+    ref = f"slice(transform(filter({hits}, h -> h.href <> ''), h -> h.href), 1, 1)"
+    return F.expr(f"get({resolve_all_sql(base, url, ref)}, 0)")
 
 
 def walk_pagination(categories: DataFrame, edges: DataFrame, cap: int | None = None) -> DataFrame:

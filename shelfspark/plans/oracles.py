@@ -45,7 +45,7 @@ pages_ok as (
 # Selector-only products.
 _PRODUCTS = _RULED + """,
 products as (
-  select *, 'selector' as extraction_method, 1.0 as extraction_confidence, '' as fields_via_llm from pages_ok where not bad_price)"""
+  select *, 'selector' as extraction_method, 1e0 as extraction_confidence, '' as fields_via_llm from pages_ok where not bad_price)"""
 
 # Products with fallback answers merged.
 _FILLED = _RULED + f""",
@@ -69,7 +69,7 @@ merged as (
   from offers),
 built as (
   select *, case when filled = '' then 'selector' when n_given <= 1 then 'llm_fallback' else 'hybrid' end as method,
-    case when filled = '' then 1.0 when n_given <= 1 then 0.6 else 0.8 end as score,
+    case when filled = '' then 1e0 when n_given <= 1 then 6e-1 else 8e-1 end as score,
     case when mistyped then 'filled value has the wrong type' when price < 0 then 'price is negative or not a number' end as gate_reason
   from merged)"""
 
@@ -81,7 +81,7 @@ answered as (
   select *, {_ADDED} as added,
     concat_ws('|', case when specs <> '' then specs end, case when {_ADDED} <> '' then {_ADDED} end) as all_specs,
     case when method = 'selector' and {_ADDED} <> '' then 'hybrid' else method end as extraction_method,
-    case when method = 'selector' and {_ADDED} <> '' then 0.85 else score end as extraction_confidence,
+    case when method = 'selector' and {_ADDED} <> '' then 85e-2 else score end as extraction_confidence,
     concat_ws('|', case when filled <> '' then filled end, case when {_ADDED} <> '' then 'specifications' end) as fields_via_llm
   from built where gate_reason is null)"""
 
@@ -153,7 +153,7 @@ runs as (
 
 def _shares(value: str, prefix: str) -> str:
     one = lambda run: f"""(select {value} as v, count(*) / (select count(*) from runs where run_id = {run}) as share from runs where run_id = {run} group by 1)"""
-    return f"""select '{prefix}' || coalesce(c.v, p.v) as metric, coalesce(c.share, 0.0) as current, coalesce(p.share, 0.0) as prior
+    return f"""select '{prefix}' || coalesce(c.v, p.v) as metric, coalesce(c.share, 0e0) as current, coalesce(p.share, 0e0) as prior
   from {one(2)} c full join {one(1)} p on c.v = p.v"""
 
 
@@ -291,14 +291,14 @@ outcome as (
   select a.url, a.cat_idx, a.{_k}, en,
     case when fb then b.sku else a.sku end as sku, case when fb then b.brand else a.brand end as brand,
     case when fb then b.price else a.price end as price, case when fb then b.description else a.description end as description,
-    case when fb then b.method else 'selector' end as method, case when fb then b.score else 1.0 end as score,
+    case when fb then b.method else 'selector' end as method, case when fb then b.score else 1e0 end as score,
     case when fb then b.filled else '' end as filled, a.specs, case when en then {_ADDED.replace(_k, 'a.' + _k)} else '' end as added
   from asked a join built b on a.{_k} = b.{_k}
   where case when fb then b.gate_reason is null else not a.bad_price end)
 select url, sku, brand, round(price, 6) as price, description,
   concat_ws('|', case when specs <> '' then specs end, case when added <> '' then added end) as specifications,
   case when method = 'selector' and added <> '' then 'hybrid' else method end as extraction_method,
-  case when method = 'selector' and added <> '' then 0.85 else score end as extraction_confidence,
+  case when method = 'selector' and added <> '' then 85e-2 else score end as extraction_confidence,
   concat_ws('|', case when filled <> '' then filled end, case when added <> '' then 'specifications' end) as fields_via_llm, verdict
 from ({_judged('outcome')})""",
     # page types
@@ -326,10 +326,10 @@ where n = 5""",
 select field, count(*) as failures, case when field = 'sku' and count(*) >= 5 then '.sku|#sku|[itemprop=sku]' else '' end as suggested from misses group by 1""",
     # metrics
     "field_coverage": f"with {_ANSWERED} " + " union all ".join(
-        f"select '{f}' as field, round(avg(case when {c} then 1.0 else 0.0 end), 6) as coverage from answered" for f, c in _COVERED.items()),
+        f"select '{f}' as field, round(avg(case when {c} then 1e0 else 0e0 end), 6) as coverage from answered" for f, c in _COVERED.items()),
     "reject_rate": f"""with {_PRODUCTS}, verdicts as ({_judged('products')}), gated as (select count(*) as g from pages_ok where bad_price)
-select count(*) + g as rows_seen, round(g * 1000.0 / (count(*) + g), 6) as gate_rejects_per_1000,
-  round(count(*) filter (verdict <> 'ok') * 1000.0 / (count(*) + g), 6) as verdict_rejects_per_1000 from verdicts, gated group by g""",
+select count(*) + g as rows_seen, round(g * 1e3 / (count(*) + g), 6) as gate_rejects_per_1000,
+  round(count(*) filter (verdict <> 'ok') * 1e3 / (count(*) + g), 6) as verdict_rejects_per_1000 from verdicts, gated group by g""",
     "fallback_rate": f"""with {_TWO_RUNS}
 select run_id, count(*) as n_products, round(avg((extraction_method = 'hybrid')::int), 6) as hybrid_rate,
   round(avg((extraction_method = 'llm_fallback')::int), 6) as llm_fallback_rate from runs group by 1""",
@@ -350,7 +350,7 @@ select window_start, n_pages, round(ok_rate, 6) as ok_rate, round(avg_latency, 6
     "compare_selectors": """with counts as (
   select count(*) as n_pages, count(*) filter (regexp_matches(html, '<h1>[^<]')) as t, count(*) filter (regexp_matches(html, '<nav><ul><li><a ')) as l,
     count(*) filter (regexp_matches(html, '<div class="ad">[^<]')) as a from pages)
-select n_pages, 'title' as field, t as current_hits, t as candidate_hits, 0.0 as hit_rate_change from counts
+select n_pages, 'title' as field, t as current_hits, t as candidate_hits, 0e0 as hit_rate_change from counts
 union all select n_pages, 'links', 0, l, round(l / n_pages, 6) from counts
 union all select n_pages, 'ad', a, 0, round(-a / n_pages, 6) from counts""",
     "nearest_products": f"""

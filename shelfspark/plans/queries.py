@@ -115,42 +115,36 @@ def missing_fields(spark, sf_dir):
 
 def page_titles(spark, sf_dir):
     matched = match_selectors(spread(table(spark, sf_dir, "pages")).select("page_id", "html"), [Field("title", "h1", text=True, first=True)])
-    return matched.select("page_id", extract.first_text(F.col("title")).alias("title"))
+    return matched.select("page_id", extract.first_text("title").alias("title"))
 
 
 def nav_links(spark, sf_dir):
     pages = spread(table(spark, sf_dir, "pages"))
     matched = match_selectors(pages, [Field("links", "nav a", attrs=("href",))])
-    resolved = urls.resolve_all(F.col("_base"), F.col("url"), F.transform("links", lambda h: h["href"]))
+    resolved = F.expr(urls.resolve_all_sql("_base", "url", "links.href"))
     return (
-        matched.withColumn("_base", urls.split_url(F.col("url")))
+        matched.withColumn("_base", urls.split_url("url"))
         .select("page_id", F.posexplode(resolved).alias("pos", "link"))
         .select("page_id", F.col("pos").cast("bigint").alias("pos"), "link")
     )
 
 
-def link_forms(href):
-    """Reference forms made of one rooted href, by name."""
-    tail = F.substring(href, F.lit(2), F.length(href))
-    return [
-        ("rooted", href), ("relative", tail), ("parent", F.concat(F.lit("../"), tail)),
-        ("dotted", F.concat(F.lit("./a/../"), tail)), ("host", F.concat(F.lit("//cdn.example.com"), href)),
-        ("query", F.lit("?page=9")), ("fragment", F.lit("#part")), ("absolute", F.concat(F.lit("mailto:"), tail)),
-        ("empty", F.lit("")),
-    ]
+_LINK_FORMS = """explode(map(
+    'rooted', href, 'relative', substring(href, 2), 'parent', concat('../', substring(href, 2)),
+    'dotted', concat('./a/../', substring(href, 2)), 'host', concat('//cdn.example.com', href), 'query', '?page=9',
+    'fragment', '#part', 'absolute', concat('mailto:', substring(href, 2)), 'empty', '')) as (form, ref)"""
 
 
 def resolve_links(spark, sf_dir):
     pages = spread(table(spark, sf_dir, "pages"))
     matched = match_selectors(pages, [Field("links", "nav a", attrs=("href",))])
-    refs = matched.select("page_id", "url", F.posexplode("links").alias("pos", "hit")).select(
-        "page_id", "url", F.col("pos").cast("bigint").alias("pos"),
-        F.inline(F.array(*[F.struct(F.lit(n).alias("form"), c.alias("ref")) for n, c in link_forms(F.col("hit.href"))])))
-    return refs.select("page_id", "pos", "form", urls.resolve_url(F.col("url"), F.col("ref")).alias("link"))
+    hrefs = matched.select("page_id", "url", F.posexplode("links.href").alias("pos", "href"))
+    refs = hrefs.selectExpr("page_id", "url", "cast(pos as bigint) as pos", _LINK_FORMS)
+    return refs.select("page_id", "pos", "form", urls.resolve_url("url", "ref").alias("link"))
 
 
 def product_urls(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", "url", urls.is_product_url(F.col("url")).alias("is_product"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", urls.is_product_url("url").alias("is_product"))
 
 
 def shop_product_urls(spark, sf_dir):
@@ -160,7 +154,7 @@ def shop_product_urls(spark, sf_dir):
         F.concat(F.lit("https://shop.example.com/"), F.col("slug"), F.lit(".html")),
         F.concat(F.lit("https://shop.example.com/catalog/"), F.col("slug"), F.lit(".html")))
     links = rendered.with_rules(fx.part, fx.shop).select("p_partkey", F.posexplode(forms).alias("form", "link"))
-    return links.select("p_partkey", F.col("form").cast("bigint").alias("form"), urls.is_product_url(F.col("link")).alias("is_product"))
+    return links.select("p_partkey", F.col("form").cast("bigint").alias("form"), urls.is_product_url("link").alias("is_product"))
 
 
 # --- value functions -----------------------------------------------------------------------

@@ -57,127 +57,119 @@ def categories(spark: SparkSession, shop: Shop) -> DataFrame:
 
 
 def with_rules(part: DataFrame, shop: Shop) -> DataFrame:
-    """part plus cat_idx, page_num and the rule columns."""
-    index = F.create_map(*[x for i, n in enumerate(shop.names) for x in (F.lit(n), F.lit(i))])
-    placed = part.withColumn("cat_idx", index[F.col("p_type")])
-    for name, rule in RULES.items():
-        placed = placed.withColumn(name, F.expr(rule))
-    scheme = F.when(F.col("ftp"), "ftp").otherwise("https")
-    return placed.withColumn("url", F.concat(scheme, F.lit("://shop.example.com/product/"), F.col("slug")))
+    """part plus cat_idx, page_num, url and the rule columns."""
+    index = ", ".join(f"'{n}', {i}" for i, n in enumerate(shop.names))
+    placed = part.selectExpr("*", f"map({index})[p_type] as cat_idx", f"{RULES['page_num']} as page_num")
+    rules = [f"{rule} as {name}" for name, rule in RULES.items() if name != "page_num"]
+    return placed.selectExpr("*", *rules).selectExpr(
+        "*", "case when ftp then 'ftp' else 'https' end || '://shop.example.com/product/' || slug as url")
 
 
-def _tag(text, before: str, after: str) -> Column:
-    """Markup around a text; nothing where the text is null."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(F.concat(F.lit(before), text, F.lit(after)), F.lit(""))
+# Price as the page shows it; null where it shows none. `k` is p_partkey.
+PRICE_TEXT = """case when bare then null
+    when p_partkey % 103 = 0 then '$0.00'
+    when p_partkey % 101 = 0 then '-5.00'
+    when p_partkey % 6 = 0 then '$' || format_number(p_retailprice * 10, 2)
+    when p_partkey % 6 = 1 then format_string('%.2f', p_retailprice) || ' USD'
+    when p_partkey % 6 = 2 then '  ' || format_string('%.2f', p_retailprice) || '\n '
+    when p_partkey % 6 = 3 then 'From $' || format_string('%.2f', p_retailprice)
+    when p_partkey % 6 = 5 then '$' || format_string('%.2f', p_retailprice) || ' - $' || format_number(p_retailprice + 100, 2) end"""
 
 
 def price_text() -> Column:
-    """Price as the page shows it; null where it shows none."""
-    money = lambda c: F.format_string("%.2f", c)
-    k, price = F.col("p_partkey"), F.col("p_retailprice")
-    return (
-        F.when(F.col("bare"), None)
-        .when(k % 103 == 0, "$0.00")
-        .when(k % 101 == 0, "-5.00")
-        .when(k % 6 == 0, F.concat(F.lit("$"), F.format_number(price * 10, 2)))
-        .when(k % 6 == 1, F.concat(money(price), F.lit(" USD")))
-        .when(k % 6 == 2, F.concat(F.lit("  "), money(price), F.lit("\n ")))
-        .when(k % 6 == 3, F.concat(F.lit("From $"), money(price)))
-        .when(k % 6 == 5, F.concat(F.lit("$"), money(price), F.lit(" - $"), F.format_number(price + 100, 2)))
-    )
+    return F.expr(PRICE_TEXT)
 
 
-def detail_html() -> Column:
-    k, key = F.col("p_partkey"), F.col("p_partkey").cast("string")
-    noun, adjective = F.split("p_name", " ")[1], F.split("p_name", " ")[0]
-    full = ~F.col("bare")
-    only = lambda cond, col: F.when(cond, col).otherwise("")
-
-    name = F.when(F.col("no_name"), "").otherwise(
-        F.concat(F.lit('<h1 class="page-title"><span> '), F.col("p_name"), F.lit(" "), key, F.lit("</span></h1>")))
-    brand = F.when(k % 2 == 1, _tag("brand", '<p class="manufacturer-name">', "</p>")).otherwise(
-        _tag("brand", '<a href="/shop-by-manufacturer/x"><span>', "</span></a>"))
-    sku = F.when(k % 3 == 0, _tag("sku", '<form data-sku=""><b>', "</b></form>")).otherwise(
-        _tag("sku", '<form data-sku="', '"><input type="hidden"></form>'))
-    price = F.when(k % 2 == 0, _tag(price_text(), '<div class="price-box"><span class="price" itemprop="price">', "</span></div>")
-                   ).otherwise(_tag(price_text(), '<span class="price" itemprop="price">', "</span>"))
-    prose = F.concat(F.col("p_type"), F.lit(" \t"), F.col("p_name"), F.lit(",\n   size "), F.col("p_size").cast("string"), F.lit("  &amp; up"))
-    prose = F.when(F.col("description").isNotNull(), prose)
-    style = "<style>#html-body [data-pb-style=A1]{display:flex}</style>"
-    description = F.when(k % 2 == 0, _tag(prose, f'<div id="description"><h2>Description</h2>{style}<p>', "</p></div>")).otherwise(
-        _tag(prose, '<div itemprop="description">Description ', "</div>"))
-    pack = _tag("pack_size", '<p class="product-info-pack-size">', "")
-    stock = (
-        F.when(k % 5 == 0, '<link itemprop="availability" href="http://schema.org/InStock">')
-        .when(k % 5 == 1, '<link itemprop="availability" href="http://schema.org/OutOfStock"/>')
-        .when(k % 5 == 2, '<div class="stock available">x</div><link itemprop="availability" href="https://schema.org/BackOrder">')
-        .when(k % 5 == 3, '<div class="stock available"><span>Add to cart</span></div>')
-        .otherwise('<div itemprop="availability">InStock</div>')
-    )
+def _choose(condition: str, yes: str, no: str) -> str:
+    return f"case when {condition} then {yes} else {no} end"
 
-    n_images = F.when(k % 50 == 0, 12).otherwise(k % 4).cast("int")
-    image = lambda i: F.concat(F.lit('<img src="https://img.example.com/'), key, F.lit("-"), i.cast("string"), F.lit('.jpg">'))
-    shots = F.array_join(F.transform(F.when(n_images > 0, F.sequence(F.lit(1), n_images)).otherwise(F.array().cast("array<int>")), image), "")
-    again = only(n_images > 0, image(F.lit(1)))
-    thumb = F.concat(F.when(k % 2 == 1, '<img itemprop="image" src="" data-src="/media/').otherwise('<img data-src="/media/'), key, F.lit('.png">'))
-    images = F.concat(F.lit('<div class="product media">'), shots, again, F.lit('</div><div class="gallery">'), thumb,
-                      F.lit('<img src="data:image/gif;base64,R0"></div>'))
-
-    specs = F.concat(
-        F.lit('<table class="additional-attributes"><tr><th>Material<td>'), noun,
-        F.lit("<tr><th>Color</th><td>"), adjective, F.lit("</td><td>extra</td></tr><tr><td>single</td></tr><tr><th>Empty</th><td> </td></tr>"),
-        only(k % 9 == 0, F.concat(F.lit("<tr><th>Material</th><td>"), adjective, F.lit("</td></tr>"))), F.lit("</table>"))
-
-    return F.concat(
-        F.lit('<!DOCTYPE html><html><head><title>Shop</title><script>var a="</h1><h1>";</script></head><body>'
-              '<nav class="breadcrumbs"><ul><li><a href="/">Home</a><li>Catalog<li>'), F.col("p_type"),
-        F.lit("</ul></nav><!-- <h1>no</h1> --><main>"), name, brand, sku, price, description, pack,
-        only(full, F.concat(stock, images, specs)), F.lit("</main></body></html>"),
-    )
+
+def _tag(text: str, before: str, after: str) -> str:
+    """Markup around a text; nothing where the text is null."""
+    return f"coalesce('{before}' || {text} || '{after}', '')"
+
+
+_ODD, _EVEN = "p_partkey % 2 = 1", "p_partkey % 2 = 0"
+_PROSE = """case when description is not null then
+    p_type || ' \t' || p_name || ',\n   size ' || string(p_size) || '  &amp; up' end"""
+_SHOT = """'<img src="https://img.example.com/' || p_partkey || '-' || i || '.jpg">'"""
+
+# The parts of a detail page, each an SQL text.
+_DETAIL = {
+    "head": """'<!DOCTYPE html><html><head><title>Shop</title><script>var a="</h1><h1>";</script></head><body>'
+        || '<nav class="breadcrumbs"><ul><li><a href="/">Home</a><li>Catalog<li>' || p_type
+        || '</ul></nav><!-- <h1>no</h1> --><main>'""",
+    "name": _choose("no_name", "''", """'<h1 class="page-title"><span> ' || p_name || ' ' || p_partkey || '</span></h1>'"""),
+    "brand": _choose(
+        _ODD, _tag("brand", '<p class="manufacturer-name">', "</p>"),
+        _tag("brand", '<a href="/shop-by-manufacturer/x"><span>', "</span></a>")),
+    "sku": _choose(
+        "p_partkey % 3 = 0", _tag("sku", '<form data-sku=""><b>', "</b></form>"),
+        _tag("sku", '<form data-sku="', '"><input type="hidden"></form>')),
+    "price": _choose(
+        _EVEN, _tag(PRICE_TEXT, '<div class="price-box"><span class="price" itemprop="price">', "</span></div>"),
+        _tag(PRICE_TEXT, '<span class="price" itemprop="price">', "</span>")),
+    "description": _choose(
+        _EVEN,
+        _tag(_PROSE, '<div id="description"><h2>Description</h2><style>#html-body [data-pb-style=A1]{display:flex}</style><p>', "</p></div>"),
+        _tag(_PROSE, '<div itemprop="description">Description ', "</div>")),
+    "pack_size": _tag("pack_size", '<p class="product-info-pack-size">', ""),
+}
+# The parts that a bare page lacks.
+_FULL = {
+    "stock": """element_at(array(
+        '<link itemprop="availability" href="http://schema.org/InStock">',
+        '<link itemprop="availability" href="http://schema.org/OutOfStock"/>',
+        '<div class="stock available">x</div><link itemprop="availability" href="https://schema.org/BackOrder">',
+        '<div class="stock available"><span>Add to cart</span></div>',
+        '<div itemprop="availability">InStock</div>'), int(p_partkey % 5 + 1))""",
+    "images": f"""'<div class="product media">' || array_join(transform(
+        slice(sequence(1, 12), 1, int(case when p_partkey % 50 = 0 then 12 else p_partkey % 4 end)), i -> {_SHOT}), '')
+        || case when p_partkey % 50 = 0 or p_partkey % 4 > 0 then {_SHOT.replace('|| i ||', "|| '1' ||")} else '' end
+        || '</div><div class="gallery">' || {_choose(_ODD, """'<img itemprop="image" src="" data-src="/media/'""", """'<img data-src="/media/'""")}
+        || p_partkey || '.png"><img src="data:image/gif;base64,R0"></div>'""",
+    "specs": """'<table class="additional-attributes"><tr><th>Material<td>' || split(p_name, ' ')[1]
+        || '<tr><th>Color</th><td>' || split(p_name, ' ')[0]
+        || '</td><td>extra</td></tr><tr><td>single</td></tr><tr><th>Empty</th><td> </td></tr>'
+        || case when p_partkey % 9 = 0 then '<tr><th>Material</th><td>' || split(p_name, ' ')[0] || '</td></tr>' else '' end
+        || '</table>'""",
+}
+
+
+def detail_html() -> Column:
+    full = " || ".join(f"({part})" for part in _FULL.values())
+    parts = [*_DETAIL.values(), _choose("bare", "''", full), "'</main></body></html>'"]
+    return F.expr(" || ".join(f"({part})" for part in parts))
 
 
 def detail_pages(part: DataFrame, shop: Shop) -> DataFrame:
     """One page per part: seq, url, category_path, html."""
-    return (
-        with_rules(part, shop)
-        .withColumn("pos", (F.col("p_partkey") % KEYS_PER_PAGE).cast("int"))
-        .select(F.struct("cat_idx", "page_num", "pos").alias("seq"), "url", F.array("p_type").alias("category_path"),
-                detail_html().alias("html"))
-    )
+    return with_rules(part, shop).select(
+        F.expr(f"named_struct('cat_idx', cat_idx, 'page_num', page_num, 'pos', int(p_partkey % {KEYS_PER_PAGE}))").alias("seq"),
+        "url", F.array("p_type").alias("category_path"), detail_html().alias("html"))
 
 
 def listing_pages(part: DataFrame, shop: Shop) -> DataFrame:
     """One page per category and block of keys: url, html. Some show no usable cards, some close a cycle."""
-    spark = part.sparkSession
-    card = F.concat(
-        F.lit('<li class="item product product-item ais-Hits-item"><a class="result" href="/product/'), F.col("slug"),
-        F.lit('"><span>'), F.col("p_name"), F.lit('</span></a><link itemprop="url" content="' + SHOP + "/product/"),
-        F.col("slug"), F.lit('"></li>'))
+    card = f"""'<li class="item product product-item ais-Hits-item"><a class="result" href="/product/' || slug || '"><span>' || p_name
+        || '</span></a><link itemprop="url" content="{SHOP}/product/' || slug || '"></li>'"""
     cards = (
-        with_rules(part, shop).filter("not ftp")
-        .groupBy("cat_idx", "page_num")
-        .agg(F.array_sort(F.collect_list(F.struct("p_partkey", card.alias("card")))).alias("_cards"))
-        .select("cat_idx", "page_num", F.array_join("_cards.card", "").alias("cards"))
+        with_rules(part, shop).filter("not ftp").groupBy("cat_idx", "page_num")
+        .agg(F.expr(f"array_join(array_sort(collect_list(named_struct('k', p_partkey, 'card', {card}))).card, '')").alias("cards"))
     )
-    last = F.lit(shop.last_page)
-    grid = categories(spark, shop).select(
-        "cat_idx", "url", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("page_num"))
-    following = F.when(F.col("page_num") < last, F.col("page_num") + 2).when(F.col("cat_idx") % 2 == 0, F.lit(2).cast("bigint"))
-    number = following.cast("string")
-    link = F.when(
-        F.col("cat_idx") % 3 == 1,
-        F.concat(F.lit('<a class="ais-Pagination-link" aria-label="Next Page" href="'), F.col("url"), F.lit("?page="), number, F.lit('">&gt;</a>')),
-    ).otherwise(F.concat(F.lit('<li class="ais-Pagination-item--nextPage"><a href="?page='), number, F.lit('">&gt;</a></li>')))
-    shown = F.when(F.expr(RULES["drifted"]), F.regexp_replace(F.regexp_replace("cards", 'class="result"', 'class="tile"'), 'itemprop="url"', "")
-                   ).otherwise(F.col("cards"))
-    html = F.concat(
-        F.lit('<html><body><ol class="products list items product-items">'), F.coalesce(shown, F.lit("")),
-        F.lit('<a class="result" href="/catalog/other">c</a><a class="result" href="/product/cartridge-9">d</a>'
-              '<a class="result" href="#top">t</a></ol>'), F.coalesce(link, F.lit("")), F.lit("</body></html>"))
-    page_url = F.when(F.col("page_num") == 0, F.col("url")).otherwise(
-        F.concat("url", F.lit("?page="), (F.col("page_num") + 1).cast("string")))
-    return grid.join(cards, ["cat_idx", "page_num"], "left").select(page_url.alias("url"), html.alias("html"))
+    grid = categories(part.sparkSession, shop).selectExpr(
+        "cat_idx", "url", f"explode(sequence(0L, {shop.last_page}L)) as page_num").selectExpr(
+        "*", f"string(case when page_num < {shop.last_page} then page_num + 2 when cat_idx % 2 = 0 then 2 end) as following")
+    html = f"""'<html><body><ol class="products list items product-items">'
+        || coalesce(case when {RULES['drifted']} then replace(replace(cards, 'class="result"', 'class="tile"'), 'itemprop="url"', '')
+                    else cards end, '')
+        || '<a class="result" href="/catalog/other">c</a><a class="result" href="/product/cartridge-9">d</a><a class="result" href="#top">t</a></ol>'
+        || coalesce(case when cat_idx % 3 = 1
+             then '<a class="ais-Pagination-link" aria-label="Next Page" href="' || url || '?page=' || following || '">&gt;</a>'
+             else '<li class="ais-Pagination-item--nextPage"><a href="?page=' || following || '">&gt;</a></li>' end, '')
+        || '</body></html>'"""
+    page_url = "case when page_num = 0 then url else url || '?page=' || (page_num + 1) end"
+    return grid.join(cards, ["cat_idx", "page_num"], "left").selectExpr(f"{page_url} as url", f"{html} as html")
 
 
 def site_pages(part: DataFrame, shop: Shop) -> DataFrame:
@@ -185,20 +177,16 @@ def site_pages(part: DataFrame, shop: Shop) -> DataFrame:
     return detail_pages(part, shop).select("url", "html").unionByName(listing_pages(part, shop))
 
 
+_FALLBACK_ANSWERS = """array('{"sku": "R-' || p_partkey || '", "brand": "Acme", "description": " Filled  text ", "price": "$7.50"}',
+    'nope', '[1]', '{"brand": true, "price": 3}', '{"sku": null, "brand": "", "price": 0, "description": "D"}', '{"sku": 12345}')"""
+_ENRICH_ANSWERS = """array('{"material": "vinyl", "color": " red ", "unknown": "x", "powder_free": true, "size": 5}',
+    'nope', '[1]', '{"sterile": false}', '{"material": null, "color": " "}', '{"Material": "zzz", "form": "sponge"}')"""
+
+
 def responses(part: DataFrame, shop: Shop) -> DataFrame:
     """Answers of every shape, chosen by k % 7; none where it is 6."""
-    key = F.col("p_partkey").cast("string")
-    choose = lambda *bodies: F.element_at(F.array(*[F.lit(b) if isinstance(b, str) else b for b in bodies]), (F.col("p_partkey") % 7 + 1).cast("int"))
-    fallback = choose(
-        F.concat(F.lit('{"sku": "R-'), key, F.lit('", "brand": "Acme", "description": " Filled  text ", "price": "$7.50"}')),
-        "nope", "[1]", '{"brand": true, "price": 3}', '{"sku": null, "brand": "", "price": 0, "description": "D"}',
-        '{"sku": 12345}')
-    enrich = choose(
-        '{"material": "vinyl", "color": " red ", "unknown": "x", "powder_free": true, "size": 5}',
-        "nope", "[1]", '{"sterile": false}', '{"material": null, "color": " "}', '{"Material": "zzz", "form": "sponge"}')
-    answered = with_rules(part, shop).filter("p_partkey % 7 <> 6")
-    both = F.array(
-        F.struct(F.lit("fallback").alias("kind"), fallback.alias("body")),
-        F.struct(F.lit("enrich").alias("kind"), enrich.alias("body")))
-    return answered.select("url", F.inline(both)).select(
-        F.concat("kind", F.lit("|"), "url").alias("request_key"), "kind", "body")
+    nth = "int(p_partkey % 7 + 1)"
+    return with_rules(part, shop).filter("p_partkey % 7 <> 6").selectExpr("url", f"""inline(array(
+        named_struct('kind', 'fallback', 'body', element_at({_FALLBACK_ANSWERS}, {nth})),
+        named_struct('kind', 'enrich', 'body', element_at({_ENRICH_ANSWERS}, {nth}))))""").selectExpr(
+        "kind || '|' || url as request_key", "kind", "body")
