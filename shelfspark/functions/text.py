@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from ..constants import MAX_HTML_CHARS, TRUNCATION_MARK
 
 # Every character that Python's str.isspace() accepts; Java's \s is ASCII only.
-SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+SPACE_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+SPACE = "[" + "".join(f"\\u{ord(c):04X}" for c in SPACE_CHARS) + "]"
+_TOKEN = "([^" + SPACE[1:] + "+)"
 
 _CSS_RUN = rf"#html-body{SPACE}*\[[^\]]*\]{SPACE}*\{{[^}}]*\}}"
 _DIGITS = r"[0-9]+(?:_[0-9]+)*"
@@ -21,7 +23,7 @@ def let(value: Column, body) -> Column:
 
 def strip(col: Column) -> Column:
     """Remove leading and trailing whitespace, Unicode included."""
-    return F.regexp_replace(F.regexp_replace(col, rf"^{SPACE}+", ""), rf"{SPACE}+$", "")
+    return F.btrim(col, F.lit(SPACE_CHARS))
 
 
 def strip_blank(col: Column) -> Column:
@@ -31,24 +33,26 @@ def strip_blank(col: Column) -> Column:
 
 def parse_price(col: Column) -> Column:
     """First number of a price text such as '$1,299.00 - $1,499' or '12.99 USD'; null if there is none."""
-    bare = strip(F.regexp_replace(strip(col), r"\$|,|USD", ""))
+    bare = col
+    for mark in ("$", ",", "USD"):
+        bare = F.replace(bare, F.lit(mark), F.lit(""))
     infinity = F.lit(float("inf"))
 
     def number(token):
         return (
-            F.when(token.rlike(_FLOAT), F.regexp_replace(token, "_", "").try_cast("double"))
+            F.when(token.rlike(_FLOAT), F.replace(token, F.lit("_"), F.lit("")).try_cast("double"))
             .when(token.rlike(_INFINITE), F.when(token.startswith("-"), -infinity).otherwise(infinity))
             .when(token.rlike(r"(?i)^[+-]?nan$"), F.lit(float("nan")))
         )
 
-    return let(F.split(bare, SPACE)[0], number)
+    return let(F.regexp_extract(bare, _TOKEN, 1), number)
 
 
 def clean_description(col: Column) -> Column:
     """Drop style runs and one leading label, collapse whitespace; blank becomes null."""
     text = F.regexp_replace(col, _CSS_RUN, " ")
     text = F.regexp_replace(text, rf"^Description{SPACE}*", "")
-    return strip_blank(F.regexp_replace(text, rf"{SPACE}+", " "))
+    return F.nullif(F.trim(F.regexp_replace(text, rf"{SPACE}+", " ")), F.lit(""))
 
 
 def truncate_text(col: Column, n: int = MAX_HTML_CHARS) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import URL_DENY
 from ..functions.products import compute_once
 from ..functions.urls import is_product_url_sql, resolve_all_sql, split_url
-from ..plans.scratch import materialize
+from ..plans.scratch import materialize, materialize_counted
 
 
 def product_links(matched: DataFrame, deny=URL_DENY) -> DataFrame:
@@ -46,27 +46,25 @@ def walk_pagination(categories: DataFrame, edges: DataFrame, cap: int | None = N
         edges.select("url", "n_links", "next_url").join(pointed_at, "url", "left_semi"), "listings")
     sizes = steps.select("url", "n_links")
     jumps = steps.filter("next_url is not null and next_url <> url").select("url", F.col("next_url").alias("target"))
-    reached = materialize(
+    reached, known = materialize_counted(
         categories.select("cat_idx", "name", "url").join(sizes, "url")
         .select("cat_idx", "name", F.lit(0).cast("bigint").alias("page_num"), "url", "n_links"),
         "walk",
     )
-    known, n_open = _progress(reached, cap)
     reach = 1
-    while n_open:
+    while _any_open(reached, cap):
         ahead = (
             _open_categories(reached, cap).drop("n_links").join(jumps, "url")
             .select("cat_idx", "name", (F.col("page_num") + reach).alias("page_num"), F.col("target").alias("url"))
             .join(sizes, "url")
         )
-        reached = materialize(
+        reached, total = materialize_counted(
             reached.unionByName(ahead)
             .groupBy("cat_idx", "url")
             .agg(F.min("page_num").alias("page_num"), F.first("name").alias("name"), F.first("n_links").alias("n_links")),
             "walk",
         )
-        total, n_open = _progress(reached, cap)
-        if total == known or not n_open:
+        if total == known:
             break
         known, reach = total, reach * 2
         second = jumps.select(F.col("url").alias("target"), F.col("target").alias("_next"))
@@ -80,22 +78,17 @@ def walk_pagination(categories: DataFrame, edges: DataFrame, cap: int | None = N
         F.col("prior_links") <= cap)
 
 
-def _totals(reached: DataFrame) -> DataFrame:
-    return reached.groupBy("cat_idx").agg(F.count(F.lit(1)).alias("_pages"), F.sum("n_links").alias("_links"))
+def _full_categories(reached: DataFrame, cap: int) -> DataFrame:
+    """Categories whose links exceed the cap: their walk is over."""
+    return reached.groupBy("cat_idx").agg(F.sum("n_links").alias("_links")).filter(F.col("_links") > cap).select("cat_idx")
 
 
 def _open_categories(reached: DataFrame, cap: int | None) -> DataFrame:
-    """Pages of the categories whose links do not exceed the cap yet."""
-    if cap is None:
-        return reached
-    return reached.join(_totals(reached).filter(F.col("_links") > cap).select("cat_idx"), "cat_idx", "left_anti")
+    return reached if cap is None else reached.join(_full_categories(reached, cap), "cat_idx", "left_anti")
 
 
-def _progress(reached: DataFrame, cap: int | None) -> tuple[int, int]:
-    """(pages reached, categories still open)."""
-    still_open = F.lit(True) if cap is None else F.col("_links") <= cap
-    row = _totals(reached).agg(F.sum("_pages").alias("pages"), F.count_if(still_open).alias("open")).first()
-    return row.pages or 0, row.open
+def _any_open(reached: DataFrame, cap: int | None) -> bool:
+    return cap is None or not _open_categories(reached, cap).isEmpty()
 
 
 def empty_listings(walked: DataFrame) -> DataFrame:

@@ -161,7 +161,7 @@ def shop_product_urls(spark, sf_dir):
 
 def parse_prices(spark, sf_dir):
     shown = F.concat(F.lit(" $"), F.format_number("l_extendedprice", 2), F.lit(" USD\n"))
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_linenumber", F.round(text.parse_price(shown), 2).alias("price"),
         text.parse_price(F.concat(F.lit("from "), shown)).alias("no_price"))
 
@@ -174,7 +174,7 @@ def shop_prices(spark, sf_dir):
 
 def clean_text(spark, sf_dir):
     noisy = F.concat(F.lit("Description\n"), F.col("text"), F.lit(" #html-body [data-x=1] {margin:0;\ncolor:red} end "))
-    cleaned = table(spark, sf_dir, "documents").select("doc_id", text.clean_description(noisy).alias("cleaned"))
+    cleaned = spread(table(spark, sf_dir, "documents")).select("doc_id", text.clean_description(noisy).alias("cleaned"))
     return cleaned.select(
         "doc_id", F.md5("cleaned").alias("cleaned_md5"), F.length("cleaned").cast("bigint").alias("n_chars"),
         F.md5(text.truncate_text(F.col("cleaned"), 300)).alias("truncated_md5"))

@@ -3,7 +3,8 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -31,6 +32,13 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, label: str = "table") -> tuple[DataFrame, int]:
+    """`materialize` plus the row count, which is taken while the rows are written."""
+    written = Observation()
+    stored = materialize(df.observe(written, F.count(F.lit(1)).alias("rows")), label)
+    return stored, written.get["rows"]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a small input at least one partition per core; larger inputs keep their splits and are not shuffled.
 
