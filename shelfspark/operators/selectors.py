@@ -35,7 +35,7 @@ def compile_selector(selector: str) -> list[Compound]:
 
 
 def _words(selector: str) -> list[str]:
-    return re.findall(r"(?:\[(?:\"[^\"]*\"|'[^']*'|[^\]])*\]|\\.|[^\s\[])+", selector)
+    return re.findall(r"(?:\[(?:\"[^\"]*\"|'[^']*'|[^\]\"'])*\]|\\.|\S)+", selector)
 
 
 def _compile_compound(word: str, selector: str) -> Compound:
