@@ -297,7 +297,7 @@ def csv_export(spark, sf_dir):
     jsonl, _, _ = _stored_run(spark, sf_dir)
     path = scratch_path(spark, "csv")
     product_files.export_csv(spark, jsonl, path)
-    read = spark.read.option("header", True).option("escape", '"').option("lineSep", "\r\n").csv(path)
+    read = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     return read.select(*[F.coalesce(c, F.lit("")).alias(c) for c in read.columns])
 
 

@@ -85,7 +85,8 @@ def flatten_for_csv(products: DataFrame) -> DataFrame:
 def export_csv(spark: SparkSession, jsonl_path: str, csv_path: str) -> int:
     """JSON lines -> CSV with header, overwriting. Returns the row count; 0 and no output without a source.
 
-    Rows are counted while they are written; nothing is read twice and nothing is shuffled.
+    Rows are counted while they are written; nothing is read twice and nothing is shuffled. Lines end in
+    LF: with CRLF the writer would also turn each line break inside a value into CRLF.
     """
     if not has_data(spark, jsonl_path):
         return 0
@@ -94,7 +95,7 @@ def export_csv(spark: SparkSession, jsonl_path: str, csv_path: str) -> int:
         flatten_for_csv(read_products(spark, jsonl_path, strict=False))
         .observe(written, F.count(F.lit(1)).alias("rows"))
         .write.mode("overwrite").option("header", True).option("escape", '"').option("nullValue", "")
-        .option("emptyValue", "").option("lineSep", "\r\n").option("ignoreLeadingWhiteSpace", False)
+        .option("emptyValue", "").option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False).csv(csv_path)
     )
     return written.get["rows"]
