@@ -57,12 +57,17 @@ def dup_rate_trend(validated: DataFrame, by: str = "run_id") -> DataFrame:
     return rates.withColumn("change", F.col("duplicate_rate") - before)
 
 
-def price_drift(current: DataFrame, prior: DataFrame, quantiles=(0.1, 0.25, 0.5, 0.75, 0.9), exact: bool = False) -> DataFrame:
-    """metric, current, prior for price quantiles. The sketch merges map-side; `exact` groups all distinct prices."""
-    estimate = F.percentile if exact else F.percentile_approx
+def price_drift(
+    current: DataFrame, prior: DataFrame, quantiles=(0.1, 0.25, 0.5, 0.75, 0.9), accuracy: int = 100_000,
+) -> DataFrame:
+    """metric, current, prior for price quantiles.
+
+    Each task sends a sketch of bounded size; ranks are exact up to `accuracy` rows and off by at most
+    one in `accuracy` beyond.
+    """
 
     def one(df, name):
-        row = df.agg(estimate("price", [float(q) for q in quantiles]).alias("q"))
+        row = df.agg(F.percentile_approx("price", [float(q) for q in quantiles], accuracy).alias("q"))
         return row.select(F.posexplode("q").alias("i", name))
 
     labels = F.array(*[F.lit(f"price_p{round(q * 100):02d}") for q in quantiles])
@@ -86,10 +91,10 @@ def count_drift(current: DataFrame, prior: DataFrame, value: Column, prefix: str
         F.coalesce("current", zero).alias("current"), F.coalesce("prior", zero).alias("prior"))
 
 
-def drift_report(current: DataFrame, prior: DataFrame, exact: bool = False) -> DataFrame:
+def drift_report(current: DataFrame, prior: DataFrame) -> DataFrame:
     """Price quantiles, image counts and brand shares of two runs side by side."""
     brand = F.coalesce(F.col("brand"), F.lit("none"))
-    report = price_drift(current, prior, exact=exact)
+    report = price_drift(current, prior)
     report = report.unionByName(count_drift(current, prior, F.size("image_urls"), "images_"))
     return report.unionByName(count_drift(current, prior, brand, "brand_")).withColumn(
         "change", F.col("current") - F.col("prior"))

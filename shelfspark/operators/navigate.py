@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import URL_DENY
-from ..functions.products import compute_once
+from ..functions.products import compute_once, not_in
 from ..functions.urls import is_product_url_sql, resolve_all_sql, split_url
 from ..plans.scratch import materialize, materialize_counted
 
@@ -115,10 +115,11 @@ def frontier(walked: DataFrame, edges: DataFrame, cap: int | None = None) -> Dat
 
 
 def unseen(frontier_links: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """First arrival of each URL that no earlier run has marked: url, seq, category_path."""
+    """First arrival of each URL that no earlier run has marked: url, seq, category_path. Stores the arrivals."""
     firsts = frontier_links.groupBy("url").agg(F.min(F.struct("seq", "category")).alias("_first"))
-    fresh = firsts if seen is None else firsts.join(seen.select("url"), "url", "left_anti")
-    return fresh.select("url", F.col("_first.seq").alias("seq"), F.array("_first.category").alias("category_path"))
+    arrivals = materialize(
+        firsts.select("url", F.col("_first.seq").alias("seq"), F.array("_first.category").alias("category_path")), "arrivals")
+    return arrivals if seen is None else not_in(arrivals, seen, "url")
 
 
 def attach_pages(urls: DataFrame, pages: DataFrame) -> DataFrame:

@@ -51,7 +51,8 @@ def run_catalog(
     """`matched` from `match_site`. Without responses (or with max_calls=0) only selectors speak."""
     edges = materialize(navigate.product_links(matched), "edges")
     walked = navigate.walk_pagination(categories, edges, cap)
-    urls = materialize(navigate.unseen(navigate.frontier(walked, edges, cap), seen), "frontier")
+    urls = navigate.unseen(navigate.frontier(walked, edges, cap), seen)
+    urls = urls if seen is None else materialize(urls, "frontier")
     detail = matched.drop(*_LISTING_HITS)
     fields = extract.raw_fields(navigate.attach_pages(urls, detail))
     raw = extract.with_gaps(extract.extractable(fields))
@@ -88,7 +89,7 @@ def plan_requests(raw: DataFrame, responses: DataFrame, max_calls: int) -> DataF
 
 def store_run(run: CatalogRun, jsonl_path: str, seen_path: str) -> None:
     """Append accepted products, then mark every URL that reached validation."""
-    validated = materialize(run.validated, "validated")
+    validated = materialize(run.validated, "validated")     # read by both sinks
     write_jsonl(validate.accepted(validated), jsonl_path)
     save_seen(validate.urls_to_mark(validated), seen_path)
 

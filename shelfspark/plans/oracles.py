@@ -158,7 +158,7 @@ def _shares(value: str, prefix: str) -> str:
 
 
 _QUANTILES = " union all ".join(
-    f"select 'price_p{round(q * 100):02d}', quantile_cont(price, {q}) filter (run_id = 2), quantile_cont(price, {q}) filter (run_id = 1) from runs"
+    f"select 'price_p{round(q * 100):02d}', quantile_disc(price, {q}) filter (run_id = 2), quantile_disc(price, {q}) filter (run_id = 1) from runs"
     for q in (0.1, 0.25, 0.5, 0.75, 0.9))
 
 _BASE_DIR = "regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '[^/]*$', '')"

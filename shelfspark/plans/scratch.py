@@ -18,7 +18,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/shelfspark/{label}-{uuid.uuid4().hex}"
+    """A new path below one folder per application, which can be deleted when the application is over."""
+    return f"{scratch_root(spark)}/shelfspark/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

@@ -41,10 +41,11 @@ def with_archive_key(pages: DataFrame) -> DataFrame:
 def write_archive(pages: DataFrame, path: str) -> None:
     """Append raw pages, partitioned by the first two hex digits of the key (256 even folders).
 
-    Rows are first brought together per folder, so a task writes few files instead of 256.
+    Rows are first brought together per folder, so a task writes few files instead of 256; the rebalance
+    splits large folders over several tasks again.
     """
     keyed = with_archive_key(pages).withColumn("shard", F.substring("archive_key", 1, 2))
-    keyed.repartition("shard").sortWithinPartitions("shard").write.mode("append").partitionBy("shard").parquet(path)
+    keyed.hint("rebalance", "shard").write.mode("append").partitionBy("shard").parquet(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:

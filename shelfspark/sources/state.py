@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.products import not_in
 from ..schemas import RESPONSES, SEEN
 from .paths import has_data
 
@@ -14,10 +15,13 @@ def load_seen(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_seen(urls: DataFrame, path: str) -> None:
-    """Append the URLs that are not in the table yet; earlier files are never rewritten."""
+    """Append the URLs that are not in the table yet; earlier files are never rewritten.
+
+    `urls` is read twice, so pass a stored table.
+    """
     new = urls.select("url").distinct()
     if has_data(urls.sparkSession, path):
-        new = new.join(load_seen(urls.sparkSession, path), "url", "left_anti")
+        new = not_in(new, load_seen(urls.sparkSession, path), "url")
     new.write.mode("append").parquet(path)
 
 

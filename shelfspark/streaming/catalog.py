@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import DETAIL_SELECTORS
+from ..functions.products import not_in
 from ..operators import extract, gapfill, validate
 from ..schemas import SEQ
 from ..sources.paths import has_data
@@ -60,12 +61,12 @@ def stream_catalog(
     def process(batch: DataFrame, batch_id: int) -> None:
         earlier = judged_rows(spark, out_dir).filter(F.col("batch_id") < batch_id)
         first_visits = batch.groupBy("url").agg(F.min_by(F.struct(*batch.columns), "seq").alias("_row")).select("_row.*")
-        fresh = first_visits.join(earlier.select("url"), "url", "left_anti")
-        products, _ = gapfill.merge_fallback(fresh)
+        products, _ = gapfill.merge_fallback(first_visits)
         staged = f"{out_dir}/staged/batch_id={batch_id}"
         gapfill.stamp(products, run_ts).write.mode("overwrite").parquet(staged)
-        stored = spark.read.parquet(staged)
-        prior = earlier.select("dedup_key")
+        stored = not_in(spark.read.parquet(staged), earlier, "url")
+        keys = validate.with_key(stored).select("dedup_key").distinct()
+        prior = earlier.select("dedup_key").join(keys, "dedup_key", "left_semi")
         judged = validate.validate_products(stored, prior)
         write_jsonl(validate.accepted(judged), f"{out_dir}/products/batch_id={batch_id}", mode="overwrite")
         judged.select("url", "dedup_key", "verdict").write.mode("overwrite").parquet(f"{out_dir}/judged/batch_id={batch_id}")

@@ -30,12 +30,11 @@ def test_reject_rate_and_trend(spark):
 
 
 def test_drift(spark):
-    report = {r.metric: (r.current, r.prior) for r in metrics.drift_report(frame(spark), frame(spark).filter("price < 10"), exact=True).collect()}
+    report = {r.metric: (r.current, r.prior) for r in metrics.drift_report(frame(spark), frame(spark).filter("price < 10")).collect()}
     assert report["price_p50"][1] == 5.0
     assert report["brand_none"][0] == 0.2
     assert abs(sum(v[0] for k, v in report.items() if k.startswith("images_")) - 1) < 1e-9
-    sketch = {r.metric: r.prior for r in metrics.price_drift(frame(spark), frame(spark)).collect()}
-    assert set(sketch) == {"price_p10", "price_p25", "price_p50", "price_p75", "price_p90"}
+    assert {m for m in report if m.startswith("price")} == {"price_p10", "price_p25", "price_p50", "price_p75", "price_p90"}
 
 
 def test_audit_sample_repeats(spark):
