@@ -189,7 +189,7 @@ def merge_enrichment(products: DataFrame, responses: DataFrame | None = None, at
 
 
 def stamp(products: DataFrame, run_ts) -> DataFrame:
-    """Add `extracted_at`, one value per run, and put the columns in schema order (extra columns first)."""
+    """Add `extracted_at`, one value per run (a datetime, or a text with its zone), and put the columns in schema order (extra columns first)."""
     extra = [c for c in products.columns if c not in PRODUCTS.fieldNames()]
     stamped = products.withColumn("extracted_at", F.lit(run_ts).cast("timestamp"))
     return stamped.select(*extra, *PRODUCTS.fieldNames())

@@ -14,7 +14,7 @@ from ..streaming.catalog import judged_rows, stream_catalog as run_stream, strea
 from . import catalog_run, rendered
 from .scratch import materialize, scratch_path, spread
 
-RUN_TS = "2026-01-01 00:00:00"
+RUN_TS = "2026-01-01T00:00:00Z"
 CAP = 50            # products per category of a capped run
 BUDGET = 300        # calls of a run with answers
 AUDIT = 100         # rows of an audit sample

@@ -10,7 +10,7 @@ from ..functions.text import json_list, json_map, parse_price, strip_blank
 from ..schemas import PRODUCTS, PRODUCTS_AS_TEXT
 from .paths import has_data
 
-_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"     # always written in UTC
 
 
 def write_jsonl(products: DataFrame, path: str, mode: str = "append") -> None:
@@ -18,7 +18,8 @@ def write_jsonl(products: DataFrame, path: str, mode: str = "append") -> None:
     finite = F.when(~F.col("price").isin(float("inf")), F.col("price"))
     (
         products.withColumn("price", finite).select(*PRODUCTS.fieldNames())
-        .write.mode(mode).option("ignoreNullFields", False).option("timestampFormat", _TIME_FORMAT).json(path)
+        .write.mode(mode).option("ignoreNullFields", False)
+        .option("timeZone", "UTC").option("timestampFormat", _TIME_FORMAT).json(path)
     )
 
 
@@ -74,7 +75,7 @@ def flatten_for_csv(products: DataFrame) -> DataFrame:
         elif isinstance(kind, T.MapType):
             text = json_map(F.col(name))
         elif isinstance(kind, T.TimestampType):
-            text = F.date_format(name, _TIME_FORMAT)
+            text = F.date_format(F.to_utc_timestamp(name, F.current_timezone()), _TIME_FORMAT)
         else:
             text = F.col(name).cast("string")
         return F.coalesce(F.when(F.col(name).isNotNull(), text), F.lit("")).alias(name)
