@@ -76,7 +76,8 @@ BASES = ["https://h.com/a/b/c.html?x=1#y", "http://h.com", "http://h.com/", "htt
 REFS = ["", "p", "./p", "../p", "../../p", "../../../../p", "/p", "/p/../q", "//o.com/p", "//o.com", "?page=2", "#f", "?", "#",
         "p?q#f", "p/", "p//q", "/p//q", ".", "..", "./", "../", "a/./b/../c", "https://o.com/a/../b", "http://o.com/x",
         "mailto:a@b", "javascript:void(0)", "data:image/png;base64,x", "HTTPS://O.com/p", " /lead", "/a\nb", "https:rel", "g;x=1/../y",
-        "é/ü?ö", "p:q", "1:2", ".../p", "..p", "p.."]
+        "https://o.com", "https://o.com?", "https://o.com/x#", "https://o.com/x?#f", "https://o.com?a=1#b", "https://o.com/a b",
+        "http://", "https:///x", "é/ü?ö", "p:q", "1:2", ".../p", "..p", "p.."]
 
 
 def test_resolve_url_like_the_standard_library(spark):
