@@ -45,16 +45,16 @@ def classify_pages(pages: DataFrame, responses: DataFrame | None = None) -> Data
     )
 
 
-def classify_requests(pages: DataFrame, typed: DataFrame) -> DataFrame:
-    """Requests for pages that rules left undecided, with the start of their HTML."""
-    undecided = typed.filter("page_type = 'other'").select("url")
-    return pages.join(undecided, "url", "left_semi").select(
+def classify_requests(pages: DataFrame) -> DataFrame:
+    """Requests for pages that rules leave undecided, with the start of their HTML.
+
+    The excerpt rides along through the selector pass, so no page is looked up again.
+    """
+    typed = classify_pages(pages.select("url", "html", truncate_text(F.col("html")).alias("_excerpt")))
+    question = 'Is this page a category_listing, a product_detail or other? Answer {"page_type": "..."}.\n\n'
+    return typed.filter("page_type = 'other'").select(
         F.concat(F.lit("classify|"), F.col("url")).alias("request_key"), F.lit("classify").alias("kind"), "url",
-        F.concat(
-            F.lit('Is this page a category_listing, a product_detail or other? Answer {"page_type": "..."}.\n\n'),
-            truncate_text(F.col("html")),
-        ).alias("prompt"),
-    )
+        F.concat(F.lit(question), F.coalesce("_excerpt", F.lit(""))).alias("prompt"))
 
 
 def page_type_counts(typed: DataFrame) -> DataFrame:

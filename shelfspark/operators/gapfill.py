@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import CRITICAL_FIELDS, CURRENCY, ENRICHMENT_ATTRIBUTES
 from ..functions.products import compute_once, confidence, schema_gate
 from ..functions.text import parse_price, strip, strip_blank, truncate_text
+from ..plans.scratch import materialize
 from ..schemas import PRODUCTS
 
 
@@ -49,8 +50,14 @@ def budget_requests(requests: DataFrame, max_calls: int) -> tuple[DataFrame, Dat
 
 
 def with_prompts(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """Add the prompt text. Call it after the budget: only then few pages are looked up for their HTML."""
-    html = pages.select("url", truncate_text(F.col("html")).alias("_html"))
+    """Add the prompt text. Call it after the budget, so that few pages are looked up for their HTML.
+
+    The requests are stored first: with their true size known, a small set is sent to the page scan and
+    no other page leaves it.
+    """
+    requests = materialize(requests, "requests")
+    html = pages.select("url", "html").join(requests.filter("kind = 'fallback'").select("url"), "url", "left_semi")
+    html = html.select("url", truncate_text(F.col("html")).alias("_html"))
     asked = F.array_join("fields", ", ")
     fallback = F.concat(
         F.lit("Extract these fields of the product page below: "), asked,

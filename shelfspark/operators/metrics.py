@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
 from ..schemas import PRODUCTS
 from .match import Field, match_selectors
 from .validate import validation_summary
@@ -130,9 +131,15 @@ def health_windows(
 
 
 def changed_pages(pages: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Pages that are new or whose content differs from `earlier(url, html_hash)`; only these need a new pass."""
+    """Pages that are new or whose content differs from `earlier(url, html_hash)`; only these need a new pass.
+
+    Only URLs and hashes are compared and shuffled. The changed ones are stored, and a second scan keeps
+    their pages; a small set goes to the scan, so that unchanged HTML never moves.
+    """
+    keys = ["url", "html_hash"]
     hashed = pages.withColumn("html_hash", F.sha2("html", 256))
-    return hashed.join(earlier.select("url", "html_hash"), ["url", "html_hash"], "left_anti")
+    changed = materialize(hashed.select(*keys).join(earlier.select(*keys), keys, "left_anti").distinct(), "changed")
+    return hashed.join(changed, keys, "left_semi")
 
 
 def compare_selectors(pages: DataFrame, current: dict, candidate: dict) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DETAIL_SELECTORS, MAX_SUGGESTIONS, REPAIR_THRESHOLD
 from ..functions.text import truncate_text
+from ..plans.scratch import materialize
 
 
 def miss_events(raw: DataFrame) -> DataFrame:
@@ -59,8 +60,13 @@ def repair_requests(
 
 
 def with_repair_prompts(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """Add the prompt with the page's HTML; there is at most one request per field."""
-    html = pages.select("url", truncate_text(F.col("html")).alias("_html"))
+    """Add the prompt with the page's HTML; there is at most one request per field.
+
+    The few requests are stored first, so that they go to the page scan and no other page leaves it.
+    """
+    requests = materialize(requests, "repairs")
+    html = pages.select("url", "html").join(requests.select("url"), "url", "left_semi")
+    html = html.select("url", truncate_text(F.col("html")).alias("_html"))
     prompt = F.concat(
         F.lit("The CSS selector for the field "), F.col("field"), F.lit(" finds nothing any more: "),
         F.col("broken_selector"),

@@ -428,9 +428,7 @@ def page_type_counts(spark, sf_dir):
 
 
 def classify_requests(spark, sf_dir):
-    pages = Fixture(spark, sf_dir).site()
-    typed = materialize(classify.classify_pages(pages), "typed")
-    return classify.classify_requests(pages, typed).select("request_key", "kind", "url")
+    return classify.classify_requests(Fixture(spark, sf_dir).site()).select("request_key", "kind", "url")
 
 
 # --- selector failures ---------------------------------------------------------------------

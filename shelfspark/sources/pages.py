@@ -39,14 +39,14 @@ def with_archive_key(pages: DataFrame) -> DataFrame:
 
 
 def write_archive(pages: DataFrame, path: str) -> None:
-    """Append raw pages, partitioned by the first two hex digits of the key (256 even folders).
-
-    Rows are first brought together per folder, so a task writes few files instead of 256; the rebalance
-    splits large folders over several tasks again.
-    """
-    keyed = with_archive_key(pages).withColumn("shard", F.substring("archive_key", 1, 2))
-    keyed.hint("rebalance", "shard").write.mode("append").partitionBy("shard").parquet(path)
+    """Append raw pages with their key. Nothing is shuffled; a bloom filter per file serves lookups by key."""
+    writer = with_archive_key(pages).write.mode("append")
+    writer.option("parquet.bloom.filter.enabled#archive_key", "true").parquet(path)
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("shard")
+def read_archive(spark: SparkSession, path: str, url: str | None = None) -> DataFrame:
+    """Archived pages; with `url` only that page, skipping files that cannot hold its key."""
+    archive = spark.read.parquet(path)
+    if url is None:
+        return archive
+    return archive.filter((F.col("archive_key") == F.substring(F.sha1(F.lit(url)), 1, 16)) & (F.col("url") == url))

@@ -38,8 +38,9 @@ def test_answers_decide_undecided_pages_only(spark):
     assert {r.url: r.page_type for r in typed.collect()} == {
         "a": "product_detail", "b": "other", "c": "other", "d": "category_listing", "e": "other"}
     assert {tuple(r) for r in classify.page_type_counts(typed).collect()} == {("product_detail", 1), ("other", 3), ("category_listing", 1)}
-    asked = classify.classify_requests(pages, classify.classify_pages(pages)).select("url").collect()
-    assert {r.url for r in asked} == {"a", "b", "c", "e"}
+    asked = {r.url: r.prompt for r in classify.classify_requests(pages.union(spark.createDataFrame([("f", "<p>x" * 20_000)], pages.schema))).collect()}
+    assert set(asked) == {"a", "b", "c", "e", "f"}
+    assert asked["f"].endswith("<!-- truncated -->")
 
 
 def events(spark, counts):

@@ -98,4 +98,5 @@ def test_pages_and_archive(spark, tmp_path):
     archive = str(tmp_path / "archive")
     page_tables.write_archive(page_tables.as_pages(pages), archive)
     keys = {r.url: r.archive_key for r in page_tables.read_archive(spark, archive).collect()}
+    assert [r.html for r in page_tables.read_archive(spark, archive, "https://h/2").collect()] == ["y"]
     assert keys == {u: hashlib.sha1(u.encode()).hexdigest()[:16] for u in ("https://h/1", "https://h/2")}
