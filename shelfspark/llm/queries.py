@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,20 +13,25 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeat_digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_components(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return found.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) as fingerprint", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op7_simhash_near_dedup)}
 
 ORACLES = {
     "op1_substring_dedup": r"""
         with words as (
             select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
         windows as (
-            select doc_id, unnest(range(1, len(w) - 11)) as at, w from words where len(w) >= 13),
+            select doc_id, unnest(range(1, len(w) - 11)) as p, w from words where len(w) >= 13),
         keyed as (
-            select doc_id, at, array_to_string(list_slice(w, at, at + 12), ' ') as seq from windows),
+            select doc_id, p, array_to_string(list_slice(w, p, p + 12), ' ') as seq from windows),
         late as (
-            select doc_id, at from (select doc_id, at, min(doc_id) over (partition by seq) as earliest from keyed)
+            select doc_id, p from (select doc_id, p, min(doc_id) over (partition by seq) as earliest from keyed)
             where earliest < doc_id),
-        gone as (select distinct doc_id, unnest(range(at, at + 13)) as i from late),
+        gone as (select distinct doc_id, unnest(range(p, p + 13)) as i from late),
         each as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from words),
         kept as (
             select e.doc_id, string_agg(e.word, ' ' order by e.i) as text, count(*) as n

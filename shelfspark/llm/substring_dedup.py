@@ -1,9 +1,9 @@
 """Word sequences that already occur in an earlier document, found with one FM-index per shard.
 
-Every window of words goes to the shard that its smallest 3-word hash names, so equal windows meet in one shard and no document
+Every window of words goes to the shard that its smallest word-pair hash names, so equal windows meet in one shard and no document
 is held against all shards. A shard indexes its word runs and streams the same runs through backward search; runs of
-matches with an earlier document come out as intervals. Three-word sequences that hold more than a fixed share of all
-routed words are never used for routing. Windows that hold nothing else are routed by their own hash, dealt over several
+matches with an earlier document come out as intervals. Pairs that hold more than a fixed share of all routed words
+are never used for routing. Windows that hold nothing else are routed by their own hash, dealt over several
 shards, and settled by their smallest document in each.
 """
 
@@ -15,10 +15,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
 from .arrays import mix, portions, run_hashes, text_bytes, word_hashes
 from .fm_index import FmIndex, smallest_owners
 
-GRAM = 3
+GRAM = 2
+WORD_MASK = np.uint64(2**48 - 1)    # words stand as 48 bits of their hash
+COMMON = 1 << 15            # common words get two-byte codes on the way to the shards
+_RARE = np.uint16(0xFFFF)
 BUCKETS = 1 << 16
 HOT_SHARE = 2e-4            # of all routed words; so at most 5,000 buckets are hot, whatever the input
 SHARD_WORDS = 1_000_000
@@ -82,27 +86,68 @@ def _portions(batches, window: int, hot):
 
 
 def _load(window: int):
+    """Routed words of each bucket, and the counts of a task's most frequent words, which pick the short codes only."""
+
     def count(batches):
-        total = np.zeros(BUCKETS, np.int64)
-        for *_, (_, windows, route, _) in _portions(batches, window, None):
+        total, known, often = np.zeros(BUCKETS, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for words, *_, (_, windows, route, _) in _portions(batches, window, None):
             total += np.bincount((route & np.uint64(BUCKETS - 1)).astype(np.int64), windows + window - 1, BUCKETS).astype(np.int64)
+            new, n = np.unique(words & WORD_MASK, return_counts=True)
+            if len(new) > COMMON:
+                top = np.sort(np.argpartition(n, -COMMON)[-COMMON:])
+                new, n = new[top], n[top]
+            both, which = np.unique(np.concatenate([known, new]), return_inverse=True)
+            n = np.bincount(which, np.concatenate([often, n]), len(both)).astype(np.int64)
+            top = np.sort(np.argpartition(n, -2 * COMMON)[-2 * COMMON:]) if len(both) > 2 * COMMON else slice(None)
+            known, often = both[top], n[top]
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "words"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat([False, True], [len(used), len(known)])), pa.array(np.concatenate([used, known.view(np.int64)])),
+             pa.array(np.concatenate([total[used], often]))], ["is_word", "key", "n"])
 
     return count
 
 
+class _Codes:
+    """Words as two bytes where they are common, else as an escape and six bytes; packed by zstd."""
+
+    def __init__(self, common: np.ndarray):
+        self.common = np.sort(common)
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.common):
+            return np.full(len(words), _RARE)
+        slot = np.minimum(np.searchsorted(self.common, words), len(self.common) - 1)
+        return np.where(self.common[slot] == words, slot.astype(np.uint16), _RARE)
+
+    @staticmethod
+    def pack(compress, codes: np.ndarray, words: np.ndarray) -> tuple[bytes, bytes]:
+        rare = words[codes == _RARE].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        return compress(codes.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()), compress(rare.tobytes())
+
+    def unpack(self, decompress, codes: bytes, rare: bytes) -> np.ndarray:
+        codes = np.ascontiguousarray(np.frombuffer(decompress(codes), np.uint8).reshape(2, -1).T).view("<u2").ravel()
+        six = np.frombuffer(decompress(rare), np.uint8).reshape(-1, 6)
+        eight = np.zeros((len(six), 8), np.uint8)
+        eight[:, :6] = six
+        out = self.common[np.minimum(codes, len(self.common) - 1)] if len(self.common) else np.zeros(len(codes), np.uint64)
+        out[codes == _RARE] = eight.view("<u8").ravel()
+        return out
+
+
 def _spread(lengths: np.ndarray) -> np.ndarray:
     """0 .. length-1 for each length, end to end."""
     return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def _route(window: int, hot: np.ndarray, shards: int):
+def _route(window: int, hot: np.ndarray, shards: int, coder: _Codes):
     def route_runs(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
         for number, (words, rows, ids, (starts, windows, route, own)) in enumerate(_portions(batches, window, hot)):
             if not len(starts):
                 continue
+            words = words & WORD_MASK
+            codes = coder.codes(words)
             lengths = windows + window - 1
             content = words[np.repeat(starts, lengths) + _spread(lengths)]
             hashes = run_hashes(content, np.cumsum(lengths) - lengths, lengths)
@@ -114,19 +159,23 @@ def _route(window: int, hot: np.ndarray, shards: int):
             place[by] = np.arange(len(by))
             one, shard = one[by], shard[by]
             kept = lengths[one]
-            content = words[np.repeat(starts[one], kept) + _spread(kept)]
+            place_of = np.repeat(starts[one], kept) + _spread(kept)
+            content, codes = words[place_of], codes[place_of]
             ends = np.cumsum(kept)
             doc = np.searchsorted(rows, starts, "right") - 1
             seen = np.empty(len(starts), _OCCURRENCE)
             seen["run"], seen["at"], seen["doc"] = place[which], starts - rows[doc], ids[doc]
             seen = seen[np.argsort(seen["run"], kind="stable")]
             first = np.flatnonzero(np.diff(shard, prepend=-1))
-            out = {"shard": [], "words": [], "lengths": [], "own": [], "seen": []}
+            out = {name: [] for name in _ROUTED.names}
             for lo, hi in zip(first, np.append(first[1:], len(shard))):
                 part = seen[np.searchsorted(seen["run"], lo): np.searchsorted(seen["run"], hi)].copy()
                 part["run"] -= lo
                 out["shard"].append(int(shard[lo]))
-                out["words"].append(pack(content[ends[lo] - kept[lo]: ends[hi - 1]].tobytes()))
+                own_words = slice(ends[lo] - kept[lo], ends[hi - 1])
+                common, rare = coder.pack(pack, codes[own_words], content[own_words])
+                out["words"].append(common)
+                out["rare"].append(rare)
                 out["lengths"].append(pack(kept[lo:hi].astype("<i4").tobytes()))
                 out["own"].append(pack(own[one[lo:hi]].tobytes()))
                 out["seen"].append(pack(part.tobytes()))
@@ -135,13 +184,13 @@ def _route(window: int, hot: np.ndarray, shards: int):
     return route_runs
 
 
-_ROUTED = pa.schema([("shard", pa.int64()), *[(c, pa.binary()) for c in ("words", "lengths", "own", "seen")]])
-_ROUTED_SQL = "shard long, words binary, lengths binary, own binary, seen binary"
+_ROUTED = pa.schema([("shard", pa.int64()), *[(c, pa.binary()) for c in ("words", "rare", "lengths", "own", "seen")]])
+_ROUTED_SQL = "shard long, words binary, rare binary, lengths binary, own binary, seen binary"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("window", pa.int64())])
 _FOUND_SQL = "doc_id long, start long, end long, window long"
 
 
-def _search(window: int):
+def _search(window: int, coder: _Codes):
     def search_shard(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         read = lambda name, kind: [np.frombuffer(unpack(x), kind) for x in table.column(name).to_pylist()]
@@ -149,7 +198,8 @@ def _search(window: int):
         runs_before = np.cumsum([0] + [len(x) for x in lengths[:-1]])
         run = np.concatenate([x["run"].astype(np.int64) + b for x, b in zip(seen, runs_before)])
         docs, at = (np.concatenate([x[c] for x in seen]) for c in ("doc", "at"))
-        words, lengths = np.concatenate(read("words", "<u8")), np.concatenate(lengths).astype(np.int64)
+        words = [coder.unpack(unpack, c, r) for c, r in zip(table.column("words").to_pylist(), table.column("rare").to_pylist())]
+        words, lengths = np.concatenate(words), np.concatenate(lengths).astype(np.int64)
         own = np.concatenate(read("own", bool))
         # Equal runs become one part of the text, owned by their smallest document.
         begins = np.cumsum(lengths) - lengths
@@ -201,12 +251,16 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     the smallest (and comes back as NO_ID). Rows that repeat a doc_id count as one document.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    loads = docs.mapInArrow(_load(window), "bucket long, words long").groupBy("bucket").agg(F.sum("words").alias("words")).collect()
-    total = sum(r.words for r in loads)                 # one row for each of the fixed buckets
+    loads = docs.mapInArrow(_load(window), "is_word boolean, key long, n long").groupBy("is_word", "key").agg(F.sum("n").alias("n"))
+    loads = materialize(loads, "loads")
+    buckets = loads.filter("not is_word").collect()     # one row for each of the fixed buckets
+    common = loads.filter("is_word").orderBy(F.desc("n"), "key").limit(COMMON).collect()
+    total = sum(r.n for r in buckets)
     hot = np.zeros(BUCKETS, bool)
-    hot[[r.bucket for r in loads if r.words > max(HOT_SHARE * total, 64 * window)]] = True
+    hot[[r.key for r in buckets if r.n > max(HOT_SHARE * total, 64 * window)]] = True
+    coder = _Codes(np.array([r.key for r in common], np.int64).view(np.uint64))
     shards = max(1, -(-total // SHARD_WORDS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = docs.mapInArrow(_route(window, hot, shards), _ROUTED_SQL).groupBy("shard").applyInArrow(_search(window), _FOUND_SQL)
+    found = docs.mapInArrow(_route(window, hot, shards, coder), _ROUTED_SQL).groupBy("shard").applyInArrow(_search(window, coder), _FOUND_SQL)
     return found
 
 
@@ -244,8 +298,6 @@ def _digest(batches):
 
 
 def _with_spans(docs: DataFrame, window: int) -> DataFrame:
-    from ..plans.scratch import materialize
-
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = materialize(repeated_spans(docs, window), "repeats")
     spans = _settled(found).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
