@@ -44,16 +44,17 @@ def fingerprint(text: str | bytes | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row of `docs`; a null text counts as empty, its fingerprint is zero."""
+    """doc_id, row (hash of the text), fp (the 64 bits as a signed long) of every row of `docs`; a null text counts as empty, its fingerprint is zero."""
 
     def work(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             found = np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(found.view(np.int64))], ["doc_id", "row", "fp"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(work, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    return docs.mapInArrow(work, "doc_id long, row long, fp long")
 
 
 def covering_masks(radius: int, parts: int = 1, seed: int = 0) -> list[int]:
@@ -126,6 +127,14 @@ def near_links(fps: DataFrame, radius: int = 4, parts: int = 1) -> DataFrame:
     return groups.mapInArrow(_trees(radius), "a long, b long")
 
 
+def _rooted(docs: DataFrame, shingle: int, radius: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, fp of every row; fp, first, root of every distinct fingerprint)."""
+    found = materialize(fingerprints(docs, shingle), "fingerprints")
+    classes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    roots = components(near_links(classes, radius, parts)).withColumnRenamed("node", "fp")
+    return found, classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_components(docs: DataFrame, shingle: int = 4, radius: int = 4, parts: int = 1) -> DataFrame:
     """doc_id, fp, component_id of every row of `docs` (doc_id, text; other columns are ignored).
 
@@ -133,10 +142,20 @@ def near_components(docs: DataFrame, shingle: int = 4, radius: int = 4, parts: i
     zero and link like any other; repeated rows come out as often as they came in; a null doc_id never names a component
     unless all its members have none.
     """
-    found = materialize(fingerprints(docs, shingle), "fingerprints")
-    classes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(near_links(classes, radius, parts))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "component_id")
+    found, classes = _rooted(docs, shingle, radius, parts)
+    named = classes.join(classes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 9, parts: int = 2) -> DataFrame:
+    """One row of each component, all columns: the smallest doc_id (a null one last), and of its texts that with the smallest hash.
+
+    Repeated rows count as one.
+    """
+    found, classes = _rooted(docs, shingle, radius, parts)
+    members = found.join(classes.select("fp", "root"), "fp")
+    best = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    best = materialize(best.select(F.col("best.doc_id").alias("__doc"), F.col("best.row").alias("__kept")), "kept")
+    marked = docs.withColumn("__row", F.xxhash64(F.col("text").cast("string")))
+    kept = marked.join(best, marked["doc_id"].eqNullSafe(best["__doc"]) & (marked["__row"] == best["__kept"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__row"]).drop("__row")
