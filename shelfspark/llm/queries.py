@@ -1,8 +1,11 @@
 """Registered queries of the operators for training data, and their SQL where SQL can express them."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash, substring_dedup
+from . import decontaminate, language, licenses, pieces, secret_scan, simhash, substring_dedup, topk, toxicity, warc
+
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"     # a public vocabulary, read where it lies
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +21,45 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) as fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op7_simhash_near_dedup)}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every text, and the number of its characters after decoding (the sampler checks that they spell the text)."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, pieces.load_pieces(PIECE_MODEL), seed=1).withColumn("n_pieces", F.size("pieces"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_documents(_table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's response with its metadata and conversion record."""
+    return warc.build(_table(spark, sf_dir, "pages"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(_table(spark, sf_dir, "documents"))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_substring_dedup, op2_toxicity, op3_sentencepiece, op4_language_id, op5_decontamination, op6_license_scan, op7_simhash_near_dedup,
+    op8_warc_derivatives, op9_secret_scan, op10_exact_top_k,
+)}
 
 ORACLES = {
     "op1_substring_dedup": r"""
@@ -39,4 +80,13 @@ ORACLES = {
         select s.doc_id, len(s.w)::bigint as n_words, (len(s.w) - coalesce(k.n, 0))::bigint as n_removed,
             sha256(coalesce(k.text, '')) as kept_sha256
         from words s left join kept k on s.doc_id = k.doc_id""",
+    "op10_exact_top_k": """
+        with v as (
+            select vec_id, [floor(64 * x::double)::bigint for x in embedding] as v from embeddings
+            where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+        scored as (
+            select q.vec_id as query_id, c.vec_id, list_sum([p[1] * p[2] for p in list_zip(q.v, c.v)])::bigint as score
+            from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+        ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+        select query_id, rank::integer as rank, vec_id, score from ranked where rank <= 20""",
 }
