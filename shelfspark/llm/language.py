@@ -81,10 +81,10 @@ def _each(batches):
 
 def count_grams(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, gram, n) of rows with lang and text."""
-    shared = rows.sparkSession.sparkContext.broadcast(symbol_table())
+    table = symbol_table()
 
     def work(batches):
-        table, total = shared.value, {}
+        total = {}
         for batch, lo, hi, data, at in _each(batches):
             lang = batch.column("lang").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
             names, which = np.unique(lang.astype(str), return_inverse=True)
@@ -218,15 +218,14 @@ def fit(docs: DataFrame, order: int = ORDER, max_calibration: int = MAX_CALIBRAT
         return model
     ids = rows.filter("apart").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_calibration)
     ids = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)
-    shared = docs.sparkSession.sparkContext.broadcast((other, symbol_table()))
+    table = symbol_table()
 
     def work(batches):
-        model, table = shared.value
         for batch, lo, hi, data, at in _each(batches):
-            entropy, count = _entropies(data, at, model, table)
+            entropy, count = _entropies(data, at, other, table)
             lang = batch.column("lang").slice(lo, hi - lo).to_pylist()
             best = entropy.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(_margin(entropy, count)), pa.array([float(model.langs[b] == x) for b, x in zip(best, lang)]),
+            yield pa.RecordBatch.from_arrays([pa.array(_margin(entropy, count)), pa.array([float(other.langs[b] == x) for b, x in zip(best, lang)]),
                                               pa.array(count > 0)], ["margin", "right", "filled"])
 
     tried = rows.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(work, "margin double, right double, filled boolean")
@@ -251,10 +250,9 @@ def identify(docs: DataFrame, model: Model | None, reject_below: float = REJECT_
     kept = [f for f in docs.schema.fields if f.name not in ("text", *added)]
     schema = T.StructType(kept + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     names = [f.name for f in kept]
-    shared = docs.sparkSession.sparkContext.broadcast((model, symbol_table()))
+    table = symbol_table()
 
     def work(batches):
-        model, table = shared.value
         for batch, lo, hi, data, at in _each(batches):
             if model is None:
                 pred, sure = [UNKNOWN] * (hi - lo), np.zeros(hi - lo)

@@ -218,13 +218,11 @@ def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str =
     array, a null key draws like the key 0, and equal rows get equal pieces. An existing column `out` is replaced. Raises if
     a text does not decode to itself.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(table)
     kept = [f for f in docs.schema.fields if f.name not in (text, out)]
     schema = T.StructType(kept + [T.StructField(out, T.ArrayType(T.IntegerType()))])
     names = [f.name for f in kept] + [out]
 
     def work(batches):
-        table = shared.value
         lookup = _Lookup(table)
         for batch in batches:
             data, offsets = text_bytes(batch.column(text))
@@ -247,13 +245,11 @@ def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str =
 
 def decode(encoded: DataFrame, table: PieceTable, pieces: str = "pieces", out: str = "text") -> DataFrame:
     """All columns of `encoded` but `pieces`, plus `out`: the texts that the pieces spell. Null gives null."""
-    shared = encoded.sparkSession.sparkContext.broadcast(table)
     kept = [f for f in encoded.schema.fields if f.name not in (pieces, out)]
     schema = T.StructType(kept + [T.StructField(out, T.StringType())])
     names = [f.name for f in kept] + [out]
 
     def work(batches):
-        table = shared.value
         for batch in batches:
             texts = [None if x is None else _spell(np.array(x, np.int64), table).tobytes().decode() for x in batch.column(pieces).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names[:-1]] + [pa.array(texts, pa.string())], names)

@@ -212,18 +212,16 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, max
     top = grams.filter(frequent).selectExpr("term", f"{ratio} as g")
     terms = np.array([r.term for r in top.orderBy(F.desc("g"), "term").limit(max_terms).collect()], np.int64).view(np.uint64)
     terms = np.sort(terms)
-    shared = spark.sparkContext.broadcast(terms)
-
     def document_frequency(batches):
-        known, total = _Terms(shared.value), np.zeros(len(shared.value) + 1, np.int64)
+        known, total = _Terms(terms), np.zeros(len(terms) + 1, np.int64)
         for *_, data, rows in _each(batches):
             _, term, _ = known.counts(data, rows)
-            total[:-1] += np.bincount(term, minlength=len(shared.value))
+            total[:-1] += np.bincount(term, minlength=len(terms))
             total[-1] += len(rows) - 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["term", "n"])
 
     def example_terms(batches):
-        known = _Terms(shared.value)
+        known = _Terms(terms)
         for batch, lo, hi, data, rows in _each(batches):
             row, term, count = known.counts(data, rows)
             at = np.searchsorted(row, np.arange(hi - lo + 1))
@@ -284,14 +282,12 @@ def score(docs: DataFrame, model: Model, k: int = NEIGHBOURS, text: str = "text"
     """
     from pyspark.sql import types as T
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in docs.schema.fields if f.name not in (text, "score", "evidence")]
     evidence = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("toxic", T.IntegerType())]))
     schema = T.StructType(kept + [T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)])
     names = [f.name for f in kept]
 
     def work(batches):
-        model = shared.value
         known = _Terms(model.terms)
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for batch, lo, hi, data, rows in _each(batches, text):
