@@ -2,7 +2,8 @@
 
 It keeps a stack of open elements only, not a document tree. Deliberate limits: formatting
 elements are not reopened after a mis-nested close, out-of-place table content is not moved, and a
-tag with a bare '<' among its attributes is text. No pattern can scan a page more than a few times.
+tag with a bare '<' outside quotes is text. Every attempt at a tag ends at the next such '<', and open
+elements are found by name, so the time is linear in the page whatever it holds.
 """
 
 import re
@@ -10,8 +11,8 @@ from html import unescape
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
-    r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)>"
-    r"|</(?P<end>[a-zA-Z][^\s/>]*)[^<>]*+>"
+    r"|<(?P<start>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s<>]*+))*+)>"
+    r"|</(?P<end>[a-zA-Z][^\s/<>]*+)[^<>]*+>"
     r"|<[!?/][^<>]*+>",
     re.S,
 )
@@ -46,7 +47,6 @@ _IMPLIED_CLOSE = {
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
 _TABLE_ONLY = frozenset(["table"])
-_MAX_DEPTH = 512
 _P = frozenset(["p"])
 _P_SCOPE = _SCOPE | {"button"}
 
@@ -144,7 +144,8 @@ def match_page(html, index, fields):
     pending = []        # pieces of the current text run
     open_texts = 0      # open nodes whose text is wanted
     open_rows = []      # open spec rows that still collect cells
-    open_p = tables = 0
+    depths = {}         # tag -> its places in the stack
+    special_depths = []
 
     def end_run():
         run = "".join(pending)
@@ -154,15 +155,14 @@ def match_page(html, index, fields):
             fragments.append(run)
 
     def close_to(depth):
-        nonlocal open_texts, open_p, tables
+        nonlocal open_texts
         if pending:
             end_run()
         while len(stack) > depth:
             name, _, wanted = stack.pop()
-            if name == "p":
-                open_p -= 1
-            elif name == "table":
-                tables -= 1
+            depths[name].pop()
+            if name in _SPECIAL:
+                special_depths.pop()
             if wanted:
                 open_texts -= len(wanted)
                 for record, cell, start in wanted:
@@ -176,13 +176,15 @@ def match_page(html, index, fields):
                     fragments.clear()
 
     def find_open(names, barrier):
-        for depth in range(len(stack) - 1, -1, -1):
-            tag = stack[depth][0]
-            if tag in names:
-                return depth
-            if tag in barrier:
-                return -1
-        return -1
+        """Place of the innermost open element of `names`, unless one of `barrier` stands further in."""
+        found = max((depths[n][-1] for n in names if depths.get(n)), default=-1)
+        if found < 0:
+            return -1
+        if barrier is _SPECIAL:
+            wall = special_depths[-1] if special_depths else -1
+        else:
+            wall = max((depths[n][-1] for n in barrier if depths.get(n)), default=-1)
+        return found if found >= wall else -1
 
     pos, size = 0, len(html)
     scan, known = _TOKEN.search, index.known
@@ -219,11 +221,11 @@ def match_page(html, index, fields):
         text = m[0]
         tag = known.get(text) or index.start_tag(text, m[1], m[2])
         name, attrs, steps, void, closes_p, implied, table_part, raw_end = tag
-        if table_part and not tables:
+        if table_part and not depths.get("table"):
             continue
         if pending:
             end_run()
-        if open_p and closes_p:
+        if closes_p and depths.get("p"):
             depth = find_open(_P, _P_SCOPE)
             if depth >= 0:
                 close_to(depth)
@@ -232,9 +234,6 @@ def match_page(html, index, fields):
             if depth >= 0:
                 close_to(depth)
 
-        if len(stack) >= _MAX_DEPTH:
-            close_to(_MAX_DEPTH - 1)
-
         held = bits = stack[-1][1] if stack else 0
         wanted = []
         if steps:
@@ -271,10 +270,9 @@ def match_page(html, index, fields):
         if wanted:
             open_texts += len(wanted)
             open_rows += [record for record, cell, _ in wanted if cell < 0 and record[1] is not None]
-        if name == "p":
-            open_p += 1
-        elif name == "table":
-            tables += 1
+        depths.setdefault(name, []).append(len(stack))
+        if name in _SPECIAL:
+            special_depths.append(len(stack))
         stack.append((name, bits, wanted))
         if raw_end:
             end = raw_end.search(html, pos)

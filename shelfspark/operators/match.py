@@ -4,7 +4,6 @@ This is the only place where rows leave the JVM. Each configured field becomes o
 of small structs, so everything after it is built-in expressions and `html` can be dropped here.
 """
 
-import gc
 import sys
 from dataclasses import dataclass
 
@@ -124,8 +123,6 @@ def match_selectors(pages: DataFrame, fields: list[Field], html: str = "html") -
     match_page, hit_column = html_nodes.match_page, _hit_column
 
     def match_batches(batches):
-        # Hit records hold no cycles, so let the collector look at them less often.
-        gc.set_threshold(200_000)
         for batch in batches:
             pages_hits = [match_page(h or "", index, specs) for h in batch.column(html).to_pylist()]
             columns = [batch.column(n) for n in kept_names]
