@@ -6,6 +6,8 @@ within the radius agree on a block and meet in an equi-join. The exact similarit
 they occur, the sum of smaller weights over the sum of larger ones. Equal windows are fingerprinted and verified once.
 """
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ RADIUS = 20
 BITS = 64
 #: Largest benchmark (rows of its block index) that is sent to all executors; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Words of the items whose shingles are one constant of a plan.
+BLOCK_SHINGLES = 100_000
 
 
 def words(text: str) -> Column:
@@ -45,8 +49,10 @@ def _shingles(column: str) -> Column:
 
 def similarity(a: str, b: str) -> Column:
     """Weighted Jaccard of two arrays, each element weighted by how often it occurs."""
-    shared = f"aggregate(array_distinct({a}), 0, (s, x) -> s + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))"
-    return F.expr(f"{shared} / (size({a}) + size({b}) - {shared})")
+    counted = (f"aggregate(array_distinct({a}), 0, (s, x) -> s + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))")
+    # Without a repeated element in `b`, each shared element weighs one.
+    shared = F.expr(f"if(size(array_distinct({b})) = size({b}), size(array_intersect({a}, {b})), {counted})")
+    return shared / (F.size(a) + F.size(b) - shared)
 
 
 def fingerprints(table: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -64,45 +70,68 @@ def _blocks(radius: int) -> Column:
     return F.inline(F.array(*parts))
 
 
+def _literal(values: list, kind: str) -> Column:
+    """A nested list as one constant of a plan."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def _windows(base: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """doc_id, size, start, win: every window of an item's size that shares a k-word shingle with such an item.
+
+    The shingles of a block of items are a constant in the plan, filed by their low bits, so a document finds its own without a
+    join and its text is never shuffled.
+    """
+    known = items.select("size", F.explode(_shingle_hashes("iw", k)).alias("h")).groupBy("h").agg(F.collect_set("size").alias("sizes")).collect()
+    slots = 1 << max(1, len(known) - 1).bit_length()
+    hashes, sizes = [[] for _ in range(slots)], [[] for _ in range(slots)]
+    for r in known:
+        hashes[r.h & (slots - 1)].append(r.h)
+        sizes[r.h & (slots - 1)].append(sorted(r.sizes))
+    hashes, sizes = _literal(hashes, "array<array<bigint>>"), _literal(sizes, "array<array<array<int>>>")
+    slot = lambda h: (h.bitwiseAND(slots - 1) + 1).cast("int")
+    place = lambda i: F.array_position(F.element_at(hashes, slot(F.col("hs")[i])), F.col("hs")[i])
+    hashed = compute_once(base, [_shingle_hashes("w", k).alias("hs")], ["doc_id", "w"])
+    every = F.when(F.size("hs") > 0, F.sequence(F.lit(0), F.size("hs") - 1)).otherwise(F.array().cast("array<int>"))
+    found = compute_once(hashed, [F.filter(every, lambda i: place(i) > 0).alias("ats")], ["doc_id", "w", "hs"]).filter("size(ats) > 0")
+
+    def starts(i, size):
+        """Size and start of the windows around a shingle, packed into one number; a short text is one window."""
+        first = F.greatest(F.lit(0), i + k - size)
+        return F.transform(F.sequence(first, F.greatest(first, F.least(i, F.size("w") - size))), lambda at: F.shiftleft(size.cast("long"), 32) + at)
+
+    around = F.transform("ats", lambda i: F.flatten(F.transform(
+        F.element_at(F.element_at(sizes, slot(F.col("hs")[i])), place(i).cast("int")), lambda size: starts(i, size))))
+    packed = compute_once(found, [F.array_distinct(F.flatten(around)).alias("packed")], ["doc_id", "w"])
+    cut = ("inline(transform(packed, c -> named_struct('size', int(shiftright(c, 32)), 'start', int(c & 4294967295L), "
+           "'win', slice(w, int(c & 4294967295L) + 1, int(shiftright(c, 32))))))")
+    return packed.select("doc_id", F.expr(cut))
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, start, n_words, similarity, distance: the best window of each document for each item it holds.
 
     `docs` needs doc_id and text, `benchmark` item_id and text; other columns are ignored. Null and empty texts hold nothing;
     items without words match nothing. A text shorter than an item is one window. Items of fewer than five words count as one
     shingle. Equal similarities go to the first window; repeated rows give one result; rows with one doc_id and different texts
-    give the best window among them; a null doc_id is an id like any other.
+    give the best window among them; a null doc_id is an id like any other. A benchmark of more than BLOCK_SHINGLES is
+    taken in blocks, each with a pass over the documents.
     """
     items = benchmark.select("item_id", words("text").alias("iw")).filter("size(iw) > 0").distinct().withColumn("size", F.size("iw"))
     items = materialize(items, "items")
-    n_items = items.count()
-    shared = F.broadcast if n_items * (radius + 1) <= BROADCAST_ROWS else (lambda table: table)
+    facts = items.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).first()
+    shared = F.broadcast if facts.n * (radius + 1) <= BROADCAST_ROWS else (lambda table: table)
     short = [r.k for r in items.filter(f"size < {SHINGLE}").select(F.col("size").alias("k")).distinct().collect()]     # 4 values at most
     # Without compute_once later steps would copy the split into every shingle.
-    base = compute_once(docs, [words("text").alias("w")], [F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row")])
-
-    def anchors(k: int, own: DataFrame) -> DataFrame:
-        """Places in documents of shingles that an item of some size has."""
-        known = own.select("size", F.explode(_shingle_hashes("iw", k)).alias("h")).distinct()
-        places = base.select("doc_id", "row", F.size("w").alias("n"), F.posexplode(_shingle_hashes("w", k)).alias("at", "h"))
-        return places.join(shared(known), "h").select("doc_id", "row", "n", "size", "at", F.lit(k).alias("k"))
-
-    found = anchors(SHINGLE, items.filter(f"size >= {SHINGLE}"))
-    for k in short:
-        found = found.unionByName(anchors(k, items.filter(f"size = {k}")))
-    # All windows of the item's size that hold an anchor; at most one start for each word of the document.
-    starts = ("array_distinct(flatten(transform(ats, p -> "
-              "sequence(greatest(0, p + k - size), greatest(0, p + k - size, least(p, n - size))))))")
-    sized = found.groupBy("doc_id", "row", "n", "size", "k").agg(F.collect_set("at").alias("ats"))
-    sized = sized.select("doc_id", "row", "size", F.expr(starts).alias("starts"))
-    wanted = materialize(sized.groupBy("doc_id", "row").agg(F.collect_list(F.struct("size", "starts")).alias("wanted")), "wanted")
-    wanted = wanted.withColumnRenamed("doc_id", "__doc").withColumnRenamed("row", "__row")
-    cut = ("inline(flatten(transform(wanted, x -> transform(x.starts, s -> "
-           "named_struct('size', x.size, 'start', s, 'win', slice(w, s + 1, x.size))))))")
-    windows = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("row") == F.col("__row")))
-    windows = windows.select("doc_id", "row", F.expr(cut)).withColumn("content", F.md5(F.array_join("win", " ").cast("binary")))
-    windows = materialize(windows, "windows")
-    contents = windows.groupBy("size", "content").agg(F.any_value("win").alias("win"))
-    contents = materialize(contents, "contents")
+    base = compute_once(docs, [words("text").alias("w")], ["doc_id"])
+    blocks = max(1, -(-(facts.shingles or 0) // BLOCK_SHINGLES))
+    windows = None
+    for block in range(blocks):
+        own = items.filter(F.pmod(F.xxhash64("item_id", "iw"), F.lit(blocks)) == block)
+        for k, part in [(SHINGLE, own.filter(f"size >= {SHINGLE}")), *[(k, own.filter(f"size = {k}")) for k in short]]:
+            found = _windows(base, part, k)
+            windows = found if windows is None else windows.unionByName(found)
+    windows = materialize(windows.withColumn("content", F.md5(F.array_join("win", " ").cast("binary"))), "windows")
+    contents = materialize(windows.groupBy("size", "content").agg(F.any_value("win").alias("win")), "contents")
     marked = fingerprints(contents, ["size", "content"], "win")
     index = fingerprints(items, ["item_id", "size", "iw"], "iw").withColumnRenamed("fp", "ifp")
     index = index.withColumn("fp", F.col("ifp")).select("item_id", "size", "ifp", _blocks(radius))
@@ -110,7 +139,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
     near = near.withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp")))).filter(F.col("distance") <= radius)
     near = near.groupBy("size", "content", "item_id").agg(F.min("distance").alias("distance"))
     checked = near.join(contents, ["size", "content"]).join(shared(items.select("item_id", "size", "iw")), ["item_id", "size"])
-    checked = checked.withColumn("a", _shingles("win")).withColumn("b", _shingles("iw")).withColumn("similarity", similarity("a", "b"))
+    checked = compute_once(checked, [_shingles("win").alias("a"), _shingles("iw").alias("b")], ["size", "content", "item_id", "distance"])
+    checked = compute_once(checked, [similarity("a", "b").alias("similarity")], ["size", "content", "item_id", "distance"])
     true = checked.filter(F.col("similarity") >= threshold).groupBy("size", "content", "item_id").agg(
         F.max("similarity").alias("similarity"), F.min("distance").alias("distance"))
     hits = windows.join(true, ["size", "content"]).withColumn("best", F.struct("similarity", (-F.col("start")).alias("s"), "distance", F.size("win").alias("n_words")))
