@@ -2,10 +2,8 @@
 
 # --- fixed values: listing page selectors -----------------------------------
 LISTING_SELECTORS = {
-    "product_card": ".ais-Hits-item",
     "product_link": "a.result, link[itemprop='url']",
     "next_page": ".ais-Pagination-item--nextPage a, a.ais-Pagination-link[aria-label*='Next']",
-    "page_render_signal": ".ais-Hits-item, .ais-Hits-list",
 }
 
 # --- fixed values: detail page selectors ------------------------------------
@@ -55,8 +53,13 @@ CSV_COLUMNS = (
     "extraction_confidence", "fields_via_llm", "extracted_at",
 )
 
+# --- fixed values: verdict reasons ------------------------------------------
+REASON_INCOMPLETE = "incomplete: missing name or url"
+REASON_DUPLICATE = "duplicate: "
+REASON_INVALID = "invalid url scheme"
+
 # --- fixed values: limits ---------------------------------------------------
-MAX_IMAGES = 10
+MAX_IMAGES = 10             # not applied unless asked for, like the two below
 MAX_HTML_CHARS = 30_000
 TRUNCATION_MARK = "\n<!-- truncated -->"
 REPAIR_THRESHOLD = 5

@@ -16,13 +16,8 @@ def compute_once(df: DataFrame, columns: list[Column], keep=()) -> DataFrame:
 
 
 def not_in(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not in `known`, where `known` may be far larger than `rows`.
-
-    An anti join alone would have to shuffle all of `known`. Reduced to the keys at hand first, a large
-    `known` is only scanned when `rows` are few. `rows` is read twice, so pass a stored table.
-    """
-    at_hand = known.select(key).join(rows.select(key).distinct(), key, "left_semi")
-    return rows.join(at_hand, key, "left_anti")
+    """Rows whose key is not in `known`: one anti join, in which each side is shuffled once at most."""
+    return rows.join(known.select(key), key, "left_anti")
 
 
 def _has_text(col: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import MAX_HTML_CHARS, TRUNCATION_MARK
+from ..constants import TRUNCATION_MARK
 
 # Every character that Python's str.isspace() accepts; Java's \s is ASCII only.
 SPACE_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
@@ -55,8 +55,10 @@ def clean_description(col: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(text, rf"{SPACE}+", " ")), F.lit(""))
 
 
-def truncate_text(col: Column, n: int = MAX_HTML_CHARS) -> Column:
-    """Keep the first n characters of a long text and mark the cut."""
+def truncate_text(col: Column, n: int | None = None) -> Column:
+    """Keep the first n characters of a long text and mark the cut; None keeps all."""
+    if n is None:
+        return col
     return F.when(F.length(col) > n, F.concat(F.substring(col, 1, n), F.lit(TRUNCATION_MARK))).otherwise(col)
 
 

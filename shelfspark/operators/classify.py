@@ -4,7 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import PAGE_TYPES
+from ..functions.answers import json_members, one_answer
 from ..functions.text import truncate_text
+from ..plans.scratch import materialize
 from .match import match_selectors, page_type_fields
 
 
@@ -30,13 +32,21 @@ def classify_pages(pages: DataFrame, responses: DataFrame | None = None) -> Data
 
     `responses` of kind 'classify' decide pages that are still 'other'; unknown labels leave them so.
     """
-    matched = match_selectors(pages, page_type_fields())
-    kept = [c for c in pages.columns if c != "html"]
-    typed = matched.select(*kept, url_page_type(F.col("url"), dom_page_type(matched)).alias("page_type"))
-    if responses is None:
-        return typed
-    label = F.try_variant_get(F.try_parse_json("body"), "$.page_type", "string")
-    answers = responses.filter("kind = 'classify'").select("request_key", label.alias("_label"))
+    typed = with_page_type(match_selectors(pages, page_type_fields()))
+    return typed if responses is None else decide(typed, responses)
+
+
+def with_page_type(matched: DataFrame) -> DataFrame:
+    """Replace the hit columns of `page_type_fields` by `page_type`."""
+    typed = matched.withColumn("page_type", url_page_type(F.col("url"), dom_page_type(matched)))
+    return typed.drop(*[f.name for f in page_type_fields()])
+
+
+def decide(typed: DataFrame, responses: DataFrame) -> DataFrame:
+    """Rows with `page_type`, the undecided ones by the answer to their request."""
+    kept = [c for c in typed.columns if c != "page_type"]
+    label = F.try_variant_get(json_members(F.col("body"), ["page_type"]), "$.page_type", "string")
+    answers = one_answer(responses.filter("kind = 'classify'")).select("request_key", label.alias("_label"))
     guess = F.when(F.col("_label").isin(*PAGE_TYPES), F.col("_label")).otherwise("other")
     return (
         typed.withColumn("request_key", F.concat(F.lit("classify|"), F.col("url")))
@@ -45,14 +55,17 @@ def classify_pages(pages: DataFrame, responses: DataFrame | None = None) -> Data
     )
 
 
-def classify_requests(pages: DataFrame) -> DataFrame:
-    """Requests for pages that rules leave undecided, with the start of their HTML.
+def classify_requests(pages: DataFrame, typed: DataFrame | None = None, max_chars: int | None = None) -> DataFrame:
+    """Requests for pages that rules leave undecided, with their HTML, cut after `max_chars`.
 
-    The excerpt rides along through the selector pass, so no page is looked up again.
+    `typed` are pages with their type, such as `match_site` stores; without it the pages are matched here. The
+    undecided URLs are stored first, so that a small set goes to the page scan and no other page leaves it.
     """
-    typed = classify_pages(pages.select("url", "html", truncate_text(F.col("html")).alias("_excerpt")))
+    typed = classify_pages(pages.select("url", "html")) if typed is None else typed
+    open_ = materialize(typed.filter("page_type = 'other'").select("url").distinct(), "undecided")
+    asked = pages.select("url", truncate_text(F.col("html"), max_chars).alias("_excerpt")).join(open_, "url", "left_semi")
     question = 'Is this page a category_listing, a product_detail or other? Answer {"page_type": "..."}.\n\n'
-    return typed.filter("page_type = 'other'").select(
+    return asked.select(
         F.concat(F.lit("classify|"), F.col("url")).alias("request_key"), F.lit("classify").alias("kind"), "url",
         F.concat(F.lit(question), F.coalesce("_excerpt", F.lit(""))).alias("prompt"))
 

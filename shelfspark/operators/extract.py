@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import CRITICAL_FIELDS, DETAIL_SELECTORS, MAX_IMAGES
+from ..constants import CRITICAL_FIELDS, DETAIL_SELECTORS
 from ..functions.products import compute_once, missing_critical, valid_price
 from ..functions.text import clean_description, parse_price, strip
 from ..functions.urls import resolve_all_sql, split_url
@@ -39,12 +39,13 @@ def availability(hits: str) -> Column:
         when contains(h.class, 'stock unavailable') then 'out_of_stock' end)), 0)""")
 
 
-def image_urls(hits: str, base: str, base_url: str, limit: int = MAX_IMAGES) -> Column:
-    """Resolved http(s) image URLs, repeats dropped, at most `limit` per product."""
+def image_urls(hits: str, base: str, base_url: str, limit: int | None = None) -> Column:
+    """Resolved http(s) image URLs, repeats dropped; with a `limit` only the first ones."""
     refs = f"""array_compact(transform({hits}, h ->
         coalesce(nullif(h.src, ''), nullif(h.data_src, ''), nullif(h.data_lazy_src, ''))))"""
     resolved = resolve_all_sql(base, base_url, refs)
-    return F.expr(f"slice(array_distinct(filter({resolved}, u -> startswith(u, 'http'))), 1, {limit})")
+    found = f"array_distinct(filter({resolved}, u -> startswith(u, 'http')))"
+    return F.expr(found if limit is None else f"slice({found}, 1, {limit})")
 
 
 def spec_map(hits: str) -> Column:
@@ -61,7 +62,7 @@ def breadcrumbs(hits: str) -> Column:
         transform(filter(kept, h -> h.alt = get(kept, 0).alt), h -> h.text))[0]""")
 
 
-def raw_fields(matched: DataFrame) -> DataFrame:
+def raw_fields(matched: DataFrame, max_images: int | None = None) -> DataFrame:
     """Replace the hit columns of `detail_fields` by raw field values.
 
     `category_path` is kept where given and not empty; otherwise it is the breadcrumb path.
@@ -80,7 +81,7 @@ def raw_fields(matched: DataFrame) -> DataFrame:
         clean_description(first_text("description")).alias("description"),
         first_text("pack_size").alias("pack_size"),
         availability("availability").alias("availability"),
-        image_urls("images", "_base", "url").alias("image_urls"),
+        image_urls("images", "_base", "url", max_images).alias("image_urls"),
         spec_map("specifications_rows").alias("specifications"),
         path.alias("category_path"),
     ], carried)
@@ -105,6 +106,6 @@ def with_gaps(raw: DataFrame) -> DataFrame:
     return priced.withColumn("missing", F.when(valid_price(price), gaps).otherwise(every))
 
 
-def extract_raw(pages: DataFrame, selectors: dict = DETAIL_SELECTORS) -> DataFrame:
+def extract_raw(pages: DataFrame, selectors: dict = DETAIL_SELECTORS, max_images: int | None = None) -> DataFrame:
     """pages(url, html, ...) -> raw product fields with `missing`, one row per page with a product name."""
-    return with_gaps(extractable(raw_fields(match_selectors(pages, detail_fields(selectors)))))
+    return with_gaps(extractable(raw_fields(match_selectors(pages, detail_fields(selectors)), max_images)))

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CRITICAL_FIELDS, CURRENCY, ENRICHMENT_ATTRIBUTES
-from ..functions.products import compute_once, confidence, schema_gate
+from ..functions.answers import json_members, json_texts, one_answer
+from ..functions.products import compute_once, confidence, gate_reason
+from ..functions.running import first_in_order
 from ..functions.text import parse_price, strip, strip_blank, truncate_text
 from ..plans.scratch import materialize
 from ..schemas import PRODUCTS
@@ -39,25 +41,29 @@ def enrich_requests(products: DataFrame, attributes=ENRICHMENT_ATTRIBUTES) -> Da
     )
 
 
-def budget_requests(requests: DataFrame, max_calls: int) -> tuple[DataFrame, DataFrame]:
-    """(requests that are sent, requests that are not): one shared budget, spent in arrival order.
+def budget_requests(requests: DataFrame, max_calls: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(requests that are sent, requests that are not): one shared budget, spent in arrival order; None sends all.
 
-    A row's fallback comes before its enrichment. The limit is a per-task top-n, not a global sort.
+    A row's fallback comes before its enrichment. Only keys take part in the ranking, and only those of the one
+    page in which the budget runs out are sorted. `requests` is read several times, so pass a stored table.
     """
-    order = [F.col("seq"), F.when(F.col("kind") == "fallback", 0).otherwise(1), F.col("request_key")]
-    sent = requests.orderBy(*order).limit(max_calls)
-    return sent, requests.join(sent.select("request_key"), "request_key", "left_anti")
+    if max_calls is None:
+        return requests, requests.limit(0)
+    order = F.struct("seq.pos", F.when(F.col("kind") == "fallback", 0).otherwise(1).alias("_kind"), "request_key")
+    keys = requests.select("request_key", F.col("seq.cat_idx").alias("_outer"), F.col("seq.page_num").alias("_inner"), order.alias("_order"))
+    sent = first_in_order(keys, [], max_calls).select("request_key")
+    return requests.join(sent, "request_key", "left_semi"), requests.join(sent, "request_key", "left_anti")
 
 
-def with_prompts(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """Add the prompt text. Call it after the budget, so that few pages are looked up for their HTML.
+def with_prompts(requests: DataFrame, pages: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Add the prompt text; `max_chars` cuts a page's HTML. Call it after the budget, so that few pages are looked up for their HTML.
 
     The requests are stored first: with their true size known, a small set is sent to the page scan and
     no other page leaves it.
     """
     requests = materialize(requests, "requests")
     html = pages.select("url", "html").join(requests.filter("kind = 'fallback'").select("url"), "url", "left_semi")
-    html = html.select("url", truncate_text(F.col("html")).alias("_html"))
+    html = html.select("url", truncate_text(F.col("html"), max_chars).alias("_html"))
     asked = F.array_join("fields", ", ")
     fallback = F.concat(
         F.lit("Extract these fields of the product page below: "), asked,
@@ -77,18 +83,14 @@ def with_prompts(requests: DataFrame, pages: DataFrame) -> DataFrame:
 # --- responses -----------------------------------------------------------------------------
 
 def parse_responses(responses: DataFrame, kind: str) -> DataFrame:
-    """(request_key, answer): the body as a variant, null unless it is a JSON object."""
-    parsed = F.try_parse_json("body")
-    return (
-        responses.filter(F.col("kind") == kind)
-        .select("request_key", parsed.alias("answer"))
-        .withColumn("answer", F.when(F.schema_of_variant("answer").startswith("OBJECT"), F.col("answer")))
-    )
+    """(request_key, answer): the critical fields of the body as a variant, null unless it is a JSON object."""
+    answers = one_answer(responses.filter(F.col("kind") == kind))
+    return answers.select("request_key", json_members(F.col("body"), CRITICAL_FIELDS).alias("answer"))
 
 
-def response_map(body: Column) -> Column:
-    """JSON object -> map<string,string>; anything else gives an empty map."""
-    return F.coalesce(F.from_json(body, "map<string,string>"), F.create_map().cast("map<string,string>"))
+def response_map(body: Column, attributes=ENRICHMENT_ATTRIBUTES) -> Column:
+    """JSON object -> map<string,string> of the attributes; anything else gives an empty map."""
+    return json_texts(body, attributes)
 
 
 def sanitise_attributes(answer: Column, attributes=ENRICHMENT_ATTRIBUTES) -> Column:
@@ -118,10 +120,19 @@ def _offer(field: str) -> Column:
 
 
 def merge_fallback(raw: DataFrame, responses: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Fill missing critical fields and build product rows.
+    """(products, rejects with `gate_reason`), both of `judge_fallback`; store that one where both are read."""
+    return split_judged(judge_fallback(raw, responses))
+
+
+def split_judged(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return judged.filter("gate_reason is null").drop("gate_reason"), judged.filter("gate_reason is not null")
+
+
+def judge_fallback(raw: DataFrame, responses: DataFrame | None = None) -> DataFrame:
+    """Fill missing critical fields and build product rows, with `gate_reason` where a row must be dropped.
 
-    Returns (products, rejects with `gate_reason`). A filled text field whose JSON type is not text,
-    or an invalid price, drops the row. Missing fields take truthy values only; others stay as they are.
+    A filled text field whose JSON type is not text, or an invalid price, drops the row. Missing fields
+    take truthy values only; others stay as they are.
     """
     if responses is None:
         joined = raw.withColumn("answer", F.lit(None).cast("variant"))
@@ -164,17 +175,16 @@ def merge_fallback(raw: DataFrame, responses: DataFrame | None = None) -> tuple[
         "extraction_method", confidence(F.col("extraction_method")).alias("extraction_confidence"), "fields_via_llm",
         F.expr("coalesce(_wrong_type, false)").alias("_wrong_type"),
     )
-    good, rejects = schema_gate(built.filter("not _wrong_type").drop("_wrong_type"))
-    mistyped = built.filter("_wrong_type").drop("_wrong_type").withColumn("gate_reason", F.lit("filled value has the wrong type"))
-    return good, rejects.unionByName(mistyped)
+    wrong = F.when(F.col("_wrong_type"), "filled value has the wrong type")
+    return built.withColumn("gate_reason", F.coalesce(wrong, gate_reason(built))).drop("_wrong_type")
 
 
 def merge_enrichment(products: DataFrame, responses: DataFrame | None = None, attributes=ENRICHMENT_ATTRIBUTES) -> DataFrame:
     """Add attribute values for keys the selectors did not give; note it in method, confidence and provenance."""
     if responses is None:
         return products
-    answers = responses.filter("kind = 'enrich'").select(
-        "request_key", sanitise_attributes(response_map(F.col("body")), attributes).alias("_attrs"))
+    answers = one_answer(responses.filter("kind = 'enrich'")).select(
+        "request_key", sanitise_attributes(response_map(F.col("body"), attributes), attributes).alias("_attrs"))
     known = F.coalesce(F.map_keys("specifications"), F.array().cast("array<string>"))
     added = F.map_filter(F.col("_attrs"), lambda k, v: ~F.array_contains(known, k))
     enriched = F.coalesce(F.size("_added") > 0, F.lit(False))

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.running import rows_before
 from ..plans.scratch import materialize
 from ..schemas import PRODUCTS
 from .match import Field, match_selectors
@@ -58,22 +59,25 @@ def dup_rate_trend(validated: DataFrame, by: str = "run_id") -> DataFrame:
     return rates.withColumn("change", F.col("duplicate_rate") - before)
 
 
-def price_drift(
-    current: DataFrame, prior: DataFrame, quantiles=(0.1, 0.25, 0.5, 0.75, 0.9), accuracy: int = 100_000,
-) -> DataFrame:
-    """metric, current, prior for price quantiles.
+def price_quantiles(products: DataFrame, quantiles, name: str) -> DataFrame:
+    """i, `name`: for each quantile the smallest price that so large a share of prices does not exceed. Exact at any size.
 
-    Each task sends a sketch of bounded size; ranks are exact up to `accuracy` rows and off by at most
-    one in `accuracy` beyond.
+    Prices are counted, then ranked through totals of price blocks: 64 to each power of two, so a few thousand.
     """
+    counts = products.filter("price is not null").groupBy("price").agg(F.count(F.lit(1)).alias("n"))
+    block = F.signum("price") * F.floor(F.log2(F.abs("price") + 1) * 64)
+    ranked = rows_before(counts.withColumn("_block", block), [], "_block", "price")
+    total = counts.agg(F.sum("n").alias("total"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(quantiles)])
+    reached = ranked.select("price", (F.col("before") + F.col("n")).alias("upto"), F.inline(wanted))
+    return reached.filter(F.col("upto") >= F.ceil(F.col("q") * total.scalar())).groupBy("i").agg(F.min("price").alias(name))
 
-    def one(df, name):
-        row = df.agg(F.percentile_approx("price", [float(q) for q in quantiles], accuracy).alias("q"))
-        return row.select(F.posexplode("q").alias("i", name))
 
+def price_drift(current: DataFrame, prior: DataFrame, quantiles=(0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
+    """metric, current, prior for price quantiles."""
     labels = F.array(*[F.lit(f"price_p{round(q * 100):02d}") for q in quantiles])
-    return one(current, "current").join(one(prior, "prior"), "i", "full").select(
-        F.element_at(labels, F.col("i") + 1).alias("metric"), "current", "prior")
+    both = price_quantiles(current, quantiles, "current").join(price_quantiles(prior, quantiles, "prior"), "i", "full")
+    return both.select(F.element_at(labels, F.col("i") + 1).alias("metric"), "current", "prior")
 
 
 def count_drift(current: DataFrame, prior: DataFrame, value: Column, prefix: str) -> DataFrame:
@@ -138,8 +142,15 @@ def changed_pages(pages: DataFrame, earlier: DataFrame) -> DataFrame:
     """
     keys = ["url", "html_hash"]
     hashed = pages.withColumn("html_hash", F.sha2("html", 256))
-    changed = materialize(hashed.select(*keys).join(earlier.select(*keys), keys, "left_anti").distinct(), "changed")
-    return hashed.join(changed, keys, "left_semi")
+    known = earlier.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = F.col("url").eqNullSafe(F.col("_url")) & F.col("html_hash").eqNullSafe(F.col("_html_hash"))
+    changed = materialize(hashed.select(*keys).join(known, same, "left_anti").distinct().toDF("_url", "_html_hash"), "changed")
+    return hashed.join(changed, same, "left_semi")
+
+
+def page_hashes(pages: DataFrame) -> DataFrame:
+    """url, html_hash of pages: what a later run passes to `changed_pages`."""
+    return pages.select("url", F.sha2("html", 256).alias("html_hash"))
 
 
 def compare_selectors(pages: DataFrame, current: dict, candidate: dict) -> DataFrame:

@@ -29,6 +29,12 @@ def next_page(hits: str = "next_page", base: str = "_base", url: str = "url") ->
     return F.expr(f"get({resolve_all_sql(base, url, ref)}, 0)")
 
 
+def one_per_url(edges: DataFrame) -> DataFrame:
+    """`edges` with one row per URL. `match_site` gives unique pages; a repeated row of any other source must not stop a walk."""
+    best = edges.groupBy("url").agg(F.max(F.struct("n_links", "links", "next_url")).alias("_best"))
+    return best.select("url", "_best.links", "_best.n_links", "_best.next_url")
+
+
 def walk_pagination(categories: DataFrame, edges: DataFrame, cap: int | None = None) -> DataFrame:
     """Listing pages in visiting order: cat_idx, name, page_num, url, n_links, prior_links.
 
@@ -40,6 +46,7 @@ def walk_pagination(categories: DataFrame, edges: DataFrame, cap: int | None = N
     page is joined to it. So a chain of n pages takes log2(n) rounds of even joins on url, whatever n is.
     A page met again keeps its first number, and a round that adds nothing ends the walk.
     """
+    edges = one_per_url(edges)
     # Only pages that something points to can be visited: this leaves the listing pages.
     pointed_at = categories.select("url").unionAll(edges.filter("next_url is not null").select("next_url")).distinct()
     steps = materialize(
@@ -48,7 +55,7 @@ def walk_pagination(categories: DataFrame, edges: DataFrame, cap: int | None = N
     jumps = steps.filter("next_url is not null and next_url <> url").select("url", F.col("next_url").alias("target"))
     reached, known = materialize_counted(
         categories.select("cat_idx", "name", "url").join(sizes, "url")
-        .select("cat_idx", "name", F.lit(0).cast("bigint").alias("page_num"), "url", "n_links"),
+        .select("cat_idx", "name", F.lit(0).cast("bigint").alias("page_num"), "url", "n_links").distinct(),
         "walk",
     )
     reach = 1
@@ -61,14 +68,14 @@ def walk_pagination(categories: DataFrame, edges: DataFrame, cap: int | None = N
         reached, total = materialize_counted(
             reached.unionByName(ahead)
             .groupBy("cat_idx", "url")
-            .agg(F.min("page_num").alias("page_num"), F.first("name").alias("name"), F.first("n_links").alias("n_links")),
+            .agg(F.min("page_num").alias("page_num"), F.min("name").alias("name"), F.min("n_links").alias("n_links")),
             "walk",
         )
         if total == known:
             break
         known, reach = total, reach * 2
         second = jumps.select(F.col("url").alias("target"), F.col("target").alias("_next"))
-        jumps = materialize(jumps.join(second, "target").select("url", F.col("_next").alias("target")), "jumps")
+        jumps = materialize(jumps.join(second, "target").select("url", F.col("_next").alias("target")).distinct(), "jumps")
 
     walked = reached.select("cat_idx", "name", "page_num", "url", "n_links")
     if cap is None:
@@ -105,7 +112,7 @@ def cap_per_category(links: DataFrame, cap: int) -> DataFrame:
 def frontier(walked: DataFrame, edges: DataFrame, cap: int | None = None) -> DataFrame:
     """Product URLs in arrival order: cat_idx, category, page_num, pos, url, seq. Repeats are kept."""
     links = (
-        walked.drop("n_links").join(edges.select("url", "links"), "url")
+        walked.drop("n_links").join(one_per_url(edges).select("url", "links"), "url")
         .select("cat_idx", F.col("name").alias("category"), "page_num", "prior_links", F.posexplode("links").alias("pos", "url"))
     )
     if cap is not None:

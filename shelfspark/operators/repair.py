@@ -1,9 +1,11 @@
 """Selector failures: miss events, thresholds, repair requests and suggestions for review."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DETAIL_SELECTORS, MAX_SUGGESTIONS, REPAIR_THRESHOLD
+from ..constants import DETAIL_SELECTORS, REPAIR_THRESHOLD
+from ..functions.answers import json_members, one_answer
+from ..functions.running import nth_in_order
 from ..functions.text import truncate_text
 from ..plans.scratch import materialize
 
@@ -30,18 +32,15 @@ def open_suggestions(suggested: DataFrame) -> DataFrame:
 
 
 def crossing_pages(events: DataFrame, threshold: int = REPAIR_THRESHOLD) -> DataFrame:
-    """Per field, the page whose miss reached the threshold.
+    """Per field, the page whose miss reached the threshold, whatever that is.
 
-    There are only a few fields, so each holds a large share of the events. The rank limit is applied
-    per task before the shuffle (WindowGroupLimit), which leaves `threshold` rows per field and task.
+    There are only a few fields, so each holds a large share of the events: they are counted per page, and only the
+    misses of the page in which the threshold falls are ranked.
     """
-    if not 1 <= threshold < 1000:
-        raise ValueError("threshold must be in 1..999, the range in which ranks are limited before the shuffle")
-    order = Window.partitionBy("field").orderBy("seq")
-    return (
-        events.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= threshold)
-        .filter(F.col("_rank") == threshold).drop("_rank")
-    )
+    if threshold < 1:
+        raise ValueError("threshold must be positive")
+    keys = events.select(*events.columns, F.col("seq.cat_idx").alias("_outer"), F.col("seq.page_num").alias("_inner"), F.col("seq.pos").alias("_order"))
+    return nth_in_order(keys, ["field"], threshold).select(*events.columns)
 
 
 def repair_requests(
@@ -59,14 +58,14 @@ def repair_requests(
     )
 
 
-def with_repair_prompts(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """Add the prompt with the page's HTML; there is at most one request per field.
+def with_repair_prompts(requests: DataFrame, pages: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Add the prompt with the page's HTML, cut after `max_chars`; there is at most one request per field.
 
     The few requests are stored first, so that they go to the page scan and no other page leaves it.
     """
     requests = materialize(requests, "repairs")
     html = pages.select("url", "html").join(requests.select("url"), "url", "left_semi")
-    html = html.select("url", truncate_text(F.col("html")).alias("_html"))
+    html = html.select("url", truncate_text(F.col("html"), max_chars).alias("_html"))
     prompt = F.concat(
         F.lit("The CSS selector for the field "), F.col("field"), F.lit(" finds nothing any more: "),
         F.col("broken_selector"),
@@ -75,22 +74,24 @@ def with_repair_prompts(requests: DataFrame, pages: DataFrame) -> DataFrame:
     return requests.join(html, "url", "left").withColumn("prompt", prompt).drop("_html")
 
 
-def parse_suggestions(body: Column, limit: int = MAX_SUGGESTIONS) -> Column:
-    """The first text entries of the member `selectors`; anything else gives an empty list."""
-    listed = F.try_variant_get(F.try_parse_json(body), "$.selectors", "array<variant>")
+def parse_suggestions(body: Column, limit: int | None = None) -> Column:
+    """The text entries of the member `selectors`, with a `limit` the first ones; anything else gives an empty list."""
+    listed = F.try_variant_get(json_members(body, ["selectors"]), "$.selectors", "array<variant>")
     texts = F.filter(listed, lambda v: F.schema_of_variant(v) == "STRING")
     found = F.transform(texts, lambda v: F.try_variant_get(v, "$", "string"))
-    return F.coalesce(F.slice(found, 1, limit), F.array().cast("array<string>"))
+    return F.coalesce(found if limit is None else F.slice(found, 1, limit), F.array().cast("array<string>"))
 
 
-def repair_report(events: DataFrame, responses: DataFrame, threshold: int = REPAIR_THRESHOLD) -> DataFrame:
+def repair_report(
+    events: DataFrame, responses: DataFrame, threshold: int = REPAIR_THRESHOLD, max_suggestions: int | None = None,
+) -> DataFrame:
     """field, failures, suggested: all counted fields, with suggestions where an answer has any.
 
     For review by a person; nothing is applied.
     """
-    answers = responses.filter("kind = 'repair'").select(
+    answers = one_answer(responses.filter("kind = 'repair'")).select(
         F.regexp_replace("request_key", r"^repair\|", "").alias("field"),
-        parse_suggestions(F.col("body")).alias("suggested"))
+        parse_suggestions(F.col("body"), max_suggestions).alias("suggested"))
     due = fields_to_repair(events, None, threshold).select("field").join(answers, "field")
     return miss_counts(events).join(due, "field", "left").select(
         "field", "failures", F.coalesce("suggested", F.array().cast("array<string>")).alias("suggested"))

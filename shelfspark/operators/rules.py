@@ -14,13 +14,17 @@ def words(*vocabulary: str) -> str:
 
 # attribute -> pattern; the value is the first group in lower case.
 VALUE_RULES = {
-    "material": words("porcine gelatin", "polyurethane", "polyester", "nitrile", "latex", "vinyl", "silk"),
+    "material": words(
+        "acrylic", "aluminum", "bamboo", "brass", "carbon fiber", "ceramic", "collagen", "copper", "cork", "cotton", "felt", "foam", "gelatin", "glass",
+        "latex", "leather", "linen", "neoprene", "nitrile", "nylon", "paper", "polyester", "polyethylene", "polypropylene", "polyurethane",
+        "porcine gelatin", "rayon", "rubber", "silicone", "silk", "stainless steel", "steel", "titanium", "vinyl", "wood", "wool"),
     "color": words("off-white", "white", "black", "blue", "green", "purple", "violet", "pink", "red", "orange", "yellow"),
     "size": words("extra large", "extra small", "x-large", "x-small", "small", "medium", "large"),
-    "pack_size": r"(?i)\b([0-9]+\s*/\s*(?:box|pack|case|bag)|[0-9]+\s+(?:pcs|pack))\b",
+    "pack_size": r"(?i)\b([0-9]+\s*/\s*(?:bag|bottle|box|bundle|carton|case|crate|pack|pair|roll|set|tray)|[0-9]+\s+(?:count|pack|pcs|pieces))\b",
     "form": words("sponge", "suture", "glove", "powder", "gel", "liquid", "strip", "tape"),
     "texture": words("porous", "textured", "smooth"),
-    "intended_use": words("hemostatic", "infection control", "exam", "surgical"),
+    "intended_use": words("cleaning", "dental", "exam", "food handling", "hemostatic", "industrial", "infection control", "laboratory", "packaging",
+                          "surgical", "wound care"),
     "thickness_mil": r"(?i)\b([0-9]+(?:\.[0-9]+)?)[\s-]*mil\b",
 }
 # attribute -> (pattern for "false", pattern for "true"), tried in this order.

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import REASON_DUPLICATE, REASON_INCOMPLETE, REASON_INVALID
 from ..functions.products import dedup_key, is_complete
 
 VERDICTS = ("ok", "incomplete", "duplicate", "invalid")
@@ -31,6 +32,14 @@ def dedup_first(products: DataFrame, prior: DataFrame | None = None) -> DataFram
     return keyed.join(first_arrivals(keyed, prior).select("seq"), "seq", "left_semi").drop("dedup_key")
 
 
+def require_unique_seq(products: DataFrame) -> DataFrame:
+    """`products` as they are; raises ValueError if two rows share a `seq`, on which every "first wins" rests."""
+    twice = products.groupBy("seq").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not twice.isEmpty():
+        raise ValueError("two products share a seq: a page or an answer occurs more than once")
+    return products
+
+
 def validate_products(products: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Add `verdict`, `valid` and `reason`; tested in order: incomplete, duplicate, bad scheme.
 
@@ -57,9 +66,9 @@ def validate_products(products: DataFrame, prior: DataFrame | None = None) -> Da
 
 def reason(verdict: Column, key: Column) -> Column:
     return (
-        F.when(verdict == "incomplete", "incomplete: missing name or url")
-        .when(verdict == "duplicate", F.concat(F.lit("duplicate: "), key))
-        .when(verdict == "invalid", "invalid url scheme")
+        F.when(verdict == "incomplete", REASON_INCOMPLETE)
+        .when(verdict == "duplicate", F.concat(F.lit(REASON_DUPLICATE), key))
+        .when(verdict == "invalid", REASON_INVALID)
         .otherwise("ok")
     )
 

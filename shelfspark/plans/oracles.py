@@ -30,7 +30,7 @@ ruled as (
   from placed),
 said as (
   select *,
-    case when bare then [] else (case when {_k} % 2 = 1 then list_concat(thumb, shots) else list_concat(shots, thumb) end)[1:10] end as images,
+    case when bare then [] else (case when {_k} % 2 = 1 then list_concat(thumb, shots) else list_concat(shots, thumb) end) end as images,
     case when bare then '' else 'Color=' || adjective || '|Material=' || case when {_k} % 9 = 0 then adjective else noun end end as specs,
     coalesce(price < 0, false) as bad_price,
     sku is null or coalesce(price < 0, false) as m_sku, brand is null or coalesce(price < 0, false) as m_brand,
@@ -106,6 +106,8 @@ _ANSWERED_COLUMNS = _PRODUCT_COLUMNS.replace("specs as", "all_specs as")
 _LINKS = _RULED + """,
 links as (select *, row_number() over (partition by cat_idx order by p_partkey) as arrival from ruled where not ftp and not drifted)"""
 
+_POS = "row_number() over (partition by cat_idx, page_num order by p_partkey) - 1"
+
 _LISTINGS = f"""
 bounds as (select max(p_partkey) // 144 as last_page from part),
 cats as (select p_type, cast(row_number() over (order by p_type) - 1 as integer) as cat_idx, '{SHOP}/catalog/' || lower(p_type) as cat_url
@@ -133,10 +135,23 @@ requests as (
   select 'enrich|' || url, 'enrich', url, cat_idx, {_k}, 1 from built where gate_reason is null),
 sent as (select * from requests order by cat_idx, {_k}, ord limit {BUDGET})"""
 
+# The text before a page, or the whole prompt of an enrichment.
+_ATTRIBUTES = "material, color, powder_free, size, pack_size, sterile, absorbable, form, texture, intended_use, latex_free, thickness_mil"
+_PROMPT = f"""case when r.kind = 'fallback'
+  then 'Extract these fields of the product page below: ' || replace(b.missing, '|', ', ') || chr(10)
+    || 'Answer with one JSON object. Leave out what the page does not state. A price is a plain number.'
+  else 'Read the product text and state these attributes as one JSON object: {_ATTRIBUTES}' || chr(10)
+    || 'Leave out what the text does not support. Write booleans as "true" or "false".' || chr(10) || chr(10)
+    || 'Name: ' || b.name || chr(10) || 'Description: ' || coalesce(b.description, '') end"""
+
 _MISSES = _RULED + """,
 misses as (
   select * from (select cat_idx, p_partkey, url, unnest(string_split(missing, '|')) as field from pages_ok where missing <> ''))"""
 
+_BROKEN = """case field when 'sku' then 'form[data-sku]'
+    when 'brand' then '.pdp-brand-review a span, [href*=''shop-by-manufacturer''] span, .manufacturer-name'
+    when 'price' then '.price-box .price, .price' else '#description, [itemprop=''description''], .product-info-main .description' end"""
+
 _COVERED = {
     "name": "name is not null", "url": "true", "category_path": "true", "brand": "brand <> ''", "sku": "sku <> ''",
     "price": "price is not null", "currency": "true", "pack_size": "pack_size <> ''", "availability": "availability <> ''",
@@ -215,7 +230,26 @@ from (select doc_id, trim(regexp_replace(text || ' end ', '{_WS}+', ' ', 'g')) a
     "fallback_requests": f"with {_RULED} select 'fallback|' || url as request_key, 'fallback' as kind, missing as fields from pages_ok where missing <> ''",
     "enrich_requests": f"with {_FILLED} select 'enrich|' || url as request_key, 'enrich' as kind, name, description from built where gate_reason is null",
     "budget_requests": f"with {_FILLED}{_REQUESTS} select request_key, kind, url from sent",
-    "request_prompts": f"with {_FILLED}{_REQUESTS} select request_key, kind = 'fallback' as has_page, kind = 'enrich' as has_prose from sent",
+    "request_prompts": f"""with {_FILLED}{_REQUESTS}
+select r.request_key, r.kind, md5({_PROMPT}) as prompt_md5, r.kind = 'fallback' as has_page
+from requests r join built b on r.url = b.url""",
+    "first_round_requests": f"""with {_PRODUCTS},
+reachable as (select * from pages_ok where not ftp and not drifted),
+requests as (
+  select 'fallback|' || url as request_key, 'fallback' as kind, url from reachable where missing <> ''
+  union all select 'enrich|' || url, 'enrich', url from reachable where not bad_price)
+select r.request_key, r.kind, md5({_PROMPT}) as prompt_md5, r.kind = 'fallback' as has_page
+from requests r join reachable b on r.url = b.url""",
+    "repeated_answers": f"with {_ANSWERED} select {_ANSWERED_COLUMNS} from answered",
+    "offline_enrichment": f"""with {_PRODUCTS}
+select url, concat_ws('|', case when specs <> '' then specs end, case when {_k} % 7 < 2 then 'absorbable=' || case when {_k} % 7 = 0 then 'true' else 'false' end end,
+  'color=' || ['blue', 'white', 'green', 'pink'][{_k} % 4 + 1], 'form=' || ['glove', 'tape', 'gel'][{_k} % 3 + 1], 'intended_use=' || ['exam', 'surgical'][{_k} % 2 + 1],
+  case when {_k} % 6 < 2 then 'latex_free=' || case when {_k} % 6 = 0 then 'false' else 'true' end end,
+  'material=' || ['nitrile', 'vinyl', 'cotton'][{_k} % 3 + 1], 'pack_size=' || cast({_k} % 50 + 1 as varchar) || '/box',
+  'powder_free=' || case when {_k} % 2 = 0 then 'true' else 'false' end, 'size=' || ['small', 'medium', 'large'][{_k} % 3 + 1],
+  case when {_k} % 5 < 3 then 'sterile=' || case when {_k} % 5 = 0 then 'false' else 'true' end end,
+  'texture=' || ['smooth', 'textured'][{_k} % 2 + 1], 'thickness_mil=' || cast({_k} % 9 + 1 as varchar)) as specifications,
+  'hybrid' as extraction_method, 85e-2 as extraction_confidence from products""",
     "sanitise_attributes": f"with {_RULED} select 'enrich|' || url as request_key, {_ADDED} as attributes from ruled where {_k} % 7 <> 6",
     "rule_attributes": """select p_partkey, concat_ws('|',
   case when split_part(p_name, ' ', 1) in ('red', 'blue') then 'color=' || split_part(p_name, ' ', 1) end,
@@ -254,6 +288,7 @@ select count(*) as total_seen, count(*) filter (verdict = 'ok') as accepted, cou
     "changed_pages": """
 select page_id, sha256(html) as html_hash from pages p where not exists (
   select 1 from pages e where e.page_id % 3 <> 0 and e.url = p.url and (case when e.page_id % 5 = 0 then e.html || 'old' else e.html end) = p.html)""",
+    "latest_archived": "select url, cast(1 as bigint) as fetched_at from pages group by url",
     # navigation
     "listing_links": f"""with {_RULED}, {_LISTINGS},
 counts as (select cat_idx, page_num, count(*) as n from ruled where not ftp and not drifted group by 1, 2)
@@ -263,16 +298,20 @@ from grid left join counts using (cat_idx, page_num)""",
     "walked_pages": f"""with {_RULED}, {_LISTINGS},
 counts as (select cat_idx, page_num, count(*) as n from ruled where not ftp and not drifted group by 1, 2)
 select cat_idx, page_num, url, coalesce(n, 0) as n_links from grid left join counts using (cat_idx, page_num)""",
-    "frontier_full": f"with {_LINKS} select cat_idx, p_type as category, page_num, url from links",
-    "frontier_capped": f"with {_LINKS} select cat_idx, p_type as category, page_num, url from links where arrival <= {CAP}",
+    "frontier_full": f"with {_LINKS} select cat_idx, p_type as category, page_num, {_POS} as pos, url from links",
+    "frontier_capped": f"with {_LINKS} select * from (select cat_idx, p_type as category, page_num, {_POS} as pos, url, arrival from links) where arrival <= {CAP}".replace("select * from", "select cat_idx, category, page_num, pos, url from"),
     "empty_listings": f"""with {_RULED}, {_LISTINGS}
 select cat_idx, page_num, url from grid where not exists (
   select 1 from ruled r where not ftp and not drifted and r.cat_idx = grid.cat_idx and r.page_num = grid.page_num)""",
-    "unseen_frontier": f"with {_LINKS} select url, p_type as category_path from links where arrival <= {CAP} and {_k} % 5 <> 0",
+    "unseen_frontier": f"with {_LINKS} select url, p_type as category_path from links where {_k} % 5 <> 0",
     "fetch_misses": f"with {_LINKS} select url from links where {_k} % 29 = 0",
-    "catalog_products": f"""with {_PRODUCTS}, links as (
+    "catalog_products": f"""with {_PRODUCTS}, found as (select * from products where not ftp and not drifted)
+select {_PRODUCT_COLUMNS} from ({_judged('found')}) where verdict = 'ok'""",
+    "recrawled_catalog": f"""with {_PRODUCTS}, found as (select * from products where not ftp and not drifted)
+select {_PRODUCT_COLUMNS} from ({_judged('found')}) where verdict = 'ok'""",
+    "catalog_products_capped": f"""with {_PRODUCTS}, links as (
   select *, row_number() over (partition by cat_idx order by p_partkey) as arrival from ruled where not ftp and not drifted),
-found as (select products.* from products join links using (p_partkey) where arrival <= {CAP})
+found as (select products.* replace (products.images[1:10] as images) from products join links using (p_partkey) where arrival <= {CAP})
 select {_PRODUCT_COLUMNS} from ({_judged('found')}) where verdict = 'ok'""",
     "catalog_products_full": f"""with {_PRODUCTS}, found as (select * from products where not ftp and not drifted and {_k} % 5 <> 0)
 select url, name, sku, round(price, 6) as price, dedup_key, verdict from ({_judged('found')})""",
@@ -280,6 +319,31 @@ select url, name, sku, round(price, 6) as price, dedup_key, verdict from ({_judg
 reachable as (select * from pages_ok where not ftp and not drifted),
 -- the budget is spent on reachable pages only
 {_ANSWERED[len(_RULED) + 2:].replace('from pages_ok', 'from reachable')},
+requests as (
+  select 'fallback' as kind, {_k}, cat_idx, 0 as ord from built where missing <> ''
+  union all select 'enrich', {_k}, cat_idx, 1 from built where gate_reason is null),
+sent as (select * from requests order by cat_idx, {_k}, ord),
+asked as (
+  select p.*, exists (select 1 from sent s where s.{_k} = p.{_k} and s.kind = 'fallback') as fb,
+    exists (select 1 from sent s where s.{_k} = p.{_k} and s.kind = 'enrich') as en from reachable p),
+outcome as (
+  select a.url, a.cat_idx, a.{_k}, en,
+    case when fb then b.sku else a.sku end as sku, case when fb then b.brand else a.brand end as brand,
+    case when fb then b.price else a.price end as price, case when fb then b.description else a.description end as description,
+    case when fb then b.method else 'selector' end as method, case when fb then b.score else 1e0 end as score,
+    case when fb then b.filled else '' end as filled, a.specs, case when en then {_ADDED.replace(_k, 'a.' + _k)} else '' end as added
+  from asked a join built b on a.{_k} = b.{_k}
+  where case when fb then b.gate_reason is null else not a.bad_price end)
+select url, sku, brand, round(price, 6) as price, description,
+  concat_ws('|', case when specs <> '' then specs end, case when added <> '' then added end) as specifications,
+  case when method = 'selector' and added <> '' then 'hybrid' else method end as extraction_method,
+  case when method = 'selector' and added <> '' then 85e-2 else score end as extraction_confidence,
+  concat_ws('|', case when filled <> '' then filled end, case when added <> '' then 'specifications' end) as fields_via_llm, verdict
+from ({_judged('outcome')})""",
+    "catalog_products_budgeted": f"""with {_RULED},
+reachable as (select * from pages_ok where not ftp and not drifted),
+-- the budget is spent on reachable pages only
+{_ANSWERED[len(_RULED) + 2:].replace('from pages_ok', 'from reachable')},
 requests as (
   select 'fallback' as kind, {_k}, cat_idx, 0 as ord from built where missing <> ''
   union all select 'enrich', {_k}, cat_idx, 1 from built where gate_reason is null),
@@ -317,11 +381,13 @@ select 'classify|' || url as request_key, 'classify' as kind, url from ruled whe
     "miss_counts": f"with {_MISSES} select field, count(*) as failures from misses group by 1",
     "fields_to_repair": f"with {_MISSES} select field, count(*) as failures from misses where field <> 'sku' group by 1 having count(*) >= 5",
     "repair_requests": f"""with {_MISSES}
-select field, failures, url, case field when 'sku' then 'form[data-sku]'
-    when 'brand' then '.pdp-brand-review a span, [href*=''shop-by-manufacturer''] span, .manufacturer-name'
-    when 'price' then '.price-box .price, .price' else '#description, [itemprop=''description''], .product-info-main .description' end as broken_selector
+select field, failures, url, {_BROKEN} as broken_selector
 from (select *, row_number() over (partition by field order by cat_idx, p_partkey) as n, count(*) over (partition by field) as failures from misses)
 where n = 5""",
+    "repair_prompts": f"""with {_MISSES}
+select field, md5('The CSS selector for the field ' || field || ' finds nothing any more: ' || {_BROKEN} || chr(10)
+  || 'Propose up to 3 selectors for it. Answer {{"selectors": ["..."]}}.') as prompt_md5, true as has_page
+from (select field, count(*) as failures from misses group by 1) where failures >= 5""",
     "repair_report": f"""with {_MISSES}
 select field, count(*) as failures, case when field = 'sku' and count(*) >= 5 then '.sku|#sku|[itemprop=sku]' else '' end as suggested from misses group by 1""",
     # metrics
@@ -358,5 +424,13 @@ select vec_id, label, round(list_cosine_similarity(embedding::double[], (select
 from embeddings order by list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = {QUERY_VECTOR})) desc, vec_id limit 10""",
     # streaming
     "stream_catalog": f"with {_PRODUCTS} select url, dedup_key, verdict from ({_judged('products')})",
+    "stream_rejects": f"with {_RULED} select url, 'price is negative or not a number' as gate_reason from pages_ok where bad_price",
+    "stream_unextractable": f"with {_RULED} select url from ruled where name is null",
+    "stream_retry": f"with {_RULED} select url, case when ftp then 'invalid' else 'ok' end as verdict from ruled where name is null",
+    "stream_health_windows": """
+select window_start, n_pages, round(ok_rate, 6) as ok_rate, round(avg_latency, 6) as avg_latency, max_latency, ok_rate < 0.8 as alert from (
+  select date_trunc('day', ts) as window_start, count(*) as n_pages, avg((event_type <> 'error')::int) as ok_rate,
+    avg(value) as avg_latency, max(value) as max_latency from events group by 1)
+where window_start + interval 1 day <= (select max(ts) from events)""",
     "stream_accepted": f"with {_PRODUCTS} select url, name, sku, round(price, 6) as price, availability from ({_judged('products')}) where verdict = 'ok'",
 }

@@ -9,10 +9,12 @@ from ..operators import classify, extract, gapfill, metrics, navigate, repair, r
 from ..operators.match import Field, match_selectors
 from ..sources import products as product_files
 from ..sources import state
-from ..sources.pages import as_pages, read_archive, with_archive_key, write_archive
-from ..streaming.catalog import judged_rows, stream_catalog as run_stream, stream_products
+from ..sources.pages import as_pages, read_archive, read_pages, with_archive_key, write_archive
+from ..streaming.catalog import judged_rows, rejected_rows, stream_catalog as run_stream, stream_products, to_refetch
+from ..constants import MAX_IMAGES, MAX_SUGGESTIONS
+from ..streaming.health import stream_health
 from . import catalog_run, rendered
-from .scratch import materialize, scratch_path, spread
+from .scratch import materialize, scratch_path
 
 RUN_TS = "2026-01-01T00:00:00Z"
 CAP = 50            # products per category of a capped run
@@ -32,7 +34,8 @@ class Fixture:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        self.part = spread(table(spark, sf_dir, "part"))
+        # Each narrow row becomes a page: dealt over the cores before it grows, so that no HTML is shuffled.
+        self.part = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
         self.shop = rendered.read_shop(table(spark, sf_dir, "part"))
 
     def details(self) -> DataFrame:
@@ -114,12 +117,12 @@ def missing_fields(spark, sf_dir):
 
 
 def page_titles(spark, sf_dir):
-    matched = match_selectors(spread(table(spark, sf_dir, "pages")).select("page_id", "html"), [Field("title", "h1", text=True, first=True)])
+    matched = match_selectors(table(spark, sf_dir, "pages").select("page_id", "html"), [Field("title", "h1", text=True, first=True)])
     return matched.select("page_id", extract.first_text("title").alias("title"))
 
 
 def nav_links(spark, sf_dir):
-    pages = spread(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
     matched = match_selectors(pages, [Field("links", "nav a", attrs=("href",))])
     resolved = F.expr(urls.resolve_all_sql("_base", "url", "links.href"))
     return (
@@ -136,7 +139,7 @@ _LINK_FORMS = """explode(map(
 
 
 def resolve_links(spark, sf_dir):
-    pages = spread(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
     matched = match_selectors(pages, [Field("links", "nav a", attrs=("href",))])
     hrefs = matched.select("page_id", "url", F.posexplode("links.href").alias("pos", "href"))
     refs = hrefs.selectExpr("page_id", "url", "cast(pos as bigint) as pos", _LINK_FORMS)
@@ -161,7 +164,7 @@ def shop_product_urls(spark, sf_dir):
 
 def parse_prices(spark, sf_dir):
     shown = F.concat(F.lit(" $"), F.format_number("l_extendedprice", 2), F.lit(" USD\n"))
-    return spread(table(spark, sf_dir, "lineitem")).select(
+    return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.round(text.parse_price(shown), 2).alias("price"),
         text.parse_price(F.concat(F.lit("from "), shown)).alias("no_price"))
 
@@ -174,7 +177,7 @@ def shop_prices(spark, sf_dir):
 
 def clean_text(spark, sf_dir):
     noisy = F.concat(F.lit("Description\n"), F.col("text"), F.lit(" #html-body [data-x=1] {margin:0;\ncolor:red} end "))
-    cleaned = spread(table(spark, sf_dir, "documents")).select("doc_id", text.clean_description(noisy).alias("cleaned"))
+    cleaned = table(spark, sf_dir, "documents").select("doc_id", text.clean_description(noisy).alias("cleaned"))
     return cleaned.select(
         "doc_id", F.md5("cleaned").alias("cleaned_md5"), F.length("cleaned").cast("bigint").alias("n_chars"),
         F.md5(text.truncate_text(F.col("cleaned"), 300)).alias("truncated_md5"))
@@ -206,18 +209,70 @@ def enrich_requests(spark, sf_dir):
     return scalars(requests.select("request_key", "kind", "name", "description"))
 
 
+def _older(responses):
+    """The answers with an earlier, different one to each request."""
+    old = responses.withColumn("body", F.lit('{"sku": 5, "color": "old"}')).withColumn("answered_at", F.lit(1))
+    return old.unionByName(responses.withColumn("answered_at", F.lit(2)))
+
+
+def repeated_answers(spark, sf_dir):
+    """Two answers to each request: the later one counts, and no product doubles."""
+    fx = Fixture(spark, sf_dir)
+    answers = _older(fx.responses())
+    return scalars(gapfill.merge_enrichment(gapfill.merge_fallback(fx.raw(), answers)[0], answers))
+
+
+def _prose(k: str) -> str:
+    """Product text in which rules find all twelve attributes; SQL that Spark and DuckDB read alike."""
+    pick = lambda values, n: "case " + " ".join(f"when {k} % {n} = {i} then '{v}'" for i, v in enumerate(values)) + " else '' end"
+    parts = [
+        pick(("nitrile", "vinyl", "cotton"), 3), pick(("blue", "white", "green", "pink"), 4), pick(("small", "medium", "large"), 3),
+        f"cast({k} % 50 + 1 as varchar(9)) || '/box'", pick(("glove", "tape", "gel"), 3), pick(("smooth", "textured"), 2), pick(("exam", "surgical"), 2),
+        f"cast({k} % 9 + 1 as varchar(9)) || ' mil'", pick(("powder-free", "powdered"), 2), pick(("non-sterile", "sterile", "sterile"), 5),
+        pick(("absorbable", "non-absorbable"), 7), pick(("contains latex", "latex-free"), 6),
+    ]
+    return " || ', ' || ".join(f"({p})" for p in parts)
+
+
+def offline_enrichment(spark, sf_dir):
+    """Requests answered by the offline rules and merged back: all twelve attributes."""
+    fx = Fixture(spark, sf_dir)
+    number = "cast(regexp_extract(url, '-([0-9]+)$', 1) as bigint)"
+    products = fx.products().withColumns({"name": F.lit("Item"), "description": F.expr(_prose(number))})
+    answers = rules.rule_responses(gapfill.enrich_requests(products))
+    return scalars(gapfill.merge_enrichment(products, answers).select("url", "specifications", "extraction_method", "extraction_confidence"))
+
+
 def budget_requests(spark, sf_dir):
     fx = Fixture(spark, sf_dir)
     sent = catalog_run.plan_requests(materialize(fx.raw(), "raw"), fx.responses(), BUDGET)
     return scalars(sent.select("request_key", "kind", "url"))
 
 
+def _prompt_rows(prompted):
+    """Prompts by hash, and whether the page stands behind them; a page's own text is compared by its length."""
+    head = F.substring_index("prompt", "\n\n", 1)
+    prose = F.col("kind") == "enrich"
+    return prompted.select(
+        "request_key", "kind", F.md5(F.when(prose, F.col("prompt")).otherwise(head)).alias("prompt_md5"),
+        F.col("prompt").endswith("</html>").alias("has_page"))
+
+
 def request_prompts(spark, sf_dir):
+    """All requests of a run with their prompts."""
     fx = Fixture(spark, sf_dir)
-    sent = catalog_run.plan_requests(materialize(fx.raw(), "raw"), fx.responses(), BUDGET)
-    prompted = gapfill.with_prompts(sent, fx.details())
-    return prompted.select(
-        "request_key", F.col("prompt").contains("</html>").alias("has_page"), F.col("prompt").contains("Description:").alias("has_prose"))
+    sent = catalog_run.plan_requests(materialize(fx.raw(), "raw"), fx.responses())
+    return _prompt_rows(gapfill.with_prompts(sent, fx.details()))
+
+
+def first_round_requests(spark, sf_dir):
+    """What a run without any answers asks, written and read back."""
+    fx = Fixture(spark, sf_dir)
+    site = materialize(fx.site(), "site")
+    run = catalog_run.run_catalog(catalog_run.match_site(site), fx.categories(), RUN_TS)
+    path = scratch_path(spark, "requests")
+    state.write_requests(gapfill.with_prompts(run.requests_sent, site), path)
+    return _prompt_rows(spark.read.schema("request_key string, kind string, prompt string").json(path))
 
 
 def sanitise_attributes(spark, sf_dir):
@@ -327,6 +382,15 @@ def archive_keys(spark, sf_dir):
     return with_archive_key(read_archive(spark, path)).select("page_id", "archive_key", F.sha2("html", 256).alias("html_hash"))
 
 
+def latest_archived(spark, sf_dir):
+    """An archive that was appended to twice, read with one row per URL: the later fetch."""
+    path = scratch_path(spark, "archive")
+    pages = as_pages(read_pages(spark, f"{sf_dir}/pages.parquet"))
+    for at, version in enumerate((F.lit("old"), F.col("html"))):
+        write_archive(pages.withColumn("html", version).withColumn("fetched_at", F.lit(at)), path)
+    return read_archive(spark, path, latest=True).select("url", F.col("fetched_at").cast("bigint").alias("fetched_at"))
+
+
 def changed_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     before = F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("old"))).otherwise(F.col("html"))
@@ -348,12 +412,12 @@ def walked_pages(spark, sf_dir):
 
 def frontier_full(spark, sf_dir):
     walked, edges = Fixture(spark, sf_dir).walk()
-    return navigate.frontier(walked, edges).select("cat_idx", "category", "page_num", "url")
+    return navigate.frontier(walked, edges).select("cat_idx", "category", "page_num", F.col("pos").cast("bigint").alias("pos"), "url")
 
 
 def frontier_capped(spark, sf_dir):
     walked, edges = Fixture(spark, sf_dir).walk(CAP)
-    return navigate.frontier(walked, edges, CAP).select("cat_idx", "category", "page_num", "url")
+    return navigate.frontier(walked, edges, CAP).select("cat_idx", "category", "page_num", F.col("pos").cast("bigint").alias("pos"), "url")
 
 
 def empty_listings(spark, sf_dir):
@@ -367,8 +431,8 @@ def _earlier_urls(fx):
 
 def unseen_frontier(spark, sf_dir):
     fx = Fixture(spark, sf_dir)
-    walked, edges = fx.walk(CAP)
-    fresh = navigate.unseen(navigate.frontier(walked, edges, CAP), _earlier_urls(fx))
+    walked, edges = fx.walk()
+    fresh = navigate.unseen(navigate.frontier(walked, edges), _earlier_urls(fx))
     return scalars(fresh.select("url", "category_path"))
 
 
@@ -383,32 +447,62 @@ def fetch_misses(spark, sf_dir):
 def catalog_products(spark, sf_dir):
     """The whole run, selectors only: site pages in, accepted products out."""
     fx = Fixture(spark, sf_dir)
-    run = catalog_run.run_catalog(catalog_run.match_site(fx.site()), fx.categories(), RUN_TS, cap=CAP)
+    run = catalog_run.run_catalog(catalog_run.match_site(fx.site()), fx.categories(), RUN_TS)
+    return scalars(run.products())
+
+
+def catalog_products_capped(spark, sf_dir):
+    """The run with a bound on the products of each category and on the images of each product."""
+    fx = Fixture(spark, sf_dir)
+    run = catalog_run.run_catalog(catalog_run.match_site(fx.site()), fx.categories(), RUN_TS, cap=CAP, max_images=MAX_IMAGES)
+    return scalars(run.products())
+
+
+def recrawled_catalog(spark, sf_dir):
+    """Every page twice, the earlier version without names and links: the same products as from the later one alone."""
+    fx = Fixture(spark, sf_dir)
+    site = fx.site()
+    earlier = site.withColumn("html", F.regexp_replace("html", "page-title|class=\"result\"|href=", "gone"))
+    pages = earlier.withColumn("fetched_at", F.lit(1)).unionByName(site.withColumn("fetched_at", F.lit(2)))
+    run = catalog_run.run_catalog(catalog_run.match_site(pages), fx.categories(), RUN_TS)
     return scalars(run.products())
 
 
 def catalog_products_full(spark, sf_dir):
-    """The whole run without a cap and with URLs of an earlier run left out."""
+    """The whole run with URLs of an earlier run left out."""
     fx = Fixture(spark, sf_dir)
     run = catalog_run.run_catalog(
-        catalog_run.match_site(fx.site()), fx.categories(), RUN_TS, cap=None, seen=_earlier_urls(fx))
+        catalog_run.match_site(fx.site()), fx.categories(), RUN_TS, seen=_earlier_urls(fx))
     return scalars(run.validated.select("url", "name", "sku", "price", "dedup_key", "verdict"))
 
 
 def catalog_products_answered(spark, sf_dir):
-    """The whole run without a cap, with answers and a call budget."""
+    """The whole run with all answers."""
     fx = Fixture(spark, sf_dir)
     run = catalog_run.run_catalog(
-        catalog_run.match_site(fx.site()), fx.categories(), RUN_TS, cap=None, responses=fx.responses(), max_calls=BUDGET)
+        catalog_run.match_site(fx.site()), fx.categories(), RUN_TS, responses=fx.responses())
+    return _outcome(run)
+
+
+def _outcome(run):
     return scalars(run.validated.select(
         "url", "sku", "brand", "price", "description", "specifications", "extraction_method", "extraction_confidence",
         "fields_via_llm", "verdict"))
 
 
+def catalog_products_budgeted(spark, sf_dir):
+    """The whole run with answers and a call budget."""
+    fx = Fixture(spark, sf_dir)
+    run = catalog_run.run_catalog(
+        catalog_run.match_site(fx.site()), fx.categories(), RUN_TS, responses=fx.responses(), max_calls=BUDGET)
+    return _outcome(run)
+
+
 # --- page types ----------------------------------------------------------------------------
 
 def page_types(spark, sf_dir):
-    return classify.classify_pages(Fixture(spark, sf_dir).site())
+    """Types as the stored pass over the whole site has them."""
+    return catalog_run.match_site(Fixture(spark, sf_dir).site()).select("url", "page_type")
 
 
 def _page_answers(pages):
@@ -418,17 +512,18 @@ def _page_answers(pages):
 
 
 def page_type_answers(spark, sf_dir):
-    pages = spread(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
     return classify.classify_pages(pages, _page_answers(table(spark, sf_dir, "pages"))).select("page_id", "page_type")
 
 
 def page_type_counts(spark, sf_dir):
-    both = Fixture(spark, sf_dir).site().unionByName(spread(table(spark, sf_dir, "pages")).select("url", "html"))
+    both = Fixture(spark, sf_dir).site().unionByName(table(spark, sf_dir, "pages").select("url", "html"))
     return classify.page_type_counts(classify.classify_pages(both))
 
 
 def classify_requests(spark, sf_dir):
-    return classify.classify_requests(Fixture(spark, sf_dir).site()).select("request_key", "kind", "url")
+    site = materialize(Fixture(spark, sf_dir).site(), "site")
+    return classify.classify_requests(site, catalog_run.match_site(site)).select("request_key", "kind", "url")
 
 
 # --- selector failures ---------------------------------------------------------------------
@@ -452,6 +547,13 @@ def repair_requests(spark, sf_dir):
     return repair.repair_requests(_misses(spark, sf_dir)).select("field", "failures", "broken_selector", "url")
 
 
+def repair_prompts(spark, sf_dir):
+    """Repair requests with their prompts, compared by the hash of what stands before the page."""
+    fx = Fixture(spark, sf_dir)
+    prompted = repair.with_repair_prompts(repair.repair_requests(_misses(spark, sf_dir)), fx.details())
+    return prompted.select("field", F.md5(F.substring_index("prompt", "\n\n", 1)).alias("prompt_md5"), F.col("prompt").endswith("</html>").alias("has_page"))
+
+
 def repair_report(spark, sf_dir):
     events = _misses(spark, sf_dir)
     body = (
@@ -462,7 +564,7 @@ def repair_report(spark, sf_dir):
         F.concat(F.lit("repair|"), F.col("field")).alias("request_key"), F.lit("repair").alias("kind"), body.alias("body")
     ).filter("body is not null")
     path = scratch_path(spark, "repair")
-    state.write_repair_report(repair.repair_report(events, answers), path)
+    state.write_repair_report(repair.repair_report(events, answers, max_suggestions=MAX_SUGGESTIONS), path)
     report = spark.read.schema("field string, failures bigint, suggested array<string>").json(path)
     return scalars(report)
 
@@ -515,12 +617,13 @@ def health_windows(spark, sf_dir):
 def compare_selectors(spark, sf_dir):
     current = {"title": "h1", "links": ".menu a", "ad": "div.ad"}
     candidate = {"title": "article h1", "links": "nav a", "ad": "div.advert"}
-    return scalars(metrics.compare_selectors(spread(table(spark, sf_dir, "pages")), current, candidate))
+    return scalars(metrics.compare_selectors(table(spark, sf_dir, "pages"), current, candidate))
 
 
 def nearest_products(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    query = vectors.filter(F.col("vec_id") == QUERY_VECTOR).first()["embedding"]
+    asked = vectors.filter(F.col("vec_id") == QUERY_VECTOR).first()
+    query = asked["embedding"] if asked else []
     return scalars(metrics.nearest_products(vectors, query, 10).select("vec_id", "label", "score"))
 
 
@@ -542,6 +645,39 @@ def stream_catalog(spark, sf_dir):
     return judged_rows(spark, _streamed(spark, sf_dir)).select("url", "dedup_key", "verdict")
 
 
+def stream_rejects(spark, sf_dir):
+    return rejected_rows(spark, _streamed(spark, sf_dir)).select("url", "gate_reason")
+
+
+def stream_unextractable(spark, sf_dir):
+    return to_refetch(spark, _streamed(spark, sf_dir))
+
+
+def stream_retry(spark, sf_dir):
+    """Pages without a product are fetched again and arrive with one: nothing is left to refetch."""
+    fx = Fixture(spark, sf_dir)
+    arrivals, out_dir = scratch_path(spark, "arrivals"), scratch_path(spark, "stream")
+    fx.details().write.parquet(arrivals)
+    run_stream(spark, arrivals, out_dir, RUN_TS)
+    again = fx.details().join(to_refetch(spark, out_dir), "url", "left_semi")
+    again = again.withColumn("html", F.lit('<h1 class="page-title"><span>Again</span></h1>'))
+    again.write.mode("append").parquet(arrivals)
+    run_stream(spark, arrivals, out_dir, RUN_TS)
+    left = to_refetch(spark, out_dir).select("url", F.lit("left").alias("verdict"))
+    return judged_rows(spark, out_dir).filter("batch_id > 0").select("url", "verdict").unionByName(left)
+
+
+def stream_health_windows(spark, sf_dir):
+    """Health windows of the event log as a stream, closed by its watermark."""
+    log, out_dir = scratch_path(spark, "log"), scratch_path(spark, "health")
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    events.write.parquet(log)
+    stream_health(spark.readStream.schema(events.schema).parquet(log), out_dir, late="0 seconds", every="1 day",
+                  ok=F.col("event_type") != "error", latency=F.col("value"), alert_below=0.8)
+    closed = spark.read.parquet(f"{out_dir}/windows")
+    return scalars(closed.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
+
+
 def stream_accepted(spark, sf_dir):
     return scalars(stream_products(spark, _streamed(spark, sf_dir)).select("url", "name", "sku", "price", "availability"))
 
@@ -559,4 +695,6 @@ QUERIES = {f.__name__: f for f in (
     miss_counts, fields_to_repair, repair_requests, repair_report,
     field_coverage, reject_rate, fallback_rate, dup_rate_trend, drift_report, audit_sample, health_windows,
     compare_selectors, nearest_products, stream_catalog, stream_accepted,
+    repeated_answers, offline_enrichment, first_round_requests, latest_archived, catalog_products_capped, recrawled_catalog,
+    catalog_products_budgeted, repair_prompts, stream_rejects, stream_unextractable, stream_retry, stream_health_windows,
 )}

@@ -6,14 +6,13 @@ The expected products follow from the same rules without any HTML (see `oracles`
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schemas import CATEGORIES
+from .scratch import materialize
 
 SHOP = "https://shop.example.com"
 KEYS_PER_PAGE = 144     # a listing page holds the parts of its type with k in one block of this size
-MAX_CATEGORIES = 10_000
 
 # Rules in SQL that Spark and DuckDB read alike; k is p_partkey.
 RULES = {
@@ -36,30 +35,30 @@ RULES = {
 
 @dataclass(frozen=True)
 class Shop:
-    """Category list (configuration, held by the driver) and the number of the last listing page."""
+    """Category table (cat_idx, name, slug, url) and the number of the last listing page."""
 
-    names: list[str]
+    categories: DataFrame
     last_page: int
 
-    def rows(self) -> list[tuple]:
-        return [(i, n, n.lower(), f"{SHOP}/catalog/{n.lower()}") for i, n in enumerate(self.names)]
-
 
 def read_shop(part: DataFrame) -> Shop:
-    rows = part.groupBy("p_type").agg(F.max("p_partkey").alias("k")).limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError("p_type is no category column: too many values")
-    return Shop(sorted(r.p_type for r in rows), max((r.k for r in rows), default=0) // KEYS_PER_PAGE)
+    # The window runs over categories, not over parts.
+    kinds = part.groupBy(F.col("p_type").alias("name")).agg(F.max("p_partkey").alias("k"))
+    table = materialize(kinds.select(
+        (F.row_number().over(Window.orderBy("name")) - 1).alias("cat_idx"), "name", F.lower("name").alias("slug"),
+        F.concat(F.lit(f"{SHOP}/catalog/"), F.lower("name")).alias("url"), "k"), "categories")
+    last = table.agg(F.max("k").alias("k")).first().k or 0
+    return Shop(table.drop("k"), last // KEYS_PER_PAGE)
 
 
 def categories(spark: SparkSession, shop: Shop) -> DataFrame:
-    return spark.createDataFrame(shop.rows(), CATEGORIES)
+    return shop.categories
 
 
 def with_rules(part: DataFrame, shop: Shop) -> DataFrame:
     """part plus cat_idx, page_num, url and the rule columns."""
-    index = ", ".join(f"'{n}', {i}" for i, n in enumerate(shop.names))
-    placed = part.selectExpr("*", f"map({index})[p_type] as cat_idx", f"{RULES['page_num']} as page_num")
+    index = shop.categories.select(F.col("name").alias("p_type"), "cat_idx")
+    placed = part.join(index, "p_type").selectExpr("*", f"{RULES['page_num']} as page_num")
     rules = [f"{rule} as {name}" for name, rule in RULES.items() if name != "page_num"]
     return placed.selectExpr("*", *rules).selectExpr(
         "*", "case when ftp then 'ftp' else 'https' end || '://shop.example.com/product/' || slug as url")
@@ -177,9 +176,9 @@ def site_pages(part: DataFrame, shop: Shop) -> DataFrame:
     return detail_pages(part, shop).select("url", "html").unionByName(listing_pages(part, shop))
 
 
-_FALLBACK_ANSWERS = """array('{"sku": "R-' || p_partkey || '", "brand": "Acme", "description": " Filled  text ", "price": "$7.50"}',
+_FALLBACK_ANSWERS = """array('{"sku": "first", "sku": "R-' || p_partkey || '", "brand": "Acme", "description": " Filled  text ", "price": "$7.50"}',
     'nope', '[1]', '{"brand": true, "price": 3}', '{"sku": null, "brand": "", "price": 0, "description": "D"}', '{"sku": 12345}')"""
-_ENRICH_ANSWERS = """array('{"material": "vinyl", "color": " red ", "unknown": "x", "powder_free": true, "size": 5}',
+_ENRICH_ANSWERS = """array('{"color": "none", "material": "vinyl", "color": " red ", "unknown": "x", "powder_free": true, "size": 5}',
     'nope', '[1]', '{"sterile": false}', '{"material": null, "color": " "}', '{"Material": "zzz", "form": "sponge"}')"""
 
 

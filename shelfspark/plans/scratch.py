@@ -38,12 +38,3 @@ def materialize_counted(df: DataFrame, label: str = "table") -> tuple[DataFrame,
     written = Observation()
     stored = materialize(df.observe(written, F.count(F.lit(1)).alias("rows")), label)
     return stored, written.get["rows"]
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input at least one partition per core; larger inputs keep their splits and are not shuffled.
-
-    Use it on a plain scan in front of the HTML pass, which costs far more per byte than reading does.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -1,6 +1,6 @@
 """Page tables: fetched pages in, raw page archive out."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import PAGES
@@ -19,7 +19,7 @@ def as_pages(df: DataFrame) -> DataFrame:
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Pages as parquet, orc or json tables, or as a folder of .html files ('html': url is the file's path).
 
-    One row per URL is expected. A status column is carried, never filtered: error pages reach extraction.
+    A URL may occur more than once, see `latest_pages`. A status column is carried, never filtered: error pages reach extraction.
     """
     if fmt == "html":
         files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.html")
@@ -28,6 +28,22 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return as_pages((reader.schema(PAGES) if fmt == "json" else reader).load(path))
 
 
+def version_order(pages: DataFrame, html: str = "html") -> Column:
+    """What ranks the rows of one URL: `fetched_at` where that column exists, then a hash of the page."""
+    parts = [F.col("fetched_at")] if "fetched_at" in pages.columns else []
+    return F.struct(*parts, F.xxhash64(html).alias("hash"))
+
+
+def latest_pages(pages: DataFrame, order: Column | None = None) -> DataFrame:
+    """One row per URL, the greatest by `order` (default `version_order`); equal rows count once, null URLs as one URL.
+
+    All columns take part in the shuffle: call it on rows without HTML where you can, as `match_site` does.
+    """
+    ranked = pages.withColumn("_order", version_order(pages) if order is None else order)
+    newest = Window.partitionBy("url").orderBy(F.desc("_order"))
+    return ranked.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_order", "_rank")
+
+
 def status_ok(pages: DataFrame) -> DataFrame:
     """Optional filter: pages fetched with a success status."""
     return pages.filter(F.col("status").between(200, 299))
@@ -44,9 +60,13 @@ def write_archive(pages: DataFrame, path: str) -> None:
     writer.option("parquet.bloom.filter.enabled#archive_key", "true").parquet(path)
 
 
-def read_archive(spark: SparkSession, path: str, url: str | None = None) -> DataFrame:
-    """Archived pages; with `url` only that page, skipping files that cannot hold its key."""
+def read_archive(spark: SparkSession, path: str, url: str | None = None, latest: bool = False) -> DataFrame:
+    """Archived pages; with `url` only that page, skipping files that cannot hold its key; `latest`: one row per URL."""
     archive = spark.read.parquet(path)
-    if url is None:
-        return archive
+    if url is not None:
+        archive = _of_url(archive, url)
+    return latest_pages(archive) if latest else archive
+
+
+def _of_url(archive: DataFrame, url: str) -> DataFrame:
     return archive.filter((F.col("archive_key") == F.substring(F.sha1(F.lit(url)), 1, 16)) & (F.col("url") == url))

@@ -3,8 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.products import not_in
+from ..operators.validate import with_key
 from ..schemas import RESPONSES, SEEN
 from .paths import has_data
+from .products import read_products
 
 
 def load_seen(spark: SparkSession, path: str) -> DataFrame:
@@ -15,10 +17,7 @@ def load_seen(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_seen(urls: DataFrame, path: str) -> None:
-    """Append the URLs that are not in the table yet; earlier files are never rewritten.
-
-    `urls` is read twice, so pass a stored table.
-    """
+    """Append the URLs that are not in the table yet; earlier files are never rewritten."""
     new = urls.select("url").distinct()
     if has_data(urls.sparkSession, path):
         new = not_in(new, load_seen(urls.sparkSession, path), "url")
@@ -32,6 +31,17 @@ def load_responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESPONSES).json(path)
 
 
+def write_requests(requests: DataFrame, path: str) -> None:
+    """Requests as JSON lines, with their prompts where they have them: what the model or person is to answer."""
+    kept = [c for c in ("request_key", "kind", "url", "field", "fields", "prompt") if c in requests.columns]
+    requests.select(*kept).write.mode("errorifexists").json(path)
+
+
+def load_prior_keys(spark: SparkSession, jsonl_path: str) -> DataFrame:
+    """(dedup_key) of all products stored by earlier runs, for `validate_products(prior=...)`."""
+    return with_key(read_products(spark, jsonl_path)).select("dedup_key").distinct()
+
+
 def write_repair_report(report: DataFrame, path: str) -> bool:
     """Write field, failures, suggested as JSON; only if some field has suggestions."""
     if report.filter("size(suggested) > 0").isEmpty():

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from ..constants import DETAIL_SELECTORS
 from ..functions.products import not_in
 from ..operators import extract, gapfill, validate
+from ..operators.match import detail_fields, match_selectors
 from ..schemas import SEQ
 from ..sources.paths import has_data
 from ..sources.products import read_products, write_jsonl
@@ -18,25 +19,53 @@ ARRIVALS = T.StructType([
     T.StructField("html", T.StringType()),
 ])
 _JUDGED = T.StructType([
-    T.StructField("batch_id", T.LongType()),
     T.StructField("url", T.StringType()),
     T.StructField("dedup_key", T.StringType()),
     T.StructField("verdict", T.StringType()),
+    T.StructField("batch_id", T.LongType()),
 ])
+_VISITED = T.StructType([T.StructField("url", T.StringType()), T.StructField("batch_id", T.LongType()), T.StructField("bucket", T.IntegerType())])
+_KEYS = T.StructType([T.StructField("dedup_key", T.StringType()), T.StructField("batch_id", T.LongType()), T.StructField("bucket", T.IntegerType())])
+_DROPPED = T.StructType([T.StructField("url", T.StringType()), T.StructField("gate_reason", T.StringType()), T.StructField("batch_id", T.LongType())])
+_UNEXTRACTABLE = T.StructType([T.StructField("url", T.StringType()), T.StructField("batch_id", T.LongType())])
+#: Earlier keys and URLs lie in so many folders per batch, and a batch reads those that its own fall in.
+STATE_BUCKETS = 64
+
+
+def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path) if has_data(spark, path) else spark.createDataFrame([], schema)
 
 
 def judged_rows(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Every row that reached validation so far: batch_id, url, dedup_key, verdict."""
-    path = f"{out_dir}/judged"
-    if not has_data(spark, path):
-        return spark.createDataFrame([], _JUDGED)
-    return spark.read.schema(_JUDGED).parquet(path)
+    """Every row that reached validation so far: url, dedup_key, verdict, batch_id."""
+    return _table(spark, f"{out_dir}/judged", _JUDGED)
+
+
+def rejected_rows(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Every row that the schema gate dropped: url, gate_reason, batch_id."""
+    return _table(spark, f"{out_dir}/gate_rejects", _DROPPED)
+
+
+def to_refetch(spark: SparkSession, out_dir: str) -> DataFrame:
+    """(url) of pages without a product name that no later page replaced: fetch them again and add them to the arrivals."""
+    failed = _table(spark, f"{out_dir}/unextractable", _UNEXTRACTABLE).select("url").distinct()
+    return not_in(failed, judged_rows(spark, out_dir), "url")
 
 
 def stream_products(spark: SparkSession, out_dir: str) -> DataFrame:
     """Accepted products of all batches."""
-    path = f"{out_dir}/products"
-    return read_products(spark, path)
+    return read_products(spark, f"{out_dir}/products")
+
+
+def _bucket(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(STATE_BUCKETS)).cast("int")
+
+
+def _earlier(spark: SparkSession, path: str, schema: T.StructType, rows: DataFrame, key: str, batch_id: int) -> DataFrame:
+    """Keys of earlier batches, from the buckets that the keys of `rows` fall in."""
+    buckets = [r.bucket for r in rows.select(_bucket(key).alias("bucket")).distinct().collect()]     # STATE_BUCKETS at most
+    state = _table(spark, path, schema)
+    return state.filter(F.col("bucket").isin(buckets) & (F.col("batch_id") < batch_id)).select(key)
 
 
 def stream_catalog(
@@ -51,28 +80,38 @@ def stream_catalog(
 
     `pages_dir` holds parquet files of ARRIVALS rows. Arrival order is (batch, seq): keys and URLs of
     earlier batches win. Every batch overwrites its own folders, so a batch that is retried after a
-    crash replaces its output instead of doubling it.
+    crash replaces its output instead of doubling it. Pages without a product and rows that the gate
+    drops are written per batch too; the former may arrive again (see `to_refetch`).
     """
     reader = spark.readStream.schema(ARRIVALS)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    raw = extract.extract_raw(reader.parquet(pages_dir), selectors)
+    fields = extract.raw_fields(match_selectors(reader.parquet(pages_dir), detail_fields(selectors)))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        earlier = judged_rows(spark, out_dir).filter(F.col("batch_id") < batch_id)
-        first_visits = batch.groupBy("url").agg(F.min_by(F.struct(*batch.columns), "seq").alias("_row")).select("_row.*")
-        products, _ = gapfill.merge_fallback(first_visits)
-        staged = f"{out_dir}/staged/batch_id={batch_id}"
-        gapfill.stamp(products, run_ts).write.mode("overwrite").parquet(staged)
-        stored = not_in(spark.read.parquet(staged), earlier, "url")
-        keys = validate.with_key(stored).select("dedup_key").distinct()
-        prior = earlier.select("dedup_key").join(keys, "dedup_key", "left_semi")
+        def store(rows: DataFrame, name: str, *by: str) -> DataFrame:
+            path = f"{out_dir}/{name}/batch_id={batch_id}"
+            rows.write.mode("overwrite").partitionBy(*by).parquet(path)
+            return spark.read.schema(rows.schema).parquet(path)
+
+        seen = store(batch, "fields")                   # the only pass over the HTML
+        store(seen.filter("name is null and url is not null").select("url"), "unextractable")
+        raw = extract.with_gaps(extract.extractable(seen))
+        first_visits = raw.groupBy("url").agg(F.min_by(F.struct(*raw.columns), "seq").alias("_row")).select("_row.*")
+        fresh = not_in(first_visits, _earlier(spark, f"{out_dir}/visited", _VISITED, first_visits, "url", batch_id), "url")
+        built, rejects = gapfill.split_judged(store(gapfill.judge_fallback(fresh), "staged"))
+        store(rejects.select("url", "gate_reason"), "gate_rejects")
+        stored = gapfill.stamp(built, run_ts)
+        keyed = validate.with_key(stored)
+        prior = _earlier(spark, f"{out_dir}/keys", _KEYS, keyed, "dedup_key", batch_id).distinct()
         judged = validate.validate_products(stored, prior)
         write_jsonl(validate.accepted(judged), f"{out_dir}/products/batch_id={batch_id}", mode="overwrite")
-        judged.select("url", "dedup_key", "verdict").write.mode("overwrite").parquet(f"{out_dir}/judged/batch_id={batch_id}")
+        done = store(judged.select("url", "dedup_key", "verdict"), "judged")
+        store(done.select("dedup_key", _bucket("dedup_key").alias("bucket")).distinct(), "keys", "bucket")
+        store(done.select("url", _bucket("url").alias("bucket")).distinct(), "visited", "bucket")
 
     query = (
-        raw.writeStream.foreachBatch(process)
+        fields.writeStream.foreachBatch(process)
         .option("checkpointLocation", f"{out_dir}/checkpoint")
         .trigger(availableNow=True)
         .start()

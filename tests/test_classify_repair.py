@@ -40,7 +40,9 @@ def test_answers_decide_undecided_pages_only(spark):
     assert {tuple(r) for r in classify.page_type_counts(typed).collect()} == {("product_detail", 1), ("other", 3), ("category_listing", 1)}
     asked = {r.url: r.prompt for r in classify.classify_requests(pages.union(spark.createDataFrame([("f", "<p>x" * 20_000)], pages.schema))).collect()}
     assert set(asked) == {"a", "b", "c", "e", "f"}
-    assert asked["f"].endswith("<!-- truncated -->")
+    assert asked["f"].endswith("<p>x" * 20_000)
+    cut = {r.url: r.prompt for r in classify.classify_requests(spark.createDataFrame([("f", "<p>x" * 20_000)], pages.schema), max_chars=30_000).collect()}
+    assert cut["f"].endswith("<!-- truncated -->")
 
 
 def events(spark, counts):
@@ -60,11 +62,11 @@ def test_threshold_and_crossing_page(spark):
     assert {r.field for r in repair.fields_to_repair(misses, threshold=4).collect()} == {"sku", "brand", "price"}
 
 
-def test_rank_is_limited_before_the_shuffle(spark):
-    plan = repair.crossing_pages(events(spark, {"sku": 9}))._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+def test_any_threshold(spark):
+    misses = events(spark, {"sku": 1200, "brand": 999})
+    assert [r.url for r in repair.crossing_pages(misses, 1000).collect()] == ["sku999"]
     with pytest.raises(ValueError):
-        repair.crossing_pages(events(spark, {"sku": 1}), 1000)
+        repair.crossing_pages(misses, 0)
 
 
 def test_report(spark):
@@ -72,7 +74,9 @@ def test_report(spark):
     bodies = {"sku": '{"selectors": [".s"]}', "brand": '{"selectors": [1, ".a", null, ".b", ".c", ".d"]}', "price": '{"selectors": "x"}'}
     answers = spark.createDataFrame([(f"repair|{f}", "repair", b) for f, b in bodies.items()], "request_key string, kind string, body string")
     report = {r.field: (r.failures, r.suggested) for r in repair.repair_report(misses, answers).collect()}
-    assert report == {"sku": (4, []), "brand": (5, [".a", ".b", ".c"]), "price": (6, []), "description": (7, [])}
+    assert report == {"sku": (4, []), "brand": (5, [".a", ".b", ".c", ".d"]), "price": (6, []), "description": (7, [])}
+    three = {r.field: r.suggested for r in repair.repair_report(misses, answers, max_suggestions=3).collect()}
+    assert three["brand"] == [".a", ".b", ".c"]
 
 
 def test_prompts(spark):

@@ -21,13 +21,13 @@ def products(spark, pages, selectors, responses=None):
 
 
 def test_page_a(spark):
-    row = products(spark, [("https://example.com/x.html", PAGE_A)], SELECTORS_A)["https://example.com/x.html"]
-    assert row["name"] == "Premium Nitrile Glove, Blue"
-    assert (row.brand, row.sku, row.price, row.availability) == ("SafeGrip", "SKU-12345", 24.99, "in_stock")
-    assert row.description == "Powder-free, 100 per box."
-    assert row.image_urls == ["https://example.com/1.jpg", "https://example.com/2.jpg"]
-    assert row.specifications == {"Material": "Nitrile", "Color": "Blue", "Pack Size": "100 / box"}
-    assert row.category_path == ["Catalog", "Exam Gloves"]
+    row = products(spark, [("https://example.com/shop/x.html", PAGE_A)], SELECTORS_A)["https://example.com/shop/x.html"]
+    assert row["name"] == "Bar clamp 300 mm"
+    assert (row.brand, row.sku, row.price, row.availability, row.pack_size) == ("Torvald", "BC-0300", 1018.5, "backorder", "2 pieces")
+    assert row.description == "Cast iron jaws.Opens with one hand."
+    assert row.image_urls == ["https://example.com/img/front.webp", "https://example.com/shop/side.webp"]
+    assert row.specifications == {"Jaw": "85 mm", "Steel": "C45"}
+    assert row.category_path == ["Workshop", "Clamps"]
     assert (row.extraction_method, row.extraction_confidence, row.fields_via_llm, row.currency) == ("selector", 1.0, [], "USD")
 
 
@@ -44,16 +44,23 @@ def enrich(url, body):
 
 
 def test_enrichment_promotes_to_hybrid(spark):
-    answer = '{"material": "nitrile", "color": "blue", "powder_free": "true", "pack_size": "100/box"}'
+    answer = '{"material": "nylon", "color": "blue", "color": "red", "pack_size": "12/box", "weight": "1"}'
     row = products(spark, [("p1", page_b())], SELECTORS_B, enrich("p1", answer))["p1"]
-    assert row.sku == "SKU-12345"
-    assert row.specifications == {"material": "nitrile", "color": "blue", "powder_free": "true", "pack_size": "100/box"}
+    assert row.sku == "SC-7"
+    assert row.specifications == {"material": "nylon", "color": "red", "pack_size": "12/box"}
     assert (row.extraction_method, row.extraction_confidence, row.fields_via_llm) == ("hybrid", 0.85, ["specifications"])
 
 
 def test_enrichment_does_not_overwrite(spark):
-    row = products(spark, [("p2", page_b(ONE_SPEC))], SELECTORS_B, enrich("p2", '{"material": "vinyl", "color": "red"}'))["p2"]
-    assert row.specifications == {"material": "nitrile", "color": "red"}
+    row = products(spark, [("p2", page_b(ONE_SPEC))], SELECTORS_B, enrich("p2", '{"material": "nylon", "color": "red"}'))["p2"]
+    assert row.specifications == {"material": "steel", "color": "red"}
+
+
+def test_two_answers_give_one_product(spark):
+    twice = enrich("p4", '{"color": "a"}') + enrich("p4", '{"color": "b"}')
+    row = spark.createDataFrame(twice, "request_key string, kind string, body string")
+    built, _ = gapfill.merge_fallback(raw_rows(spark, [("p4", page_b())], SELECTORS_B), row)
+    assert [r.specifications for r in gapfill.merge_enrichment(built, row).collect()] == [{"color": "b"}]
 
 
 @pytest.mark.parametrize("answers", [None, [], enrich("p3", "{}"), enrich("p3", "nope"), enrich("p3", "[1]"),
@@ -63,10 +70,11 @@ def test_no_or_empty_answer_leaves_selector_result(spark, answers):
     assert (row.extraction_method, row.specifications, row.fields_via_llm) == ("selector", {}, [])
 
 
-def one_field(spark, html, column, **selectors):
+def one_field(spark, html, column, max_images=None, **selectors):
     chosen = SELECTORS_A | {"name": "h1"} | selectors
     page = f"<h1>n</h1>{html}"
-    return raw_rows(spark, [("https://h.com/a/b", page)], chosen).first()[column]
+    df = spark.createDataFrame([((0, 0, 0), "https://h.com/a/b", page)], f"{SEQ}, url string, html string")
+    return extract.extract_raw(df, chosen, max_images=max_images).first()[column]
 
 
 @pytest.mark.parametrize("html, expected", [
@@ -88,15 +96,16 @@ def test_availability(spark, html, expected):
 
 
 def test_images(spark):
-    html = ('<div class="media"><img src="" data-src="/d.png"><img src="c.png"><img src="data:x"><img src="c.png">'
+    html = ('<div class="photos"><img src="" data-src="/d.png"><img src="c.png"><img src="data:x"><img src="c.png">'
             '<img data-lazy-src="//z.com/l.png"><img>' + "".join(f'<img src="{i}.png">' for i in range(12)) + "</div>")
     found = one_field(spark, html, "image_urls")
     assert found[:3] == ["https://h.com/d.png", "https://h.com/a/c.png", "https://z.com/l.png"]
-    assert len(found) == 10 and found[-1] == "https://h.com/a/6.png"
+    assert len(found) == 15 and found[-1] == "https://h.com/a/11.png"
+    assert one_field(spark, html, "image_urls", max_images=10) == found[:10]
 
 
 def test_specs(spark):
-    html = ('<table class="additional-attributes"><tr><th>Material<td>a<tr><td>one</td></tr><tr><td>k</td><td> </td></tr>'
+    html = ('<table class="facts"><tr><th>Material<td>a<tr><td>one</td></tr><tr><td>k</td><td> </td></tr>'
             "<tr><th>material</th><td>b</td></tr><tr><th>Material</th><td>c</td></tr></table>")
     assert one_field(spark, html, "specifications") == {"Material": "c", "material": "b"}
 
@@ -116,18 +125,18 @@ def test_breadcrumbs_first_alternative_with_a_kept_text(spark):
 def test_given_category_path_wins_unless_empty(spark):
     df = spark.createDataFrame([("u", PAGE_A, ["Given"]), ("v", PAGE_A, [])], "url string, html string, category_path array<string>")
     rows = {r.url: r.category_path for r in extract.extract_raw(df, SELECTORS_A).collect()}
-    assert rows == {"u": ["Given"], "v": ["Catalog", "Exam Gloves"]}
+    assert rows == {"u": ["Given"], "v": ["Workshop", "Clamps"]}
 
 
 def test_style_text_in_description_is_removed(spark):
-    html = '<div class="value"><h2>Description</h2><style>#html-body [data-x=A]{a:b}</style><p>Soft  sponge</p></div>'
+    html = '<div class="body"><h2>Description</h2><style>#html-body [data-x=A]{a:b}</style><p>Soft  sponge</p></div>'
     assert one_field(spark, html, "description") == "Soft sponge"
 
 
 def test_missing_and_bad_prices(spark):
     def missing(price):
-        return one_field(spark, f'<p itemprop="brand">b</p><p class="product-info-sku">s</p><p class="value">d</p>'
-                                f'<p class="price-box"><b class="price">{price}</b></p>', "missing")
+        return one_field(spark, f'<p class="maker">b</p><span class="code">s</span><p class="body">d</p>'
+                                f'<aside><b class="cost">{price}</b></aside>', "missing")
     assert missing("$5") == []
     assert missing("$0") == ["price"]
     assert missing("call us") == ["price"]

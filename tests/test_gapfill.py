@@ -48,6 +48,18 @@ def test_bodies_that_are_no_object_change_nothing(spark, body):
     assert good["u"].sku is None and good["u"].extraction_method == "selector" and not bad
 
 
+def test_the_last_value_of_a_repeated_key_counts(spark):
+    good, _ = answered(spark, [raw_row(0, "u", ["sku"])], {"u": '{"sku": 5, "sku": "S", "x": {"y": 1, "y": 2}}'})
+    assert good["u"].sku == "S"
+
+
+def test_the_later_of_two_answers_counts(spark):
+    raw = spark.createDataFrame([raw_row(0, "u", ["sku"])], RAW)
+    answers = spark.createDataFrame([("fallback|u", "fallback", '{"sku": "Z"}', 1), ("fallback|u", "fallback", '{"sku": "A"}', 2)],
+                                    "request_key string, kind string, body string, answered_at int")
+    assert [r.sku for r in gapfill.merge_fallback(raw, answers)[0].collect()] == ["A"]
+
+
 def test_only_missing_fields_are_filled_and_listed_in_order(spark):
     good, _ = answered(
         spark, [raw_row(0, "u", ["sku", "description"], description=None)],
@@ -118,8 +130,10 @@ def test_prompts(spark):
     good, _ = gapfill.merge_fallback(raw)
     requests = gapfill.fallback_requests(raw).unionByName(gapfill.enrich_requests(good))
     pages = spark.createDataFrame([("u", "<p>" + "x" * 40_000)], "url string, html string")
-    prompts = {r.kind: r.prompt for r in gapfill.with_prompts(requests, pages).collect()}
+    prompts = {r.kind: r.prompt for r in gapfill.with_prompts(requests, pages, max_chars=30_000).collect()}
     assert "sku, price" in prompts["fallback"] and prompts["fallback"].endswith("x\n<!-- truncated -->")
+    whole = {r.kind: r.prompt for r in gapfill.with_prompts(requests, pages).collect()}
+    assert whole["fallback"].endswith("<p>" + "x" * 40_000)
     assert "Description: d" in prompts["enrich"] and "thickness_mil" in prompts["enrich"]
 
 

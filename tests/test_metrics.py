@@ -1,3 +1,6 @@
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from shelfspark.operators import metrics
@@ -37,6 +40,16 @@ def test_drift(spark):
     assert {m for m in report if m.startswith("price")} == {"price_p10", "price_p25", "price_p50", "price_p75", "price_p90"}
 
 
+def test_price_quantiles_are_exact(spark):
+    rng = random.Random(3)
+    prices = [round(rng.lognormvariate(3, 2), 2) for _ in range(5000)] + [5.0] * 2000 + [0.0, None]
+    found = metrics.price_drift(*[spark.createDataFrame([(p,) for p in part], "price double") for part in (prices, prices[:7])])
+    for i, part in enumerate((prices, prices[:7])):
+        known = sorted(p for p in part if p is not None)
+        expected = {f"price_p{round(q * 100):02d}": known[math.ceil(q * len(known)) - 1] for q in (0.1, 0.25, 0.5, 0.75, 0.9)}
+        assert {r.metric: r[1 + i] for r in found.collect()} == expected
+
+
 def test_audit_sample_repeats(spark):
     df = frame(spark)
     a = [r.url for r in metrics.audit_sample(df, 5, "7").collect()]
@@ -51,6 +64,9 @@ def test_compare_selectors_and_changed_pages(spark):
     earlier = spark.createDataFrame([("a", "<h1>x</h1>"), ("b", "old")], "url string, html string")
     known = earlier.select("url", F.sha2("html", 256).alias("html_hash"))
     assert {r.url for r in metrics.changed_pages(pages, known).collect()} == {"b", "c"}
+    empty = spark.createDataFrame([("n", None), (None, "x"), ("m", None)], pages.schema)
+    assert {r.url for r in metrics.changed_pages(empty, known).collect()} == {"n", None, "m"}
+    assert [r.url for r in metrics.changed_pages(empty, metrics.page_hashes(empty.filter("url is null or url = 'n'"))).collect()] == ["m"]
 
 
 def test_nearest(spark):

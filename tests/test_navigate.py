@@ -69,6 +69,16 @@ def test_long_chains_like_a_sequential_walk(spark):
         check(spark, ["x0", "y0", "x100"], pages, cap)
 
 
+def test_repeated_rows_of_a_page_do_not_stop_the_walk(spark):
+    pages = {f"p{i}": ([f"l{i}"], f"p{i + 1}" if i < 15 else None) for i in range(16)}
+    rows = [(u, l, len(l), n) for u, (l, n) in pages.items()] * 2
+    edges = spark.createDataFrame(rows, EDGES)
+    categories = spark.createDataFrame([(0, "c", "p0")], CATS)
+    walked = navigate.walk_pagination(categories, edges)
+    assert walked.count() == 16
+    assert sorted(r.url for r in navigate.frontier(walked, edges).collect()) == sorted(f"l{i}" for i in range(16))
+
+
 def test_links_from_pages(spark):
     html = """<a class="result" href="/product/b">x</a><a class="result" href="?p=1">n</a><a class="result" href="/product/a#top">n</a>
     <link itemprop="url" content="https://h.com/product/a"><a class="result" href="../product/b">again</a><a class="result">none</a>

@@ -1,6 +1,5 @@
-"""Registered queries against their SQL on the smallest tables; SHELFSPARK_ALL=1 runs every one."""
+"""All registered queries against their SQL on the smallest tables."""
 
-import os
 from pathlib import Path
 
 import duckdb
@@ -10,8 +9,6 @@ from shelfspark.plans.oracles import ORACLES
 from shelfspark.plans.queries import QUERIES
 
 SF_DIR = Path("/root/testdata/sf0.001")
-QUICK = ("page_titles", "nav_links", "product_urls", "clean_text", "parse_prices", "extract_catalog", "merge_enrichment", "validate_catalog",
-         "listing_links", "csv_flat", "page_types", "repair_requests", "catalog_products", "catalog_products_answered", "changed_pages")
 KINDS = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 
 
@@ -28,7 +25,7 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.skipif(not SF_DIR.exists(), reason="test tables are absent")
-@pytest.mark.parametrize("name", list(QUERIES) if os.environ.get("SHELFSPARK_ALL") else QUICK)
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     found = QUERIES[name](spark, str(SF_DIR))
     expected = duck.sql(ORACLES[name])

@@ -5,14 +5,15 @@ from pyspark.sql import functions as F
 
 from shelfspark.operators import gapfill, metrics, validate
 from shelfspark.operators.extract import extract_raw
-from shelfspark.streaming.catalog import ARRIVALS, judged_rows, stream_catalog, stream_products
+from shelfspark.streaming import catalog as stream
+from shelfspark.streaming.catalog import ARRIVALS, judged_rows, stream_catalog, stream_products, to_refetch
 from shelfspark.streaming.health import stream_health
 
 TS = "2026-01-01 00:00:00"
 
 
 def arrivals(spark, rows):
-    pages = [((0, 0, i), url, ["c"], page_b().replace("SKU-12345", sku) if sku is not None else "<p>no product") for i, url, sku in rows]
+    pages = [((0, 0, i), url, ["c"], page_b().replace("SC-7", sku) if sku is not None else "<p>no product") for i, url, sku in rows]
     return spark.createDataFrame(pages, ARRIVALS)
 
 
@@ -33,11 +34,23 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
                       ("http://h/5", "duplicate"), ("http://h/7", "ok")}
     kept = stream_products(spark, out)
     assert {(r.url, r.sku) for r in kept.collect()} == {(r.url, r.sku) for r in validate.accepted(batch).collect()}
+    assert [r.url for r in to_refetch(spark, out).collect()] == ["http://h/6"]
     # Nothing new: nothing happens.
     stream_catalog(spark, src, out, TS, SELECTORS_B)
     assert judged_rows(spark, out).count() == 6
 
 
+def test_a_batch_reads_its_own_buckets_only(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    arrivals(spark, [(i, f"http://h/{i}", f"S{i}") for i in range(20)]).coalesce(1).write.parquet(src)
+    stream_catalog(spark, src, out, TS, SELECTORS_B)
+    rows = spark.createDataFrame([("http://h/3",)], "url string")
+    state = stream._earlier(spark, f"{out}/visited", stream._VISITED, rows, "url", 9)
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert [r.url for r in state.filter("url = 'http://h/3'").collect()] == ["http://h/3"]
+
+
 def test_a_retried_batch_replaces_its_output(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     arrivals(spark, [(0, "http://h/1", "A"), (1, "http://h/2", "A")]).coalesce(1).write.parquet(src)

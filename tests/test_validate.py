@@ -1,3 +1,4 @@
+import pytest
 import random
 
 from pyspark.sql import functions as F
@@ -68,3 +69,10 @@ def test_status_and_counts(spark):
     assert {tuple(r) for r in validate.count_by_method(products).collect()} == {("hybrid", 1), ("selector", 1)}
     row = validate.pipeline_status(spark.createDataFrame([("x",)], "url string"), products).first()
     assert (row.urls_processed, row.n_products) == (1, 2)
+
+
+def test_a_repeated_seq_is_refused(spark):
+    rows = spark.createDataFrame([((0, 0, 1),), ((0, 0, 1),)], "seq struct<cat_idx:int,page_num:bigint,pos:int>")
+    with pytest.raises(ValueError):
+        validate.require_unique_seq(rows)
+    assert validate.require_unique_seq(rows.distinct()).count() == 1
