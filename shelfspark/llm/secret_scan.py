@@ -1,7 +1,7 @@
 """Secret scans: candidates from long key-like runs, false positives removed by a random forest, in DataFrame operations only.
 
-Labelled findings come from rules that are sure: provider formats and quoted assignments are secrets, plain letter runs and
-values named as checksums are not. The forest learns from length, character transitions, dictionary coverage, path and
+Labelled findings come from rules that are sure: provider formats and quoted assignments are secrets, plain letter or digit
+runs and values named as checksums are not. The forest learns from length, character transitions, dictionary coverage, path and
 neighbouring words, and decides on all candidates, the many that no rule knows included.
 """
 
@@ -109,7 +109,8 @@ def features(found: DataFrame, grams: DataFrame) -> DataFrame:
 def rule_label(found: DataFrame) -> Column:
     """1 for a sure secret, 0 for a sure false positive, null where no rule knows."""
     named = F.col("before").rlike(_NAMED) & F.col("value").rlike("[0-9].*[0-9]") & ~F.col("value").rlike(_SAMPLE)
-    plain = ~F.col("value").rlike("[0-9]") & ~F.col("before").rlike(_NAMED)
+    # Letter runs are words; runs of digits alone are card, account and phone numbers: personal, but no credentials.
+    plain = ~(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")) & ~F.col("before").rlike(_NAMED)
     return F.when(F.col("value").rlike(_PROVIDER) & ~F.col("value").rlike(_SAMPLE), 1).when(F.col("before").rlike(_CHECKSUM), 0).when(named, 1).when(plain, 0)
 
 
