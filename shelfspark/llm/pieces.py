@@ -80,6 +80,8 @@ class _Lookup:
         self.maybe = np.zeros(1 << _TABLE_BITS, bool)
         self.maybe[hashes >> np.uint64(64 - _TABLE_BITS)] = True
         self.longest, self.power = int(lengths.max()), power
+        self.single = np.zeros(256, bool)
+        self.single[table.content[table.starts[ids[lengths == 1]]]] = True
         self.is_length = np.bincount(lengths, minlength=self.longest + 1) > 0
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +126,8 @@ class _Lattice:
         n = int(lengths.sum())
         left = np.repeat(self.first + lengths, lengths) - np.arange(n)      # bytes from here to the segment's end
         content = data[np.repeat(starts, lengths) + np.arange(n) - np.repeat(self.first, lengths)]
-        froms, ids = [np.arange(n)], [table.byte_ids[content]]
+        bytes_ = np.flatnonzero(~lookup.single[content])             # bytes that are no piece by themselves
+        froms, ids, sizes = [bytes_], [table.byte_ids[content[bytes_]]], [np.ones(len(bytes_), np.int64)]
         live, hashes = np.arange(n), np.zeros(n, np.uint64)
         for k in range(lookup.longest):
             keep = left[live] > k
@@ -136,8 +139,8 @@ class _Lattice:
                 at, found = lookup.find(mix(hashes))
                 froms.append(live[at])
                 ids.append(found)
-        start, piece = np.concatenate(froms), np.concatenate(ids)
-        size = np.where(np.isin(np.arange(len(piece)), np.arange(n)), 1, table.lengths[piece])
+                sizes.append(np.full(len(at), k + 1))
+        start, piece, size = np.concatenate(froms), np.concatenate(ids), np.concatenate(sizes)
         enters = start + size - 1
         order = np.argsort(enters, kind="stable")
         start, self.piece, self.size, enters = start[order], piece[order], size[order], enters[order]
@@ -182,6 +185,8 @@ def _sample(data: np.ndarray, rows: np.ndarray, seeds: np.ndarray, table: PieceT
     starts, lengths = _segments(data, rows)
     one, which = _distinct(data, starts, lengths)
     lattice = _Lattice(data, starts[one], lengths[one], table, lookup)
+    order = np.argsort(which, kind="stable")            # places of one segment together: their edges are in the cache
+    which, starts, lengths = which[order], starts[order], lengths[order]
     row = np.searchsorted(rows, starts, "right") - 1
     seed, shift = seeds[row], rows[row]
     node = lattice.first[which] + lengths - 1
