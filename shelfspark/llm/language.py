@@ -23,7 +23,7 @@ ORDER = 3
 SYMBOLS = 64
 BITS = 6
 DISCOUNT = 0.75
-PORTION = 4 << 20
+PORTION = 1 << 20
 #: Documents that calibrate the confidence, at most.
 MAX_CALIBRATION = 5000
 REJECT_BELOW = 0.5

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from .arrays import mix, portions, powers, text_bytes
 
-PORTION = 6 << 20
+PORTION = 3 << 20
 LONGEST_SEGMENT = 512       # bytes; no piece crosses a cut, and decoding is not affected
 _TABLE_BITS = 20
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -126,9 +126,9 @@ class _Lattice:
         n = int(lengths.sum())
         left = np.repeat(self.first + lengths, lengths) - np.arange(n)      # bytes from here to the segment's end
         content = data[np.repeat(starts, lengths) + np.arange(n) - np.repeat(self.first, lengths)]
-        bytes_ = np.flatnonzero(~lookup.single[content])             # bytes that are no piece by themselves
-        froms, ids, sizes = [bytes_], [table.byte_ids[content[bytes_]]], [np.ones(len(bytes_), np.int64)]
-        live, hashes = np.arange(n), np.zeros(n, np.uint64)
+        bytes_ = np.flatnonzero(~lookup.single[content]).astype(np.int32)    # bytes that are no piece by themselves
+        froms, ids, sizes = [bytes_], [table.byte_ids[content[bytes_]].astype(np.int32)], [np.ones(len(bytes_), np.int32)]
+        live, hashes = np.arange(n, dtype=np.int32), np.zeros(n, np.uint64)
         for k in range(lookup.longest):
             keep = left[live] > k
             live, hashes = live[keep], hashes[keep]
@@ -138,8 +138,8 @@ class _Lattice:
             if lookup.is_length[k + 1]:
                 at, found = lookup.find(mix(hashes))
                 froms.append(live[at])
-                ids.append(found)
-                sizes.append(np.full(len(at), k + 1))
+                ids.append(found.astype(np.int32))
+                sizes.append(np.full(len(at), k + 1, np.int32))
         start, piece, size = np.concatenate(froms), np.concatenate(ids), np.concatenate(sizes)
         enters = start + size - 1
         order = np.argsort(enters, kind="stable")

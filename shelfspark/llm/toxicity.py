@@ -21,8 +21,8 @@ FOLDS = 5
 #: Bounds of the fit: labelled documents of each label, and terms.
 MAX_EXAMPLES = 3000
 MAX_TERMS = 4096
-#: A term must occur in this share of the toxic examples, and so many times as often as in clean ones.
-MIN_SUPPORT, MIN_LIFT = 0.02, 8.0
+#: A term must occur in this share of the toxic examples, so many times as often as in clean ones, with this log-likelihood ratio.
+MIN_SUPPORT, MIN_LIFT, MIN_EVIDENCE = 0.02, 8.0, 6.0
 NEIGHBOURS = 15
 BLOCK = 32
 #: Occurrences per 1,000 bytes from which a run counts as a term of the next level.
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, max
     rate = f"((a + b) / {max(na + nb, 1)}D)"
     ratio = f"(b * ln(b / ({max(nb, 1)}D * {rate})) + if(a > 0, a * ln(a / ({max(na, 1)}D * {rate})), 0D))"
     frequent = f"b >= {max(2.0, MIN_SUPPORT * nb)}D and b * {max(na, 1)}D >= {MIN_LIFT} * (a + 0.5) * {max(nb, 1)}D"
-    top = grams.filter(frequent).selectExpr("term", f"{ratio} as g")
+    top = grams.filter(frequent).selectExpr("term", f"{ratio} as g").filter(F.col("g") >= MIN_EVIDENCE)
     terms = np.array([r.term for r in top.orderBy(F.desc("g"), "term").limit(max_terms).collect()], np.int64).view(np.uint64)
     terms = np.sort(terms)
     def document_frequency(batches):
