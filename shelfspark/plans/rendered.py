@@ -171,11 +171,6 @@ def listing_pages(part: DataFrame, shop: Shop) -> DataFrame:
     return grid.join(cards, ["cat_idx", "page_num"], "left").selectExpr(f"{page_url} as url", f"{html} as html")
 
 
-def site_pages(part: DataFrame, shop: Shop) -> DataFrame:
-    """All pages of the shop: url, html."""
-    return detail_pages(part, shop).select("url", "html").unionByName(listing_pages(part, shop))
-
-
 _FALLBACK_ANSWERS = """array('{"sku": "first", "sku": "R-' || p_partkey || '", "brand": "Acme", "description": " Filled  text ", "price": "$7.50"}',
     'nope', '[1]', '{"brand": true, "price": 3}', '{"sku": null, "brand": "", "price": 0, "description": "D"}', '{"sku": 12345}')"""
 _ENRICH_ANSWERS = """array('{"color": "none", "material": "vinyl", "color": " red ", "unknown": "x", "powder_free": true, "size": 5}',
