@@ -4,14 +4,18 @@ All inputs come from one selector pass over the pages (see `match.listing_fields
 parses HTML. `seq` = (cat_idx, page_num, pos) carries the arrival order through every later step.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import URL_DENY
 from ..functions.products import compute_once, not_in
+from ..functions.running import rows_before
 from ..functions.urls import is_product_url_sql, resolve_all_sql, split_url
 from ..plans.scratch import materialize, materialize_counted
 
+#: Listing pages of a category that one running total covers; totals of blocks come first.
+PAGES_PER_BLOCK = 1024
+
 
 def product_links(matched: DataFrame, deny=URL_DENY) -> DataFrame:
     """Listing edges, one row per page: url, links (first occurrence per page), n_links, next_url."""
@@ -80,9 +84,9 @@ def walk_pagination(categories: DataFrame, edges: DataFrame, cap: int | None = N
     walked = reached.select("cat_idx", "name", "page_num", "url", "n_links")
     if cap is None:
         return walked.withColumn("prior_links", F.lit(0).cast("bigint"))
-    before = Window.partitionBy("cat_idx").orderBy("page_num").rowsBetween(Window.unboundedPreceding, -1)
-    return walked.withColumn("prior_links", F.coalesce(F.sum("n_links").over(before), F.lit(0))).filter(
-        F.col("prior_links") <= cap)
+    counted = walked.withColumn("_block", F.floor(F.col("page_num") / PAGES_PER_BLOCK)).withColumn("n", F.col("n_links"))
+    placed = rows_before(counted, ["cat_idx"], "_block", "page_num").withColumnRenamed("before", "prior_links")
+    return placed.filter(F.col("prior_links") <= cap).drop("_block", "n")
 
 
 def _full_categories(reached: DataFrame, cap: int) -> DataFrame:
