@@ -5,14 +5,16 @@ score goes along to all other shards, where nodes are taken in the order of thei
 centre plus radius times length) until no bound reaches the k-th score. Queries travel in blocks.
 """
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARD = 4096
-LEAF = 64
-QUERY_BLOCK = 512
+SHARD = 16384
+LEAF = 512               # large enough that one product pays for the step; vectors without clusters are pruned little anyway
+QUERY_BLOCK = 8192
 _LOWEST = np.iinfo(np.int64).min
 
 
@@ -20,14 +22,13 @@ class BallTree:
     """Balls over the rows of an integer matrix; children of a node split it at the median along its widest direction."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
-        self.vectors, self.ids = vectors, ids
-        self.points = vectors.astype(np.float64)
-        self.order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids, kind="stable")
+        points = vectors.astype(np.float64)
         self.lo, self.hi, self.left, self.right, centres, radii = [], [], [], [], [], []
         stack = [(0, len(ids), -1, False)]
         while stack:
             lo, hi, parent, is_right = stack.pop()
-            own = self.points[self.order[lo:hi]]
+            own = points[order[lo:hi]]
             centre = own.mean(axis=0)
             node = len(self.lo)
             if parent >= 0:
@@ -38,18 +39,25 @@ class BallTree:
             for column, value in ((self.lo, lo), (self.hi, hi), (self.left, -1), (self.right, -1)):
                 column.append(value)
             if hi - lo > LEAF and radii[-1] > 0:
-                far = own[distance.argmax()]
-                along = own @ (far - centre)
-                self.order[lo:hi] = self.order[lo:hi][np.argsort(along, kind="stable")]
+                along = own @ (own[distance.argmax()] - centre)
+                order[lo:hi] = order[lo:hi][np.argsort(along, kind="stable")]
                 middle = (lo + hi) // 2
                 stack += [(lo, middle, node, False), (middle, hi, node, True)]
+        self.vectors, self.ids, self.points = vectors[order], ids[order], points[order]
         self.centres, self.radii = np.array(centres), np.array(radii)
-        self.safe = float(np.abs(self.points).max(initial=0.0))
+        self.largest = float(np.abs(points).max(initial=0.0))
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """queries x nodes: an upper bound of the products with a node's vectors, rounding included."""
+        q = queries.astype(np.float64)
+        length = np.sqrt((q**2).sum(axis=1))[:, None]
+        bound = q @ self.centres.T + length * self.radii
+        return bound + 1e-9 * (np.abs(bound) + self.largest * length + 1)
 
     def products(self, node: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, exact scores) of a node."""
-        own = self.order[self.lo[node]: self.hi[node]]
-        most = self.safe * float(np.abs(query).max(initial=0)) * len(query)
+        own = slice(self.lo[node], self.hi[node])
+        most = self.largest * float(np.abs(query).max(initial=0)) * len(query)
         if most < 2**53:
             return self.ids[own], (self.points[own] @ query.astype(np.float64)).astype(np.int64)
         if most < 2**62:
@@ -57,17 +65,12 @@ class BallTree:
         exact = [sum(int(a) * int(b) for a, b in zip(row, query)) for row in self.vectors[own]]
         return self.ids[own], np.array([min(max(x, _LOWEST), -_LOWEST - 1) for x in exact], np.int64)
 
-    def search(self, query: np.ndarray, k: int, floor: int, own_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best that reach `floor`; ties to the smaller id; `own_id` takes no part."""
-        length = float(np.sqrt((query.astype(np.float64) ** 2).sum()))
-        bound = self.centres @ query.astype(np.float64) + self.radii * length
-        bound += 1e-9 * (np.abs(bound) + self.safe * length + 1)
+    def search(self, query: np.ndarray, bound: np.ndarray, k: int, floor: int, own_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best that reach `floor`, best bound first; ties to the smaller id; `own_id` takes no part."""
         ids, scores, least = np.zeros(0, np.int64), np.zeros(0, np.int64), floor
-        stack = [0]
-        while stack:
-            node = stack.pop()
-            if bound[node] < least:
-                continue
+        heap = [(-bound[0], 0)]
+        while heap and -heap[0][0] >= least:
+            node = heapq.heappop(heap)[1]
             if self.left[node] < 0:
                 found, value = self.products(node, query)
                 keep = (value >= least) & (found != own_id)
@@ -78,8 +81,8 @@ class BallTree:
                 if len(ids) == k:
                     least = max(least, int(scores.min()))
             else:
-                a, b = self.left[node], self.right[node]
-                stack += [a, b] if bound[a] < bound[b] else [b, a]
+                for child in (self.left[node], self.right[node]):
+                    heapq.heappush(heap, (-bound[child], child))
         return ids, scores
 
 
@@ -91,9 +94,11 @@ def integer_vectors(table: DataFrame, scale: int = 64) -> DataFrame:
         "vec_id", F.transform("embedding", lambda x: F.floor(x * scale)).alias("v"))
 
 
-def _matrix(lists) -> np.ndarray:
-    rows = lists.to_pylist()
-    return np.array(rows, np.int64).reshape(len(rows), -1)
+def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    lists = lists.combine_chunks()
+    if len(np.unique(np.diff(lists.offsets.to_numpy()))) > 1:
+        raise ValueError("vectors differ in length")
+    return lists.flatten().to_numpy().astype(np.int64).reshape(len(lists), -1)
 
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -104,9 +109,10 @@ def _searcher(k: int):
         if not vectors.num_rows or not queries.num_rows:
             return _FOUND.empty_table()
         tree = BallTree(_matrix(vectors.column("v")), vectors.column("vec_id").to_numpy())
-        out = []
-        for query_id, q, floor in zip(queries.column("query_id").to_pylist(), queries.column("q").to_pylist(), queries.column("floor").to_pylist()):
-            ids, scores = tree.search(np.array(q, np.int64), k, _LOWEST if floor is None else floor, query_id)
+        asked, out = _matrix(queries.column("q")), []
+        bounds = tree.bounds(asked)
+        for q, bound, query_id, floor in zip(asked, bounds, queries.column("query_id").to_pylist(), queries.column("floor").to_pylist()):
+            ids, scores = tree.search(q, bound, k, _LOWEST if floor is None else floor, query_id)
             out.append((np.full(len(ids), query_id), ids, scores))
         return pa.table([np.concatenate(c) for c in zip(*out)], schema=_FOUND)
 

@@ -43,7 +43,8 @@ def test_empty_and_large_components(spark):
     assert found == plain(rows, 20, 20)
 
 
-def test_tree_prunes():
+def test_tree_prunes(monkeypatch):
+    monkeypatch.setattr(topk, "LEAF", 64)
     rng = np.random.default_rng(1)
     centres = rng.normal(0, 50, (20, 8))
     vectors = (centres[rng.integers(0, 20, 4000)] + rng.normal(0, 1, (4000, 8))).astype(np.int64)
@@ -51,5 +52,5 @@ def test_tree_prunes():
     seen = []
     inner = tree.products
     tree.products = lambda node, q: seen.append(node) or inner(node, q)
-    tree.search(vectors[7], 10, topk._LOWEST, 7)
+    tree.search(vectors[7], tree.bounds(vectors[7:8])[0], 10, topk._LOWEST, 7)
     assert len(seen) < sum(left < 0 for left in tree.left) / 2
