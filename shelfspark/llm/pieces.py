@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from .arrays import mix, portions, powers, text_bytes
 
-PORTION = 3 << 20
+PORTION = 1 << 20
 LONGEST_SEGMENT = 512       # bytes; no piece crosses a cut, and decoding is not affected
 _TABLE_BITS = 20
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
