@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .arrays import mix, portions, text_bytes
 
 GRAM = 5
-PORTION = 4 << 20
+PORTION = 1 << 20
 FOLDS = 5
 #: Bounds of the fit: labelled documents of each label, and terms.
 MAX_EXAMPLES = 3000
