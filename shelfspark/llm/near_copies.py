@@ -1,0 +1,139 @@
+"""Near copies by exact Jaccard similarity of word shingles, found by prefix filtering.
+
+All shingles have one order, frequent ones last. Two texts at a similarity of 0.8 or more share a shingle among the first
+n - ceil(0.8 n) + 1 of each, so every such pair meets in a bucket; which order it is decides the cost only, never the result.
+Each link is confirmed on the full sets. A set holds 64-bit hashes, and a text stands as the hash of its bytes.
+"""
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans.scratch import materialize
+from .components import components
+
+SEED = 42
+#: One text in SAMPLED is counted for the order of shingles; LISTED frequent ones are told apart at most.
+SAMPLED = 16
+LISTED = 1_000_000
+LEAST_COUNT = 8
+
+
+def shingle_hashes(text: str | bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of every run of `shingle` words, as bytes in rows of 8; of all words where there are fewer, none without words."""
+    words = (text.encode() if isinstance(text, str) else text or b"").lower().split()
+    if not words:
+        return np.zeros((0, 8), np.uint8)
+    whole = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate([[0], ends[:-1]]).tolist()
+    ends = (ends - 1).tolist()
+    digest = xxhash.xxh64_digest
+    last = ends[shingle - 1:] if len(words) >= shingle else ends[-1:]
+    return np.frombuffer(b"".join([digest(whole[a:b], SEED) for a, b in zip(starts, last)]), np.uint8).reshape(-1, 8)
+
+
+def _set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Distinct shingles, sorted. Texts without words share the one value 0."""
+    found = shingle_hashes(text, shingle)
+    return np.unique(found.view(np.int64).ravel()) if len(found) else np.zeros(1, np.int64)
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """id, shingles of each row of (id, text)."""
+
+    def work(batches):
+        for batch in batches:
+            ids, texts = batch.column("id"), batch.column("text").cast(pa.binary())
+            for lo in range(0, len(ids), 256):
+                sets = [_set(t.as_py(), shingle) for t in texts.slice(lo, 256)]
+                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, 256), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], ["id", "shingles"])
+
+    return texts.mapInArrow(work, "id long, shingles array<long>")
+
+
+def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(frequent shingles, sorted; how often each was counted)."""
+    rows = _sets(texts.filter(f"pmod(id, {SAMPLED}) = 0"), shingle).select(F.explode("shingles").alias("key"))
+    counted = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(f"n >= {LEAST_COUNT}"), "frequent")
+    total = counted.agg(F.sum("n").alias("n")).first().n or 0
+    found = counted.filter(F.col("n") >= max(LEAST_COUNT, total // LISTED)).toArrow()
+    keys, n = found.column("key").to_numpy(), found.column("n").to_numpy()
+    by = np.argsort(keys)
+    return keys[by], n[by]
+
+
+def _prefixes(texts: DataFrame, shingle: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key, id, n (size of the set), at (place of the key in the order) of the first shingles of each text."""
+    listed, counts = frequent
+
+    def work(batches):
+        for batch in batches:
+            ids, texts = batch.column("id").to_numpy(), batch.column("text").cast(pa.binary())
+            for lo in range(0, len(ids), 256):
+                keys, sizes = [], []
+                for text in texts.slice(lo, 256):
+                    own = _set(text.as_py(), shingle)
+                    if len(listed):
+                        slot = np.minimum(np.searchsorted(listed, own), len(listed) - 1)
+                        own = own[np.argsort(np.where(listed[slot] == own, counts[slot], 0), kind="stable")]
+                    sizes.append(len(own))
+                    keys.append(own[: len(own) - (4 * len(own) + 4) // 5 + 1])
+                each = [len(k) for k in keys]
+                columns = [np.concatenate(keys), np.repeat(ids[lo: lo + 256], each), np.repeat(np.array(sizes, np.int32), each),
+                           np.concatenate([np.arange(e, dtype=np.int32) for e in each])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "n", "at"])
+
+    return texts.mapInArrow(work, "key long, id long, n int, at int")
+
+
+def _pairs(groups: DataFrame, every: bool) -> DataFrame:
+    """(a, b), distinct: neighbours by id in each bucket, or every pair of two roots; without those whose sizes and places rule 0.8 out."""
+
+    def work(batches):
+        for batch in batches:
+            lists = batch.column("members")
+            offsets = lists.offsets.to_numpy()
+            ids, n, at, root = (lists.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("id", "n", "at", "root"))
+            rest = n - at
+            for lo, hi in zip(offsets[:-1], offsets[1:]):
+                for i in range(lo, hi - 1):
+                    j = np.arange(i + 1, hi if every else i + 2)
+                    # Right for the first shingle that two texts share: what follows is all that they can have in common.
+                    near = (9 * np.minimum(rest[i], rest[j]) >= 4 * (n[i] + n[j])) & (not every or root[i] != root[j])
+                    j = j[near]
+                    if len(j):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), ids[i])), pa.array(ids[j])], ["a", "b"])
+
+    return groups.select("members").mapInArrow(work, "a long, b long").distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with a Jaccard similarity of 0.8 or more."""
+    both = pairs.join(sets.selectExpr("id as a", "shingles as sa"), "a").join(sets.selectExpr("id as b", "shingles as sb"), "b")
+    return both.filter("9L * size(array_intersect(sa, sb)) >= 4L * (size(sa) + size(sb))").select("a", "b")
+
+
+def _members(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("id", "n", "at", "root"))).alias("members"))
+
+
+def near_roots(texts: DataFrame, shingle: int = 5) -> DataFrame:
+    """(id, text), equal ids with equal texts -> (node, root) of every id that is linked; links are the pairs at 0.8 or more.
+
+    First the neighbours in each bucket are compared, which joins large groups of copies along chains; then all pairs in a
+    bucket that the chains have left apart.
+    """
+    rows = _prefixes(texts, shingle, _frequent(texts, shingle)).withColumn("root", F.col("id"))
+    groups = materialize(_members(rows).filter("size(members) > 1"), "buckets")
+    needed = groups.select(F.explode("members.id").alias("id")).distinct()
+    sets = materialize(_sets(texts.join(needed, "id", "left_semi"), shingle).dropDuplicates(["id"]), "sets")
+    links = materialize(_confirmed(_pairs(groups, False), sets), "chains")
+    roots = components(links)
+    rows = groups.filter("size(members) > 2").select("key", F.explode("members").alias("m")).select("key", "m.id", "m.n", "m.at")
+    rows = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    apart = _members(rows).filter("array_min(members.root) <> array_max(members.root)")
+    return components(links.unionByName(_confirmed(_pairs(apart, True), sets)))
