@@ -1,7 +1,8 @@
-"""Secret scans: candidates from long key-like runs, false positives removed by a random forest, in DataFrame operations only.
+"""Secret scans: candidates from long key-like runs and named assignments, false positives removed by a random forest, in DataFrame operations only.
 
-Labelled findings come from rules that are sure: provider formats and quoted assignments are secrets, plain letter or digit
-runs and values named as checksums are not. The forest learns from length, character transitions, dictionary coverage, path and
+Labelled findings come from rules that are sure: provider formats and named values that no word looks like are secrets, plain letter
+or digit runs, named words and placeholders, and values named as checksums are not. A secret that a rule is sure of is reported whatever
+the forest says. The forest learns from length, character transitions, dictionary coverage, path and
 neighbouring words, and decides on all candidates, the many that no rule knows included.
 """
 
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.products import compute_once
 from ..plans.scratch import materialize, scratch_path
 
-LEAST = 16                  # shortest candidate; passwords and keys in the open are longer than words
+LEAST = 16                  # shortest run in the open; what stands there is longer than words
+LEAST_NAMED = 4             # shortest value of a named assignment
 THRESHOLD = 0.5
 #: Labelled findings of each label to learn from, at most.
 MAX_FINDINGS = 4000
@@ -31,7 +33,13 @@ REDACTED = "[REDACTED]"
 _RUN = r"[A-Za-z0-9+/_\-]{%d,}={0,2}" % LEAST
 # Formats of public providers (fixed values).
 _PROVIDER = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_\-]{35})$"
-_NAMED = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private)[a-z_\-]*[\"']?\s*[:=]\s*[\"']?$"
+_ASSIGNMENT = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private)[a-z_\-]*[\"']?\s*[:=]>?\s*"
+_NAMED = rf"(?i){_ASSIGNMENT}[\"']?$"
+# What an assignment gives: all between quotes on a line, else all up to a blank without the marks that close a phrase.
+_VALUE = r"""(?:(")([^\n]*?[^\\\n])(?=")|(')([^\n]*?[^\\\n])(?=')|(["']?)(\S*[^\s,;.)\]}"']))"""
+_MARK = "\x01\x02shelf\x02\x01"     # stands around values while a text is split
+_PASSWORD = r"(?i)(?:pass(?:word|wd|phrase)?|pwd)[a-z_\-]*[\"']?\s*[:=]>?\s*[\"']?$"
+_PLACEHOLDER = r"(?i)^\$[{(]|^<[a-z_ -]+>?$|^\{\{|^%[(]|[A-Za-z_]\(|://|^(?:none|null|nil|true|false|undefined|required|optional)$"
 _NAME = r"(?i)pass(?:word|wd|phrase)?|pwd|secret|token|key|auth|credential|bearer|private"
 _CHECKSUM = r"(?i)\b(?:sha\d*|md5|crc|checksum|digest|commit|revision|uuid|guid|etag|build|version|id)\b"
 _SAMPLE = r"(?i)example|sample|test|dummy|fixture|placeholder|xxxx|changeme"
@@ -40,7 +48,8 @@ FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "distinct_chars",
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, row, path, word, value, before, after: every key-like run of LEAST characters or more.
+    """doc_id, row, path, word, value, before, after: every key-like run of LEAST characters or more, and every whole value of a named
+    assignment of LEAST_NAMED or more that is no such run itself.
 
     `word` counts white-space words of the text from 0; `before` holds the two words before and what stands before the run in
     its own word; `path` is the column `source` where there is one. Null and empty texts hold none.
@@ -54,9 +63,24 @@ def candidates(docs: DataFrame) -> DataFrame:
               "'after', coalesce(get(w, i + 1), ''))))")
     tokens = base.withColumn("at", F.expr(at)).select("doc_id", "row", "path", F.expr(around))
     runs = tokens.select("*", F.explode(F.array_distinct(F.regexp_extract_all("token", F.lit(f"({_RUN})"), 1))).alias("value"))
-    return runs.select("doc_id", "row", "path", F.col("word").cast("long").alias("word"), "value",
+    runs = runs.select("doc_id", "row", "path", F.col("word").cast("long").alias("word"), "value",
                        F.concat_ws(" ", "front", F.expr("substring_index(token, value, 1)")).alias("before"),
                        "after")
+    return runs.unionByName(_assigned(docs, path, text))
+
+
+def _assigned(docs: DataFrame, path: Column, text: Column) -> DataFrame:
+    """The values of named assignments, with the columns of candidates()."""
+    marked = F.regexp_replace(text, f"(?i)({_ASSIGNMENT}){_VALUE}", f"$1$2$4$6{_MARK}$3$5$7{_MARK}")
+    parts = F.split(marked, _MARK)      # what stands before a value and the value in turns, at last what stands after
+    base = compute_once(docs, [parts.alias("p")], [F.col("doc_id"), F.xxhash64(text).alias("row"), path.alias("path")]).filter("size(p) > 1")
+    base = compute_once(base, [F.expr(r"transform(p, x -> regexp_count(x, '\\s+'))").alias("blanks")], [F.col(c) for c in base.columns])
+    each = ("inline(transform(sequence(1, size(p) - 2, 2), i -> named_struct('word', aggregate(slice(blanks, 1, i), 0L, (s, x) -> s + x), 'value', p[i], "
+            "'front', p[i - 1], 'rest', p[i + 1])))")
+    found = base.select("doc_id", "row", "path", F.expr(each)).filter((F.length("value") >= LEAST_NAMED) & ~F.col("value").rlike(f"^{_RUN}$"))
+    front = F.split("front", r"\s+")
+    before = F.array_join(F.slice(front, F.greatest(F.size(front) - 2, F.lit(1)), F.lit(3)), " ")
+    return found.select("doc_id", "row", "path", "word", "value", before.alias("before"), F.regexp_extract("rest", r"^\S*\s+(\S*)", 1).alias("after"))
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -107,11 +131,17 @@ def features(found: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def rule_label(found: DataFrame) -> Column:
-    """1 for a sure secret, 0 for a sure false positive, null where no rule knows."""
-    named = F.col("before").rlike(_NAMED) & F.col("value").rlike("[0-9].*[0-9]") & ~F.col("value").rlike(_SAMPLE)
+    """1 for a sure secret, 0 for a sure false positive, null where no rule knows. `found` has the columns FEATURES."""
+    value, before = F.col("value"), F.col("before")
+    classes = sum((value.rlike(c).cast("int") for c in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]")), F.lit(0))
+    # Two digits, three kinds of characters, or in a password one digit or a mark that words do not have.
+    odd = value.rlike("[0-9].*[0-9]") | (classes >= 3) & ~value.rlike(r"\s") | before.rlike(_PASSWORD) & value.rlike(r"^\S*[^\sA-Za-z\-'./_]\S*$")
+    named = before.rlike(_NAMED) & odd & ~value.rlike(_SAMPLE) & ~value.rlike(_PLACEHOLDER)
     # Letter runs are words; runs of digits alone are card, account and phone numbers: personal, but no credentials.
-    plain = ~(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")) & ~F.col("before").rlike(_NAMED)
-    return F.when(F.col("value").rlike(_PROVIDER) & ~F.col("value").rlike(_SAMPLE), 1).when(F.col("before").rlike(_CHECKSUM), 0).when(named, 1).when(plain, 0)
+    plain = ~(value.rlike("[0-9]") & value.rlike("[A-Za-z]")) & ~before.rlike(_NAMED)
+    word = before.rlike(_NAMED) & (value.rlike(_PLACEHOLDER) | value.rlike("^[A-Z]?[a-z]+$") & ~before.rlike("[\"']$") & (F.col("coverage") >= 1))
+    provider = value.rlike(_PROVIDER) & ~value.rlike(_SAMPLE)
+    return F.when(provider, 1).when(before.rlike(_CHECKSUM) & ~before.rlike(_NAMED), 0).when(named, 1).when(plain | word, 0)
 
 
 @dataclass
@@ -160,6 +190,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     found = found.withColumn("label", rule_label(found))
     found = materialize(found, "candidates")
     scored = classify(found, train(found if labelled is None else labelled))
+    scored = scored.withColumn("score", F.when(F.col("label") == 1, 1.0).otherwise(F.col("score")))
     kind = F.when(F.col("value").rlike(_PROVIDER), "provider").when(F.col("before").rlike(_NAMED), "named").otherwise("unnamed")
     return scored.filter(F.col("score") >= threshold).select("doc_id", "row", "word", "value", kind.alias("kind"), "score")
 

@@ -85,3 +85,21 @@ def test_own_labels_and_native_plan(spark):
     assert "Python" not in plan and "Arrow" not in plan
     row = found.filter("value like 'AKIA%'").first()
     assert row.length == 20 and abs(row.digits + row.uppers - 1) < 1e-9 and row.hex_only == 0
+
+
+PASSWORDS = [('login password="Tr0ub4dor&3" ok', "Tr0ub4dor&3"), ("pwd: hunter2!x then", "hunter2!x"), ("the password = P@ss.w0rd!Long$one, see", "P@ss.w0rd!Long$one"),
+             ("{\"db_password\": \"my dog's 3 legs\", \"a\": 1}", "my dog's 3 legs"), ("secret='aB3$' x", "aB3$"), ("user x\npassword:\n  hunter2\n", "hunter2"),
+             ("password=é1ü2 end", "é1ü2"), ('a passwd => "x\\"y7" b', 'x\\"y7'), ("id 7 password: k9#z", "k9#z")]
+
+
+def test_short_and_punctuated_passwords(spark):
+    extra = [(1000 + i, t, "x") for i, (t, _) in enumerate(PASSWORDS)]
+    extra += [(2000, "the secret: nothing", "x"), (2001, "password: <your password>", "x"), (2002, "password = getenv('DB_PASS1')", "x")]
+    df = frame(spark, extra + extra[:1])
+    found = [r for r in secret_scan.scan(df).collect() if r.doc_id >= 1000]
+    assert sorted((r.doc_id, r.value) for r in found if r.doc_id < 2000) == sorted([(1000 + i, v) for i, (_, v) in enumerate(PASSWORDS)] + [(1000, PASSWORDS[0][1])])
+    assert not [r for r in found if r.doc_id > 2000]
+    assert all(PASSWORDS[r.doc_id - 1000][0].split()[r.word].strip("\"',").endswith(r.value.split()[0].strip("\"'")) for r in found if r.doc_id < 2000)
+    texts = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    for i, (t, v) in enumerate(PASSWORDS):
+        assert texts[1000 + i] == t.replace(v, secret_scan.REDACTED)
