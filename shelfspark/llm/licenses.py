@@ -42,7 +42,8 @@ PERMITTED = frozenset({
     "cc-by-3.0", "mit-0", "0bsd", "zlib",
 })
 REFUSED = frozenset({"reserved", "proprietary", "noncommercial", "cc-by-nc", "cc-by-nd"})
-_EXPRESSION = re.compile(rb"(?i)spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[\t ]*:?[\t ]*([0-9A-Za-z.+:()\t -]{1,400})")
+_TAGGED = re.compile(rb"(?i)spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[\t ]*:?[\t ]*")
+_EXPRESSION = re.compile(rb"[0-9A-Za-z.+:()\t -]+")
 _TOKEN = re.compile(r"\(|\)|[0-9A-Za-z.+:-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 # A-Z lower, 0-9 a-z and all bytes of other characters as they are, everything else a blank.
@@ -55,7 +56,8 @@ def parse_expression(text: str) -> list[str] | None:
     `with` binds its exception first, then `and`, then `or`. Words after a complete expression end it.
     """
     out, stack, want = [], [], True
-    for token in _TOKEN.findall(text):
+    for found in _TOKEN.finditer(text):
+        token = found[0]
         low = token.lower()
         if want:
             if token == "(":
@@ -135,8 +137,10 @@ def scan_text(raw: bytes | None, finder: ahocorasick.Automaton) -> dict:
         else:
             labels.add(NOTICES[phrase])
     expressions, met = [], []
-    for found in _EXPRESSION.findall(raw) if tagged else ():
-        postfix = parse_expression(found.decode())
+    tags = list(_TAGGED.finditer(raw)) if tagged else []
+    for tag, end in zip(tags, [t.start() for t in tags[1:]] + [len(raw or b"")]):
+        found = _EXPRESSION.match(raw, tag.end(), end)
+        postfix = parse_expression(found[0].decode()) if found else None
         if postfix:
             expressions.append(" ".join(postfix))
             labels.update(identifiers(postfix))

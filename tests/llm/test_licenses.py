@@ -66,3 +66,12 @@ def test_labels_of_its_own(spark):
     assert found[3] == ("reserved", 0.0, [])
     assert found[4][0] == "cc-by,cc-by-nc,licensed" and found[4][1] == 0.25
     assert found[5] == ("", 0.5, []) and found[6] == ("", 0.5, [])
+
+
+def test_long_expressions_are_read_whole():
+    finder = licenses.automaton([*licenses.BASE, *licenses.NOTICES, licenses.TAG])
+    names = [f"license-number-{i}" for i in range(200)]
+    inner = " AND ".join(names)
+    found = licenses.scan_text(f"SPDX-License-Identifier: MIT OR ({inner})\nrest SPDX-License-Identifier: ISC SPDX-License-Identifier: 0BSD".encode(), finder)
+    assert found["expressions"] == [" ".join(["mit", *names[:2], *(x for n in names[2:] for x in ("and", n)), "and", "or"]), "isc", "0bsd"]
+    assert found["labels"] == ",".join(sorted({*names, "mit", "isc", "0bsd"})) and found["score"] == 1.0
