@@ -25,7 +25,11 @@ RECORD_SQL = ("page_id string, type string, record_id string, refers_to string,
               "headers array<struct<name string, value string>>, block binary")
 
 # Elements without readable text, and elements that end a line.
-_HIDDEN = ("script", "style", "noscript", "template", "head")
+_HIDDEN = ("noscript", "template")
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^<>]*>?", re.I) for n in ("script", "style", "title")}
+# What may stand in a head; any other element, and any text, begins the body.
+_IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
+_CLOSED = re.compile(r"</(noscript|template|title)(?=[\s/>])", re.I)
 _LINE = ("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre "
          "section table td th tr ul").split()
 _MARKUP = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9]*)(?P<rest>[^<>]*)>|[!?/][^<>]*>)", re.S)
@@ -41,21 +45,41 @@ def digest(data: bytes) -> str:
 def plain_text(markup: str) -> str:
     """Readable text of a page: hidden elements and comments go, block elements end a line, references are resolved.
 
-    An element that hides its content and is never closed hides the rest of the page; a `<` that opens no tag is text.
+    A head ends at its end tag, at the body, or at the first element or text that cannot stand in it. A script, a style and a
+    head's title are raw up to their own end tag; a script, style or comment that is never closed hides the rest of the page,
+    as in a browser, any other element hides nothing then. A `<` that opens no tag is text.
     """
-    out, at, hidden = [], 0, None
-    for found in _MARKUP.finditer(markup):
+    out, at, hidden, head = [], 0, None, False
+    last = {found[1].lower(): found.start() for found in _CLOSED.finditer(markup)}
+    while found := _MARKUP.search(markup, at):
         if hidden is None:
-            out.append(markup[at: found.start()])
+            text = markup[at: found.start()]
+            head = head and not text.strip()
+            out.append(text)
         at = found.end()
         name = (found["name"] or "").lower()
-        if hidden:
+        opens = name and not found["close"] and not found["rest"].endswith("/")
+        if opens and (name in ("script", "style") or name == "title" and head and not hidden):
+            end = _RAW[name].search(markup, at) if name != "title" or at <= last.get(name, -1) else None
+            if end:
+                at = end.end()
+            elif name == "title":
+                at = start if (start := markup.find("<", at)) >= 0 else len(markup)
+            else:
+                at, hidden = len(markup), name
+                break
+        elif hidden:
             if found["close"] and name == hidden:
                 hidden = None
-        elif name in _HIDDEN and not found["close"] and not found["rest"].endswith("/"):
+        elif opens and name in _HIDDEN and found.start() < last.get(name, -1):
             hidden = name
-        elif name in _LINE:
-            out.append("\n")
+        else:
+            if name == "head" and not head:
+                head = bool(opens)
+            elif head and name:
+                head = name not in ("head", "body", "html", "br") if found["close"] else name in _IN_HEAD
+            if name in _LINE:
+                out.append("\n")
     if hidden is None:
         out.append(markup[at:])
     lines = (" ".join(line.split()) for line in html.unescape("".join(out)).split("\n"))

@@ -76,3 +76,19 @@ def test_round_trip_through_files(spark, tmp_path):
     with pytest.raises(ValueError):
         warc.from_bytes(raw[:-10] + b"0123456789")
     assert warc.build(frame(spark).limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("markup, text", [
+    ("<html><head><title>T</title><meta x><body><p>one</p>two</html>", "one\ntwo"), ("<head><title>a <b> c</title><link x><p>one", "one"),
+    ("<head><title>T</title>bare text<p>one", "bare text\none"), ("<head><title>T<p>one", "one"), ("<head><script>a</script></head>b", "b"),
+    ("a<noscript>b<p>c", "ab\nc"), ("a<template>b<p>c", "ab\nc"), ("a<noscript>b</noscript>c<noscript>d", "acd"),
+    ("<p>a<script>x = '<!-- <p>';</script>b", "ab"), ("<script>if (a</b) '</scripts>'</SCRIPT >b", "b"), ("<style>/* <!-- */</style>q", "q"),
+    ("<head><noscript><style>x</style></noscript><title>t</title></head><body>b", "b"),
+])
+def test_pages_without_end_tags(markup, text):
+    assert warc.plain_text(markup) == text
+
+
+def test_unclosed_titles_take_linear_time():
+    for piece in ("<head><title>", "<noscript>", "<template>", "<script/>", "<title>x"):
+        assert warc.plain_text("<head>" + piece * 100_000) is not None
