@@ -78,3 +78,50 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     parts = _BYTE[data]
     parts *= powers(int(at.max()) + 1)[at]
     return mix(np.add.reduceat(parts, starts)), np.searchsorted(starts, rows)
+
+
+_BACK = np.uint64(pow(int(_ODD), -1, 1 << 64))
+_ANY = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+_LADDER = [powers(1), powers(1)]
+
+
+def _ladder(n: int) -> list[np.ndarray]:
+    """The powers of a constant and of its inverse modulo 2**64, n of each at least; kept between calls."""
+    if len(_LADDER[0]) < n:
+        n = max(n, 2 * len(_LADDER[0]))
+        back = np.full(n, _BACK, np.uint64)
+        back[0] = 1
+        _LADDER[:] = [powers(n), np.multiply.accumulate(back)]
+    return _LADDER
+
+
+def rolling_sums(values: np.ndarray) -> np.ndarray:
+    """Prefix sums from which `window_hashes` takes the hash of any window; `values` are bytes or 64-bit values."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    terms = _ANY[values] if values.dtype == np.uint8 else values.copy()
+    terms *= _ladder(len(values) + 1)[0][: len(values)]
+    np.cumsum(terms, out=out[1:])
+    return out
+
+
+def window_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each window [start, end), the same wherever the window stands."""
+    found = (sums[ends] - sums[starts]) * _ladder(len(sums))[1][starts]
+    return mix(found ^ ((ends - starts).astype(np.uint64) * _ODD))
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _IS_GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends of all words, offsets of the rows in them); words are runs of bytes outside `gaps`, within a row."""
+    inside = np.zeros(len(data) + 1, bool)
+    np.logical_not(gaps[data], out=inside[:-1])
+    turn = np.empty(len(data) + 1, bool)
+    turn[0] = inside[0]
+    np.not_equal(inside[1:], inside[:-1], out=turn[1:])
+    first = inside & turn
+    cut = offsets[:-1]
+    first[cut] |= inside[cut]
+    last = ~inside & turn
+    cut = cut[(cut > 0) & inside[cut]]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last)
+    ends = np.union1d(ends, cut[inside[cut - 1]])
+    return starts, ends, np.searchsorted(starts, offsets)
