@@ -4,26 +4,39 @@ Every bit position has a code of (radius + 1) bits, and each non-zero vector of
 code has an odd product with it. Some vector is orthogonal to the codes of any `radius` positions, so every pair within the
 radius agrees on a mask and meets in its table. With several parts the bits are split first: a pair within the radius is
 within radius // parts in one of them.
-
-`keep_one` asks for a similarity of shingles, which fingerprints only estimate; it links by `near_copies` instead.
 """
 
 import random
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
 from .components import components
-from .near_copies import near_roots, shingle_hashes
 
 BITS = 64
+SEED = 42
 #: A bucket with more fingerprints is split by a second covering, which loses no pair either.
 SPLIT_ABOVE = 2048
 
 
+def shingle_hashes(text: str | bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of every run of `shingle` words, as bytes in rows of 8; of all words where there are fewer, none without words."""
+    words = (text.encode() if isinstance(text, str) else text or b"").lower().split()
+    if not words:
+        return np.zeros((0, 8), np.uint8)
+    whole = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate([[0], ends[:-1]]).tolist()
+    ends = (ends - 1).tolist()
+    digest = xxhash.xxh64_digest
+    last = ends[shingle - 1:] if len(words) >= shingle else ends[-1:]
+    return np.frombuffer(b"".join([digest(whole[a:b], SEED) for a, b in zip(starts, last)]), np.uint8).reshape(-1, 8)
+
+
 def fingerprint(text: str | bytes | None, shingle: int = 4) -> int:
     """Majority of the bits of the shingles' XXH64; zero without words."""
     each = shingle_hashes(text, shingle)
@@ -120,6 +133,14 @@ def near_links(fps: DataFrame, radius: int = 4, parts: int = 1) -> DataFrame:
     return groups.mapInArrow(_trees(radius), "a long, b long")
 
 
+def _grouped(docs: DataFrame, shingle: int, radius: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, fp of every row of `docs`; fp, first, root of every distinct fingerprint, first being its smallest doc_id), both stored."""
+    found = materialize(fingerprints(docs, shingle), "fingerprints")
+    classes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    roots = components(near_links(classes, radius, parts)).withColumnRenamed("node", "fp")
+    return found, materialize(classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_components(docs: DataFrame, shingle: int = 4, radius: int = 4, parts: int = 1) -> DataFrame:
     """doc_id, fp, component_id of every row of `docs` (doc_id, text; other columns are ignored).
 
@@ -127,27 +148,25 @@ def near_components(docs: DataFrame, shingle: int = 4, radius: int = 4, parts: i
     zero and link like any other; repeated rows come out as often as they came in; a null doc_id never names a component
     unless all its members have none.
     """
-    found = materialize(fingerprints(docs, shingle), "fingerprints")
-    classes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(near_links(classes, radius, parts)).withColumnRenamed("node", "fp")
-    classes = classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    found, classes = _grouped(docs, shingle, radius, parts)
     named = classes.join(classes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One row of each group of near copies, all columns: the smallest doc_id (a null one last), and of its texts that with the smallest hash.
+def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, parts: int = 1) -> DataFrame:
+    """One row of each component of `near_components`, all columns: the smallest doc_id (a null one last), and of its texts that with the smallest hash.
 
-    Near copies have a Jaccard similarity of their distinct `shingle`-word shingles of 0.8 or more; groups are what such links
-    connect. A text of fewer words is one shingle; texts without words are copies of each other and of nothing else. Repeated
-    rows count as one.
+    Repeated rows of the chosen doc_id and text count as one. No similarity of words is asked for beside the bit distance. Any
+    column names may stand beside doc_id and text. An empty table stays empty.
     """
-    text = F.col("text").cast("string")
-    texts = docs.select(F.xxhash64(text).alias("id"), text.alias("text"))
-    roots = near_roots(texts, shingle).withColumnRenamed("node", "row")
-    members = docs.select("doc_id", F.xxhash64(text).alias("row")).join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    best = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
-    best = materialize(best.select(F.col("best.doc_id").alias("__doc"), F.col("best.row").alias("__kept")), "kept")
-    marked = docs.withColumn("__row", F.xxhash64(text))
-    kept = marked.join(best, marked["doc_id"].eqNullSafe(best["__doc"]) & (marked["__row"] == best["__kept"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__row"]).drop("__row")
+    found, classes = _grouped(docs, shingle, radius, parts)
+    # Copies are thinned to one per fingerprint before anything is gathered by component.
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    firsts = found.groupBy("fp").agg(F.min(rank).alias("best")).join(classes, "fp")
+    best = firsts.groupBy("root").agg(F.min("best").alias("best")).select(F.xxhash64("best.none", "best.doc_id", "best.row").alias("key"))
+    name = "key"
+    while name in docs.columns:
+        name += "_"
+    of_row = F.xxhash64(F.col("doc_id").cast("long").isNull(), F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
+    kept = docs.withColumn(name, of_row).join(materialize(best, "kept").withColumnRenamed("key", name), name, "left_semi")
+    return kept.dropDuplicates([name]).select(*docs.columns)

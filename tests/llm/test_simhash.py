@@ -73,15 +73,22 @@ def test_components_like_brute_force(spark, monkeypatch, split_above):
 
 
 def test_keep_one(spark):
-    rows = [(5, "a b c d e f g", "x", 1), (3, "a b c d e f g", "y", 2), (3, "a b c d e f g", "y", 2), (8, "other words stand in this text", "z", 3),
+    rows = [(5, "a b c d e f g", "x", 1), (3, "A b c d e f g", "y", 2), (3, "A b c d e f g", "y", 2), (8, "other words stand in this text", "z", 3),
             (None, "quite another text is here now", None, 4), (None, "and one more text that is different", None, 5), (None, "a b c d e f g", None, 6)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, row int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, row int")
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.row) for r in kept.collect()) == [(0, 4), (0, 5), (3, 2), (8, 3)]
     assert simhash.keep_one(docs.limit(0)).collect() == []
 
 
+def test_keep_one_keeps_the_smallest_of_each_component(spark):
+    rows = documents()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = {r.component_id for r in simhash.near_components(docs).collect()}
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(names)
+
+
 def test_graph_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7), (None, 1)]
@@ -102,40 +109,3 @@ def test_trees_span(spark):
     links = [tuple(r) for r in df.mapInArrow(simhash._trees(1), "a long, b long").collect()]
     assert len(links) == 5 and all((a ^ b).bit_count() == 1 for a, b in links)
     assert len({x for pair in links for x in pair}) == 6
-
-
-def plain_shingles(text):
-    w = (text or "").encode().lower().split()
-    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
-
-
-def near_texts():
-    rng = random.Random(11)
-    vocabulary = [f"w{i}" for i in range(400)]
-    common = " ".join(rng.choice(vocabulary) for _ in range(30))
-    rows = []
-    for size in (1, 3, 5, 6, 7, 12, 20, 60, 200):
-        for _ in range(3):
-            base = [rng.choice(vocabulary) for _ in range(size)]
-            for edits in (0, 0, 1, 1, 2, 3, 4, 6):
-                w = list(base)
-                for _ in range(edits):
-                    w[rng.randrange(len(w))] = rng.choice(vocabulary)
-                rows.append(" ".join(w) if edits else " ".join(w).upper())
-    rows += [f"{common} {rng.choice(vocabulary)} {rng.choice(vocabulary)}" for _ in range(60)] + [common + " x" * n for n in range(20)]
-    return rows + ["", None, " \n", "0", "a b a b a b a b a b", "b a b a b a b a b a"]
-
-
-@pytest.mark.parametrize("least", [8, 1])
-def test_keep_one_like_brute_force_jaccard(spark, monkeypatch, least):
-    from shelfspark.llm import near_copies
-
-    monkeypatch.setattr(near_copies, "LEAST_COUNT", least)
-    texts = near_texts()
-    sets = [plain_shingles(t) for t in texts]
-    roots = plain_roots(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
-    smallest = {}
-    for i, r in enumerate(roots):
-        smallest[r] = min(smallest.get(r, i), i)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(smallest.values())
