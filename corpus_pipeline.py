@@ -7,8 +7,8 @@ from shelfspark.llm import decontaminate, pieces, secret_scan, simhash, toxicity
 from shelfspark.plans.scratch import materialize
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words of a shingle; near copies share 0.8 or more of theirs.
-SHINGLE = 5
+#: Words of a shingle, and the bits in which the fingerprints of near copies may differ.
+SHINGLE, RADIUS = 4, 4
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, the one with the smallest doc_id."""
-    return simhash.keep_one(docs, SHINGLE)
+    """One row of each group of near copies, the one with the smallest doc_id; texts without words are copies of each other."""
+    return simhash.keep_one(docs, SHINGLE, RADIUS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
