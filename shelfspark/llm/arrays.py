@@ -1,5 +1,6 @@
 """Array work on Arrow text columns inside tasks: words, hashes, pieces of a batch."""
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,24 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]: at[-1]], at - at[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between stages, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def clean_utf8(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same rows with replacement characters for bytes that are no UTF-8."""
+    try:
+        data.tobytes().decode("utf-8")
+        return data, offsets
+    except UnicodeDecodeError:
+        rows = [data[lo:hi].tobytes().decode("utf-8", "replace").encode() for lo, hi in zip(offsets[:-1], offsets[1:])]
+        return np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+
+
 def portions(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` bytes; a longer text is a range of its own."""
     lo, n = 0, len(offsets) - 1

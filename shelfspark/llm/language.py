@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.scratch import materialize
-from .arrays import mix, portions, text_bytes
+from .arrays import clean_utf8, mix, portions, text_bytes
 from .toxicity import _isotonic, in_training
 
 ORDER = 3
@@ -76,7 +76,7 @@ def _each(batches):
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         for lo, hi in portions(offsets, PORTION):
-            yield batch, lo, hi, data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo]
+            yield batch, lo, hi, *clean_utf8(data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo])
 
 
 def count_grams(rows: DataFrame, order: int = ORDER) -> DataFrame:

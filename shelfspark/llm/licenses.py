@@ -85,6 +85,36 @@ def parse_expression(text: str) -> list[str] | None:
     return out + stack[::-1]
 
 
+def _is_identifier(token: str) -> bool:
+    """Whether a word has the shape of a licence identifier: a digit, hyphen or plus, capitals only, or a name in use."""
+    low = token.lower().rstrip(".+")
+    return bool(re.search(r"[0-9+-]", token)) or token.isupper() or low in PERMITTED or low in REFUSED or low in BASE.values()
+
+
+def read_expression(text: str) -> list[str] | None:
+    """The longest complete expression that `text` begins with, as `parse_expression` gives it; None without one.
+
+    Prose ends it: a word that is no identifier by its shape counts only where it is all that the text says. An open
+    parenthesis closes where the expression ends, and an operator without a right side does not belong to it.
+    """
+    tokens, want = [], True
+    found = _TOKEN.findall(text)
+    for token in found:
+        is_operator = token.lower() in _RANK
+        if token == "(" and want or token == ")" and not want:
+            tokens.append(token)
+        elif want == is_operator or token in "()" or want and not (_is_identifier(token) or len(found) == 1):
+            break
+        else:
+            tokens.append(token)
+            want = is_operator
+        if tokens.count(")") > tokens.count("("):
+            break
+    while tokens and (tokens[-1] == "(" or tokens[-1].lower() in _RANK):
+        tokens.pop()
+    return parse_expression(" ".join(tokens + [")"] * (tokens.count("(") - tokens.count(")"))))
+
+
 def permitted(postfix: list[str], allowed: Iterable[str] = PERMITTED) -> bool:
     """Whether the expression can be met: `or` needs one side, `and` both, `with` looks at the licence and not at its exception."""
     allowed, stack = frozenset(allowed), []
@@ -140,7 +170,7 @@ def scan_text(raw: bytes | None, finder: ahocorasick.Automaton) -> dict:
     tags = list(_TAGGED.finditer(raw)) if tagged else []
     for tag, end in zip(tags, [t.start() for t in tags[1:]] + [len(raw or b"")]):
         found = _EXPRESSION.match(raw, tag.end(), end)
-        postfix = parse_expression(found[0].decode()) if found else None
+        postfix = read_expression(found[0].decode()) if found else None
         if postfix:
             expressions.append(" ".join(postfix))
             labels.update(identifiers(postfix))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import mix, portions, powers, text_bytes
+from .arrays import mix, portions, powers, release, text_bytes
 
 PORTION = 1 << 20
 LONGEST_SEGMENT = 512       # bytes; no piece crosses a cut, and decoding is not affected
@@ -242,6 +242,8 @@ def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str =
                 missing = batch.column(text).slice(lo, hi - lo).is_null()
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=missing)
                 yield pa.RecordBatch.from_arrays([batch.column(n).slice(lo, hi - lo) for n in names[:-1]] + [lists], names)
+            batch = data = offsets = part = ids = at = lists = None
+            release()
 
     keyed = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text).cast("string").alias(text),
                         (F.col(key).cast("long") if key in docs.columns else F.lit(None).cast("long")).alias("__key"))
@@ -251,12 +253,13 @@ def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str =
 def decode(encoded: DataFrame, table: PieceTable, pieces: str = "pieces", out: str = "text") -> DataFrame:
     """All columns of `encoded` but `pieces`, plus `out`: the texts that the pieces spell. Null gives null."""
     kept = [f for f in encoded.schema.fields if f.name not in (pieces, out)]
-    schema = T.StructType(kept + [T.StructField(out, T.StringType())])
+    schema = T.StructType(kept + [T.StructField(out, T.BinaryType())])
     names = [f.name for f in kept] + [out]
 
     def work(batches):
         for batch in batches:
-            texts = [None if x is None else _spell(np.array(x, np.int64), table).tobytes().decode() for x in batch.column(pieces).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names[:-1]] + [pa.array(texts, pa.string())], names)
+            texts = [None if x is None else _spell(np.array(x, np.int64), table).tobytes() for x in batch.column(pieces).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names[:-1]] + [pa.array(texts, pa.binary())], names)
 
-    return encoded.select(*[F.col(f"`{f.name}`") for f in kept], F.col(pieces)).mapInArrow(work, schema)
+    spelt = encoded.select(*[F.col(f"`{f.name}`") for f in kept], F.col(pieces)).mapInArrow(work, schema)
+    return spelt.withColumn(out, F.col(f"`{out}`").cast("string"))

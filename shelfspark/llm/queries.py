@@ -26,7 +26,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled pieces of every text, and the number of its characters after decoding (the sampler checks that they spell the text)."""
+    """Sampled pieces of every text and their number; the sampler checks that the pieces spell the text, `pieces.decode` gives it back."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode(docs, pieces.load_pieces(PIECE_MODEL), seed=1).withColumn("n_pieces", F.size("pieces"))
 

@@ -1,8 +1,8 @@
 """Secret scans: candidates from long key-like runs and named assignments, false positives removed by a random forest, in DataFrame operations only.
 
 Labelled findings come from rules that are sure: provider formats and named values that no word looks like are secrets, plain letter
-or digit runs, named words and placeholders, and values named as checksums are not. A secret that a rule is sure of is reported whatever
-the forest says. The forest learns from length, character transitions, dictionary coverage, path and
+or digit runs, named words and placeholders, and values named as checksums are not. They label rows to learn from only; of the
+results, provider formats alone are sure, as they say themselves what they are. The forest learns from length, character transitions, dictionary coverage, path and
 neighbouring words, and decides on all candidates, the many that no rule knows included.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.products import compute_once
 from ..plans.scratch import materialize, scratch_path
+from .frames import free_names
 
 LEAST = 16                  # shortest run in the open; what stands there is longer than words
 LEAST_NAMED = 4             # shortest value of a named assignment
@@ -42,7 +43,7 @@ _PASSWORD = r"(?i)(?:pass(?:word|wd|phrase)?|pwd)[a-z_\-]*[\"']?\s*[:=]>?\s*[\"'
 _PLACEHOLDER = r"(?i)^\$[{(]|^<[a-z_ -]+>?$|^\{\{|^%[(]|[A-Za-z_]\(|://|^(?:none|null|nil|true|false|undefined|required|optional)$"
 _NAME = r"(?i)pass(?:word|wd|phrase)?|pwd|secret|token|key|auth|credential|bearer|private"
 _CHECKSUM = r"(?i)\b(?:sha\d*|md5|crc|checksum|digest|commit|revision|uuid|guid|etag|build|version|id)\b"
-_SAMPLE = r"(?i)example|sample|test|dummy|fixture|placeholder|xxxx|changeme"
+_SAMPLE = r"(?i)(?<![a-z])(?:example|sample|dummy|fixture|placeholder|changeme)(?![a-z])|(?<![a-z0-9])test(?![a-z0-9])|xxxx"
 FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "distinct_chars", "class_changes", "letter_to_digit", "digit_to_letter", "lower_to_upper",
             "hex_only", "longest_letters", "coverage", "slashes", "path_sample", "named", "assigned", "quoted", "checksum", "neighbour_sample")
 
@@ -190,7 +191,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     found = found.withColumn("label", rule_label(found))
     found = materialize(found, "candidates")
     scored = classify(found, train(found if labelled is None else labelled))
-    scored = scored.withColumn("score", F.when(F.col("label") == 1, 1.0).otherwise(F.col("score")))
+    sure = F.col("value").rlike(_PROVIDER) & (F.col("label") == 1)
+    scored = scored.withColumn("score", F.when(sure, 1.0).otherwise(F.col("score")))
     kind = F.when(F.col("value").rlike(_PROVIDER), "provider").when(F.col("before").rlike(_NAMED), "named").otherwise("unnamed")
     return scored.filter(F.col("score") >= threshold).select("doc_id", "row", "word", "value", kind.alias("kind"), "score")
 
@@ -201,17 +203,24 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """`docs`, same columns and rows, each secret in `text` replaced by REDACTED; `n_chars` follows where there is one."""
-    found = scan(docs).groupBy(F.col("doc_id").alias("__doc"), F.col("row").alias("__row")).agg(F.collect_set("value").alias("__secrets"))
-    found = materialize(found, "secrets")
-    row = F.xxhash64(F.col("text").cast("string"))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["__doc"]) & (row == found["__row"]), "left")
-    # Longer secrets first, so that one that holds another goes whole.
-    clean = F.expr(f"aggregate(reverse(array_sort(transform(__secrets, s -> struct(length(s) as n, s as s)))), cast(text as string), "
-                   f"(t, s) -> replace(t, s.s, '{REDACTED}'))")
-    text = F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(clean)
+    """`docs`, same columns and rows, each secret in `text` replaced by REDACTED where it was found; `n_chars` follows where there is one.
+
+    The same characters elsewhere stay. A secret of several words goes with the blanks between them. Null and empty texts stay;
+    any column names may stand beside doc_id and text.
+    """
+    doc, row, secrets = free_names(docs, "doc", "row", "secrets")
+    found = scan(docs).select("doc_id", "row", "word", F.posexplode(F.split("value", r"\s+")).alias("at", "part"))
+    parts = F.collect_set(F.struct((F.col("word") + F.col("at")).alias("word"), (F.col("at") > 0).alias("more"), F.regexp_replace("part", r"([^\p{L}\p{N}])", r"\\$1").alias("part")))
+    found = materialize(found.filter("part <> ''").groupBy(F.col("doc_id").alias(doc), F.col("row").alias(row)).agg(F.sort_array(parts, False).alias(secrets)), "secrets")
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found[doc]) & (F.xxhash64(F.col("text").cast("string")) == found[row]), "left")
+    # Words and the blanks between them in turns; in a word only what stands free of other letters and digits goes.
+    clean = F.expr(f"""array_join(transform(arrays_zip(split(cast(text as string), '\\\\s+'), regexp_extract_all(cast(text as string), '\\\\s+', 0)),
+        (x, i) -> concat(aggregate(filter({secrets}, s -> s.word = i), x.`0`, (t, s) ->
+            regexp_replace(t, concat('(?<![A-Za-z0-9])', s.part, '(?![A-Za-z0-9])'), if(s.more, '', '{REDACTED}'))),
+            if(exists({secrets}, s -> s.more and s.word = i + 1), '', coalesce(x.`1`, '')))), '')""")
+    text = F.when(F.col(secrets).isNull(), F.col("text")).otherwise(clean)
     columns = {"text": text.alias("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        columns["n_chars"] = F.when(F.col("__secrets").isNull(), F.col("n_chars")).otherwise(F.length(clean).cast(kind)).alias("n_chars")
+        columns["n_chars"] = F.when(F.col(secrets).isNull(), F.col("n_chars")).otherwise(F.length(clean).cast(kind)).alias("n_chars")
     return joined.select(*[columns.get(c, docs[c]) for c in docs.columns])

@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
+from .arrays import release
 from .components import components
+from .frames import free_names
 
 BITS = 64
 SEED = 42
@@ -57,6 +59,8 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             texts = batch.column("text").cast(pa.binary())
             found = np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(found.view(np.int64))], ["doc_id", "row", "fp"])
+            del batch, texts
+            release()
 
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
@@ -164,9 +168,7 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, parts: int = 1)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     firsts = found.groupBy("fp").agg(F.min(rank).alias("best")).join(classes, "fp")
     best = firsts.groupBy("root").agg(F.min("best").alias("best")).select(F.xxhash64("best.none", "best.doc_id", "best.row").alias("key"))
-    name = "key"
-    while name in docs.columns:
-        name += "_"
+    name, = free_names(docs, "key")
     of_row = F.xxhash64(F.col("doc_id").cast("long").isNull(), F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
     kept = docs.withColumn(name, of_row).join(materialize(best, "kept").withColumnRenamed("key", name), name, "left_semi")
     return kept.dropDuplicates([name]).select(*docs.columns)

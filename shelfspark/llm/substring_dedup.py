@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize
+from ..plans.scratch import materialize, materialize_counted
 from .arrays import mix, portions, run_hashes, text_bytes, word_hashes
 from .fm_index import FmIndex, smallest_owners
 
@@ -31,7 +31,7 @@ RUN_WINDOWS = 32
 PORTION = 4 << 20
 NO_ID = -(1 << 63)          # stands for a null doc_id, which so counts as the smallest
 _MOST = np.uint64(2**64 - 1)
-_OCCURRENCE = np.dtype([("run", "<i4"), ("at", "<i4"), ("doc", "<i8")])
+_OCCURRENCE = np.dtype([("run", "<i4"), ("at", "<i4"), ("doc", "<i8"), ("row", "<i8")])
 _WEIGHTS = mix(np.arange(1, GRAM + 1, dtype=np.uint64))
 
 
@@ -80,9 +80,10 @@ def _portions(batches, window: int, hot):
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+        texts = batch.column("row").to_numpy(zero_copy_only=False)
         for lo, hi in portions(offsets, PORTION):
             words, rows = word_hashes(data, offsets[lo: hi + 1])
-            yield words, rows, ids[lo:hi], _runs(words, rows, window, hot)
+            yield words, rows, (ids[lo:hi], texts[lo:hi]), _runs(words, rows, window, hot)
 
 
 def _load(window: int):
@@ -143,7 +144,7 @@ def _spread(lengths: np.ndarray) -> np.ndarray:
 def _route(window: int, hot: np.ndarray, shards: int, coder: _Codes):
     def route_runs(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
-        for number, (words, rows, ids, (starts, windows, route, own)) in enumerate(_portions(batches, window, hot)):
+        for number, (words, rows, (ids, texts), (starts, windows, route, own)) in enumerate(_portions(batches, window, hot)):
             if not len(starts):
                 continue
             words = words & WORD_MASK
@@ -164,7 +165,7 @@ def _route(window: int, hot: np.ndarray, shards: int, coder: _Codes):
             ends = np.cumsum(kept)
             doc = np.searchsorted(rows, starts, "right") - 1
             seen = np.empty(len(starts), _OCCURRENCE)
-            seen["run"], seen["at"], seen["doc"] = place[which], starts - rows[doc], ids[doc]
+            seen["run"], seen["at"], seen["doc"], seen["row"] = place[which], starts - rows[doc], ids[doc], texts[doc]
             seen = seen[np.argsort(seen["run"], kind="stable")]
             first = np.flatnonzero(np.diff(shard, prepend=-1))
             out = {name: [] for name in _ROUTED.names}
@@ -186,8 +187,8 @@ def _route(window: int, hot: np.ndarray, shards: int, coder: _Codes):
 
 _ROUTED = pa.schema([("shard", pa.int64()), *[(c, pa.binary()) for c in ("words", "rare", "lengths", "own", "seen")]])
 _ROUTED_SQL = "shard long, words binary, rare binary, lengths binary, own binary, seen binary"
-_FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("window", pa.int64())])
-_FOUND_SQL = "doc_id long, start long, end long, window long"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("window", pa.int64())])
+_FOUND_SQL = "doc_id long, row long, start long, end long, window long"
 
 
 def _search(window: int, coder: _Codes):
@@ -197,7 +198,7 @@ def _search(window: int, coder: _Codes):
         lengths, seen = read("lengths", "<i4"), read("seen", _OCCURRENCE)
         runs_before = np.cumsum([0] + [len(x) for x in lengths[:-1]])
         run = np.concatenate([x["run"].astype(np.int64) + b for x, b in zip(seen, runs_before)])
-        docs, at = (np.concatenate([x[c] for x in seen]) for c in ("doc", "at"))
+        docs, at, texts = (np.concatenate([x[c] for x in seen]) for c in ("doc", "at", "row"))
         words = [coder.unpack(unpack, c, r) for c, r in zip(table.column("words").to_pylist(), table.column("rare").to_pylist())]
         words, lengths = np.concatenate(words), np.concatenate(lengths).astype(np.int64)
         own = np.concatenate(read("own", bool))
@@ -235,6 +236,7 @@ def _search(window: int, coder: _Codes):
         open_ = np.flatnonzero(own[one][run] & (lowest[run] == number))
         return pa.table([
             np.concatenate([docs[place[first]], docs[open_]]),
+            np.concatenate([texts[place[first]], texts[open_]]),
             np.concatenate([at[place[first]] + step[first], at[open_]]).astype(np.int64),
             np.concatenate([at[place[last]] + step[last] + window, at[open_] + window]).astype(np.int64),
             pa.array(np.concatenate([np.zeros(len(first), np.int64), hashes[run[open_]].view(np.int64)]),
@@ -244,13 +246,26 @@ def _search(window: int, coder: _Codes):
     return search_shard
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, row: the hash of the text for a doc_id that stands with several texts, else 0."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.xxhash64("text")
+    several = docs.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("several")).agg(F.min(text).alias("low"), F.max(text).alias("high"))
+    several, n = materialize_counted(several.filter("low <> high").select("several"), "several")
+    if not n:
+        return docs.withColumn("row", F.lit(0).cast("long"))
+    joined = docs.join(several, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("several"), "left")
+    return joined.select("doc_id", "text", F.when(F.col("several").isNull(), F.lit(0).cast("long")).otherwise(text).alias("row"))
+
+
 def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
-    """doc_id, start, end: word intervals covered by windows that also start in a document with a smaller doc_id.
+    """doc_id, row, start, end: word intervals covered by windows that also start in a document with a smaller doc_id.
 
-    Intervals of one document may overlap. `docs` needs doc_id and text; a null text has no words, a null doc_id counts as
-    the smallest (and comes back as NO_ID). Rows that repeat a doc_id count as one document.
+    Intervals of one document may overlap. `docs` needs doc_id, text and what `with_rows` adds; a null text has no words, a
+    null doc_id counts as the smallest (and comes back as NO_ID). Texts of one doc_id count as one document, and `row` tells
+    in which of them an interval lies.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select("doc_id", "row", "text")
     loads = docs.mapInArrow(_load(window), "is_word boolean, key long, n long").groupBy("is_word", "key").agg(F.sum("n").alias("n"))
     loads = materialize(loads, "loads")
     buckets = loads.filter("not is_word").collect()     # one row for each of the fixed buckets
@@ -268,8 +283,8 @@ def _settled(found: DataFrame) -> DataFrame:
     """Decide the windows that were dealt over several shards, each with its smallest document there."""
     dealt = found.filter("window is not null")
     smallest = dealt.groupBy("window").agg(F.min("doc_id").alias("earliest"))
-    late = dealt.join(smallest, "window").filter("doc_id > earliest").select("doc_id", "start", "end")
-    return found.filter("window is null").select("doc_id", "start", "end").unionByName(late)
+    late = dealt.join(smallest, "window").filter("doc_id > earliest").select("doc_id", "row", "start", "end")
+    return found.filter("window is null").select("doc_id", "row", "start", "end").unionByName(late)
 
 
 def _strip(batches):
@@ -298,18 +313,19 @@ def _digest(batches):
 
 
 def _with_spans(docs: DataFrame, window: int) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = with_rows(docs)
     found = materialize(repeated_spans(docs, window), "repeats")
-    spans = _settled(found).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = spans.withColumnRenamed("doc_id", "key")
-    return docs.join(spans, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("key"), "left").drop("key")
+    spans = _settled(found).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = spans.select(F.col("doc_id").alias("key"), F.col("row").alias("of"), "spans")
+    return docs.join(spans, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("key")) & (F.col("row") == F.col("of")), "left").select("doc_id", "text", "spans")
 
 
 def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (binary, words joined by one space) for every row of `docs`.
 
     Takes any frame with doc_id and text; other columns are ignored. Null and empty texts have no words; words shorter runs
-    than a window are never removed; repeated rows come out as often as they came in.
+    than a window are never removed; repeated rows come out as often as they came in. Several texts of one doc_id are one document:
+    none makes another one's words go, and each loses its own.
     """
     return _with_spans(docs, window).mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_text binary")
 

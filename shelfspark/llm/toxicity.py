@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import mix, portions, text_bytes
+from .arrays import mix, portions, release, text_bytes
 
 GRAM = 5
 PORTION = 1 << 20
@@ -93,6 +93,8 @@ def _each(batches, text: str = "text"):
         data, offsets = text_bytes(batch.column(text))
         for lo, hi in portions(offsets, PORTION):
             yield batch, lo, hi, data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo]
+        del batch, data, offsets
+        release()
 
 
 def _frequencies(batches):

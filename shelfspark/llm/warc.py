@@ -1,7 +1,7 @@
 """WARC derivatives: metadata and plain-text conversion records linked to the response that they come from.
 
 A record is a row: headers as an ordered map, the block as bytes. Identifiers follow from the source row, so a rerun writes the
-same records. `write_warc` stores records as gzip members, one file for each partition; `read_warc` reads them back.
+same records. `write_warc` stores records as rows of gzip members, each a WARC file by itself; `read_warc` reads them back.
 """
 
 import base64
@@ -11,6 +11,8 @@ import html
 import json
 import re
 import uuid
+from dataclasses import dataclass, field
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +35,25 @@ _CLOSED = re.compile(r"</(noscript|template|title)(?=[\s/>])", re.I)
 _LINE = ("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre "
          "section table td th tr ul").split()
 _MARKUP = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9]*)(?P<rest>[^<>]*)>|[!?/][^<>]*>)", re.S)
-_TITLE = re.compile(r"<title[^<>]*>([^<]*)", re.I)
-_LANG = re.compile(r"<html[^<>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_HREF = re.compile(r"<a\s[^<>]*\bhref\s*=\s*[\"']?([^\"'<>\s]+)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*))")
+
+
+def _attribute(source: str, wanted: str) -> str | None:
+    """The first attribute of that name with its references resolved, blanks around it gone."""
+    for name, double, single, bare in _ATTRIBUTE.findall(source):
+        if name.lower() == wanted:
+            return html.unescape(double or single or bare).strip()
+    return None
+
+
+@dataclass
+class Page:
+    """What a page says: readable text, title, language, and the targets of its links in their order."""
+
+    text: str = ""
+    title: str | None = None
+    lang: str | None = None
+    links: list[str] = field(default_factory=list)
 
 
 def digest(data: bytes) -> str:
@@ -43,13 +61,20 @@ def digest(data: bytes) -> str:
 
 
 def plain_text(markup: str) -> str:
-    """Readable text of a page: hidden elements and comments go, block elements end a line, references are resolved.
+    """Readable text of a page, see `read_page`."""
+    return read_page(markup).text
+
+
+def read_page(markup: str) -> Page:
+    """Text, title, language and links of a page: hidden elements and comments go, block elements end a line, references are resolved.
 
     A head ends at its end tag, at the body, or at the first element or text that cannot stand in it. A script, a style and a
     head's title are raw up to their own end tag; a script, style or comment that is never closed hides the rest of the page,
-    as in a browser, any other element hides nothing then. A `<` that opens no tag is text.
+    as in a browser, any other element hides nothing then. A `<` that opens no tag is text. Links and language come from
+    elements that are not hidden, the title from the head.
     """
     out, at, hidden, head = [], 0, None, False
+    page = Page()
     last = {found[1].lower(): found.start() for found in _CLOSED.finditer(markup)}
     while found := _MARKUP.search(markup, at):
         if hidden is None:
@@ -61,10 +86,13 @@ def plain_text(markup: str) -> str:
         opens = name and not found["close"] and not found["rest"].endswith("/")
         if opens and (name in ("script", "style") or name == "title" and head and not hidden):
             end = _RAW[name].search(markup, at) if name != "title" or at <= last.get(name, -1) else None
+            if name == "title":
+                stop = end.start() if end else start if (start := markup.find("<", at)) >= 0 else len(markup)
+                page.title = " ".join(html.unescape(markup[at:stop]).split()) if page.title is None else page.title
             if end:
                 at = end.end()
             elif name == "title":
-                at = start if (start := markup.find("<", at)) >= 0 else len(markup)
+                at = stop
             else:
                 at, hidden = len(markup), name
                 break
@@ -80,10 +108,23 @@ def plain_text(markup: str) -> str:
                 head = name not in ("head", "body", "html", "br") if found["close"] else name in _IN_HEAD
             if name in _LINE:
                 out.append("\n")
+            if name == "a" and not found["close"] and (link := _attribute(found["rest"], "href")) is not None:
+                page.links.append(link)
+            elif name == "html" and opens and page.lang is None:
+                page.lang = _attribute(found["rest"], "lang")
     if hidden is None:
         out.append(markup[at:])
     lines = (" ".join(line.split()) for line in html.unescape("".join(out)).split("\n"))
-    return "\n".join(line for line in lines if line)
+    page.text = "\n".join(line for line in lines if line)
+    return page
+
+
+def _resolved(base: str | None, link: str) -> str:
+    """A link against its page's address; as it stands where either is no address."""
+    try:
+        return urljoin(base or "", link)
+    except ValueError:
+        return link
 
 
 def http_response(page: str) -> bytes:
@@ -128,12 +169,12 @@ def _derived(source: dict) -> list[dict]:
         markup = payload.decode(charset, "replace")
     except LookupError:
         markup = payload.decode("utf-8", "replace")
-    text = plain_text(markup).encode()
-    title, lang = _TITLE.search(markup), _LANG.search(markup)
-    fields = [("title", " ".join(html.unescape(title[1]).split()) if title else None), ("language", lang[1].lower() if lang else None)]
-    fields += [("outlink", " ".join(html.unescape(link).split())) for link in _HREF.findall(markup)]
+    page = read_page(markup)
+    text = page.text.encode("utf-8", "replace")
+    fields = [("title", page.title), ("language", page.lang.lower() if page.lang else None)]
+    fields += [("outlink", " ".join(_resolved(source["target_uri"], link).split())) for link in page.links]
     fields += [(f"source-{n.lower()}", v) for n, v in http]
-    facts = "".join(f"{n}: {v}\r\n" for n, v in fields if v is not None).encode()
+    facts = "".join(f"{n}: {v}\r\n" for n, v in fields if v is not None).encode("utf-8", "replace")
     date, uri = known.get("warc-date", DATE), source["target_uri"]
     payload_digest = known.get("warc-payload-digest") or digest(payload)
     links = [("WARC-Refers-To", source["record_id"])]
@@ -147,16 +188,22 @@ def _derived(source: dict) -> list[dict]:
     return out
 
 
+def _texts(batch: pa.RecordBatch):
+    """page_id, url, html of each row; bytes that are no UTF-8 become replacement characters."""
+    columns = [batch.column(c).cast(pa.binary()).to_pylist() for c in ("page_id", "url", "html")]
+    return zip(*([None if x is None else x.decode("utf-8", "replace") for x in column] for column in columns))
+
+
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """Response records of pages (page_id, url, html; other columns are ignored).
 
-    A null page has an empty payload, a null url no target, a null page_id an empty identifier. Equal rows give equal records.
+    A null page has an empty payload, a null url no target, a null page_id an empty identifier. Equal rows give equal records;
+    a page of any length is one record, held in memory with its derivatives.
     """
 
     def work(batches):
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")))
-            yield pa.RecordBatch.from_pylist([_response(i or "", u, h, date) for i, u, h in rows], RECORD)
+            yield pa.RecordBatch.from_pylist([_response(i or "", u, h, date) for i, u, h in _texts(batch)], RECORD)
 
     return pages.select(*[F.col(c).cast("string").alias(c) for c in ("page_id", "url", "html")]).mapInArrow(work, RECORD_SQL)
 
@@ -182,7 +229,7 @@ def build(pages: DataFrame, date: str = DATE) -> DataFrame:
     def work(batches):
         for batch in batches:
             out = []
-            for i, u, h in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+            for i, u, h in _texts(batch):
                 source = _response(i or "", u, h, date)
                 out += [source, *_derived(source)]
             yield pa.RecordBatch.from_pylist(out, RECORD)

@@ -94,3 +94,10 @@ def test_model_like_plain_kneser_ney(order):
         assert np.allclose(found, [math.log(p(g)) for g in probes])
         context = probes[0][:-1]
         assert abs(sum(p((*context, s)) for s in range(language.SYMBOLS)) - 1) < 1e-9
+
+
+def test_damaged_bytes_are_no_letters(spark):
+    df = spark.createDataFrame(rows(), "doc_id long, text string, lang string")
+    damaged = spark.sql(r"select 5000L as doc_id, cast(unhex('FF6B616C6F206D697475C3') as string) as text, cast(null as string) as lang union all select 5001L, cast(unhex('FFFE') as string), null")
+    found = {r.doc_id: r.lang_pred for r in language.identify_documents(df.unionByName(damaged)).collect()}
+    assert found[5000] == "aa" and found[5001] == "und"

@@ -75,3 +75,19 @@ def test_long_expressions_are_read_whole():
     found = licenses.scan_text(f"SPDX-License-Identifier: MIT OR ({inner})\nrest SPDX-License-Identifier: ISC SPDX-License-Identifier: 0BSD".encode(), finder)
     assert found["expressions"] == [" ".join(["mit", *names[:2], *(x for n in names[2:] for x in ("and", n)), "and", "or"]), "isc", "0bsd"]
     assert found["labels"] == ",".join(sorted({*names, "mit", "isc", "0bsd"})) and found["score"] == 1.0
+
+
+@pytest.mark.parametrize("text, postfix", [
+    ("MIT and more words", ["mit"]), ("MIT or later versions", ["mit"]), ("(MIT OR Apache-2.0", ["mit", "apache-2.0", "or"]), ("MIT OR", ["mit"]),
+    ("((MIT OR (GPL-2.0-only AND and", ["mit", "gpl-2.0-only", "or"]), ("proprietary", ["proprietary"]), ("see the file", None), ("(see", None),
+    ("Unlicense OR CC0-1.0 as you like", ["unlicense", "cc0-1.0", "or"]), ("MIT) AND X", ["mit"]), ("", None), ("(", None), ("AND", None),
+    ("GPL-2.0+ WITH Classpath-exception-2.0 AND MIT.", ["gpl-2.0+", "classpath-exception-2.0", "with", "mit", "and"]),
+])
+def test_expressions_end_where_prose_begins(text, postfix):
+    assert licenses.read_expression(text) == postfix
+
+
+def test_prose_after_a_tag_changes_no_score():
+    finder = licenses.automaton([*licenses.BASE, *licenses.NOTICES, licenses.TAG])
+    found = licenses.scan_text(b"SPDX-License-Identifier: MIT and more words", finder)
+    assert (found["labels"], found["score"], found["expressions"]) == ("mit", 1.0, ["mit"])

@@ -103,3 +103,19 @@ def test_short_and_punctuated_passwords(spark):
     texts = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
     for i, (t, v) in enumerate(PASSWORDS):
         assert texts[1000 + i] == t.replace(v, secret_scan.REDACTED)
+
+
+def test_only_the_place_is_redacted(spark):
+    rows = [(3000, "password=12c4 call 0612c45678 or room 12c40, 12c4"), (3001, " x\n token: 'ab12 cd34ef'\tthen ab12 "), (3002, "nothing here")]
+    df = frame(spark, [(i, t, "x") for i, t in rows]).withColumnsRenamed({"value": "secrets", "source": "doc"})
+    texts = {r.doc_id: r.text for r in secret_scan.redact(df).filter("doc_id >= 3000").collect()}
+    assert texts[3000] == "password=[REDACTED] call 0612c45678 or room 12c40, 12c4"
+    assert texts[3001] == " x\n token: '[REDACTED]'\tthen ab12 " and texts[3002] == "nothing here"
+
+
+def test_sample_words_have_borders():
+    import re
+
+    inside = ["latest", "contest1", "samples", "protested", "examples"]
+    assert not any(re.search(secret_scan._SAMPLE, w) for w in inside)
+    assert all(re.search(secret_scan._SAMPLE, w) for w in ["test", "a-test-b", "KEY7EXAMPLE", "sample", "xxxxxxxx", "my_dummy"])

@@ -74,6 +74,17 @@ def test_empty_clashing_and_null(spark):
     assert kept == {(2, text.encode())}
 
 
+def test_texts_that_share_a_doc_id_lose_only_their_own_words(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    first, other, third = words(20), words(25), words(30)
+    rows = [(1, first), (5, first), (5, other), (5, other + " " + first), (7, other), (7, third), (None, third), (None, words(9)), (9, first), (9, first)]
+    rows += [(i % 7 + 20, words(3) + " " + rng.choice([first, other, third])) for i in range(60)]
+    found = sorted(tuple(r) for r in substring_dedup.repeat_digests(spark.createDataFrame(rows, SCHEMA).repartition(3)).filter("doc_id is not null").collect())
+    expected = brute([(-1 if i is None else i, t) for i, t in rows], 13)
+    assert found == [r for r in expected if r[0] >= 0]
+
+
 def test_suffixes_and_matches():
     rng = np.random.default_rng(4)
     text = np.append(rng.integers(1, 4, 300), 0).astype(np.int32)

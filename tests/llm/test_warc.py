@@ -48,7 +48,7 @@ def test_texts_and_facts(spark):
     texts = {bytes(r.block).decode() for r in rows if r.type == "conversion"}
     assert texts == {"Head\none\ntwo <3\nlm", "other version"}
     facts = next(bytes(r.block).decode() for r in rows if r.type == "metadata" and b"title" in bytes(r.block))
-    assert facts.split("\r\n")[:4] == ["title: A & B", "language: fr", "outlink: /x?y=1&z", "outlink: #t"]
+    assert facts.split("\r\n")[:4] == ["title: A & B", "language: fr", "outlink: http://h/x?y=1&z", "outlink: http://h/a#t"]
     assert "source-content-type: text/html; charset=utf-8" in facts
 
 
@@ -92,3 +92,32 @@ def test_pages_without_end_tags(markup, text):
 def test_unclosed_titles_take_linear_time():
     for piece in ("<head><title>", "<noscript>", "<template>", "<script/>", "<title>x"):
         assert warc.plain_text("<head>" + piece * 100_000) is not None
+
+
+class _Links(__import__("html.parser").parser.HTMLParser):
+    """Links by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.links = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a" and "href" in dict(attrs):
+            self.links.append(next(v for k, v in attrs if k == "href").strip())
+
+
+@pytest.mark.parametrize("markup", [
+    '<a href="/a b">x</a><script>var s = "<a href=/no>";</script><!-- <a href=/no2> --><A HREF=\'c?d=1&amp;e\' title="href=no">y</A><a name=z>q</a>',
+    "<p><a class=x\n href = /y>t</a><a href=''>e</a><style>a[href='/no'] {}</style><a data-href=/no href=/z>",
+])
+def test_links_like_an_independent_parser(markup):
+    parser = _Links()
+    parser.feed(markup)
+    assert warc.read_page(markup).links == parser.links and not any("no" in x for x in parser.links)
+
+
+def test_damaged_pages_are_records(spark):
+    damaged = spark.sql(r"select 1L as page_id, 'http://h/' as url, cast(unhex('3C703E61FF3C2F703EC3') as string) as html")
+    records = warc.build(damaged).collect()
+    assert [r.type for r in records] == ["response", "metadata", "conversion"] and bytes(records[2].block).decode() == "a\ufffd\n\ufffd"
+    assert warc.responses(damaged).count() == 1
