@@ -11,14 +11,21 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHINGLE, RADIUS = 4, 4
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most from here on, so that a task holds little beside its own work."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity score is below one half; learnt from the training rows of `labels` among `docs`."""
+    _small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, the one with the smallest doc_id; texts without words are copies of each other."""
+    _small_batches(spark)
     return simhash.keep_one(docs, SHINGLE, RADIUS)
 
 
@@ -34,6 +41,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars and the sampled pieces of each text."""
+    _small_batches(spark)
     return pieces.encode(docs, pieces.load_pieces(PIECE_MODEL))
 
 
