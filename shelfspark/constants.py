@@ -60,7 +60,6 @@ REASON_INVALID = "invalid url scheme"
 
 # --- fixed values: limits ---------------------------------------------------
 MAX_IMAGES = 10             # not applied unless asked for, like the two below
-MAX_HTML_CHARS = 30_000
 TRUNCATION_MARK = "\n<!-- truncated -->"
 REPAIR_THRESHOLD = 5
 MAX_SUGGESTIONS = 3

@@ -105,10 +105,15 @@ def _hit_column(field: Field, pages: list) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes)
 
 
+def page_texts(column: pa.Array) -> list[str]:
+    """The pages of a text or binary column; a null page is empty, and bytes that are no UTF-8 become replacement characters."""
+    return ["" if page is None else page.decode("utf-8", "replace") for page in column.cast(pa.binary()).to_pylist()]
+
+
 def match_selectors(pages: DataFrame, fields: list[Field], html: str = "html") -> DataFrame:
     """Replace the `html` column by one array<struct<alt, ...>> column per field.
 
-    Arrays are in selector order, then document order. A null page has no hits.
+    Arrays are in selector order, then document order. A null page has no hits. Damaged pages are read as `page_texts` says.
     """
     kept = [f for f in pages.schema.fields if f.name != html]
     schema = T.StructType(kept + [T.StructField(f.name, T.ArrayType(_hit_type(f)), False) for f in fields])
@@ -120,11 +125,11 @@ def match_selectors(pages: DataFrame, fields: list[Field], html: str = "html") -
         alternatives += [(i, j, css.compile_selector(s)) for j, s in enumerate(alts)]
     names = kept_names + [f.name for f in fields]
     index = html_nodes.SelectorIndex(alternatives)
-    match_page, hit_column = html_nodes.match_page, _hit_column
+    match_page, hit_column, texts = html_nodes.match_page, _hit_column, page_texts
 
     def match_batches(batches):
         for batch in batches:
-            pages_hits = [match_page(h or "", index, specs) for h in batch.column(html).to_pylist()]
+            pages_hits = [match_page(page, index, specs) for page in texts(batch.column(html))]
             columns = [batch.column(n) for n in kept_names]
             columns += [hit_column(f, [p[i] for p in pages_hits]) for i, f in enumerate(fields)]
             yield pa.RecordBatch.from_arrays(columns, names)

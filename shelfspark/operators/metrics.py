@@ -180,3 +180,80 @@ def nearest_products(vectors: DataFrame, query: list[float], k: int, vector: str
     v = F.col(vector)
     score = F.try_divide(dot(v, q), F.sqrt(dot(v, v)) * F.sqrt(dot(q, q)))
     return vectors.withColumn("score", score).orderBy(F.desc("score"), *[c for c in vectors.columns if c != vector]).limit(k)
+
+
+# --- alarms and summaries over runs ----------------------------------------------------------
+
+#: Weight of the newest run in the expected rate; width of the limit in standard errors; runs before the first alarm.
+SMOOTHING, WIDTH, WARM_UP = 0.2, 4.0, 5
+
+
+def rate_spikes(rates: DataFrame, by: str, state: DataFrame | None = None, order: str = "run_id", rate: str = "duplicate_rate", rows: str = "rows_seen") -> tuple[DataFrame, DataFrame]:
+    """(`rates` with expected, upper, spike; state to carry on from): a control chart per `by`, in `order`.
+
+    `rates` has one row per `by` and run. The expected rate is an exponential mean of earlier runs without a spike, and a run is
+    a spike if its rate is above `upper`: WIDTH standard errors of that mean at the run's size beyond it. A spike leaves the
+    mean as it was, so it raises no later limit. `state` (`by`, mean, runs) is what an earlier call returned, and its values
+    stand in where `rates` begin. Null rates count as no run. The fold of a `by` holds its runs, not their rows.
+    """
+    steps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), F.col(rate).alias("rate"), F.col(rows).cast("double").alias("n"))))
+    runs = rates.filter(F.col(rate).isNotNull() & (F.col(rows) > 0)).groupBy(by).agg(steps.alias("steps"))
+    if state is None:
+        runs = runs.select(by, "steps", F.lit(None).cast("double").alias("mean"), F.lit(0).alias("runs"))
+    else:
+        runs = runs.join(state.select(by, "mean", "runs"), by, "full").select(
+            by, F.coalesce("steps", F.array().cast(runs.schema["steps"].dataType)).alias("steps"), "mean", F.coalesce("runs", F.lit(0)).alias("runs"))
+    folded = F.expr(f"""aggregate(steps, struct(mean, runs, cast(array() as
+        array<struct<order: {dict(rates.dtypes)[order]}, expected: double, upper: double, spike: boolean>>) as found),
+        (s, x) -> transform(array(s.mean + {WIDTH}D * sqrt((s.mean * (1 - s.mean) + 1 / x.n) / x.n)), upper -> transform(
+            array(s.runs >= {WARM_UP} and x.rate > upper), spike -> struct(
+            case when s.runs = 0 then x.rate when spike then s.mean else s.mean + {SMOOTHING}D * (x.rate - s.mean) end as mean,
+            s.runs + int(not spike) as runs,
+            concat(s.found, array(struct(x.order as order, s.mean as expected, upper, spike as spike))) as found))[0])[0])""")
+    done = runs.select(by, folded.alias("end"))
+    found = done.select(by, F.inline("end.found")).withColumnRenamed("order", order)
+    return rates.join(found, [by, order]), done.select(by, "end.mean", "end.runs")
+
+
+#: Size of the price sketch: the rank of a quantile is off by about 0.3 percent at most.
+SKETCH = 1024
+QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
+
+
+def summarise_run(products: DataFrame, by: list[str]) -> DataFrame:
+    """`by`, n_rows, prices and brands (sketches): a few kilobytes per group, which later comparisons merge instead of reading the runs again."""
+    return products.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("price").alias("n_prices"),
+        F.kll_sketch_agg_double("price", SKETCH).alias("prices"), F.theta_sketch_agg("brand").alias("brands"))
+
+
+def merged_summary(summaries: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Summaries of parts as one summary per `by`."""
+    return summaries.groupBy(*by).agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_prices").alias("n_prices"),
+        F.kll_merge_agg_double("prices").alias("prices"), F.theta_union_agg("brands").alias("brands"))
+
+
+def compare_summaries(current: DataFrame, prior: DataFrame) -> DataFrame:
+    """metric, current, prior from two sets of summaries: rows, price quantiles, distinct brands, and brands found in both (in either column).
+
+    Brand numbers are exact up to 4,096 brands and estimates beyond; quantiles are off by SKETCH's error in rank. Without any
+    price there are no quantiles. `drift_report` is the exact comparison, which reads both runs.
+    """
+    labels = F.array(*[F.lit(f"price_p{round(q * 100):02d}") for q in QUANTILES])
+
+    def values(summaries, name):
+        one = merged_summary(summaries).withColumn("side", F.lit(name))
+        ranks = F.array(*[F.lit(q) for q in QUANTILES])
+        prices = F.when(F.col("n_prices") > 0, F.kll_sketch_get_quantile_double("prices", ranks))
+        return one.select("side", "brands", F.map_concat(
+            F.create_map(F.lit("rows"), F.col("n_rows").cast("double"), F.lit("brands"), F.theta_sketch_estimate("brands").cast("double")),
+            F.coalesce(F.map_from_arrays(labels, prices), F.create_map().cast("map<string,double>"))).alias("found"))
+
+    both = values(current, "current").unionByName(values(prior, "prior"))
+    of = lambda column, side: F.max_by(column, F.when(F.col("side") == side, 1))
+    sides = both.agg(of("found", "current").alias("current"), of("found", "prior").alias("prior"), of("brands", "current").alias("a"), of("brands", "prior").alias("b"))
+    common = F.theta_sketch_estimate(F.theta_intersection("a", "b")).cast("double")
+    listed = F.concat(F.array(F.lit("rows"), F.lit("brands")), labels)
+    rows = F.transform(listed, lambda m: F.struct(m.alias("metric"), F.try_element_at("current", m).alias("current"), F.try_element_at("prior", m).alias("prior")))
+    return sides.select(F.inline(F.concat(rows, F.array(F.struct(F.lit("common_brands").alias("metric"), common.alias("current"), common.alias("prior"))))))

@@ -1,6 +1,6 @@
-"""Attributes from prose by rules: an offline provider for the response table.
+"""Attributes from prose by patterns: an offline provider for the response table.
 
-A stand-in for a model, not its equal: it finds vocabulary words and fixed patterns only.
+It finds numbers with their units, yes or no words, and whatever words it is given; `learned` takes values from answers instead.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -12,26 +12,21 @@ def words(*vocabulary: str) -> str:
     return r"(?i)\b(" + "|".join(w.replace(" ", r"\s+") for w in vocabulary) + r")\b"
 
 
-# attribute -> pattern; the value is the first group in lower case.
+def unit_count(units: str) -> str:
+    """Pattern of a number per unit, such as 12/box."""
+    return rf"(?i)\b([0-9]+\s*/\s*(?:{units}))\b"
+
+
+# attribute -> pattern; the value is the first group in lower case. There is no vocabulary here: users add `words`.
 VALUE_RULES = {
-    "material": words(
-        "acrylic", "aluminum", "bamboo", "brass", "carbon fiber", "ceramic", "collagen", "copper", "cork", "cotton", "felt", "foam", "gelatin", "glass",
-        "latex", "leather", "linen", "neoprene", "nitrile", "nylon", "paper", "polyester", "polyethylene", "polypropylene", "polyurethane",
-        "porcine gelatin", "rayon", "rubber", "silicone", "silk", "stainless steel", "steel", "titanium", "vinyl", "wood", "wool"),
-    "color": words("off-white", "white", "black", "blue", "green", "purple", "violet", "pink", "red", "orange", "yellow"),
-    "size": words("extra large", "extra small", "x-large", "x-small", "small", "medium", "large"),
-    "pack_size": r"(?i)\b([0-9]+\s*/\s*(?:bag|bottle|box|bundle|carton|case|crate|pack|pair|roll|set|tray)|[0-9]+\s+(?:count|pack|pcs|pieces))\b",
-    "form": words("sponge", "suture", "glove", "powder", "gel", "liquid", "strip", "tape"),
-    "texture": words("porous", "textured", "smooth"),
-    "intended_use": words("cleaning", "dental", "exam", "food handling", "hemostatic", "industrial", "infection control", "laboratory", "packaging",
-                          "surgical", "wound care"),
+    "pack_size": unit_count(r"\p{L}+"),
     "thickness_mil": r"(?i)\b([0-9]+(?:\.[0-9]+)?)[\s-]*mil\b",
 }
 # attribute -> (pattern for "false", pattern for "true"), tried in this order.
 FLAG_RULES = {
     "powder_free": (r"(?i)\bpowdered\b", r"(?i)\bpowder[\s-]+free\b"),
     "sterile": (r"(?i)\bnon[\s-]*sterile\b", r"(?i)\bsterile\b"),
-    "absorbable": (r"(?i)\bnon[\s-]*absorbable\b", r"(?i)\b(?:bio)?absorbable\b"),
+    "absorbable": (r"(?i)\bnon[\s-]*absorbable\b", r"(?i)\babsorbable\b"),
     "latex_free": (r"(?i)\bcontains\s+latex\b", r"(?i)\blatex[\s-]+free\b"),
 }
 

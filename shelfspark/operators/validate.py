@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import REASON_DUPLICATE, REASON_INCOMPLETE, REASON_INVALID
-from ..functions.products import dedup_key, is_complete
+from ..functions.products import dedup_key, is_complete, not_in
+from ..plans.scratch import materialize
 
 VERDICTS = ("ok", "incomplete", "duplicate", "invalid")
 
@@ -17,12 +18,13 @@ def first_arrivals(keyed: DataFrame, prior: DataFrame | None = None) -> DataFram
     """(dedup_key, seq) of the first complete row of each key.
 
     min(seq) combines before the shuffle, so a key that holds a third of the rows costs one row per task.
-    `prior(dedup_key)`: keys accepted by earlier runs; their rows are never first.
+    `prior(dedup_key)`: keys accepted by earlier runs; their rows are never first. The first arrivals are stored before they
+    meet it, so that a prior table in buckets is not shuffled.
     """
     complete = keyed.filter(is_complete(F.col("name"), F.col("url")))
     firsts = complete.groupBy("dedup_key").agg(F.min("seq").alias("seq"))
     if prior is not None:
-        firsts = firsts.join(prior.select("dedup_key"), "dedup_key", "left_anti")
+        firsts = not_in(materialize(firsts, "firsts"), prior, "dedup_key")
     return firsts
 
 
@@ -49,21 +51,22 @@ def validate_products(products: DataFrame, prior: DataFrame | None = None) -> Da
     """
     keyed = with_key(products)
     firsts = first_arrivals(keyed, prior).select("seq", F.lit(True).alias("_first"))
-    verdict = (
-        F.when(~is_complete(F.col("name"), F.col("url")), "incomplete")
-        .when(F.col("_first").isNull(), "duplicate")
-        .when(~F.col("url").rlike("^https?://"), "invalid")
-        .otherwise("ok")
-    )
     return (
         keyed.join(firsts, "seq", "left")
-        .withColumn("verdict", verdict)
+        .withColumn("verdict", verdict(is_complete(F.col("name"), F.col("url")), F.col("_first").isNotNull()))
         .withColumn("valid", F.col("verdict") == "ok")
         .withColumn("reason", reason(F.col("verdict"), F.col("dedup_key")))
         .select(*products.columns, "dedup_key", "verdict", "valid", "reason")
     )
 
 
+def verdict(complete: Column, first: Column, url: str = "url") -> Column:
+    return (
+        F.when(~complete, "incomplete").when(~first, "duplicate")
+        .when(~F.col(url).rlike("^https?://"), "invalid").otherwise("ok")
+    )
+
+
 def reason(verdict: Column, key: Column) -> Column:
     return (
         F.when(verdict == "incomplete", REASON_INCOMPLETE)

@@ -12,7 +12,7 @@ from ..operators.classify import with_page_type
 from ..operators.match import detail_fields, listing_fields, match_selectors, page_type_fields
 from ..sources.pages import latest_pages, version_order
 from ..sources.products import export_csv, read_products, write_jsonl
-from ..sources.state import load_seen, save_seen
+from ..sources.state import load_seen, save_keys, save_seen
 from .scratch import materialize
 
 _LISTING_HITS = ("product_link", "next_page")
@@ -36,13 +36,15 @@ class CatalogRun:
 def match_site(pages: DataFrame, detail=DETAIL_SELECTORS, listing=LISTING_SELECTORS) -> DataFrame:
     """One pass over the HTML with all selector sets, stored without the HTML: url, hits, page_type; one row per URL.
 
-    Every later step reads this table, so each page is parsed once however many steps look at it. Of a URL that
-    occurs more than once the latest page counts (see `version_order`); only hits are shuffled to find it.
+    Every later step reads this table, so each page is parsed once however many steps look at it. Of a URL that occurs more
+    than once the latest page counts (see `version_order`); only hits of such URLs are shuffled to find it. Pages without a
+    URL all stay.
     """
     fields = detail_fields(detail) + listing_fields(listing) + page_type_fields()
     matched = match_selectors(pages.select("url", "html", version_order(pages).alias("_version")), fields)
-    unique = latest_pages(with_page_type(matched), F.col("_version")).drop("_version")
-    return materialize(unique, "matched")
+    stored = materialize(with_page_type(matched), "matched")
+    unique = latest_pages(stored, F.col("_version"))
+    return (stored if unique is stored else materialize(unique, "matched")).drop("_version")
 
 
 def run_catalog(
@@ -96,10 +98,12 @@ def plan_requests(raw: DataFrame, responses: DataFrame | None = None, max_calls:
     return sent if max_calls is None else materialize(sent, "requests")
 
 
-def store_run(run: CatalogRun, jsonl_path: str, seen_path: str) -> None:
-    """Append accepted products, then mark every URL that reached validation."""
+def store_run(run: CatalogRun, jsonl_path: str, seen_path: str, keys_path: str | None = None) -> None:
+    """Append accepted products, then mark every URL that reached validation; with `keys_path` the accepted keys as well."""
     validated = materialize(run.validated, "validated")     # read by both sinks
     write_jsonl(validate.accepted(validated), jsonl_path)
+    if keys_path:
+        save_keys(validated, keys_path)
     save_seen(validate.urls_to_mark(validated), seen_path)
 
 

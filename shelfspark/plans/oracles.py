@@ -187,6 +187,27 @@ parts as (select *, """ + _SITE + """ as site, """ + _BASE_DIR + """ as dir, sub
 
 _WS = r"[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+_TAUGHT = _PRODUCTS + f""",
+requests as (
+  select 'enrich|' || url as request_key, regexp_extract_all(lower(concat_ws(' ', name, description)), '[\\p{{L}}\\p{{N}}]+') as w,
+    cast(('0x' || substr(md5('enrich|' || url), 1, 8)) as bigint) % 5 as part, *
+  from products),
+cued as (
+  select request_key, part, unnest(list_distinct(w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) as cue from requests),
+given as (
+  select * from (select request_key, part, unnest(['color', 'material', 'size', 'texture', 'form']) as attribute,
+    unnest([adjective, noun, case when p_size < 25 then 'small' else 'large' end, case when {_k} % 3 > 0 then 'matte' else 'glossy' end,
+            case when {_k} % 2 = 0 then split_part(p_type, ' ', 1) end]) as value from requests) where value is not null)"""
+
+_LEARNED = """,
+times as (select cue, count(*) as times from cued where part <> 0 group by 1 having count(*) >= 5),
+votes as (
+  select g.attribute, c.cue, g.value, count(*) as support from given g join cued c on c.request_key = g.request_key
+  where g.part <> 0 group by 1, 2, 3 having count(*) >= 5),
+model as (
+  select attribute, v.cue, value, support, support / cast(times + 1 as double) as precision
+  from (select *, row_number() over (partition by attribute, cue order by support desc, value) as nth from votes) v join times t on t.cue = v.cue where nth = 1)"""
+
 ORACLES = {
     # extraction
     "extract_catalog": f"with {_PRODUCTS} select {_PRODUCT_COLUMNS} from products",
@@ -243,13 +264,65 @@ from requests r join reachable b on r.url = b.url""",
     "repeated_answers": f"with {_ANSWERED} select {_ANSWERED_COLUMNS} from answered",
     "offline_enrichment": f"""with {_PRODUCTS}
 select url, concat_ws('|', case when specs <> '' then specs end, case when {_k} % 7 < 2 then 'absorbable=' || case when {_k} % 7 = 0 then 'true' else 'false' end end,
-  'color=' || ['blue', 'white', 'green', 'pink'][{_k} % 4 + 1], 'form=' || ['glove', 'tape', 'gel'][{_k} % 3 + 1], 'intended_use=' || ['exam', 'surgical'][{_k} % 2 + 1],
+  'color=' || ['blue', 'white', 'green', 'pink'][{_k} % 4 + 1], 'form=' || ['lamp', 'chair', 'shelf'][{_k} % 3 + 1], 'intended_use=' || ['indoor', 'outdoor'][{_k} % 2 + 1],
   case when {_k} % 6 < 2 then 'latex_free=' || case when {_k} % 6 = 0 then 'false' else 'true' end end,
-  'material=' || ['nitrile', 'vinyl', 'cotton'][{_k} % 3 + 1], 'pack_size=' || cast({_k} % 50 + 1 as varchar) || '/box',
+  'material=' || ['oak', 'brass', 'wool'][{_k} % 3 + 1], 'pack_size=' || cast({_k} % 50 + 1 as varchar) || '/box',
   'powder_free=' || case when {_k} % 2 = 0 then 'true' else 'false' end, 'size=' || ['small', 'medium', 'large'][{_k} % 3 + 1],
   case when {_k} % 5 < 3 then 'sterile=' || case when {_k} % 5 = 0 then 'false' else 'true' end end,
-  'texture=' || ['smooth', 'textured'][{_k} % 2 + 1], 'thickness_mil=' || cast({_k} % 9 + 1 as varchar)) as specifications,
+  'texture=' || ['matte', 'glossy'][{_k} % 2 + 1], 'thickness_mil=' || cast({_k} % 9 + 1 as varchar)) as specifications,
   'hybrid' as extraction_method, 85e-2 as extraction_confidence from products""",
+    "learned_cues": f"with {_TAUGHT}{_LEARNED} select attribute, cue, value, support, precision from model",
+    "learned_attributes": f"""with {_TAUGHT}{_LEARNED},
+predicted as (
+  select a.request_key, m.attribute, m.value, m.precision,
+    row_number() over (partition by a.request_key, m.attribute order by m.precision desc, m.support desc, m.value) as nth
+  from cued a join model m on m.cue = a.cue where a.part = 0),
+best as (select * from predicted where nth = 1),
+judged as (
+  select b.*, cast(floor(b.precision * 20) as bigint) as step, coalesce(g.value = b.value, false) as is_right
+  from best b left join given g on g.request_key = b.request_key and g.attribute = b.attribute),
+steps as (select attribute, step, count(*) as n, count(*) filter (is_right) as n_right from judged group by 1, 2),
+sums as (select s.attribute, s.step, sum(a.n) as n, sum(a.n_right) as n_right from steps s join steps a on a.attribute = s.attribute and a.step >= s.step group by 1, 2),
+bounds as (select attribute, min(step) / 20 as bound from sums where n >= 5 and n_right >= 0.9 * n group by 1),
+sure as (select b.* from best b join bounds o on o.attribute = b.attribute where b.precision >= o.bound)
+select request_key, '{{' || string_agg('"' || attribute || '":"' || value || '"', ',' order by attribute) || '}}' as body from sure group by request_key""",
+    "provider_answers": f"""with {_PRODUCTS}
+select 'enrich|' || url as request_key, '{{"color": "' || adjective || '"}}' as body,
+  cast(case when {_k} % 5 = 0 then 2 else 1 end as bigint) as calls, case when {_k} % 5 = 0 then 'ValueError: down' end as error from products""",
+    "selector_proposals": f"""with {_PRODUCTS},
+third as (select * from products where {_k} % 3 = 1)
+select 'name' as field, '.headline' as selector, 'text' as take, count(*) as hits, cast(0 as bigint) as errors, cast(0 as bigint) as misses from third having count(*) > 0
+union all select 'sku', '[data-item]', 'data-item', count(*), 0, 0 from third where sku is not null having count(*) > 0
+union all select 'price', '.cost', 'text', count(*), 0, 0 from third where price is not null having count(*) > 0""",
+    "damaged_titles": "select page_id, chr(65533) || '-' || replace(rtrim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)), '&amp;', '&') as title from pages",
+    "duplicate_spikes": """with recursive rates as (
+  select user_id % 4 as category, cast(date_diff('day', date '2024-01-01', cast(ts as date)) as bigint) as run_id, count(*) as n,
+    avg(case when event_type = 'error' or (date_diff('day', date '2024-01-01', cast(ts as date)) = 20 and user_id % 4 = 2 and event_type in ('view', 'click', 'purchase'))
+      then 1e0 else 0e0 end) as rate
+  from events group by 1, 2),
+ordered as (select *, row_number() over (partition by category order by run_id) as t from rates),
+chart as (
+  select category, run_id, t, rate as mean, 1 as runs, cast(null as double) as expected, cast(null as double) as upper, false as spike from ordered where t = 1
+  union all
+  select category, run_id, t, case when spike then mean else mean + 0.2e0 * (rate - mean) end, runs + cast(not spike as integer), mean, upper, spike
+  from (select o.category, o.run_id, o.t, o.rate, c.mean, c.runs, c.mean + 4e0 * sqrt((c.mean * (1 - c.mean) + 1 / cast(o.n as double)) / cast(o.n as double)) as upper,
+          c.runs >= 5 and o.rate > c.mean + 4e0 * sqrt((c.mean * (1 - c.mean) + 1 / cast(o.n as double)) / cast(o.n as double)) as spike
+        from chart c join ordered o on o.category = c.category and o.t = c.t + 1))
+select category, run_id, round(expected, 6) as expected, round(upper, 6) as upper, spike from chart""",
+    "summary_drift": f"""with {_TWO_RUNS},
+brands as (select run_id, brand from runs where brand is not null group by 1, 2)
+select 'rows' as metric, count(*) filter (run_id = 2) * 1e0 as current, count(*) filter (run_id = 1) * 1e0 as prior from runs
+union all select 'brands', count(*) filter (run_id = 2) * 1e0, count(*) filter (run_id = 1) * 1e0 from brands
+union all select 'common_brands', count(*) * 1e0, count(*) * 1e0 from (select brand from brands group by 1 having count(*) = 2)
+union all select unnest(['price_p10', 'price_p25', 'price_p50', 'price_p75', 'price_p90']), 1e0, 1e0""",
+    "similar_products": """with v as (
+  select vec_id, embedding as e, sqrt(list_sum([x::double * x::double for x in embedding])) as size from embeddings
+  where vec_id is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, round(list_sum([p[1]::double * p[2]::double for p in list_zip(q.e, c.e)]) / (q.size * c.size), 9) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
+select query_id, rank, vec_id, round(score, 6) as score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 10""",
     "sanitise_attributes": f"with {_RULED} select 'enrich|' || url as request_key, {_ADDED} as attributes from ruled where {_k} % 7 <> 6",
     "rule_attributes": """select p_partkey, concat_ws('|',
   case when split_part(p_name, ' ', 1) in ('red', 'blue') then 'color=' || split_part(p_name, ' ', 1) end,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text, urls
-from ..operators import classify, extract, gapfill, metrics, navigate, repair, rules, validate
+from ..operators import classify, extract, gapfill, induce, learned, metrics, navigate, provider, repair, rules, similar, validate
 from ..operators.match import Field, match_selectors
 from ..sources import products as product_files
 from ..sources import state
@@ -135,6 +135,15 @@ def page_titles(spark, sf_dir):
     return matched.select("page_id", extract.first_text("title").alias("title"))
 
 
+def damaged_titles(spark, sf_dir):
+    """Titles of pages with bytes that are no UTF-8."""
+    damaged = F.concat(F.encode(F.substring_index("html", "<h1>", 1), "UTF-8"), F.encode(F.lit("<h1>"), "UTF-8"), F.unhex(F.lit("C3")),
+                       F.encode(F.concat(F.lit("-"), F.regexp_extract("html", "(?s)<h1>(.*)$", 1)), "UTF-8"), F.unhex(F.lit("FFE282")))
+    pages = table(spark, sf_dir, "pages").select("page_id", damaged.cast("string").alias("html"))
+    matched = match_selectors(pages, [Field("title", "h1", text=True, first=True)])
+    return matched.select("page_id", extract.first_text("title").alias("title"))
+
+
 def nav_links(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     matched = match_selectors(pages, [Field("links", "nav a", attrs=("href",))])
@@ -236,14 +245,17 @@ def repeated_answers(spark, sf_dir):
     return scalars(gapfill.merge_enrichment(gapfill.merge_fallback(fx.raw(), answers)[0], answers))
 
 
+# What the prose of the query below says of a product, by its number.
+_SAID = {"material": ("oak", "brass", "wool"), "color": ("blue", "white", "green", "pink"), "size": ("small", "medium", "large"),
+         "form": ("lamp", "chair", "shelf"), "texture": ("matte", "glossy"), "intended_use": ("indoor", "outdoor")}
+
+
 def _prose(k: str) -> str:
     """Product text in which rules find all twelve attributes; SQL that Spark and DuckDB read alike."""
     pick = lambda values, n: "case " + " ".join(f"when {k} % {n} = {i} then '{v}'" for i, v in enumerate(values)) + " else '' end"
-    parts = [
-        pick(("nitrile", "vinyl", "cotton"), 3), pick(("blue", "white", "green", "pink"), 4), pick(("small", "medium", "large"), 3),
-        f"cast({k} % 50 + 1 as varchar(9)) || '/box'", pick(("glove", "tape", "gel"), 3), pick(("smooth", "textured"), 2), pick(("exam", "surgical"), 2),
-        f"cast({k} % 9 + 1 as varchar(9)) || ' mil'", pick(("powder-free", "powdered"), 2), pick(("non-sterile", "sterile", "sterile"), 5),
-        pick(("absorbable", "non-absorbable"), 7), pick(("contains latex", "latex-free"), 6),
+    parts = [pick(values, len(values)) for values in _SAID.values()] + [
+        f"cast({k} % 50 + 1 as varchar(9)) || '/box'", f"cast({k} % 9 + 1 as varchar(9)) || ' mil'", pick(("powder-free", "powdered"), 2),
+        pick(("non-sterile", "sterile", "sterile"), 5), pick(("absorbable", "non-absorbable"), 7), pick(("contains latex", "latex-free"), 6),
     ]
     return " || ', ' || ".join(f"({p})" for p in parts)
 
@@ -253,10 +265,61 @@ def offline_enrichment(spark, sf_dir):
     fx = Fixture(spark, sf_dir)
     number = "cast(regexp_extract(url, '-([0-9]+)$', 1) as bigint)"
     products = fx.products().withColumns({"name": F.lit("Item"), "description": F.expr(_prose(number))})
-    answers = rules.rule_responses(gapfill.enrich_requests(products))
+    vocabulary = {attribute: rules.words(*values) for attribute, values in _SAID.items()}
+    answers = rules.rule_responses(gapfill.enrich_requests(products), vocabulary | rules.VALUE_RULES)
     return scalars(gapfill.merge_enrichment(products, answers).select("url", "specifications", "extraction_method", "extraction_confidence"))
 
 
+# What answers say of a product; the last two follow from nothing in its text.
+_TAUGHT = {"color": "split_part(p_name, ' ', 1)", "material": "split_part(p_name, ' ', 2)",
+           "size": "case when p_size < 25 then 'small' else 'large' end",
+           "texture": "case when p_partkey % 3 > 0 then 'matte' else 'glossy' end",
+           "form": "case when p_partkey % 2 = 0 then split_part(p_type, ' ', 1) end"}
+
+
+def _taught(fx) -> tuple[DataFrame, DataFrame]:
+    """(enrichment requests of all products, answers to all of them)."""
+    requests = materialize(gapfill.enrich_requests(fx.products(), tuple(_TAUGHT)), "requests")
+    body = F.to_json(F.struct(*[F.expr(value).alias(name) for name, value in _TAUGHT.items()]))
+    answers = rendered.with_rules(fx.part, fx.shop).select(F.concat(F.lit("enrich|"), "url").alias("request_key"), F.lit("enrich").alias("kind"), body.alias("body"))
+    return requests, answers
+
+
+def learned_cues(spark, sf_dir):
+    """What answers to four fifths of the requests teach about each cue."""
+    requests, answers = _taught(Fixture(spark, sf_dir))
+    answered = learned.answered_requests(requests, answers, tuple(_TAUGHT))
+    return learned.learn(answered.filter(learned.part_of() != 0))
+
+
+def learned_attributes(spark, sf_dir):
+    """Values for the fifth that was not learnt from; attributes that do not follow from the text have none."""
+    requests, answers = _taught(Fixture(spark, sf_dir))
+    model, limits = learned.train(learned.answered_requests(requests, answers, tuple(_TAUGHT)))
+    return learned.learned_responses(requests.filter(learned.part_of() == 0), model, limits).select("request_key", "body")
+
+
+def provider_answers(spark, sf_dir):
+    """A callable that fails on every fifth product, then one that works: the second run asks only for what is open."""
+    fx = Fixture(spark, sf_dir)
+    requests = materialize(gapfill.enrich_requests(fx.products()), "requests")
+
+    def connect(broken):
+        def ask(request):
+            words = request["name"].split()
+            if broken and int(words[-1]) % 5 == 0:
+                raise ValueError("down")
+            return '{"color": "' + words[0] + '"}'
+
+        return lambda: ask
+
+    path = scratch_path(spark, "answers")
+    provider.answer_requests(requests, connect(True), path, slices=2)
+    provider.answer_requests(requests, connect(False), path)
+    calls = provider.load_attempts(spark, path)
+    return calls.groupBy("request_key").agg(F.max("body").alias("body"), F.count(F.lit(1)).alias("calls"), F.max("error").alias("error"))
+
+
 def budget_requests(spark, sf_dir):
     fx = Fixture(spark, sf_dir)
     sent = catalog_run.plan_requests(materialize(fx.raw(), "raw"), fx.responses(), BUDGET)
@@ -321,9 +384,11 @@ def dedup_first(spark, sf_dir):
 
 def validate_with_prior(spark, sf_dir):
     fx = Fixture(spark, sf_dir)
-    prior = rendered.with_rules(fx.part, fx.shop).filter("p_partkey % 10 = 3 and sku is not null").select(F.col("sku").alias("dedup_key")).distinct()
+    path = scratch_path(spark, "keys")
+    earlier = rendered.with_rules(fx.part, fx.shop).filter("p_partkey % 10 = 3 and sku is not null")
+    state.save_keys(earlier.select(F.col("sku").alias("dedup_key"), F.lit(True).alias("valid")), path)
     stored = materialize(fx.products(), "products")
-    return validate.validate_products(stored, prior).select("url", "verdict")
+    return validate.validate_products(stored, state.load_keys(spark, path)).select("url", "verdict")
 
 
 def validation_summary(spark, sf_dir):
@@ -440,7 +505,10 @@ def empty_listings(spark, sf_dir):
 
 
 def _earlier_urls(fx):
-    return rendered.with_rules(fx.part, fx.shop).filter("p_partkey % 5 = 0").select("url")
+    """URLs that an earlier run marked, read back from their table."""
+    path = scratch_path(fx.spark, "seen")
+    state.save_seen(rendered.with_rules(fx.part, fx.shop).filter("p_partkey % 5 = 0").select("url"), path)
+    return state.load_seen(fx.spark, path)
 
 
 def unseen_frontier(spark, sf_dir):
@@ -583,6 +651,24 @@ def repair_report(spark, sf_dir):
     return scalars(report)
 
 
+def _drifted_pages(fx):
+    """A third of the detail pages after the shop was rebuilt: other names for classes and attributes, the same content."""
+    html = F.col("html")
+    for old, new in {"page-title": "headline", "manufacturer-name": "made-by", "shop-by-manufacturer": "makers", "data-sku": "data-item",
+                     "price-box": "offer", "class=\"price\"": "class=\"cost\"", "itemprop=\"price\"": "itemprop=\"amount\""}.items():
+        html = F.replace(html, F.lit(old), F.lit(new))
+    return fx.details().filter(F.regexp_extract("url", "-([0-9]+)$", 1).cast("long") % 3 == 1).select("url", html.alias("html"))
+
+
+def selector_proposals(spark, sf_dir):
+    """The best selector of each field on the rebuilt pages, from what an earlier run knows of them."""
+    fx = Fixture(spark, sf_dir)
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in ("name", "sku", "price")])
+    known = fx.products().select("url", F.inline(fields))
+    proposals = induce.propose_selectors(_drifted_pages(fx), known)
+    return proposals.filter("rank = 1").select("field", "selector", "take", "hits", "errors", "misses")
+
+
 # --- metrics -------------------------------------------------------------------------------
 
 def field_coverage(spark, sf_dir):
@@ -613,6 +699,45 @@ def dup_rate_trend(spark, sf_dir):
     return scalars(metrics.dup_rate_trend(_two_runs(Fixture(spark, sf_dir), judge)))
 
 
+def _daily_errors(spark, sf_dir):
+    """rows_seen and duplicate_rate per category and run, from the event log: a run is a day, a category a group of users; on day 20 group 2 has a spike."""
+    log = table(spark, sf_dir, "events").select(
+        F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("bigint").alias("run_id"),
+        (F.col("user_id") % 4).alias("category"), "event_type")
+    bad = (F.col("event_type") == "error") | ((F.col("run_id") == 20) & (F.col("category") == 2) & F.col("event_type").isin("view", "click", "purchase"))
+    return log.groupBy("category", "run_id").agg(F.count(F.lit(1)).alias("rows_seen"), F.avg(bad.cast("double")).alias("duplicate_rate"))
+
+
+def duplicate_spikes(spark, sf_dir):
+    """Runs whose duplicate rate leaves its category's control limits; the state is carried over at day 12."""
+    rates = materialize(_daily_errors(spark, sf_dir), "rates")
+    first, state = metrics.rate_spikes(rates.filter("run_id < 12"), "category")
+    second, _ = metrics.rate_spikes(rates.filter("run_id >= 12"), "category", state=materialize(state, "state"))
+    return scalars(first.unionByName(second).select("category", "run_id", "expected", "upper", "spike"))
+
+
+def summary_drift(spark, sf_dir):
+    """Two runs compared from their stored summaries: rows and brands as they are, price quantiles by whether their true rank is within two percent."""
+    runs = materialize(_two_runs(Fixture(spark, sf_dir), lambda df: df.withColumn("category", F.element_at("category_path", 1))), "runs")
+    summaries = materialize(metrics.summarise_run(runs, ["run_id", "category"]), "summaries")
+    found = materialize(metrics.compare_summaries(summaries.filter("run_id = 2"), summaries.filter("run_id = 1")), "found")
+    wanted = {f"price_p{round(q * 100):02d}": q for q in metrics.QUANTILES}
+    prices = {r.metric: r for r in found.filter(F.col("metric").isin(*wanted)).collect()}      # five rows
+
+    def near(side, run_id):
+        price = F.when(F.col("run_id") == run_id, F.col("price"))
+        checks = []
+        for metric, q in wanted.items():
+            value = F.lit(prices[metric][side])
+            below, upto = F.avg((price < value).cast("double")), F.avg((price <= value).cast("double"))
+            checks += [F.lit(metric), F.when((below <= q + 0.02) & (upto >= q - 0.02), 1.0).otherwise(0.0)]
+        return F.create_map(*checks).alias(side)
+
+    measured = runs.agg(near("current", 2), near("prior", 1)).select(F.explode("current").alias("metric", "current"), "prior")
+    measured = measured.select("metric", "current", F.try_element_at("prior", F.col("metric")).alias("prior"))
+    return scalars(found.filter(~F.col("metric").isin(*wanted)).unionByName(measured))
+
+
 def drift_report(spark, sf_dir):
     runs = materialize(_two_runs(Fixture(spark, sf_dir), lambda df: df), "runs")
     return scalars(metrics.drift_report(runs.filter("run_id = 2"), runs.filter("run_id = 1")))
@@ -641,6 +766,13 @@ def nearest_products(spark, sf_dir):
     return scalars(metrics.nearest_products(vectors, query, 10).select("vec_id", "label", "score"))
 
 
+def similar_products(spark, sf_dir):
+    """The ten products most alike to every hundredth one, all lists probed."""
+    vectors = materialize(similar.usable_vectors(table(spark, sf_dir, "embeddings")), "vectors")
+    found = similar.similar(vectors.filter("id % 100 = 0"), similar.build_index(vectors, 16), 10)
+    return scalars(found.select("query_id", F.col("rank").cast("bigint").alias("rank"), F.col("id").alias("vec_id"), "score"))
+
+
 # --- streaming -----------------------------------------------------------------------------
 
 def _streamed(spark, sf_dir):
@@ -710,5 +842,6 @@ QUERIES = {f.__name__: f for f in (
     field_coverage, reject_rate, fallback_rate, dup_rate_trend, drift_report, audit_sample, health_windows,
     compare_selectors, nearest_products, stream_catalog, stream_accepted,
     repeated_answers, offline_enrichment, first_round_requests, latest_archived, catalog_products_capped, recrawled_catalog,
+    learned_cues, learned_attributes, provider_answers, selector_proposals, damaged_titles, duplicate_spikes, summary_drift, similar_products,
     catalog_products_budgeted, repair_prompts, stream_rejects, stream_unextractable, stream_retry, stream_health_windows,
 )}

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize_counted
 from ..schemas import PAGES
 
 
@@ -35,13 +36,19 @@ def version_order(pages: DataFrame, html: str = "html") -> Column:
 
 
 def latest_pages(pages: DataFrame, order: Column | None = None) -> DataFrame:
-    """One row per URL, the greatest by `order` (default `version_order`); equal rows count once, null URLs as one URL.
+    """One row per URL, the greatest by `order` (default `version_order`); equal rows count once. Every row without a URL stays.
 
-    All columns take part in the shuffle: call it on rows without HTML where you can, as `match_site` does.
+    URLs are counted first, without any other column. Where none occurs twice, `pages` come back as they are; else only
+    the rows of repeated URLs are ranked. `pages` are read up to three times, so pass a stored table.
     """
-    ranked = pages.withColumn("_order", version_order(pages) if order is None else order)
+    counted = pages.filter("url is not null").groupBy("url").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("url")
+    repeated, n = materialize_counted(counted, "repeated")
+    if not n:
+        return pages
+    ranked = pages.join(repeated, "url", "left_semi").withColumn("_order", version_order(pages) if order is None else order)
     newest = Window.partitionBy("url").orderBy(F.desc("_order"))
-    return ranked.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_order", "_rank")
+    latest = ranked.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").select(*pages.columns)
+    return pages.join(repeated, "url", "left_anti").select(*pages.columns).unionByName(latest)
 
 
 def status_ok(pages: DataFrame) -> DataFrame:

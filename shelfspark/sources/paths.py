@@ -17,3 +17,10 @@ def has_data(spark: SparkSession, path: str) -> bool:
         if not entries.next().getPath().getName().startswith(("_", ".")):
             return True
     return False
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder; none where it is absent."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [status.getPath().getName() for status in fs.listStatus(target)] if fs.exists(target) else []

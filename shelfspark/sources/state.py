@@ -2,26 +2,31 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.products import not_in
 from ..operators.validate import with_key
-from ..schemas import RESPONSES, SEEN
+from ..schemas import RESPONSES
+from .buckets import BUCKETS, add_keys, read_keys
 from .paths import has_data
 from .products import read_products
 
 
 def load_seen(spark: SparkSession, path: str) -> DataFrame:
     """seen(url): URLs of earlier runs; no table means none, and corrupt files are left out (their URLs run again)."""
-    if not has_data(spark, path):
-        return spark.createDataFrame([], SEEN)
-    return spark.read.schema(SEEN).option("ignoreCorruptFiles", True).parquet(path)
+    return read_keys(spark, path, "url")
+
+
+def save_seen(urls: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Append the URLs that are not in the table yet; earlier files are neither rewritten nor shuffled."""
+    add_keys(urls, path, "url", buckets)
+
+
+def load_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(dedup_key) that `save_keys` stored, for `validate_products(prior=...)`."""
+    return read_keys(spark, path, "dedup_key")
 
 
-def save_seen(urls: DataFrame, path: str) -> None:
-    """Append the URLs that are not in the table yet; earlier files are never rewritten."""
-    new = urls.select("url").distinct()
-    if has_data(urls.sparkSession, path):
-        new = not_in(new, load_seen(urls.sparkSession, path), "url")
-    new.write.mode("append").parquet(path)
+def save_keys(validated: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Append the keys of accepted products that are not in the table yet."""
+    add_keys(validated.filter("valid"), path, "dedup_key", buckets)
 
 
 def load_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -38,7 +43,7 @@ def write_requests(requests: DataFrame, path: str) -> None:
 
 
 def load_prior_keys(spark: SparkSession, jsonl_path: str) -> DataFrame:
-    """(dedup_key) of all products stored by earlier runs, for `validate_products(prior=...)`."""
+    """(dedup_key) of all products stored by earlier runs, read from the products; `load_keys` reads a table kept for it."""
     return with_key(read_products(spark, jsonl_path)).select("dedup_key").distinct()
 
 

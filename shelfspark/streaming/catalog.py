@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import DETAIL_SELECTORS
-from ..functions.products import not_in
+from ..functions.products import is_complete, not_in
 from ..operators import extract, gapfill, validate
 from ..operators.match import detail_fields, match_selectors
-from ..schemas import SEQ
+from ..schemas import PRODUCTS, SEQ
 from ..sources.paths import has_data
 from ..sources.products import read_products, write_jsonl
+from . import known
 
 ARRIVALS = T.StructType([
     T.StructField("seq", SEQ),
@@ -24,12 +25,14 @@ _JUDGED = T.StructType([
     T.StructField("verdict", T.StringType()),
     T.StructField("batch_id", T.LongType()),
 ])
-_VISITED = T.StructType([T.StructField("url", T.StringType()), T.StructField("batch_id", T.LongType()), T.StructField("bucket", T.IntegerType())])
-_KEYS = T.StructType([T.StructField("dedup_key", T.StringType()), T.StructField("batch_id", T.LongType()), T.StructField("bucket", T.IntegerType())])
 _DROPPED = T.StructType([T.StructField("url", T.StringType()), T.StructField("gate_reason", T.StringType()), T.StructField("batch_id", T.LongType())])
 _UNEXTRACTABLE = T.StructType([T.StructField("url", T.StringType()), T.StructField("batch_id", T.LongType())])
-#: Earlier keys and URLs lie in so many folders per batch, and a batch reads those that its own fall in.
-STATE_BUCKETS = 64
+_PRODUCT = T.StructType([f for f in PRODUCTS.fields if f.name != "extracted_at"])
+#: Known URLs and keys live in the state store: changes are uploaded per batch, lookups go by key.
+_STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -57,15 +60,25 @@ def stream_products(spark: SparkSession, out_dir: str) -> DataFrame:
     return read_products(spark, f"{out_dir}/products")
 
 
-def _bucket(key: str):
-    return F.pmod(F.xxhash64(key), F.lit(STATE_BUCKETS)).cast("int")
+def _visits(fields: DataFrame) -> DataFrame:
+    """Raw fields -> one row per page for the keyed state (see `known.ROW`), all without a shuffle."""
+    judged = validate.with_key(gapfill.judge_fallback(extract.with_gaps(fields)))
+    status = F.when(F.col("name").isNull() & F.col("url").isNotNull(), known.UNEXTRACTABLE).when(F.col("gate_reason").isNotNull(), known.GATED)
+    place = F.concat(*[F.lpad((F.coalesce(F.col(f"seq.{part}").cast("long"), F.lit(-1)) + 1).cast("string"), 19, "0") for part in SEQ.names])
+    return judged.select(
+        "url", place.alias("place"), status.otherwise(known.BUILT).alias("status"), "gate_reason", "dedup_key",
+        is_complete(F.col("name"), F.col("url")).alias("complete"),
+        F.to_json(F.struct(*_PRODUCT.names), {"ignoreNullFields": "false"}).alias("payload"))
 
 
-def _earlier(spark: SparkSession, path: str, schema: T.StructType, rows: DataFrame, key: str, batch_id: int) -> DataFrame:
-    """Keys of earlier batches, from the buckets that the keys of `rows` fall in."""
-    buckets = [r.bucket for r in rows.select(_bucket(key).alias("bucket")).distinct().collect()]     # STATE_BUCKETS at most
-    state = _table(spark, path, schema)
-    return state.filter(F.col("bucket").isin(buckets) & (F.col("batch_id") < batch_id)).select(key)
+def _with_state(visits: DataFrame) -> DataFrame:
+    """`visits` behind both processors. Rows that claim nothing have a key of their own, so they spread."""
+    alone = F.concat(F.lit("\0"), F.coalesce("url", F.xxhash64("place", "payload").cast("string")))
+    firsts = visits.withColumn("visit", F.coalesce("url", alone)).groupBy("visit").transformWithStateInPandas(
+        known.FirstVisit(), known.ROW, "Append", "None")
+    claim = F.when((F.col("status") == known.BUILT) & F.col("complete"), F.col("dedup_key")).otherwise(alone)
+    return firsts.withColumn("claim", claim).groupBy("claim").transformWithStateInPandas(
+        known.FirstKey(), f"{known.ROW}, first boolean", "Append", "None")
 
 
 def stream_catalog(
@@ -78,10 +91,11 @@ def stream_catalog(
 ):
     """Process all page files not processed yet, then stop; returns the finished query.
 
-    `pages_dir` holds parquet files of ARRIVALS rows. Arrival order is (batch, seq): keys and URLs of
-    earlier batches win. Every batch overwrites its own folders, so a batch that is retried after a
-    crash replaces its output instead of doubling it. Pages without a product and rows that the gate
-    drops are written per batch too; the former may arrive again (see `to_refetch`).
+    `pages_dir` holds parquet files of ARRIVALS rows. Arrival order is (batch, seq): keys and URLs of earlier batches
+    win, and are looked up key by key in the state store, so no batch reads what earlier ones wrote. Every batch overwrites
+    its own folders, so one that is retried after a crash replaces its output instead of doubling it. Pages without a
+    product and rows that the gate drops are written per batch too; the former may arrive again (see `to_refetch`).
+    The number of state partitions is `spark.sql.shuffle.partitions` of the first run.
     """
     reader = spark.readStream.schema(ARRIVALS)
     if files_per_batch:
@@ -89,32 +103,33 @@ def stream_catalog(
     fields = extract.raw_fields(match_selectors(reader.parquet(pages_dir), detail_fields(selectors)))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        def store(rows: DataFrame, name: str, *by: str) -> DataFrame:
+        def store(rows: DataFrame, name: str) -> DataFrame:
             path = f"{out_dir}/{name}/batch_id={batch_id}"
-            rows.write.mode("overwrite").partitionBy(*by).parquet(path)
-            return spark.read.schema(rows.schema).parquet(path)
-
-        seen = store(batch, "fields")                   # the only pass over the HTML
-        store(seen.filter("name is null and url is not null").select("url"), "unextractable")
-        raw = extract.with_gaps(extract.extractable(seen))
-        first_visits = raw.groupBy("url").agg(F.min_by(F.struct(*raw.columns), "seq").alias("_row")).select("_row.*")
-        fresh = not_in(first_visits, _earlier(spark, f"{out_dir}/visited", _VISITED, first_visits, "url", batch_id), "url")
-        built, rejects = gapfill.split_judged(store(gapfill.judge_fallback(fresh), "staged"))
-        store(rejects.select("url", "gate_reason"), "gate_rejects")
-        stored = gapfill.stamp(built, run_ts)
-        keyed = validate.with_key(stored)
-        prior = _earlier(spark, f"{out_dir}/keys", _KEYS, keyed, "dedup_key", batch_id).distinct()
-        judged = validate.validate_products(stored, prior)
-        write_jsonl(validate.accepted(judged), f"{out_dir}/products/batch_id={batch_id}", mode="overwrite")
-        done = store(judged.select("url", "dedup_key", "verdict"), "judged")
-        store(done.select("dedup_key", _bucket("dedup_key").alias("bucket")).distinct(), "keys", "bucket")
-        store(done.select("url", _bucket("url").alias("bucket")).distinct(), "visited", "bucket")
-
-    query = (
-        fields.writeStream.foreachBatch(process)
-        .option("checkpointLocation", f"{out_dir}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+            rows.write.mode("overwrite").parquet(path)
+            return batch.sparkSession.read.schema(rows.schema).parquet(path)
+
+        staged = store(batch, "staged")                 # the only pass over the HTML and the state
+        of = lambda status: staged.filter(F.col("status") == status)
+        store(of(known.UNEXTRACTABLE).select("url"), "unextractable")
+        store(of(known.GATED).select("url", "gate_reason"), "gate_rejects")
+        built = of(known.BUILT).select("dedup_key", "complete", "first", F.from_json("payload", _PRODUCT).alias("product"))
+        judged = gapfill.stamp(built.select("dedup_key", "complete", "first", "product.*"), run_ts)
+        judged = judged.withColumn("verdict", validate.verdict(F.col("complete"), F.col("first")))
+        write_jsonl(judged.filter("verdict = 'ok'").select(PRODUCTS.names), f"{out_dir}/products/batch_id={batch_id}", mode="overwrite")
+        store(judged.select("url", "dedup_key", "verdict"), "judged")
+
+    before = {key: spark.conf.get(key, None) for key in _STATE_STORE}
+    try:
+        for key, value in _STATE_STORE.items():
+            spark.conf.set(key, value)
+        query = (
+            _with_state(_visits(fields)).writeStream.foreachBatch(process)
+            .option("checkpointLocation", f"{out_dir}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     query.awaitTermination()
     return query

@@ -138,11 +138,10 @@ def test_prompts(spark):
 
 
 def test_rules(spark):
-    text = "Sterile, bioresorbable Porcine Gelatin sponge, off-white, porous. Hemostatic. 100/box, 5.5 mil, powder-free."
-    row = spark.range(1).select(rules.rule_attributes(F.lit(text)).alias("a")).first().a
-    assert row == {"material": "porcine gelatin", "color": "off-white", "pack_size": "100/box", "form": "sponge", "texture": "porous",
-                   "intended_use": "hemostatic", "thickness_mil": "5.5", "powder_free": "true", "sterile": "true"}
-    raw = spark.createDataFrame([raw_row(0, "u", [], sku="s", description="non-sterile blue glove")], RAW)
+    text = "Sterile walnut stool, off-white. 100/box, 5.5 mil, powder-free, non absorbable."
+    row = spark.range(1).select(rules.rule_attributes(F.lit(text), {"material": rules.words("oak", "walnut"), **rules.VALUE_RULES}).alias("a")).first().a
+    assert row == {"material": "walnut", "pack_size": "100/box", "thickness_mil": "5.5", "powder_free": "true", "sterile": "true", "absorbable": "false"}
+    raw = spark.createDataFrame([raw_row(0, "u", [], sku="s", description="non-sterile stool, 6 / case")], RAW)
     good, _ = gapfill.merge_fallback(raw)
     enriched = gapfill.merge_enrichment(good, rules.rule_responses(gapfill.enrich_requests(good))).first()
-    assert enriched.specifications == {"color": "blue", "form": "glove", "sterile": "false"}
+    assert enriched.specifications == {"pack_size": "6 / case", "sterile": "false"}

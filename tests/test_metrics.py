@@ -73,3 +73,57 @@ def test_nearest(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [3.0, 3.0]), (4, [0.0, 0.0])], "id int, embedding array<float>")
     rows = metrics.nearest_products(df, [2.0, 0.0], 3).collect()
     assert [r.id for r in rows] == [1, 3, 2] and rows[0].score == 1.0
+
+
+def chart(rates):
+    """The control chart of one category, run by run."""
+    mean, runs, out = None, 0, []
+    for rate, n in rates:
+        upper = None if mean is None else mean + metrics.WIDTH * math.sqrt((mean * (1 - mean) + 1 / n) / n)
+        spike = runs >= metrics.WARM_UP and rate > upper
+        out.append((mean, upper, spike))
+        if not spike:
+            mean, runs = rate if runs == 0 else mean + metrics.SMOOTHING * (rate - mean), runs + 1
+    return out
+
+
+def test_a_spike_is_flagged_in_its_run_only_and_state_carries_over(spark):
+    rng = random.Random(3)
+    rows = []
+    for category, base, n in (("a", 0.1, 4000), ("b", 0.02, 900), ("c", 0.0, 50)):
+        for run in range(30):
+            share = 0.25 if category == "a" and run == 17 else base
+            rows.append((category, run, n, sum(rng.random() < share for _ in range(n)) / n))
+    rates = spark.createDataFrame(rows, "category string, run_id long, rows_seen long, duplicate_rate double")
+    found, state = metrics.rate_spikes(rates, "category")
+    assert [(r.category, r.run_id) for r in found.filter("spike").collect()] == [("a", 17)]
+    for category in "abc":
+        own = [(r, n) for c, _, n, r in rows if c == category]
+        got = found.filter(found.category == category).orderBy("run_id").collect()
+        assert [(r.expected, r.upper, bool(r.spike)) for r in got] == [(a, b, bool(c)) for a, b, c in chart(own)]
+    # In three calls the same as in one; a category may be absent from a call, and null rates are no runs.
+    parts, state = [], None
+    for low, high in ((0, 4), (4, 18), (18, 30)):
+        some = rates.filter(f"run_id >= {low} and run_id < {high} and not (category = 'c' and run_id >= 4 and run_id < 18)")
+        part, state = metrics.rate_spikes(some.unionByName(spark.createDataFrame([("b", 99 + low, 5, None)], rates.schema)), "category", state)
+        parts += part.filter("category <> 'c'").collect()
+    assert sorted(map(tuple, parts)) == sorted(map(tuple, found.filter("category <> 'c'").collect()))
+    assert metrics.rate_spikes(rates.limit(0), "category")[0].collect() == []
+
+
+def test_run_summaries_merge(spark):
+    rng = random.Random(5)
+    rows = [(run, rng.choice("xyz"), rng.choice([None, rng.lognormvariate(2, 1)]), rng.choice([None, f"b{rng.randrange(30 + 20 * run)}"])) for run in (1, 2) for _ in range(20_000)]
+    products = spark.createDataFrame(rows, "run_id int, category string, price double, brand string")
+    summaries = metrics.summarise_run(products, ["run_id", "category"])
+    found = {r.metric: r for r in metrics.compare_summaries(summaries.filter("run_id = 2"), summaries.filter("run_id = 1")).collect()}
+    assert (found["rows"].current, found["rows"].prior) == (20_000, 20_000)
+    assert (found["brands"].current, found["brands"].prior, found["common_brands"].current) == (70, 50, 50)
+    for run, side in ((2, "current"), (1, "prior")):
+        prices = sorted(p for r, _, p, _ in rows if r == run and p is not None)
+        for q in metrics.QUANTILES:
+            value = found[f"price_p{round(q * 100):02d}"][side]
+            assert abs(sum(p <= value for p in prices) / len(prices) - q) < 0.01
+    none = products.filter("run_id = 1").withColumn("price", F.lit(None).cast("double"))
+    found = {r.metric: r.current for r in metrics.compare_summaries(metrics.summarise_run(none, ["category"]), summaries.filter("run_id = 3")).collect()}
+    assert found["rows"] == 20_000 and found["price_p50"] is None

@@ -6,6 +6,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from shelfspark.functions.products import not_in
+from shelfspark.operators import validate
+from shelfspark.plans.scratch import materialize
 from shelfspark.schemas import PRODUCTS
 from shelfspark.sources import pages as page_tables
 from shelfspark.sources import products as files
@@ -78,6 +81,36 @@ def test_seen_table(spark, tmp_path):
     assert sorted(r.url for r in state.load_seen(spark, path).collect()) == ["a", "b", "c"]
 
 
+def test_known_keys_are_never_shuffled(spark, tmp_path):
+    path, keys = str(tmp_path / "seen"), str(tmp_path / "keys")
+    state.save_seen(spark.range(5000).selectExpr("concat('http://h/', id) as url"), path, buckets=7)
+    state.save_seen(spark.createDataFrame([("x",), (None,), ("x",), ("http://h/1",)], "url string"), path, buckets=99)
+    seen = state.load_seen(spark, path)
+    assert seen.count() == 5001 and seen.rdd.getNumPartitions() == 7
+    arrivals = [(f"http://h/{i}", (0, 0, i)) for i in range(4990, 5010)]
+    products = [(f"http://h/{i}", f"SKU{i % 8}", "n", (0, 0, i)) for i in range(20)]
+    arrivals = materialize(spark.createDataFrame(arrivals, "url string, seq struct<a: int, b: int, c: int>"), "arrivals")
+    state.save_keys(spark.createDataFrame([("SKU1", True), ("SKU2", False)], "dedup_key string, valid boolean"), keys)
+    products = materialize(spark.createDataFrame(products, "url string, sku string, name string, seq struct<a: int, b: int, c: int>"), "products")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        fresh = not_in(arrivals, seen, "url")
+        firsts = validate.first_arrivals(validate.with_key(products), state.load_keys(spark, keys))
+        for frame, stored in ((fresh, "url"), (firsts, "dedup_key")):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            above, table = plan.split("Bucketed: true")[0].rsplit("\n", 1)
+            # The table's own branch: what stands over its scan down from the join has no exchange.
+            branch = above.split("SortMergeJoin")[1].split("+- ")[-3:]
+            assert plan.count("Exchange hashpartitioning") == 1 and not any("Exchange" in step for step in branch), plan
+        assert sorted(r.url for r in fresh.collect()) == [f"http://h/{i}" for i in range(5000, 5010)]
+        assert sorted(r.dedup_key for r in firsts.collect()) == ["SKU0", *[f"SKU{i}" for i in range(2, 8)]]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    (tmp_path / "seen" / "buckets-7" / "part-99999-bad_00003.c000.parquet").write_bytes(b"no parquet at all")
+    assert state.load_seen(spark, path).count() == 5001
+
+
 def test_repair_report_is_written_only_with_suggestions(spark, tmp_path):
     report = spark.createDataFrame([("sku", 5, [])], "field string, failures bigint, suggested array<string>")
     assert not state.write_repair_report(report, str(tmp_path / "r"))

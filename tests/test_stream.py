@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from shelfspark.operators import gapfill, metrics, validate
 from shelfspark.operators.extract import extract_raw
 from shelfspark.streaming import catalog as stream
-from shelfspark.streaming.catalog import ARRIVALS, judged_rows, stream_catalog, stream_products, to_refetch
+from shelfspark.streaming.catalog import ARRIVALS, judged_rows, rejected_rows, stream_catalog, stream_products, to_refetch
 from shelfspark.streaming.health import stream_health
 
 TS = "2026-01-01 00:00:00"
@@ -40,15 +40,28 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert judged_rows(spark, out).count() == 6
 
 
-def test_a_batch_reads_its_own_buckets_only(spark, tmp_path):
+def test_a_batch_reads_no_history(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    arrivals(spark, [(i, f"http://h/{i}", f"S{i}") for i in range(20)]).coalesce(1).write.parquet(src)
+    arrivals(spark, [(i, f"http://h/{i}", f"S{i}") for i in range(40)]).coalesce(1).write.parquet(src)
     stream_catalog(spark, src, out, TS, SELECTORS_B)
-    rows = spark.createDataFrame([("http://h/3",)], "url string")
-    state = stream._earlier(spark, f"{out}/visited", stream._VISITED, rows, "url", 9)
-    plan = state._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
-    assert [r.url for r in state.filter("url = 'http://h/3'").collect()] == ["http://h/3"]
+    # What earlier batches wrote is out of the way, and the next one still knows it.
+    for name in ("staged", "judged", "products"):
+        (tmp_path / "out" / name).rename(tmp_path / f"old-{name}")
+    later = [(50, "http://h/3", "new"), (51, "http://h/new", "S4"), (52, "http://h/newer", "S52")]
+    arrivals(spark, later).coalesce(1).write.mode("append").parquet(src)
+    query = stream_catalog(spark, src, out, TS, SELECTORS_B)
+    assert {(r.url, r.verdict) for r in judged_rows(spark, out).collect()} == {("http://h/new", "duplicate"), ("http://h/newer", "ok")}
+    stored = [op["numRowsTotal"] for op in query.recentProgress[-1]["stateOperators"]]
+    assert len(stored) == 2 and min(stored) >= 40
+
+
+def test_pages_without_a_url_are_gated(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    arrivals(spark, [(0, None, "A"), (1, None, "B"), (2, "http://h/1", "A"), (3, None, None)]).coalesce(1).write.parquet(src)
+    stream_catalog(spark, src, out, TS, SELECTORS_B)
+    assert [(r.url, r.verdict) for r in judged_rows(spark, out).collect()] == [("http://h/1", "ok")]
+    reasons = sorted(r.gate_reason for r in rejected_rows(spark, out).collect())
+    assert reasons == ["name is empty", "url is missing", "url is missing"]
 
 
 def test_a_retried_batch_replaces_its_output(spark, tmp_path):
