@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.running import rows_before
 from ..plans.scratch import materialize
 from ..schemas import PRODUCTS
+from ..sources.page_state import with_page_hash
 from .match import Field, match_selectors
 from .validate import validation_summary
 
@@ -138,10 +139,11 @@ def changed_pages(pages: DataFrame, earlier: DataFrame) -> DataFrame:
     """Pages that are new or whose content differs from `earlier(url, html_hash)`; only these need a new pass.
 
     Only URLs and hashes are compared and shuffled. The changed ones are stored, and a second scan keeps
-    their pages; a small set goes to the scan, so that unchanged HTML never moves.
+    their pages; a small set goes to the scan, so that unchanged HTML never moves. Pages that carry an `html_hash`, as
+    archived ones do, are not hashed, and their HTML is read in the second scan only.
     """
     keys = ["url", "html_hash"]
-    hashed = pages.withColumn("html_hash", F.sha2("html", 256))
+    hashed = with_page_hash(pages)
     known = earlier.select(*[F.col(k).alias(f"_{k}") for k in keys])
     same = F.col("url").eqNullSafe(F.col("_url")) & F.col("html_hash").eqNullSafe(F.col("_html_hash"))
     changed = materialize(hashed.select(*keys).join(known, same, "left_anti").distinct().toDF("_url", "_html_hash"), "changed")
@@ -150,7 +152,7 @@ def changed_pages(pages: DataFrame, earlier: DataFrame) -> DataFrame:
 
 def page_hashes(pages: DataFrame) -> DataFrame:
     """url, html_hash of pages: what a later run passes to `changed_pages`."""
-    return pages.select("url", F.sha2("html", 256).alias("html_hash"))
+    return with_page_hash(pages).select("url", "html_hash")
 
 
 def compare_selectors(pages: DataFrame, current: dict, candidate: dict) -> DataFrame:

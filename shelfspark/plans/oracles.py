@@ -361,6 +361,14 @@ select count(*) as total_seen, count(*) filter (verdict = 'ok') as accepted, cou
     "changed_pages": """
 select page_id, sha256(html) as html_hash from pages p where not exists (
   select 1 from pages e where e.page_id % 3 <> 0 and e.url = p.url and (case when e.page_id % 5 = 0 then e.html || 'old' else e.html end) = p.html)""",
+    "page_state": """
+with twice as (select url, page_id % 7 <> 0 as met, page_id % 5 = 0 and page_id % 7 <> 0 as changed, html from pages)
+select url, sha256(case when changed then html || 'new' else html end) as html_hash, '2026-01-01' as first_seen,
+  case when changed then '2026-02-01' else '2026-01-01' end as changed_at, case when met then '2026-02-01' else '2026-01-01' end as seen_at,
+  cast(case when changed then 2 else 1 end as bigint) as version from twice""",
+    "packed_archive": """
+select page_id, u as url, substr(sha1(u), 1, 16) as archive_key, sha256(html) as html_hash
+from (select page_id, html, unnest([url, url || '#again']) as u from pages)""",
     "latest_archived": "select url, cast(1 as bigint) as fetched_at from pages group by url",
     # navigation
     "listing_links": f"""with {_RULED}, {_LISTINGS},

@@ -9,7 +9,9 @@ from ..operators import classify, extract, gapfill, induce, learned, metrics, na
 from ..operators.match import Field, match_selectors
 from ..sources import products as product_files
 from ..sources import state
-from ..sources.pages import as_pages, read_archive, read_pages, with_archive_key, write_archive
+from ..sources.packing import remove_replaced
+from ..sources.page_state import load_page_state, merge_page_state
+from ..sources.pages import as_pages, pack_archive, read_archive, read_pages, with_archive_key, write_archive
 from ..streaming.catalog import judged_rows, rejected_rows, stream_catalog as run_stream, stream_products, to_refetch
 from ..constants import MAX_IMAGES, MAX_SUGGESTIONS
 from ..streaming.health import stream_health
@@ -477,6 +479,28 @@ def changed_pages(spark, sf_dir):
     return metrics.changed_pages(pages, earlier).select("page_id", "html_hash")
 
 
+def page_state(spark, sf_dir):
+    """State of all URLs after two crawls: the second finds every fifth page changed and does not reach every seventh."""
+    path = scratch_path(spark, "page-state")
+    pages = table(spark, sf_dir, "pages")
+    merge_page_state(pages, path, "2026-01-01")
+    later = F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("new"))).otherwise(F.col("html"))
+    merge_page_state(pages.filter("page_id % 7 <> 0").withColumn("html", later), path, "2026-02-01")
+    return load_page_state(spark, path)
+
+
+def packed_archive(spark, sf_dir):
+    """An archive of many appends, packed, appended to and packed again; the replaced files are gone after the first time."""
+    path = scratch_path(spark, "archive")
+    pages = as_pages(read_pages(spark, f"{sf_dir}/pages.parquet"))
+    write_archive(pages.repartition(16), path)
+    pack_archive(spark, path)
+    remove_replaced(spark, path)
+    write_archive(pages.withColumn("url", F.concat("url", F.lit("#again"))).repartition(16), path)
+    pack_archive(spark, path)
+    return read_archive(spark, path).select("page_id", "url", "archive_key", "html_hash")
+
+
 # --- navigation ----------------------------------------------------------------------------
 
 def listing_links(spark, sf_dir):
@@ -834,7 +858,7 @@ QUERIES = {f.__name__: f for f in (
     merge_fallback, gate_rejects, merge_enrichment, fallback_requests, enrich_requests, budget_requests, request_prompts,
     sanitise_attributes, rule_attributes,
     validate_catalog, dedup_first, validate_with_prior, validation_summary, method_counts, schema_gate,
-    jsonl_roundtrip, csv_flat, csv_export, pipeline_status, run_summary, seen_urls, archive_keys, changed_pages,
+    jsonl_roundtrip, csv_flat, csv_export, pipeline_status, run_summary, seen_urls, archive_keys, changed_pages, page_state, packed_archive,
     listing_links, walked_pages, frontier_full, frontier_capped, empty_listings, unseen_frontier, fetch_misses,
     catalog_products, catalog_products_full, catalog_products_answered,
     page_types, page_type_answers, page_type_counts, classify_requests,

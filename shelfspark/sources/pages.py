@@ -5,6 +5,10 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize_counted
 from ..schemas import PAGES
+from .packing import TARGET, pack, read_packed
+from .page_state import with_page_hash
+
+_KEY_FILTER = {"parquet.bloom.filter.enabled#archive_key": "true"}
 
 
 def as_pages(df: DataFrame) -> DataFrame:
@@ -62,14 +66,18 @@ def with_archive_key(pages: DataFrame) -> DataFrame:
 
 
 def write_archive(pages: DataFrame, path: str) -> None:
-    """Append raw pages with their key. Nothing is shuffled; a bloom filter per file serves lookups by key."""
-    writer = with_archive_key(pages).write.mode("append")
-    writer.option("parquet.bloom.filter.enabled#archive_key", "true").parquet(path)
+    """Append raw pages with their key and hash. Nothing is shuffled; a bloom filter per file serves lookups by key."""
+    with_page_hash(with_archive_key(pages)).write.mode("append").options(**_KEY_FILTER).parquet(path)
+
+
+def pack_archive(spark: SparkSession, path: str, target: int = TARGET) -> int:
+    """Pack the small files of many appends (see `packing`); `packing.remove_replaced` deletes them later."""
+    return pack(spark, path, target, **_KEY_FILTER)
 
 
 def read_archive(spark: SparkSession, path: str, url: str | None = None, latest: bool = False) -> DataFrame:
     """Archived pages; with `url` only that page, skipping files that cannot hold its key; `latest`: one row per URL."""
-    archive = spark.read.parquet(path)
+    archive = read_packed(spark, path)
     if url is not None:
         archive = _of_url(archive, url)
     return latest_pages(archive) if latest else archive

@@ -24,3 +24,24 @@ def children(spark: SparkSession, path: str) -> list[str]:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     return [status.getPath().getName() for status in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def create_once(spark: SparkSession, path: str, content: str) -> None:
+    """Write a small file that must not exist yet; fails where another writer made it first."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder; an absent one is no fault."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def content(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    return spark.read.text(path, wholetext=True).head()[0]

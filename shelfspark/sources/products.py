@@ -8,7 +8,7 @@ from ..constants import CSV_COLUMNS
 from ..functions.products import gate_reason, schema_gate
 from ..functions.text import json_list, json_map, parse_price, strip_blank
 from ..schemas import PRODUCTS, PRODUCTS_AS_TEXT
-from .paths import has_data
+from .packing import exists, read_packed
 
 _TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"     # always written in UTC
 
@@ -30,13 +30,13 @@ def read_products(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     lenient: lines that do not parse are skipped, scalars are kept as the text they had in the file.
     """
     schema = PRODUCTS if strict else PRODUCTS_AS_TEXT
-    if not has_data(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     if not strict:
-        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+        return read_packed(spark, path, schema, "json", mode="DROPMALFORMED")
     # Price is read as text, since a product line may hold a number or a price text.
     typed = T.StructType([T.StructField("price", T.StringType()) if f.name == "price" else f for f in schema.fields])
-    rows = spark.read.schema(typed).option("mode", "FAILFAST").json(path)
+    rows = read_packed(spark, path, typed, "json", mode="FAILFAST")
     return revalidate(rows.withColumn("price", parse_price(F.col("price"))))
 
 
@@ -89,7 +89,7 @@ def export_csv(spark: SparkSession, jsonl_path: str, csv_path: str) -> int:
     Rows are counted while they are written; nothing is read twice and nothing is shuffled. Lines end in
     LF: with CRLF the writer would also turn each line break inside a value into CRLF.
     """
-    if not has_data(spark, jsonl_path):
+    if not exists(spark, jsonl_path):
         return 0
     written = Observation("csv_rows")
     (

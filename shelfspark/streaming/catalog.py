@@ -9,7 +9,8 @@ from ..functions.products import is_complete, not_in
 from ..operators import extract, gapfill, validate
 from ..operators.match import detail_fields, match_selectors
 from ..schemas import PRODUCTS, SEQ
-from ..sources.paths import has_data
+from ..sources.packing import TARGET, exists, pack, read_packed
+from ..sources.paths import children
 from ..sources.products import read_products, write_jsonl
 from . import known
 
@@ -36,7 +37,7 @@ _STATE_STORE = {
 
 
 def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path) if has_data(spark, path) else spark.createDataFrame([], schema)
+    return read_packed(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def judged_rows(spark: SparkSession, out_dir: str) -> DataFrame:
@@ -60,6 +61,19 @@ def stream_products(spark: SparkSession, out_dir: str) -> DataFrame:
     return read_products(spark, f"{out_dir}/products")
 
 
+def pack_stream(spark: SparkSession, out_dir: str, target: int = TARGET) -> int:
+    """Pack the small files of all batches but the last one, which may be run again; returns how many were replaced.
+
+    Call it between runs. `packing.remove_replaced` of each folder deletes the replaced files later.
+    """
+    total = 0
+    for name, fmt in (("judged", "parquet"), ("gate_rejects", "parquet"), ("unextractable", "parquet"), ("products", "text")):
+        batches = [int(n.removeprefix("batch_id=")) for n in children(spark, f"{out_dir}/{name}") if n.startswith("batch_id=")]
+        if batches:
+            total += pack(spark, f"{out_dir}/{name}", target, fmt, keep=f"batch_id={max(batches)}")
+    return total
+
+
 def _visits(fields: DataFrame) -> DataFrame:
     """Raw fields -> one row per page for the keyed state (see `known.ROW`), all without a shuffle."""
     judged = validate.with_key(gapfill.judge_fallback(extract.with_gaps(fields)))
