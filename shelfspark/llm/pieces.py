@@ -2,10 +2,13 @@
 
 The lattice stands on the UTF-8 bytes of the text, with a plain blank where the model writes its blank sign. No piece of the
 model crosses the start of a blank run or a line break (the loader checks it), so the lattice falls into segments; distinct
-segments of a portion of text are filtered once and sampled for each of their places. The model file ranks its pieces and has
-no probabilities, so a piece of rank r weighs (r + 10) ** -alpha. Bytes stand in for what no piece covers.
+segments of a window of text are filtered once and sampled for each of their places. A long segment falls apart further wherever
+no piece of it crosses, which leaves the distribution as it is; what still is long is filtered whole. The model file ranks its
+pieces and has no probabilities, so a piece of rank r weighs (r + 10) ** -alpha. Bytes stand in for what no piece covers.
+Probabilities are rounded to 2**-31, so a draw does not depend on which texts share a window.
 """
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +20,8 @@ from pyspark.sql import types as T
 from .arrays import mix, portions, powers, release, text_bytes
 
 PORTION = 1 << 20
-LONGEST_SEGMENT = 512       # bytes; no piece crosses a cut, and decoding is not affected
+LONG = 512                  # bytes from which a segment is parted where no piece crosses, and from which its filter goes byte by byte
+_FAR_BACK = 1 << 10         # bytes that an edge reaches back at most; pieces are shorter (the loader checks it)
 _TABLE_BITS = 20
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _BLANK_SIGN = "▁".encode()
@@ -60,6 +64,8 @@ def load_pieces(path: str, alpha: float = 1.0) -> PieceTable:
     weight = np.where(usable, -alpha * np.log(rank + 10.0), -np.inf)
     weight[byte_ids] = weight[usable].min() - 40.0
     lengths = np.array([len(c) for c in contents])
+    if lengths.max() >= _FAR_BACK:
+        raise ValueError("the model has a piece of more than 1,023 bytes")
     return PieceTable(np.frombuffer(b"".join(contents), np.uint8), np.cumsum(lengths) - lengths, lengths, weight, byte_ids)
 
 
@@ -99,13 +105,46 @@ def _segments(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first[1:] |= line[:-1] | (blank[1:] & ~blank[:-1])
     first[rows[:-1][rows[:-1] < len(data)]] = True
     starts = np.flatnonzero(first)
-    lengths = np.diff(np.append(starts, len(data)))
-    if len(lengths) and lengths.max() > LONGEST_SEGMENT:
-        pieces = -(-lengths // LONGEST_SEGMENT)
-        within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts = np.repeat(starts, pieces) + within * LONGEST_SEGMENT
-        lengths = np.diff(np.append(starts, len(data)))
-    return starts, lengths
+    return starts, np.diff(np.append(starts, len(data)))
+
+
+def _part(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, table: PieceTable, lookup: _Lookup) -> tuple[np.ndarray, np.ndarray]:
+    """The same segments, the long ones parted wherever no piece of theirs crosses."""
+    cuts = [starts]
+    for start, length in zip(starts[lengths > LONG], lengths[lengths > LONG]):
+        lo, end = int(start), int(start + length)
+        while lo < end:                             # windows overlap by the longest piece
+            hi = min(lo + PORTION, end)
+            content = data[lo: min(hi + lookup.longest, end)]
+            begin, _, size = _edges(content, np.arange(len(content), 0, -1), table, lookup)
+            inside = np.zeros(len(content) + 1, np.int32)
+            np.add.at(inside, begin + 1, 1)         # boundaries begin + 1 .. begin + size - 1 lie inside the piece
+            np.add.at(inside, begin + size, -1)
+            free = np.flatnonzero(np.cumsum(inside)[: hi - lo] == 0)
+            # A piece that began before the window may reach over its first boundaries.
+            cuts.append(lo + (free if lo == start else free[free >= lookup.longest]))
+            lo = hi if hi == end else hi - lookup.longest
+    starts = np.unique(np.concatenate(cuts))
+    return starts, np.diff(np.append(starts, len(data)))
+
+
+def _edges(content: np.ndarray, left: np.ndarray, table: PieceTable, lookup: _Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, piece, size) of all pieces in `content` that end within their segment, of which `left` bytes are left."""
+    bytes_ = np.flatnonzero(~lookup.single[content]).astype(np.int32)    # bytes that are no piece by themselves
+    froms, ids, sizes = [bytes_], [table.byte_ids[content[bytes_]].astype(np.int32)], [np.ones(len(bytes_), np.int32)]
+    live, hashes = np.arange(len(content), dtype=np.int32), np.zeros(len(content), np.uint64)
+    for k in range(lookup.longest):
+        keep = left[live] > k
+        live, hashes = live[keep], hashes[keep]
+        if not len(live):
+            break
+        hashes = hashes + _BYTE[content[live + k]] * lookup.power[k]
+        if lookup.is_length[k + 1]:
+            at, found = lookup.find(mix(hashes))
+            froms.append(live[at])
+            ids.append(found.astype(np.int32))
+            sizes.append(np.full(len(at), k + 1, np.int32))
+    return np.concatenate(froms), np.concatenate(ids), np.concatenate(sizes)
 
 
 def _distinct(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
@@ -119,41 +158,31 @@ def _distinct(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
 
 
 class _Lattice:
-    """All edges of the distinct segments, by the node that they enter, with cumulated backward probabilities."""
+    """All edges of the distinct segments, by the node that they enter, with cumulated backward probabilities.
+
+    `cumulated` holds node * 2**31 plus the cumulated share of 2**31, so one sorted search finds the edge of a draw.
+    """
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, table: PieceTable, lookup: _Lookup):
         self.first = np.cumsum(lengths) - lengths                   # node of byte i of segment s, entered after it: first[s] + i
         n = int(lengths.sum())
         left = np.repeat(self.first + lengths, lengths) - np.arange(n)      # bytes from here to the segment's end
         content = data[np.repeat(starts, lengths) + np.arange(n) - np.repeat(self.first, lengths)]
-        bytes_ = np.flatnonzero(~lookup.single[content]).astype(np.int32)    # bytes that are no piece by themselves
-        froms, ids, sizes = [bytes_], [table.byte_ids[content[bytes_]].astype(np.int32)], [np.ones(len(bytes_), np.int32)]
-        live, hashes = np.arange(n, dtype=np.int32), np.zeros(n, np.uint64)
-        for k in range(lookup.longest):
-            keep = left[live] > k
-            live, hashes = live[keep], hashes[keep]
-            if not len(live):
-                break
-            hashes = hashes + _BYTE[content[live + k]] * lookup.power[k]
-            if lookup.is_length[k + 1]:
-                at, found = lookup.find(mix(hashes))
-                froms.append(live[at])
-                ids.append(found.astype(np.int32))
-                sizes.append(np.full(len(at), k + 1, np.int32))
-        start, piece, size = np.concatenate(froms), np.concatenate(ids), np.concatenate(sizes)
+        start, piece, size = _edges(content, left, table, lookup)
         enters = start + size - 1
         order = np.argsort(enters, kind="stable")
         start, self.piece, self.size, enters = start[order], piece[order], size[order], enters[order]
         edges = np.concatenate([[0], np.cumsum(np.bincount(enters, minlength=n))])
         weight = table.log_weight[self.piece]
-        # Forward filtering, one byte position of all segments at a time.
+        # Forward filtering, one byte position of all segments at a time; far into long segments, where few are left, one by one.
         depth = np.arange(n) - np.repeat(self.first, lengths)
-        by_depth = np.argsort(depth, kind="stable")
-        levels = np.concatenate([[0], np.cumsum(np.bincount(depth))])
+        near = np.flatnonzero(depth < LONG)
+        by_depth = near[np.argsort(depth[near], kind="stable")]
+        levels = np.concatenate([[0], np.cumsum(np.bincount(depth[near]))])
         total = np.empty(n)
         is_first = np.zeros(n, bool)
         is_first[self.first] = True
-        self.cumulated = np.empty(len(weight))
+        shares = np.empty(len(weight))
         for lo, hi in zip(levels[:-1], levels[1:]):
             nodes = by_depth[lo:hi]
             count = edges[nodes + 1] - edges[nodes]
@@ -163,19 +192,45 @@ class _Lattice:
             value = weight[own] + np.where(is_first[source], 0.0, total[np.maximum(source - 1, 0)])
             top = np.maximum.reduceat(value, begin)
             share = np.exp(value - np.repeat(top, count))
-            sums = np.cumsum(share)
-            whole = np.add.reduceat(share, begin)
-            total[nodes] = top + np.log(whole)
-            sums -= np.repeat(sums[begin] - share[begin], count)
-            sums /= np.repeat(whole, count)
-            sums[begin + count - 1] = 1.0
-            self.cumulated[own] = np.minimum(sums, 1.0)
-        self.cumulated += enters
+            total[nodes] = top + np.log(np.add.reduceat(share, begin))
+            shares[own] = share
+        for s in np.flatnonzero(lengths > LONG):
+            self._filter_far(int(self.first[s]), int(lengths[s]), start, weight, edges, total, shares)
+        # Cumulated within each node, edge by edge, so that the sums of other nodes do not enter.
+        count = np.diff(edges)
+        place = np.arange(len(shares)) - edges[enters]
+        for k in range(1, int(count.max())):
+            at = np.flatnonzero(place == k)
+            shares[at] += shares[at - 1]
+        last = shares[edges[1:] - 1][enters]
+        grid = np.floor(shares / last * 2.0**31).astype(np.int64)
+        grid[edges[1:] - 1] = 1 << 31
+        self.cumulated = (enters.astype(np.int64) << 31) + grid
+
+    @staticmethod
+    def _filter_far(first: int, length: int, start, weight, edges, total, shares) -> None:
+        """Totals and shares of one segment from its byte LONG on, in blocks of bounded size."""
+        for lo in range(first + LONG, first + length, PORTION):
+            hi = min(lo + PORTION, first + length)
+            e = int(edges[lo])
+            sources, weights = start[e: edges[hi]].tolist(), weight[e: edges[hi]].tolist()
+            bounds = (edges[lo: hi + 1] - e).tolist()
+            back = max(first, lo - _FAR_BACK)
+            known = total[back: lo].tolist()
+            out = []
+            for begin, end in zip(bounds[:-1], bounds[1:]):
+                value = [weights[i] + (known[sources[i] - 1 - back] if sources[i] > first else 0.0) for i in range(begin, end)]
+                top = max(value)
+                share = [math.exp(v - top) for v in value]
+                known.append(top + math.log(sum(share)))
+                out += share
+            total[lo:hi] = known[lo - back:]
+            shares[e: edges[hi]] = out
 
 
 def _uniform(seeds: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A number in [0, 1) for each seed and place, the same on every run."""
-    return (mix(seeds + mix(at.astype(np.uint64) + np.uint64(1))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    """A whole number below 2**31 for each seed and place, the same on every run."""
+    return (mix(seeds + mix(at.astype(np.uint64) + np.uint64(1))) >> np.uint64(33)).astype(np.int64)
 
 
 def _sample(data: np.ndarray, rows: np.ndarray, seeds: np.ndarray, table: PieceTable, lookup: _Lookup):
@@ -183,7 +238,21 @@ def _sample(data: np.ndarray, rows: np.ndarray, seeds: np.ndarray, table: PieceT
     if not len(data):
         return np.zeros(0, np.int32), np.zeros(len(rows), np.int64)
     starts, lengths = _segments(data, rows)
-    one, which = _distinct(data, starts, lengths)
+    if lengths.max() > LONG:
+        starts, lengths = _part(data, starts, lengths, table, lookup)
+    ids = np.full(len(data), -1, np.int32)
+    bounds = np.append(starts, len(data))
+    for lo, hi in portions(bounds, PORTION):            # a window of whole segments at a time
+        _sample_window(data, bounds[lo:hi], lengths[lo:hi], rows, seeds, table, lookup, ids)
+    taken = ids >= 0
+    offsets = np.concatenate([[0], np.cumsum(taken)])[rows]
+    return ids[taken], offsets
+
+
+def _sample_window(data, starts, lengths, rows, seeds, table: PieceTable, lookup: _Lookup, ids: np.ndarray) -> None:
+    """Sample the given segments, which lie end to end, into `ids`."""
+    lo, hi = int(starts[0]), int(starts[-1] + lengths[-1])
+    one, which = _distinct(data[lo:hi], starts - lo, lengths)
     lattice = _Lattice(data, starts[one], lengths[one], table, lookup)
     order = np.argsort(which, kind="stable")            # places of one segment together: their edges are in the cache
     which, starts, lengths = which[order], starts[order], lengths[order]
@@ -191,18 +260,14 @@ def _sample(data: np.ndarray, rows: np.ndarray, seeds: np.ndarray, table: PieceT
     seed, shift = seeds[row], rows[row]
     node = lattice.first[which] + lengths - 1
     end = starts + lengths
-    ids = np.full(len(data), -1, np.int32)
     while len(end):
-        draw = _uniform(seed, end - shift)
-        edge = np.searchsorted(lattice.cumulated, node + draw, "right")
+        draw = (node << 31) + _uniform(seed, end - shift)
+        edge = np.searchsorted(lattice.cumulated, draw, "right")
         ids[end - 1] = lattice.piece[edge]
         size = lattice.size[edge]
         end, node = end - size, node - size
         more = end > starts
         end, node, seed, shift, starts = end[more], node[more], seed[more], shift[more], starts[more]
-    taken = ids >= 0
-    offsets = np.concatenate([[0], np.cumsum(taken)])[rows]
-    return ids[taken], offsets
 
 
 def _same(data: np.ndarray, ids: np.ndarray, table: PieceTable) -> bool:
@@ -220,8 +285,9 @@ def encode(docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str =
     """All columns of `docs` but `text`, plus `out`: array<int> of sampled piece ids.
 
     The draw depends on the seed, the row's key and the place in its text only. A null text gives null, an empty one an empty
-    array, a null key draws like the key 0, and equal rows get equal pieces. An existing column `out` is replaced. Raises if
-    a text does not decode to itself.
+    array, a null key draws like the key 0, and equal rows get equal pieces. An existing column `out` is replaced. A text of any
+    length is encoded whole, in windows of whole segments of about PORTION bytes; only a run without a blank in which pieces
+    overlap everywhere is a window of its own, however long. Raises if a text does not decode to itself.
     """
     kept = [f for f in docs.schema.fields if f.name not in (text, out)]
     schema = T.StructType(kept + [T.StructField(out, T.ArrayType(T.IntegerType()))])
@@ -258,8 +324,13 @@ def decode(encoded: DataFrame, table: PieceTable, pieces: str = "pieces", out: s
 
     def work(batches):
         for batch in batches:
-            texts = [None if x is None else _spell(np.array(x, np.int64), table).tobytes() for x in batch.column(pieces).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names[:-1]] + [pa.array(texts, pa.binary())], names)
+            lists = batch.column(pieces)
+            ids, count = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(count)
+            texts = pa.array([_spell(ids[end - n: end], table).tobytes() for end, n in zip(ends, count)], pa.binary(), mask=lists.is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names[:-1]] + [texts], names)
+            batch = lists = ids = texts = None
+            release()
 
     spelt = encoded.select(*[F.col(f"`{f.name}`") for f in kept], F.col(pieces)).mapInArrow(work, schema)
     return spelt.withColumn(out, F.col(f"`{out}`").cast("string"))

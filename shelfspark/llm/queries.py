@@ -26,9 +26,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled pieces of every text and their number; the sampler checks that the pieces spell the text, `pieces.decode` gives it back."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.encode(docs, pieces.load_pieces(PIECE_MODEL), seed=1).withColumn("n_pieces", F.size("pieces"))
+    """Sampled pieces of every text and their number, and the length and digest of the text that they decode to."""
+    docs, model = _table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.load_pieces(PIECE_MODEL)
+    coded = pieces.encode(docs, model, seed=1)
+    spelt = pieces.decode(coded.withColumn("again", F.col("pieces")), model, "again", "decoded")
+    return spelt.select("doc_id", "pieces", F.size("pieces").alias("n_pieces"), F.length("decoded").cast("long").alias("n_decoded"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

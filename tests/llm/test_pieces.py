@@ -71,3 +71,61 @@ def test_long_and_random_texts(table):
         text = "".join(rng.choice(" \nabcdeéß漢🙂") for _ in range(rng.randint(1, 4000))).encode()
         ids, at = pieces._sample(np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.array([1], np.uint64), table, lookup)
         assert pieces._spell(ids, table).tobytes() == text and at.tolist() == [0, len(ids)]
+
+
+def test_runs_without_a_cut_are_sampled_whole(table):
+    """Pieces cross every 512th byte of a long run as often as any other."""
+    lookup = pieces._Lookup(table)
+    text = ("nations" * 6000).encode()
+    data, rows = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    crossed, elsewhere, n = 0, 0, 0
+    for seed in range(6):
+        ids, _ = pieces._sample(data, rows, np.array([seed], np.uint64), table, lookup)
+        assert pieces._spell(ids, table).tobytes() == text
+        ends = set(np.cumsum(table.lengths[ids]).tolist())
+        at = range(1024, len(text) - 512, 512)
+        crossed += sum(p not in ends for p in at)
+        elsewhere += sum(p + 7 not in ends for p in at)
+        n += len(at)
+    assert crossed > 0 and abs(crossed - elsewhere) < 6 * math.sqrt(n)
+    han = ("漢字漢字仮名交文章" * 700).encode()
+    ids, _ = pieces._sample(np.frombuffer(han, np.uint8), np.array([0, len(han)]), np.array([1], np.uint64), table, lookup)
+    assert pieces._spell(ids, table).tobytes() == han
+
+
+def test_the_far_filter_equals_the_near_one(table, monkeypatch):
+    """A run filtered byte by byte, in blocks, and by levels: the same shares; and parted runs join at places no piece crosses."""
+    lookup = pieces._Lookup(table)
+    text = np.frombuffer(("internationalisation" * 60).encode(), np.uint8)
+    one = np.array([0])
+    by_levels = lambda: pieces._Lattice(text, one, np.array([len(text)]), table, lookup)
+    monkeypatch.setattr(pieces, "LONG", 10**9)
+    whole = by_levels().cumulated
+    monkeypatch.setattr(pieces, "LONG", 64)
+    monkeypatch.setattr(pieces, "PORTION", 100)
+    far = by_levels().cumulated
+    assert np.abs(whole - far).max() <= 4
+    mixed = np.frombuffer(("字x漢" * 300 + "q🙂zq" * 300).encode(), np.uint8)
+    starts, lengths = pieces._part(mixed, one, np.array([len(mixed)]), table, lookup)
+    assert starts[0] == 0 and lengths.sum() == len(mixed) and len(starts) > 100
+    begin, _, size = pieces._edges(mixed, np.arange(len(mixed), 0, -1), table, lookup)
+    spanned = np.zeros(len(mixed), bool)
+    for b, s in zip(begin, size):
+        spanned[b + 1: b + s] = True
+    assert set(starts.tolist()) <= set(np.flatnonzero(~spanned).tolist())
+
+
+def test_draws_do_not_depend_on_windows_or_neighbours(table, monkeypatch):
+    lookup = pieces._Lookup(table)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["alpha ", "beta", "γάμμα ", "漢字", "\n", "x1 "]) for _ in range(400)).encode() for _ in range(6)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    rows = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    seeds = np.arange(6).astype(np.uint64)
+    ids, at = pieces._sample(data, rows, seeds, table, lookup)
+    for i, t in enumerate(texts):
+        alone, _ = pieces._sample(np.frombuffer(t, np.uint8), np.array([0, len(t)]), seeds[i:i + 1], table, lookup)
+        assert alone.tolist() == ids[at[i]: at[i + 1]].tolist()
+    monkeypatch.setattr(pieces, "PORTION", 700)
+    again, _ = pieces._sample(data, rows, seeds, table, lookup)
+    assert again.tolist() == ids.tolist()
