@@ -177,7 +177,7 @@ class _Lattice:
         # Forward filtering, one byte position of all segments at a time; far into long segments, where few are left, one by one.
         depth = np.arange(n) - np.repeat(self.first, lengths)
         near = np.flatnonzero(depth < LONG)
-        by_depth = near[np.argsort(depth[near], kind="stable")]
+        by_depth = near[np.argsort(depth[near].astype(np.int16), kind="stable")]      # LONG fits; 16 bits sort by radix
         levels = np.concatenate([[0], np.cumsum(np.bincount(depth[near]))])
         total = np.empty(n)
         is_first = np.zeros(n, bool)
@@ -198,14 +198,15 @@ class _Lattice:
             self._filter_far(int(self.first[s]), int(lengths[s]), start, weight, edges, total, shares)
         # Cumulated within each node, edge by edge, so that the sums of other nodes do not enter.
         count = np.diff(edges)
-        place = np.arange(len(shares)) - edges[enters]
+        more, ends = np.arange(n), edges[1:] - 1
         for k in range(1, int(count.max())):
-            at = np.flatnonzero(place == k)
+            more = more[count[more] > k]
+            at = edges[more] + k
             shares[at] += shares[at - 1]
-        last = shares[edges[1:] - 1][enters]
-        grid = np.floor(shares / last * 2.0**31).astype(np.int64)
-        grid[edges[1:] - 1] = 1 << 31
-        self.cumulated = (enters.astype(np.int64) << 31) + grid
+        shares *= np.repeat(2.0**31 / shares[ends], count)
+        self.cumulated = shares.astype(np.int64)
+        self.cumulated[ends] = 1 << 31
+        self.cumulated += np.repeat(np.arange(n, dtype=np.int64) << 31, count)
 
     @staticmethod
     def _filter_far(first: int, length: int, start, weight, edges, total, shares) -> None:
