@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ENRICHMENT_ATTRIBUTES
 from ..functions.answers import one_answer
+from ..functions.products import compute_once
 from ..plans.scratch import materialize
 from .gapfill import response_map, sanitise_attributes
 
@@ -23,8 +24,14 @@ TARGET, STEPS, PARTS = 0.9, 20, 5
 def cues(*prose: str) -> Column:
     """Distinct lower-case words of the columns, and neighbours joined by a blank."""
     words = F.regexp_extract_all(F.lower(F.concat_ws(" ", *prose)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    pairs = F.transform(words, lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
-    return F.array_distinct(F.array_compact(F.concat(words, pairs)))
+    pairs = lambda ws: F.transform(ws, lambda w, i: F.concat(w, F.lit(" "), F.get(ws, i + 1)))
+    # An array of one, so that the text is searched once and not again for each word.
+    return F.get(F.transform(F.array(words), lambda ws: F.array_distinct(F.array_compact(F.concat(ws, pairs(ws))))), 0)
+
+
+def with_cues(requests: DataFrame, *keep: str) -> DataFrame:
+    """`keep` and the cues of the prose, which are found once per row."""
+    return compute_once(requests, [cues("name", "description").alias("cues")], keep)
 
 
 def part_of(key: str = "request_key", parts: int = PARTS) -> Column:
@@ -36,18 +43,21 @@ def answered_requests(requests: DataFrame, responses: DataFrame, attributes=ENRI
     """request_key, fields, cues, answer (map of attributes) of the enrichment requests that have an answer. Stored."""
     answers = one_answer(responses.filter("kind = 'enrich'")).select(
         "request_key", sanitise_attributes(response_map(F.col("body"), attributes), attributes).alias("answer"))
-    asked = requests.filter("kind = 'enrich'").select("request_key", "fields", cues("name", "description").alias("cues"))
-    return materialize(asked.join(answers, "request_key"), "answered")
+    # Found after the join: the prose that is shuffled is shorter than its cues.
+    asked = requests.filter("kind = 'enrich'").select("request_key", "fields", "name", "description")
+    return materialize(with_cues(asked.join(answers, "request_key"), "request_key", "fields", "answer").select("request_key", "fields", "cues", "answer"), "answered")
 
 
 def learn(answered: DataFrame, least: int = LEAST) -> DataFrame:
     """attribute, cue, value, support, precision of every cue with `least` answers of one value; of several values the most frequent, then the smallest."""
-    asked = answered.select(F.explode("fields").alias("attribute"), "cues").select("attribute", F.explode("cues").alias("cue"))
-    asked = asked.groupBy("attribute", "cue").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= least)
     given = answered.select(F.explode("answer").alias("attribute", "value"), "cues").select("attribute", "value", F.explode("cues").alias("cue"))
     given = given.groupBy("attribute", "cue", "value").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= least)
     best = given.groupBy("attribute", "cue").agg(F.min_by(F.struct("value", "support"), F.struct(-F.col("support"), "value")).alias("best"))
-    return best.join(asked, ["attribute", "cue"]).select(
+    # Requests mostly ask for the same fields: counted by cue and fields, not by each field.
+    asked = answered.select("fields", F.explode("cues").alias("cue")).groupBy("fields", "cue").agg(F.count(F.lit(1)).alias("n"))
+    named = F.array_size(F.filter("fields", lambda f: f == F.col("attribute")))
+    times = best.join(asked, "cue").groupBy("attribute", "cue").agg(F.first("best").alias("best"), F.sum(F.col("n") * named).alias("times"))
+    return times.filter(F.col("times") >= least).select(
         "attribute", "cue", "best.value", "best.support", (F.col("best.support") / (F.col("times") + 1)).alias("precision"))
 
 
@@ -77,6 +87,7 @@ def bounds(predicted: DataFrame, answered: DataFrame, target: float = TARGET, le
 
 
 def confident(predicted: DataFrame, limits: DataFrame) -> DataFrame:
+    """Rows of predictions, or cues of a model, whose precision reaches the bound of their attribute."""
     return predicted.join(limits, "attribute").filter("precision >= bound").drop("bound")
 
 
@@ -89,8 +100,9 @@ def train(answered: DataFrame, target: float = TARGET, least: int = LEAST) -> tu
 
 def learned_responses(requests: DataFrame, model: DataFrame, limits: DataFrame) -> DataFrame:
     """Answers to enrichment requests in the shape of the response table; requests about which the model is unsure have none."""
-    asked = requests.filter("kind = 'enrich'").select("request_key", "fields", cues("name", "description").alias("cues"))
-    sure = confident(predict(asked, model), limits)
+    asked = with_cues(requests.filter("kind = 'enrich'"), "request_key", "fields")
+    # Cues below the bound are left out first: the best one is above it exactly if any is.
+    sure = predict(asked, confident(model, limits))
     entries = F.array_sort(F.collect_list(F.struct("attribute", "value")))      # one for each attribute at most
     return sure.groupBy("request_key").agg(F.to_json(F.map_from_entries(entries)).alias("body")).select("request_key", F.lit("enrich").alias("kind"), "body")
 

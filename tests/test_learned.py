@@ -62,3 +62,32 @@ def test_no_answers_no_prose_and_repeats(spark):
     blank = requests.limit(1).selectExpr("request_key", "kind", "fields", "cast(null as string) as name", "'' as description")
     model, limits = learned.train(learned.answered_requests(requests, responses.unionByName(responses), ATTRIBUTES))
     assert learned.learned_responses(blank, model, limits).collect() == []
+
+
+def test_the_text_is_searched_once_and_not_for_each_word(spark):
+    rows = spark.createDataFrame([(" ".join(f"w{i}" for i in range(3)),)], "name string").select(learned.cues("name").alias("cues"))
+    assert rows.first().cues == ["w0", "w1", "w2", "w0 w1", "w1 w2"]
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_cues_below_the_bound_do_not_reach_the_requests(spark, monkeypatch):
+    requests, responses, _ = tables(spark)
+    model, limits = learned.train(learned.answered_requests(requests, responses, ATTRIBUTES))
+    whole = learned.confident(learned.predict(requests.select("request_key", "fields", learned.cues("name", "description").alias("cues")), model), limits)
+    seen, predict = [], learned.predict
+    monkeypatch.setattr(learned, "predict", lambda asked, cues: seen.append(cues) or predict(asked, cues))
+    told = {(r.request_key, k, v) for r in learned.learned_responses(requests, model, limits).collect() for k, v in json.loads(r.body).items()}
+    assert told == {(r.request_key, r.attribute, r.value) for r in whole.collect()}
+    bound = {r.attribute: r.bound for r in limits.collect()}
+    kept = seen[0].collect()
+    assert 0 < len(kept) < model.count() and all(r.precision >= bound[r.attribute] for r in kept)
+
+
+def test_times_asked_follow_each_request_s_fields(spark):
+    rows = [(f"r{i}", ["a", "b"] if i % 3 else ["b", "b", None], ["x"] if i % 2 else ["x", "y"], {"a": "1", "b": "2"}) for i in range(30)]
+    answered = spark.createDataFrame(rows + [("null", None, ["x"], {"a": "1"})], "request_key string, fields array<string>, cues array<string>, answer map<string,string>")
+    model = {(r.attribute, r.cue): (r.value, r.support, round(r.precision, 9)) for r in learned.learn(answered).collect()}
+    # A field named twice is asked for twice.
+    assert model == {("a", "x"): ("1", 31, round(31 / 21, 9)), ("b", "x"): ("2", 30, round(30 / 41, 9)),
+                     ("a", "y"): ("1", 15, round(15 / 11, 9)), ("b", "y"): ("2", 15, round(15 / 21, 9))}

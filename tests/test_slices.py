@@ -1,4 +1,7 @@
+import gc
+
 import pyarrow as pa
+import pytest
 
 from shelfspark.operators import match
 from shelfspark.operators.match import Field, match_selectors, slices
@@ -35,3 +38,33 @@ def test_slices_keep_all_rows_and_end_at_their_bytes():
         parts = [[len(v) for v in part.column("html").to_pylist()] for part in slices(batch, "html")]
         assert [n for part in parts for n in part] == sizes
         assert all(sum(part) <= match.SLICE_BYTES or len(part) == 1 for part in parts)
+
+
+def test_no_collection_while_the_nodes_of_a_slice_are_held(spark):
+    work = match_selectors(Pages(spark, "id int, html string"), [Field("h", "i", text=True)])
+    html = ["<i>a</i>" * 400] * 300
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int32()), pa.array(html, pa.string())], ["id", "html"])
+    runs = []
+    count = lambda phase, info: runs.append(phase)
+    gc.collect()
+    gc.callbacks.append(count)
+    try:
+        parts = work(iter([batch]))
+        assert sum(part.num_rows for part in parts) == 300
+    finally:
+        gc.callbacks.remove(count)
+    assert len(runs) <= 4 and gc.isenabled()
+
+
+def test_collection_is_on_again_after_a_failure_and_stays_off_where_it_was():
+    with pytest.raises(ValueError), match.uncollected():
+        assert not gc.isenabled()
+        raise ValueError
+    assert gc.isenabled()
+    gc.disable()
+    try:
+        with match.uncollected():
+            pass
+        assert not gc.isenabled()
+    finally:
+        gc.enable()
