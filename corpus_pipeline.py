@@ -12,8 +12,8 @@ SHINGLE, RADIUS = 4, 4
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 8 MB at most from here on, so that a task holds little beside its own work."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    """Arrow batches of 2 MB at most from here on, so that a task holds little beside its own work, in the JVM and in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 The lattice stands on the UTF-8 bytes of the text, with a plain blank where the model writes its blank sign. No piece of the
 model crosses the start of a blank run or a line break (the loader checks it), so the lattice falls into segments; distinct
-segments of a window of text are filtered once and sampled for each of their places. A long segment falls apart further wherever
+segments of a window of text are filtered once, in lattices of bounded size, and sampled for each of their places. A long segment falls apart further wherever
 no piece of it crosses, which leaves the distribution as it is; what still is long is filtered whole. The model file ranks its
 pieces and has no probabilities, so a piece of rank r weighs (r + 10) ** -alpha. Bytes stand in for what no piece covers.
 Probabilities are rounded to 2**-31, so a draw does not depend on which texts share a window.
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from .arrays import mix, portions, powers, release, text_bytes
 
 PORTION = 1 << 20
+LATTICE = 1 << 17           # bytes of the distinct segments that stand in one lattice; an edge takes some 80 bytes
 LONG = 512                  # bytes from which a segment is parted where no piece crosses, and from which its filter goes byte by byte
 _FAR_BACK = 1 << 10         # bytes that an edge reaches back at most; pieces are shorter (the loader checks it)
 _TABLE_BITS = 20
@@ -148,13 +149,19 @@ def _edges(content: np.ndarray, left: np.ndarray, table: PieceTable, lookup: _Lo
 
 
 def _distinct(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
-    """(one place of each distinct segment, the number of the distinct segment at each place)."""
-    within = np.arange(len(data), dtype=np.int32) - np.repeat(starts, lengths).astype(np.int32)
-    hashes = _BYTE[data]
-    hashes *= powers(int(lengths.max()))[within]
-    hashes = mix(mix(np.add.reduceat(hashes, starts)) + lengths.astype(np.uint64))
+    """(one place of each distinct segment, short ones first, the number of the distinct segment at each place)."""
+    power, sums = powers(int(lengths.max())), np.empty(len(starts), np.uint64)
+    bounds = np.append(starts, len(data))
+    for lo, hi in portions(bounds, LATTICE):
+        own = starts[lo:hi] - starts[lo]
+        within = np.arange(bounds[hi] - bounds[lo]) - np.repeat(own, lengths[lo:hi])
+        sums[lo:hi] = np.add.reduceat(_BYTE[data[bounds[lo]: bounds[hi]]] * power[within], own)
+    hashes = mix(mix(sums) + lengths.astype(np.uint64))
     _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-    return one, which
+    order = np.argsort(lengths[one], kind="stable")
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    return one[order], number[which]
 
 
 class _Lattice:
@@ -245,18 +252,24 @@ def _sample(data: np.ndarray, rows: np.ndarray, seeds: np.ndarray, table: PieceT
     bounds = np.append(starts, len(data))
     for lo, hi in portions(bounds, PORTION):            # a window of whole segments at a time
         _sample_window(data, bounds[lo:hi], lengths[lo:hi], rows, seeds, table, lookup, ids)
-    taken = ids >= 0
-    offsets = np.concatenate([[0], np.cumsum(taken)])[rows]
-    return ids[taken], offsets
+    taken = np.flatnonzero(ids >= 0)
+    return ids[taken], np.searchsorted(taken, rows)
 
 
 def _sample_window(data, starts, lengths, rows, seeds, table: PieceTable, lookup: _Lookup, ids: np.ndarray) -> None:
     """Sample the given segments, which lie end to end, into `ids`."""
     lo, hi = int(starts[0]), int(starts[-1] + lengths[-1])
     one, which = _distinct(data[lo:hi], starts - lo, lengths)
-    lattice = _Lattice(data, starts[one], lengths[one], table, lookup)
     order = np.argsort(which, kind="stable")            # places of one segment together: their edges are in the cache
-    which, starts, lengths = which[order], starts[order], lengths[order]
+    which = which[order]
+    for first, last in portions(np.concatenate([[0], np.cumsum(lengths[one])]), LATTICE):
+        lattice = _Lattice(data, starts[one[first:last]], lengths[one[first:last]], table, lookup)
+        a, b = np.searchsorted(which, [first, last])
+        _draw(lattice, which[a:b] - first, starts[order[a:b]], lengths[order[a:b]], rows, seeds, ids)
+
+
+def _draw(lattice: _Lattice, which, starts, lengths, rows, seeds, ids: np.ndarray) -> None:
+    """Sample the segments at `starts`, which are number `which` of the lattice, into `ids`."""
     row = np.searchsorted(rows, starts, "right") - 1
     seed, shift = seeds[row], rows[row]
     node = lattice.first[which] + lengths - 1
@@ -273,7 +286,8 @@ def _sample_window(data, starts, lengths, rows, seeds, table: PieceTable, lookup
 
 def _same(data: np.ndarray, ids: np.ndarray, table: PieceTable) -> bool:
     """Whether the pieces spell exactly these bytes."""
-    return np.array_equal(_spell(ids, table), data)
+    ends = np.concatenate([[0], np.cumsum(table.lengths[ids])])
+    return ends[-1] == len(data) and all(np.array_equal(_spell(ids[lo:hi], table), data[ends[lo]: ends[hi]]) for lo, hi in portions(ends, LATTICE))
 
 
 def _spell(ids: np.ndarray, table: PieceTable) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .arrays import mix, portions, release, text_bytes
 
 GRAM = 5
-PORTION = 1 << 20
+PORTION = 1 << 18
 FOLDS = 5
 #: Bounds of the fit: labelled documents of each label, and terms.
 MAX_EXAMPLES = 3000
@@ -199,7 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, max
     for label in (0, 1):
         part = usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
         chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = spark.createDataFrame(chosen.collect(), "doc_id long, toxic int")      # max_examples of each label at most
+    # max_examples of each label at most. As an Arrow table: rows would go through Python workers of another kind, which then stay on every executor.
+    chosen = spark.createDataFrame(chosen.select("doc_id", "toxic").toArrow())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     examples = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
     grams = examples.mapInArrow(_frequencies, "term long, clean long, toxic long").groupBy("term").agg(

@@ -1,6 +1,7 @@
 import math
 import os
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -129,3 +130,22 @@ def test_draws_do_not_depend_on_windows_or_neighbours(table, monkeypatch):
     monkeypatch.setattr(pieces, "PORTION", 700)
     again, _ = pieces._sample(data, rows, seeds, table, lookup)
     assert again.tolist() == ids.tolist()
+
+
+def test_lattices_are_bounded(table, monkeypatch):
+    """Many different words: no lattice holds more than LATTICE bytes, its size decides no draw, and a window stays small in memory."""
+    lookup = pieces._Lookup(table)
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(3, 9))) for _ in range(150_000)).encode()[:1 << 20]
+    data, rows, seeds = np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.array([9], np.uint64)
+    held, build = [], pieces._Lattice
+    monkeypatch.setattr(pieces, "_Lattice", lambda data, starts, lengths, *rest: held.append(int(lengths.sum())) or build(data, starts, lengths, *rest))
+    tracemalloc.start()
+    ids, _ = pieces._sample(data, rows, seeds, table, lookup)
+    assert pieces._same(data, ids, table) and not pieces._same(data[:-1], ids, table) and not pieces._same(data, ids[::-1], table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(held) > 1 and max(held) <= pieces.LATTICE and peak < 64 << 20
+    for limit in (1 << 21, 1 << 14):
+        monkeypatch.setattr(pieces, "LATTICE", limit)
+        assert np.array_equal(pieces._sample(data, rows, seeds, table, lookup)[0], ids)

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelfspark.llm import toxicity
@@ -97,3 +99,28 @@ def test_keep_clean_keeps_columns(spark):
     left = {r.doc_id for r in kept.collect()}
     assert sum(truth[i] == 0 for i in left if i in truth) >= 0.97 * sum(v == 0 for v in truth.values())
     assert sum(truth[i] == 1 for i in left if i in truth) <= 0.1 * sum(truth.values())
+
+
+def test_fit_starts_no_other_python_workers(spark, monkeypatch):
+    """Chosen examples go to the executors without an RDD of pickled rows, whose workers would stay there beside the others."""
+    docs, labels = rows()
+    d, ls = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+    def refused(*_, **__):
+        raise AssertionError("rows were pickled")
+
+    monkeypatch.setattr(spark.sparkContext, "parallelize", refused)
+    model = toxicity.fit(d, ls)
+    assert len(model.terms) and len(model.ids) == len({i for i in model.ids.tolist()}) <= len(labels)
+
+
+def test_portions_bound_the_memory_of_a_batch():
+    """Two MB of short texts at a time take little beside themselves, and the counts of a text do not depend on its portion."""
+    texts = [f"grumbok {i} zarnit vexolt and plain words " * 4 for i in range(13_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    known = toxicity._Terms(np.array([int.from_bytes(b"grumb", "big") << 2, int.from_bytes(b"zarni", "big") << 2], np.uint64))
+    tracemalloc.start()
+    counts = [c for *_, data, offsets in toxicity._each([batch]) for c in known.counts(data, offsets)[2].tolist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts == [4] * 26_000 and peak < 16 << 20
